@@ -173,26 +173,44 @@ def fit(learning: DataFrame) -> Model | None:
     return model
 
 
+def learn(stats: DataFrame, labels: DataFrame, space: Workspace) -> Model | None:
+    """The model from ``statistics`` of all documents and the labels of learning rows."""
+    marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
+    learning = stats.where(fold_of() != 0).join(marked, "doc_id").select(fold_of().cast("int").alias("fold"), "y", "s")
+    return fit(space.save(learning, "learning"))
+
+
+def scores_of(model: Model | None, s: np.ndarray) -> np.ndarray:
+    return model.scores(s) if model else np.full(len(s), 0.5)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     space = Workspace(docs.sparkSession, "quality")
     stats = space.save(statistics(docs), "stats")
-    marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
-    learning = stats.where(fold_of() != 0).join(marked, "doc_id").select(fold_of().cast("int").alias("fold"), "y", "s")
-    learning = space.save(learning, "learning")
-    model = fit(learning)
+    model = learn(stats, labels, space)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = stacked(batch.column(1))
-            score = model.scores(s) if model else np.full(len(s), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores_of(model, stacked(batch.column(1))))], ["doc_id", "score"])
 
     scored = stats.mapInArrow(run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", (fold_of() == 0).alias("held_out"), "score", (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, columns unchanged."""
-    rejected = score_documents(docs, labels).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti")
+    """The rows of ``docs`` that the classifier does not reject, columns unchanged.
+
+    The texts are read twice, to learn and to filter where they stand; they are never shuffled.
+    """
+    space = Workspace(docs.sparkSession, "quality")
+    model = learn(space.save(statistics(docs), "stats"), labels, space)
+    space.drop("stats", "learning")
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = np.array([statistics_of(v.as_py() or "") for v in batch.column(at)]).reshape(batch.num_rows, len(STATS))
+            yield batch.filter(pa.array(scores_of(model, s) >= KEEP_SCORE, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strandline.llm.common import table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -24,7 +24,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.token_counts import token_report
 
-    return token_report(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return token_report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,19 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("byte_bpe_50k.tiktoken"))
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+def op9_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.embedding_dups import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -58,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op9_embedding_dups": op9_embedding_dups,
+    "op10_decontamination": op10_decontamination,
 }
 
 #: WARC: the writer's rule and the payloads themselves, straight from the table.
