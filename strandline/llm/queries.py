@@ -27,6 +27,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.licenses import find_licenses
+
+    return find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.secrets import secret_report
 
@@ -51,6 +57,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.chat import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op9_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.embedding_dups import near_duplicates
 
@@ -66,10 +78,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_counts": op2_token_counts,
+    "op3_license_scan": op3_license_scan,
     "op4_secret_scan": op4_secret_scan,
     "op5_warc": op5_warc,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op8_chat_format": op8_chat_format,
     "op9_embedding_dups": op9_embedding_dups,
     "op10_decontamination": op10_decontamination,
 }
@@ -84,4 +98,16 @@ SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_di
        CASE WHEN f.first_id IS NOT NULL AND f.first_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN f.first_id <> p.page_id THEN f.first_id END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)""",
+    "op8_chat_format": """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+p AS (
+  SELECT conv_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+         string_agg(length(role) || ':' || role || ':' || length(text) || ':' || text, '' ORDER BY turn NULLS FIRST, role, sha256(text)) OVER w AS prefix
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text) ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT k, prefix, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE k = n GROUP BY ALL),
+m AS (SELECT e.* FROM e ANTI JOIN (SELECT k, prefix FROM p WHERE k < n) q USING (k, prefix))
+SELECT m.conv_id, m.k AS n_turns, m.n_copies,
+       string_agg('<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10), '' ORDER BY t.turn NULLS FIRST, t.role, sha256(t.text)) AS rendered
+FROM m JOIN t USING (conv_id) GROUP BY ALL""",
 }
