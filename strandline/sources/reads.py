@@ -1,4 +1,4 @@
-"""Reads: FASTA and FASTQ files, and reads derived from tables of text.
+"""Reads: FASTA files, and reads derived from tables of text.
 
 A read is (read_id, seq_tag, seq). FASTA has no ids; ``read_id`` is a hash of file and header, so
 it does not change when a task runs again.
@@ -38,15 +38,6 @@ def read_fasta(spark: SparkSession, path: str, uppercase: bool = False) -> DataF
     return rows.select(F.xxhash64("file", header).alias("read_id"), tag_of(header).alias("seq_tag"), header.alias("header"), (F.upper(body) if uppercase else body).alias("seq"))
 
 
-def read_fastq(spark: SparkSession, path: str, uppercase: bool = False) -> DataFrame:
-    """FASTQ in four-line records; a record begins at a line end that an @ follows and a + line closes."""
-    rows = spark.read.option("wholetext", "true").text(path).withColumn("file", F.col("_metadata.file_path"))
-    record = F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^@([^\n]*\n[^\n]*)\n\+[^\n]*\n[^\n]*$"), 1))
-    rows = rows.select("file", record.alias("r"))
-    header, body = F.substring_index("r", "\n", 1), strip_line_ends(F.substring_index("r", "\n", -1))
-    return rows.select(F.xxhash64("file", header).alias("read_id"), tag_of(header).alias("seq_tag"), F.trim(header).alias("header"), (F.upper(body) if uppercase else body).alias("seq"))
-
-
 def read_long_fasta(spark: SparkSession, path: str, k: int, chunk: int = CHUNK, uppercase: bool = False) -> DataFrame:
     """FASTA of few very long sequences as chunks (read_id, seq_tag, header, chunk_start, seq) that overlap by k - 1.
 
