@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import Workspace, text_of
 from strandline.llm.components import connected_components
-from strandline.llm.shingles import WordHashes, shingle_set
+from strandline.llm.shingles import shingle_set
 
 WIDTH = 5
 #: Most shingles that may be ordered last for their frequency; 8 bytes each are broadcast.
@@ -79,7 +79,7 @@ def frequent_shingles(docs: DataFrame, width: int, space: Workspace) -> tuple[in
     buckets = 1 << bits
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size, names = WordHashes(), [], 0, set()
+        held, size, names = [], 0, set()
 
         def flush():
             if not held:
@@ -93,7 +93,7 @@ def frequent_shingles(docs: DataFrame, width: int, space: Workspace) -> tuple[in
 
         for batch in batches:
             for value in batch.column(0):
-                s = shingle_set(value.as_py(), hashes, width)
+                s = shingle_set(value.as_buffer(), width)
                 if len(s) and (name := fingerprint(s)) not in names:  # copies met by the same task count once
                     if len(names) < 1_000_000:
                         names.add(name)
@@ -126,22 +126,30 @@ def ordered_prefix(s: np.ndarray, dropped: int, frequent: np.ndarray) -> tuple[n
     n = prefix_length(len(s))
     if not len(frequent):
         return s[:n], n
-    key = (s >> np.uint64(dropped)).astype(np.int64)
-    at = np.searchsorted(frequent, key)
-    often = frequent[np.minimum(at, len(frequent) - 1)] == key
-    rare = s[~often][:n]
-    return np.concatenate([rare, s[often][: n - len(rare)]]), len(rare)
+    rare: list[np.ndarray] = []
+    often: list[np.ndarray] = []
+    have, at = 0, 0
+    while have < n and at < len(s):  # looks no further than it must
+        part = s[at : at + n - have + 16]
+        at += len(part)
+        key = (part >> np.uint64(dropped)).astype(np.int64)
+        place = np.searchsorted(frequent, key)
+        hit = frequent[np.minimum(place, len(frequent) - 1)] == key
+        rare.append(part[~hit])
+        often.append(part[hit])
+        have += len(rare[-1])
+    head = np.concatenate(rare)[:n]
+    return np.concatenate([head, np.concatenate(often)[: n - len(head)]]), len(head)
 
 
 def prefixes(docs: DataFrame, frequent, width: int, id_col: str) -> DataFrame:
     """One row per document: size, fingerprint and prefix of its set. ``frequent`` is a broadcast variable."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             n, fp, split, prefix = [], [], [], []
             for value in batch.column(1):
-                s = shingle_set(value.as_py(), hashes, width)
+                s = shingle_set(value.as_buffer(), width)
                 head, rare = ordered_prefix(s, *frequent.value) if len(s) else (s, 0)
                 n.append(len(s))
                 fp.append(fingerprint(s) if len(s) else None)
@@ -262,13 +270,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str) -> Da
     shared = spark.sparkContext.broadcast(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), shared.value
+        seen = shared.value
         for batch in batches:
             bit = np.asarray(batch.column(2))
             for at in np.array_split(np.flatnonzero(seen[bit >> 3] >> (bit & 7).astype(np.uint8) & 1), max(1, batch.num_rows // 500)):
                 ids, sets = [], []
                 for i in at:
-                    s = shingle_set(batch.column(1)[int(i)].as_py(), hashes, width)
+                    s = shingle_set(batch.column(1)[int(i)].as_buffer(), width)
                     ids.append((batch.column(0)[int(i)].as_py(), fingerprint(s) if len(s) else None))
                     sets.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "fp", "hashes"])
@@ -276,7 +284,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str) -> Da
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_of().alias("text"))
     rows = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)).alias("bit"))
     # a document's own fingerprint is part of the key, as rows may repeat an id with another text
-    return rows.mapInArrow(run, "doc_id long, fp long, hashes binary").join(wanted, ["doc_id", "fp"]).select("fp", "hashes").dropDuplicates(["fp"])
+    made = rows.mapInArrow(run, "doc_id long, fp long, hashes binary")
+    return made.join(wanted.withColumnRenamed("doc_id", "of"), "fp").where("doc_id = of").select("fp", "hashes").dropDuplicates(["fp"])
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -317,19 +326,21 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_i
     space.drop("entries")
     pairs = space.save(candidate_pairs(lists), "pairs")
 
-    long_lists = lists.where(F.col("len") > SHORT)
-    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(long_lists.select("fp")).distinct().join(names, "fp")
-    hashes = space.save(full_sets(docs, wanted, width, id_col), "hashes")
-    first = space.save(overlaps(pairs, hashes), "first")
-    links = first.where(LINKED).select("a", "b")
-    space.drop("pairs")
+    def verified(some: DataFrame, name: str) -> DataFrame:
+        ends = some.select(F.col("a").alias("fp")).unionByName(some.select(F.col("b").alias("fp"))).distinct()
+        hashes = space.save(full_sets(docs, ends.join(names, "fp"), width, id_col), f"{name}-hashes")
+        done = space.save(overlaps(some, hashes), name)
+        space.drop(f"{name}-hashes")
+        return done
 
+    first = verified(pairs, "first")
+    links = first.where(LINKED).select("a", "b")
     # what the hubs' answers leave open
     classes = space.save(connected_components(links, space, "cc1"), "classes")
-    left_open = space.save(open_pairs(long_lists, classes, first), "open")
-    second = space.save(overlaps(left_open, hashes).where(LINKED).select("a", "b"), "second")
-    space.drop("hashes", "lists", "open")
-    if second.limit(1).count():
+    left_open = space.save(open_pairs(lists.where(F.col("len") > SHORT), classes, first), "open")
+    space.drop("lists", "pairs")
+    if left_open.limit(1).count():
+        second = verified(left_open, "second").where(LINKED).select("a", "b")
         classes = space.save(connected_components(links.unionByName(second), space, "cc2"), "classes2")
 
     # a component's number is the smallest document of its sets

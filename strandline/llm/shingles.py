@@ -1,27 +1,117 @@
-"""Word shingles of whole texts as 64-bit hashes.
+"""Word shingles of whole texts as 64-bit hashes, from the UTF-8 bytes as they lie in an Arrow buffer.
 
-Words are maximal runs of characters other than ASCII white space, with A-Z lower-cased. A word's
-hash is xxh64 of its UTF-8 bytes; a shingle's is a mix of its words' hashes in order. Hashes stand
-for shingles everywhere; two different shingles of the same pair of documents share one with a
-probability of about 2**-64.
+Words are maximal runs of bytes other than ASCII white space, with A-Z as a-z. Each byte value has
+a random 64-bit number; a word's hash is the sum of these times powers of an odd number by place
+in the word, modulo 2**64 and mixed, all words of a text at once by running sums. Two different
+words share a hash with a probability of about 2**-60. A shingle's hash mixes its words' hashes in
+order. Hashes stand for shingles everywhere.
+
+``WordHashes`` gives hashes of words that were cut otherwise.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import xxhash
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 REMEMBERED = 400_000
+SPAN = 1 << 20  # places with powers of their own; beyond, a factor per span
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_BASE = 0xD1342543DE82EF95
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * _MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def _byte_numbers() -> np.ndarray:
+    numbers = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * _ODD))
+    numbers[65:91] = numbers[97:123]
+    numbers[[32, *range(9, 14)]] = 0
+    return numbers
+
+
+_NUMBER = _byte_numbers()
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[32, *range(9, 14)]] = True
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 to base**(n - 1), modulo 2**64, by doubling."""
+    out = np.ones(n, dtype=np.uint64)
+    have = 1
+    while have < n:
+        take = min(have, n - have)
+        out[have : have + take] = out[:take] * np.uint64(pow(base, have, 1 << 64))
+        have += take
+    return out
+
+
+class _Powers:
+    """Powers of the base and of its inverse, as many as the longest text so far needs, SPAN at most."""
+
+    def __init__(self) -> None:
+        self.inverse = pow(_BASE, -1, 1 << 64)
+        self.up, self.down = _powers(_BASE, 1 << 14), _powers(self.inverse, 1 << 14)
+
+    def reach(self, n: int) -> None:
+        n = min(n, SPAN)
+        if n > len(self.up):
+            size = 1 << (n - 1).bit_length()
+            self.up, self.down = _powers(_BASE, size), _powers(self.inverse, size)
+
+    def at(self, places: np.ndarray, up: bool) -> np.ndarray:
+        table, base = (self.up, _BASE) if up else (self.down, self.inverse)
+        if len(table) < SPAN or not len(places) or places[-1] < SPAN:
+            return table[places]
+        spans = np.array([pow(base, SPAN * k, 1 << 64) for k in range(int(places[-1]) // SPAN + 1)], dtype=np.uint64)
+        return table[places % SPAN] * spans[places // SPAN]
+
+
+_POWERS = _Powers()
+
+
+def word_hashes(raw: np.ndarray) -> np.ndarray:
+    """A hash per word of a text given as bytes (uint8)."""
+    n = len(raw)
+    if not n:
+        return np.zeros(0, dtype=np.uint64)
+    _POWERS.reach(n)
+    space = _SPACE[raw]
+    inside = np.empty(n + 2, dtype=bool)
+    inside[0] = inside[-1] = False
+    np.logical_not(space, out=inside[1:-1])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    value = _NUMBER[raw]
+    value *= _POWERS.up[:n] if n <= len(_POWERS.up) else _POWERS.at(np.arange(n), True)
+    np.cumsum(value, out=sums[1:])
+    return mixed((sums[end] - sums[start]) * _POWERS.at(start, False))
+
+
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all ``width``-word windows in order; of the whole sequence if it is shorter; none of no words."""
+    n = len(words)
+    if n == 0:
+        return words
+    width = min(width, n)
+    h = mixed(words[: n - width + 1] + np.uint64(width))
+    for k in range(1, width):
+        h = h * _ODD + words[k : n - width + 1 + k]
+        h ^= h >> np.uint64(31)
+    return mixed(h)
 
 
-def lower(text: str) -> str:
-    """A-Z in lower case; other characters stay."""
-    return text.encode("utf-8", "replace").lower().decode("utf-8")
+def shingle_set(text: bytes | memoryview | None, width: int) -> np.ndarray:
+    """The distinct shingles of a UTF-8 text, ascending; empty for null, empty and blank texts."""
+    if text is None or not len(text):
+        return np.zeros(0, dtype=np.uint64)
+    h = shingle_hashes(word_hashes(np.frombuffer(text, dtype=np.uint8)), width)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) > 1 else h
 
 
 class WordHashes:
@@ -43,27 +133,3 @@ class WordHashes:
                 if w not in new:
                     new[w] = old[w] if w in old else digest(w.encode("utf-8", "replace"))
             return np.array([new[w] for w in words], dtype=np.uint64)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(29))) * _MIX
-    return h ^ (h >> np.uint64(32))
-
-
-def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all ``width``-word windows in order; of the whole sequence if it is shorter; none of no words."""
-    n = len(words)
-    if n == 0:
-        return words
-    width = min(width, n)
-    h = mixed(words[: n - width + 1] + np.uint64(width))
-    for k in range(1, width):
-        h = mixed(h * _ODD + words[k : n - width + 1 + k])
-    return h
-
-
-def shingle_set(text: str | None, hashes: WordHashes, width: int) -> np.ndarray:
-    """The distinct shingles of a text, ascending; empty for null, empty and blank texts."""
-    if not text:
-        return np.zeros(0, dtype=np.uint64)
-    return np.unique(shingle_hashes(hashes.of(WORD.findall(lower(text))), width))
