@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.runtime import ship
+
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder of the cluster, from the session's settings."""
@@ -70,4 +72,6 @@ def fold_of(doc_id: Column | str = "doc_id") -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``; the operators' functions are sent along to the executors."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
