@@ -36,12 +36,13 @@ from strandline.llm.components import connected_components
 
 THRESHOLD = 0.9
 FIT_ROWS = 20_000
-LIST_ROWS = 128
+LIST_ROWS = 256
 MOST_LISTS = 16_384
 DIMS_PER_CODE, CODES = 4, 16
-SIGMAS = 4.0
+SIGMAS = 3.0
 BLOCK, CHUNK = 1_024, 16_384
 SEED = 20_240_602
+ROUNDING = 1e-4  # single precision in the tables
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -107,11 +108,12 @@ class Quantiser:
 
     def sieve(self, q: np.ndarray, codes: np.ndarray, error: np.ndarray, cell: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """(query, member) pairs of a list that may reach the threshold."""
-        table = np.einsum("qgd,gcd->gqc", self._groups(q), self.books)
-        near = np.repeat((q @ self.centres[cell])[:, None], len(codes), axis=1)
+        table = np.einsum("qgd,gcd->gcq", self._groups(q), self.books).astype(np.float32)
+        near = np.tile((q @ self.centres[cell]).astype(np.float32), (len(codes), 1))
         for g in range(len(table)):
-            near += table[g][:, codes[:, g]]
-        return np.nonzero(near + error[None, :] >= threshold - 1e-9)
+            near += table[g][codes[:, g]]  # whole rows: one code's inner products with all queries
+        member, query = np.nonzero(near >= (threshold - ROUNDING - error)[:, None])
+        return query, member
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
