@@ -1,4 +1,4 @@
-"""Makes the package importable on executors whose Python path does not hold it."""
+"""What a session needs for this package: its sources on the executors, and batches of bounded size."""
 
 from __future__ import annotations
 
@@ -8,15 +8,18 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows go to Python in batches of at most so many bytes, however long their texts are.
+BATCH_BYTES = 16 << 20
 _done: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors, once per application."""
+    """Send the package's sources to the executors and bound the batches, once per application."""
     app = spark.sparkContext.applicationId
     if app in _done:
         return
     _done.add(app)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="strandline-ship-")) / "strandline.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
