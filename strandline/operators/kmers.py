@@ -7,9 +7,12 @@ taken from bytes, as a place in a string costs time in proportion to it.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.minimizers import codes_of, mapped
+
 PIECE = 4096
 
 
@@ -56,8 +59,12 @@ def windows(reads: DataFrame, k: int) -> DataFrame:
 
 
 def valid_segments(reads: DataFrame, k: int) -> DataFrame:
-    """(read_id, start, len): maximal stretches of bases that hold a k-mer."""
-    parts = F.split("seq", "(?<=[^ACGT])(?=[ACGT])|(?<=[ACGT])(?=[^ACGT])")
-    ends = F.aggregate("p", F.array(F.struct(F.lit(0).alias("start"), F.lit("").alias("s"))), lambda a, s: F.array_append(a, F.struct((F.element_at(a, -1)["start"] + F.length(F.element_at(a, -1)["s"])).alias("start"), s.alias("s"))))
-    rows = reads.where(F.length("seq") >= k).select("read_id", parts.alias("p")).select("read_id", F.explode(ends).alias("e"))
-    return rows.where((F.length("e.s") >= k) & F.col("e.s").rlike("^[ACGT]")).select("read_id", "e.start", F.length("e.s").alias("len"))
+    """(read_id, start, len): maximal stretches of bases that hold a k-mer, found where the read is."""
+
+    def rows_of(seq: bytes):
+        inside = np.concatenate([[False], codes_of(seq) < 4, [False]])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, length = edge[::2], edge[1::2] - edge[::2]
+        return start[length >= k], length[length >= k]
+
+    return mapped(reads, rows_of, "start int, len int", ("read_id",))

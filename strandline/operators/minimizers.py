@@ -131,7 +131,7 @@ def signature_text(value: int, m: int) -> str:
     return DEFAULT if value == 4**m else "".join("ACGT"[value >> (2 * j) & 3] for j in range(m - 1, -1, -1))
 
 
-def _mapped(reads: DataFrame, rows_of, schema: str, keep: tuple[str, ...]) -> DataFrame:
+def mapped(reads: DataFrame, rows_of, schema: str, keep: tuple[str, ...]) -> DataFrame:
     """``rows_of(seq)`` gives arrays or lists, one per column of ``schema``, for each read."""
     rows = reads.select(*keep, F.encode(F.coalesce("seq", F.lit("")), "utf-8").alias("seq"))
     names = [c.split()[0] for c in schema.split(", ")]
@@ -167,7 +167,7 @@ def super_kmers(reads: DataFrame, k: int, m: int, bins: int | None = None, *keep
         text = [seq[a : a + n + k - 1].decode() for a, n in zip(s.start.tolist(), s.n.tolist())]
         return s.start, [signature_text(v, m) for v in s.sig.tolist()], s.sig, s.pos, text, s.n
 
-    made = _mapped(reads, rows_of, "start bigint, sig string, sig_number bigint, sig_pos bigint, super_kmer string, n_kmers bigint", ("read_id", *keep))
+    made = mapped(reads, rows_of, "start bigint, sig string, sig_number bigint, sig_pos bigint, super_kmer string, n_kmers bigint", ("read_id", *keep))
     return made if bins is None else made.withColumn("bin", bin_of(F.col("sig_number"), bins))
 
 
@@ -179,7 +179,7 @@ def kmer_signatures(reads: DataFrame, k: int, m: int) -> DataFrame:
         place = np.repeat(s.start, s.n) + np.arange(s.n.sum()) - np.repeat(np.cumsum(s.n) - s.n, s.n)
         return place, [t for v, n in zip(s.sig.tolist(), s.n.tolist()) for t in [signature_text(v, m)] * n], np.repeat(s.pos, s.n)
 
-    return _mapped(reads, rows_of, "i bigint, sig string, sig_pos bigint", ("read_id",))
+    return mapped(reads, rows_of, "i bigint, sig string, sig_pos bigint", ("read_id",))
 
 
 def kx_mers(reads: DataFrame, k: int, m: int, x: int) -> DataFrame:
@@ -193,4 +193,4 @@ def kx_mers(reads: DataFrame, k: int, m: int, x: int) -> DataFrame:
             text.append((part.translate(_REVERSE)[::-1] if o else part).decode())
         return start, n - 1, turn, text
 
-    return _mapped(reads, rows_of, "start bigint, x bigint, orientation int, kxmer string", ("read_id",))
+    return mapped(reads, rows_of, "start bigint, x bigint, orientation int, kxmer string", ("read_id",))
