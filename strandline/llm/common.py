@@ -8,6 +8,7 @@ a temporary folder of this machine is used.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,12 @@ class Workspace:
     def drop(self, *tables: str) -> None:
         for table in tables:
             self._delete(f"{self.path}/{table}")
+        self.release()
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of plans that nothing refers to any more, now rather than some time."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def close(self) -> None:
         self._delete(self.path)

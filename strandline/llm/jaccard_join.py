@@ -19,8 +19,11 @@ Two sets link when 100 * intersection >= 80 * union, that is 9 * intersection >=
    distance to the hub differs by more than 0.2 from another's cannot link with that one (the
    Jaccard distance is a metric). Only the entries that stay outside the hub's class are compared
    with entries of other classes.
-6. Candidate pairs are verified on the full sets, recomputed from the texts of the documents
-   concerned. Links give components.
+6. Each set has a parity bitmap: the bit of a shingle's hash is set if an odd number of shingles
+   have it. Two bitmaps, the longer one folded, differ in at most as many bits as the sets differ
+   in shingles, so most pairs that do not link are told apart by a few bytes, without error. The
+   others are verified on the full sets, recomputed from the texts of the documents concerned.
+   Links give components.
 
 No list, set of pairs or component is collected on the driver or in one task.
 
@@ -53,7 +56,7 @@ SHORT = 12
 BUCKET_ROWS = 400_000
 BLOOM_BITS = 1 << 25
 
-SETS = "doc_id long, n int, fp long, split int, prefix binary"
+SETS = "doc_id long, n int, fp long, split int, prefix binary, parity binary"
 ENTRY = "h long, fp long, n int, pos int"
 
 
@@ -68,14 +71,32 @@ def fingerprint(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), seed=len(s))).astype(np.int64))
 
 
+def parity_bitmap(s: np.ndarray) -> bytes:
+    """One to two times as many bits as shingles, at least 64, a power of two: the parity of the shingles at each."""
+    bits = 1 << max(6, len(s).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of shingles that only one of two sets has."""
+    a, b = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+    if len(a) > len(b):
+        a, b = b, a
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def frequent_shingles(docs: DataFrame, width: int, space: Workspace) -> tuple[int, np.ndarray]:
     """The shingles of more than RARE documents, at most FREQUENT of them (the most frequent), ascending.
 
-    Tasks send the upper bits of their shingles, first those that name a bucket, then 32 more; a
+    Tasks send the upper bits of their shingles, first those that name a bucket, then 24 more; a
     shingle is frequent if these bits are, which is an order all tasks agree on. (Any order gives
-    the same links; it only decides speed.) Returned with the number of bits dropped.
+    the same links; it only decides speed.) There are as many buckets as the input needs for a
+    value of these bits to stand for less than one shingle on average. Returned with the number of
+    bits dropped.
     """
-    bits = min(20, max(4, (2 * docs.rdd.getNumPartitions()).bit_length()))  # buckets grow with the input
+    bits = min(24, max(6, (2 * docs.rdd.getNumPartitions()).bit_length()))
     buckets = 1 << bits
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,9 +108,9 @@ def frequent_shingles(docs: DataFrame, width: int, space: Workspace) -> tuple[in
             h = np.concatenate(held)
             h.sort()
             cuts = np.append(np.searchsorted(h, np.arange(buckets, dtype=np.uint64) << np.uint64(64 - bits)), len(h))
-            low = (h >> np.uint64(32 - bits)).astype("<u4")
+            low = ((h >> np.uint64(40 - bits)) & np.uint64(0xFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)
             full = np.flatnonzero(np.diff(cuts))
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([low[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())], ["bucket", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([low[cuts[b] : cuts[b + 1], :3].tobytes() for b in full], pa.binary())], ["bucket", "low"])
 
         for batch in batches:
             for value in batch.column(0):
@@ -99,7 +120,7 @@ def frequent_shingles(docs: DataFrame, width: int, space: Workspace) -> tuple[in
                         names.add(name)
                     held.append(s)
                     size += len(s)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield from flush()
                     held.clear()
                     size = 0
@@ -107,18 +128,17 @@ def frequent_shingles(docs: DataFrame, width: int, space: Workspace) -> tuple[in
 
     def count(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
-        low = np.concatenate([np.frombuffer(x.as_buffer() or b"", dtype="<u4") for x in group.column("low")])
-        value, n = np.unique(low, return_counts=True)
+        low = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in group.column("low")]).reshape(-1, 3)
+        value, n = np.unique(np.ascontiguousarray(np.pad(low, ((0, 0), (0, 1)))).view("<u4")[:, 0], return_counts=True)
         often = n > RARE
-        key = (np.uint64(bucket) << np.uint64(32)) | value[often].astype(np.uint64)
-        return pa.table({"key": key.astype(np.int64), "n": n[often].astype(np.int64)})
+        return pa.table({"key": (bucket << 24) | value[often].astype(np.int64), "n": n[often].astype(np.int64)})
 
     found = docs.select(text_of().alias("text")).mapInArrow(split, "bucket int, low binary").groupBy("bucket").applyInArrow(count, "key long, n long")
     found = space.save(found, "frequent")
     keys = found.orderBy(F.desc("n"), "key").limit(FREQUENT).select("key").toPandas()["key"].to_numpy(dtype=np.int64, copy=True)
     space.drop("frequent")
     keys.sort()
-    return 32 - bits, keys
+    return 40 - bits, keys
 
 
 def ordered_prefix(s: np.ndarray, dropped: int, frequent: np.ndarray) -> tuple[np.ndarray, int]:
@@ -147,7 +167,7 @@ def prefixes(docs: DataFrame, frequent, width: int, id_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, fp, split, prefix = [], [], [], []
+            n, fp, split, prefix, parity = [], [], [], [], []
             for value in batch.column(1):
                 s = shingle_set(value.as_buffer(), width)
                 head, rare = ordered_prefix(s, *frequent.value) if len(s) else (s, 0)
@@ -155,7 +175,8 @@ def prefixes(docs: DataFrame, frequent, width: int, id_col: str) -> DataFrame:
                 fp.append(fingerprint(s) if len(s) else None)
                 split.append(rare)
                 prefix.append(head.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(split, pa.int32()), pa.array(prefix, pa.binary())], [x.split()[0] for x in SETS.split(", ")])
+                parity.append(parity_bitmap(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(split, pa.int32()), pa.array(prefix, pa.binary()), pa.array(parity, pa.binary())], [x.split()[0] for x in SETS.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, SETS)
 
@@ -309,7 +330,22 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, na long, nb long, both long")
 
 
+def sieved(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the sum of the sizes and a lower bound of the difference, from the bitmaps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [least_difference(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(3), batch.column(4))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(low, pa.int64())], ["a", "b", "total", "least"])
+
+    of = lambda name: names.select(F.col("fp").alias(name), F.col("n").alias(f"{name}_n"), F.col("parity").alias(f"{name}_parity"))
+    rows = pairs.join(of("a"), "a").join(of("b"), "b")
+    return rows.select("a", "b", (F.col("a_n") + F.col("b_n")).cast("long").alias("total"), "a_parity", "b_parity").mapInArrow(run, "a long, b long, total long, least long")
+
+
 LINKED = "9 * both >= 4 * (na + nb)"
+#: The same said of the number of shingles that only one of both has, with a lower bound of it.
+MAY_LINK = "9 * least <= total"
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", space: Workspace | None = None) -> DataFrame:
@@ -318,7 +354,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_i
     space = space or Workspace(spark, "jaccard")
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, width, space))
     sets = space.save(prefixes(docs, frequent, width, id_col), "sets")
-    names = space.save(sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "names")
+    names = space.save(sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity")), "names")
     entries = space.save(index_entries(sets, space), "entries")
     per_list = entries.groupBy("h").agg(F.count("*").alias("len"), F.min(F.struct("pos", "n", "fp")).alias("hub")).where("len > 1")
     per_list = per_list.select("h", "len", F.col("hub.fp").alias("hub_fp"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
@@ -326,21 +362,26 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_i
     space.drop("entries")
     pairs = space.save(candidate_pairs(lists), "pairs")
 
-    def verified(some: DataFrame, name: str) -> DataFrame:
-        ends = some.select(F.col("a").alias("fp")).unionByName(some.select(F.col("b").alias("fp"))).distinct()
-        hashes = space.save(full_sets(docs, ends.join(names, "fp"), width, id_col), f"{name}-hashes")
-        done = space.save(overlaps(some, hashes), name)
+    def answers(some: DataFrame, name: str) -> DataFrame:
+        """(a, b, linked, low, high): whether they link, and bounds of their distance (both the same if verified)."""
+        passed = space.save(sieved(some, names), f"{name}-sieved")
+        maybe = passed.where(MAY_LINK).select("a", "b")
+        ends = maybe.select(F.col("a").alias("fp")).unionByName(maybe.select(F.col("b").alias("fp"))).distinct()
+        hashes = space.save(full_sets(docs, ends.join(names.select("fp", "doc_id"), "fp"), width, id_col), f"{name}-hashes")
+        exact = overlaps(maybe, hashes).withColumn("d", 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
+        exact = space.save(exact.select("a", "b", F.expr(LINKED).alias("linked"), F.col("d").alias("low"), F.col("d").alias("high")), f"{name}-exact")
         space.drop(f"{name}-hashes")
-        return done
+        apart = passed.where(f"not ({MAY_LINK})").select("a", "b", F.lit(False).alias("linked"), (2 * F.col("least") / (F.col("total") + F.col("least"))).alias("low"), F.lit(1.0).alias("high"))
+        return exact.unionByName(apart)
 
-    first = verified(pairs, "first")
-    links = first.where(LINKED).select("a", "b")
+    first = answers(pairs, "first")
+    links = first.where("linked").select("a", "b")
     # what the hubs' answers leave open
     classes = space.save(connected_components(links, space, "cc1"), "classes")
     left_open = space.save(open_pairs(lists.where(F.col("len") > SHORT), classes, first), "open")
     space.drop("lists", "pairs")
     if left_open.limit(1).count():
-        second = verified(left_open, "second").where(LINKED).select("a", "b")
+        second = answers(left_open, "second").where("linked").select("a", "b")
         classes = space.save(connected_components(links.unionByName(second), space, "cc2"), "classes2")
 
     # a component's number is the smallest document of its sets
@@ -355,14 +396,14 @@ def open_pairs(long_lists: DataFrame, classes: DataFrame, first: DataFrame) -> D
     """Pairs of long lists that may link and whose classes are not yet one: an entry outside its hub's class, and any other."""
     of = classes.select(F.col("node").alias("fp"), F.col("component").alias("class"))
     hub_of = of.select(F.col("fp").alias("hub_fp"), F.col("class").alias("hub_class"))
-    known = first.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
+    known = first.select("a", "b", "low", "high")
     rows = long_lists.join(of, "fp", "left").join(hub_of, "hub_fp", "left")
     rows = rows.withColumns({"class": F.coalesce("class", "fp"), "hub_class": F.coalesce("hub_class", "hub_fp"), "a": F.least("fp", "hub_fp"), "b": F.greatest("fp", "hub_fp")})
-    rows = rows.join(known, ["a", "b"], "left").select("h", "fp", "n", "pos", "class", F.when(F.col("fp") == F.col("hub_fp"), 0.0).otherwise(F.col("d")).alias("d"), (F.col("class") != F.col("hub_class")).alias("outside"), size_class(F.col("n")).alias("k"))
+    rows = rows.join(known, ["a", "b"], "left").select("h", "fp", "n", "pos", "class", *[F.when(F.col("fp") == F.col("hub_fp"), 0.0).otherwise(F.coalesce(c, F.lit(v))).alias(c) for c, v in (("low", 0.0), ("high", 1.0))], (F.col("class") != F.col("hub_class")).alias("outside"), size_class(F.col("n")).alias("k"))
     u = side(rows.where("outside").withColumn("k", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1))), "u_")
     m = side(rows, "m_")
     met = u.join(m, (u["h"] == m["h"]) & (u["u_k"] == m["m_k"])).where("u_class <> m_class and not (m_outside and u_fp > m_fp)").where(viable("u_", "m_"))
-    met = met.where("u_d is null or m_d is null or abs(u_d - m_d) <= 0.2 + 1e-9")  # the metric's triangle over the hub
+    met = met.where("u_low - m_high <= 0.2 + 1e-9 and m_low - u_high <= 0.2 + 1e-9")  # the metric's triangle over the hub
     done = first.select("a", "b")
     return met.select(F.least("u_fp", "m_fp").alias("a"), F.greatest("u_fp", "m_fp").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
 
