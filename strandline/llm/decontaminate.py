@@ -6,7 +6,8 @@ positions, are chosen so that wherever the substitutions fall some mask ignores
 of the masked windows of the items are joined with those of the documents, and the windows around
 each hit are compared in full.
 
-Tokens are runs of word characters in lower case. An item of fewer than SPAN tokens, but at least
+Tokens are runs of letters, digits and underscores, where every character beyond ASCII counts as
+a letter, in lower case. An item of fewer than SPAN tokens, but at least
 LEAST, counts if all its tokens occur in a row; shorter ones are no evidence and match nothing.
 
 The items' windows are held in memory by every task only if there are at most ``most_windows``;
@@ -20,7 +21,6 @@ nothing; an empty table on either side gives an empty result; other columns are
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import Workspace, text_of
-from strandline.llm.shingles import WordHashes, mixed
+from strandline.llm.shingles import TOKENS, mixed, word_hashes
 
 SPAN, SUBSTITUTIONS, IGNORED, LEAST = 13, 2, 6, 8
 MOST_WINDOWS = 200_000
 FILTER_BITS = 1 << 26
-TOKEN = re.compile(r"\w+")
 WINDOW = "h long, item_id long, width int, tokens binary"
 
 
@@ -54,8 +53,9 @@ MASKS = spaced_masks()
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(SPAN)], dtype=np.uint64)
 
 
-def tokens_of(text: str | None, hashes: WordHashes) -> np.ndarray:
-    return hashes.of(TOKEN.findall(text.lower())) if text else np.zeros(0, dtype=np.uint64)
+def tokens_of(text: str | None) -> np.ndarray:
+    """A hash per token."""
+    return word_hashes(np.frombuffer(text.lower().encode("utf-8", "replace"), dtype=np.uint8), TOKENS) if text else np.zeros(0, dtype=np.uint64)
 
 
 def masked_hashes(tokens: np.ndarray) -> list[np.ndarray]:
@@ -101,11 +101,10 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row per item, window and mask: hash, item, width and the window's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                t = tokens_of(text.as_py(), hashes)
+                t = tokens_of(text.as_py())
                 for width, h in seeds(t, [len(t)] if LEAST <= len(t) < SPAN else []):
                     rows += [(int(x), item, width, t[p : p + width].tobytes()) for p, x in enumerate(h.view(np.int64))]
             columns = zip(*rows) if rows else [[]] * 4
@@ -197,9 +196,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         index = spark.sparkContext.broadcast(Index(windows.toPandas()))
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, known = WordHashes(), index.value
+            known = index.value
             for batch in batches:
-                pairs = [(doc_id.as_py(), item) for doc_id, text in zip(*batch.columns) for item in known.found(tokens_of(text.as_py(), hashes))]
+                pairs = [(doc_id.as_py(), item) for doc_id, text in zip(*batch.columns) for item in known.found(tokens_of(text.as_py()))]
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["doc_id", "item_id"])
 
         return rows.mapInArrow(look, "doc_id long, item_id long").distinct()
@@ -208,11 +207,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     bits = spark.sparkContext.broadcast(filter_of(windows))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             out = []
             for doc_id, text in zip(*batch.columns):
-                t = tokens_of(text.as_py(), hashes)
+                t = tokens_of(text.as_py())
                 for width, h in seeds(t, widths):
                     h = h.view(np.int64)
                     out += [(int(h[p]), doc_id.as_py(), width, t[p : p + width].tobytes()) for p in np.flatnonzero(has_bits(bits.value, h))]
@@ -243,8 +241,8 @@ def clean_of(docs: DataFrame, items: DataFrame, most_windows: int = MOST_WINDOWS
     index, at = spark.sparkContext.broadcast(Index(windows.toPandas())), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known = WordHashes(), index.value
+        known = index.value
         for batch in batches:
-            yield batch.filter(pa.array([not known.found(tokens_of(v.as_py(), hashes)) for v in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([not known.found(tokens_of(v.as_py())) for v in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,15 +6,14 @@ in the word, modulo 2**64 and mixed, all words of a text at once by running sums
 words share a hash with a probability of about 2**-60. A shingle's hash mixes its words' hashes in
 order. Hashes stand for shingles everywhere.
 
-``WordHashes`` gives hashes of words that were cut otherwise.
+``TOKENS`` is another way to cut: runs of ASCII letters, digits, underscores and of all characters
+beyond ASCII, as they stand.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-REMEMBERED = 400_000
 SPAN = 1 << 20  # places with powers of their own; beyond, a factor per span
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -26,16 +25,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _byte_numbers() -> np.ndarray:
-    numbers = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * _ODD))
-    numbers[65:91] = numbers[97:123]
-    numbers[[32, *range(9, 14)]] = 0
-    return numbers
+class Cut:
+    """Which bytes part words, and the number of each other byte value."""
 
+    def __init__(self, parting: np.ndarray, same_case: bool):
+        self.parting = parting
+        self.number = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * _ODD))
+        if same_case:
+            self.number[65:91] = self.number[97:123]
+        self.number[parting] = 0
 
-_NUMBER = _byte_numbers()
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, *range(9, 14)]] = True
+
+def _is(values) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(values)] = True
+    return out
+
+
+WORDS = Cut(_is([32, *range(9, 14)]), True)
+TOKENS = Cut(~_is([*b"0123456789_abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", *range(128, 256)]), False)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -73,20 +81,20 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def word_hashes(raw: np.ndarray) -> np.ndarray:
+def word_hashes(raw: np.ndarray, cut: Cut = WORDS) -> np.ndarray:
     """A hash per word of a text given as bytes (uint8)."""
     n = len(raw)
     if not n:
         return np.zeros(0, dtype=np.uint64)
     _POWERS.reach(n)
-    space = _SPACE[raw]
+    space = cut.parting[raw]
     inside = np.empty(n + 2, dtype=bool)
     inside[0] = inside[-1] = False
     np.logical_not(space, out=inside[1:-1])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
     sums = np.zeros(n + 1, dtype=np.uint64)
-    value = _NUMBER[raw]
+    value = cut.number[raw]
     value *= _POWERS.up[:n] if n <= len(_POWERS.up) else _POWERS.at(np.arange(n), True)
     np.cumsum(value, out=sums[1:])
     return mixed((sums[end] - sums[start]) * _POWERS.at(start, False))
@@ -112,24 +120,3 @@ def shingle_set(text: bytes | memoryview | None, width: int) -> np.ndarray:
     h = shingle_hashes(word_hashes(np.frombuffer(text, dtype=np.uint8)), width)
     h.sort()
     return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) > 1 else h
-
-
-class WordHashes:
-    """xxh64 of words, remembered in two generations of bounded size."""
-
-    def __init__(self, remembered: int = REMEMBERED):
-        self.half, self.new, self.old = remembered // 2, {}, {}
-
-    def of(self, words: list[str]) -> np.ndarray:
-        new = self.new
-        try:
-            return np.array([new[w] for w in words], dtype=np.uint64)
-        except KeyError:
-            if len(new) > self.half:
-                self.old, self.new = new, {}
-                new = self.new
-            old, digest = self.old, xxhash.xxh64_intdigest
-            for w in words:
-                if w not in new:
-                    new[w] = old[w] if w in old else digest(w.encode("utf-8", "replace"))
-            return np.array([new[w] for w in words], dtype=np.uint64)

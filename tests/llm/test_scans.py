@@ -84,7 +84,7 @@ def test_masks_ignore_every_choice_of_substitutions():
 
 
 def leaks(rows, items):
-    tokens = lambda t: re.findall(r"\w+", t.lower()) if t else []
+    tokens = lambda t: re.findall("[0-9A-Za-z_\x80-\U0010ffff]+", t.lower()) if t else []
     out = set()
     for d, text in rows:
         w = tokens(text)
