@@ -10,7 +10,7 @@ from strandline.operators.bins import bin_sizes, binned_counts, sampled, signatu
 from strandline.operators.distance import distances, normalized
 from strandline.operators.kmers import count_by_tag, count_kmers
 from strandline.operators.partitioning import assign, deal
-from strandline.runtime import ship
+from strandline.runtime import ship, spread
 from strandline.sources.reads import read_fasta, read_long_fasta
 from strandline.sources.sinks import write_counts, write_distances, write_nothing, write_signatures
 
@@ -21,7 +21,7 @@ def open_reads(spark: SparkSession, config: CounterConfig | DistanceConfig) -> D
     ship(spark)
     if config.long_sequences:
         return read_long_fasta(spark, config.input_path, config.k)
-    return read_fasta(spark, config.input_path)
+    return spread(read_fasta(spark, config.input_path))
 
 
 def count_job(spark: SparkSession, config: CounterConfig) -> DataFrame:

@@ -14,16 +14,16 @@ from strandline.operators import distance as d
 from strandline.operators import kmers as km
 from strandline.operators import minimizers as mz
 from strandline.operators import partitioning as pt
-from strandline.runtime import ship
+from strandline.runtime import ship, spread
 from strandline.sources.reads import LETTER_BASES, LETTERS, chunk_reads, reads_from_text, tag_of
 
 K, M, X, SLOTS, SAMPLE = 11, 4, 3, 8, 10
 BINS = n_bins(M, 2000)
 
 
-def reads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reads_of(spark: SparkSession, sf_dir: str, tag_col: str = "source") -> DataFrame:
     ship(spark)
-    return reads_from_text(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return reads_from_text(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tag_col, "text")), tag_col=tag_col)
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +72,7 @@ def dealt_counts(reads: DataFrame) -> DataFrame:
 
 
 def by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reads = reads_from_text(spark.read.parquet(f"{sf_dir}/documents.parquet"), tag_col="lang")
-    ship(spark)
-    wide = km.count_by_tag(reads, K).groupBy("kmer").pivot("seq_tag", ["en", "de", "fr", "es"]).agg(F.sum("n"))
+    wide = km.count_by_tag(reads_of(spark, sf_dir, "lang"), K).groupBy("kmer").pivot("seq_tag", ["en", "de", "fr", "es"]).agg(F.sum("n"))
     return wide.select("kmer", *[F.coalesce(c, F.lit(0)).alias(f"n_{c}") for c in ("en", "de", "fr", "es")])
 
 

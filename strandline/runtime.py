@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows go to Python in batches of at most so many bytes, however long their texts are.
 BATCH_BYTES = 16 << 20
@@ -26,3 +26,12 @@ def ship(spark: SparkSession) -> None:
         for source in sorted(root.rglob("*.py")):
             out.write(source, source.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(target))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """``table`` dealt over all cores if it comes in fewer splits than there are cores; as it is otherwise.
+
+    Only a table of few splits, hence a small one, is ever moved.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
