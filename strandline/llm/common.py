@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.runtime import ship
+from strandline.runtime import ship, spread
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -81,4 +81,4 @@ def fold_of(doc_id: Column | str = "doc_id") -> Column:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of ``sf_dir``; the operators' functions are sent along to the executors."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
