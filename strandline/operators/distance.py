@@ -54,25 +54,34 @@ def normalized(counts: DataFrame, reads: DataFrame, k: int) -> DataFrame:
     return counts.join(lengths, "seq_tag").select("seq_tag", "kmer", value.alias("n"))
 
 
+def numbered_tags(counts: DataFrame) -> DataFrame:
+    """(seq_tag, t): the sequences numbered in order of name. The result has a row per pair of them, so they are few."""
+    return counts.select("seq_tag").distinct().agg(F.array_sort(F.collect_set("seq_tag")).alias("all")).select(F.posexplode("all").alias("t", "seq_tag"))
+
+
 def pair_grid(tags: DataFrame, symmetric: bool) -> DataFrame:
-    """(s1, s2) of all sequences; the result itself has a row for each."""
-    listed = tags.select("seq_tag").distinct().agg(F.array_sort(F.collect_set("seq_tag")).alias("t"))
-    one = listed.select("t", F.explode("t").alias("s1"))
-    return one.select("s1", F.explode(F.filter("t", lambda s: s > F.col("s1") if symmetric else s != F.col("s1"))).alias("s2"))
+    """(t1, t2) of all sequences; the result itself has a row for each."""
+    one = tags.agg(F.array_sort(F.collect_list("t")).alias("all")).select("all", F.explode("all").alias("t1"))
+    return one.select("t1", F.explode(F.filter("all", lambda t: t > F.col("t1") if symmetric else t != F.col("t1"))).alias("t2"))
 
 
 def distances(counts: DataFrame, measure: Measure | str = "squared_euclidean") -> DataFrame:
-    """(s1, s2, distance) from (seq_tag, kmer, n); s1 < s2 for a symmetric measure, both directions otherwise."""
+    """(s1, s2, distance) from (seq_tag, kmer, n); s1 < s2 for a symmetric measure, both directions otherwise.
+
+    Sequences go by number in the join over k-mers, so its keys and groups are of fixed width.
+    """
     measure = MEASURES[measure] if isinstance(measure, str) else measure
-    values = counts.select("seq_tag", "kmer", F.col("n").cast("double").alias("n"))
-    a = values.select("kmer", F.col("seq_tag").alias("s1"), F.col("n").alias("p"))
-    b = values.select("kmer", F.col("seq_tag").alias("s2"), F.col("n").alias("q"))
-    met = a.join(b, "kmer").where("s1 < s2" if measure.symmetric else "s1 <> s2")
+    tags = numbered_tags(counts)
+    values = counts.join(F.broadcast(tags), "seq_tag").select("kmer", "t", F.col("n").cast("double").alias("n"))
+    a = values.select("kmer", F.col("t").alias("t1"), F.col("n").alias("p"))
+    b = values.select("kmer", F.col("t").alias("t2"), F.col("n").alias("q"))
+    met = a.join(b, "kmer").where("t1 < t2" if measure.symmetric else "t1 <> t2")
     fold, start = (F.product, 1.0) if measure.fold == "product" else (F.sum, 0.0)
-    met = met.groupBy("s1", "s2").agg(fold(measure.partial(F.col("p"), F.col("q"))).alias("d"))
-    grid = pair_grid(values, measure.symmetric).join(met, ["s1", "s2"], "left").withColumn("d", F.coalesce("d", F.lit(start)))
+    met = met.groupBy("t1", "t2").agg(fold(measure.partial(F.col("p"), F.col("q"))).alias("d"))
+    grid = pair_grid(tags, measure.symmetric).join(met, ["t1", "t2"], "left").withColumn("d", F.coalesce("d", F.lit(start)))
     if measure.alone is not None:
-        own = values.groupBy("seq_tag").agg(F.sum(measure.alone(F.col("n"))).alias("own"))
-        grid = grid.join(own.select(F.col("seq_tag").alias("s1"), F.col("own").alias("o1")), "s1").join(own.select(F.col("seq_tag").alias("s2"), F.col("own").alias("o2")), "s2")
+        own = values.groupBy("t").agg(F.sum(measure.alone(F.col("n"))).alias("own"))
+        grid = grid.join(own.select(F.col("t").alias("t1"), F.col("own").alias("o1")), "t1").join(own.select(F.col("t").alias("t2"), F.col("own").alias("o2")), "t2")
         grid = grid.withColumn("d", F.col("d") + F.col("o1") + F.col("o2"))
-    return grid.select("s1", "s2", measure.finalize(F.col("d")).alias("distance"))
+    names = lambda t, s: F.broadcast(tags.select(F.col("t").alias(t), F.col("seq_tag").alias(s)))
+    return grid.join(names("t1", "s1"), "t1").join(names("t2", "s2"), "t2").select("s1", "s2", measure.finalize(F.col("d")).alias("distance"))
