@@ -18,7 +18,7 @@ PIECE = 4096
 
 def pieces(reads: DataFrame, k: int, *keep: str, piece: int = PIECE) -> DataFrame:
     """(keep..., s, n): stretches of bases as bytes, of at least k bases and about ``piece`` at most."""
-    stretch = reads.where(F.length("seq") >= k).select(*keep, F.explode(F.split("seq", "[^ACGT]+")).alias("s")).where(F.length("s") >= k)
+    stretch = reads.select(*keep, F.explode(F.split("seq", "[^ACGT]+")).alias("s")).where(F.length("s") >= k)
     stretch = stretch.select(*keep, F.col("s").cast("binary").alias("s"))
     cut = stretch.select(*keep, "s", F.explode(F.sequence(F.lit(0), F.octet_length("s") - k, F.lit(piece))).alias("at"))
     return cut.select(*keep, F.substring("s", F.col("at") + 1, F.lit(piece + k - 1)).alias("s")).withColumn("n", F.octet_length("s"))
