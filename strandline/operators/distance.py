@@ -55,8 +55,12 @@ def normalized(counts: DataFrame, reads: DataFrame, k: int) -> DataFrame:
 
 
 def numbered_tags(counts: DataFrame) -> DataFrame:
-    """(seq_tag, t): the sequences numbered in order of name. The result has a row per pair of them, so they are few."""
-    return counts.select("seq_tag").distinct().agg(F.array_sort(F.collect_set("seq_tag")).alias("all")).select(F.posexplode("all").alias("t", "seq_tag"))
+    """(t, seq_tag): the sequences numbered in order of name, known once.
+
+    The result has a row per pair of them, so their names are few enough for the driver.
+    """
+    names = sorted(r["seq_tag"] for r in counts.where("seq_tag is not null").select("seq_tag").distinct().collect())
+    return counts.sparkSession.createDataFrame(list(enumerate(names)), "t int, seq_tag string")
 
 
 def pair_grid(tags: DataFrame, symmetric: bool) -> DataFrame:
