@@ -44,6 +44,15 @@ def kmer_scalars(counted: DataFrame) -> DataFrame:
     )
 
 
+def bit_helpers(reads: DataFrame) -> DataFrame:
+    """Masks, non-negative remainders and orientation bits, of each read's id and its first bases."""
+    bit = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(bases.base_at(F.col("seq"), i).isin("G", "T"), 1).otherwise(0))
+    return reads.select(
+        "read_id", bases.ones_mask(F.pmod("read_id", F.lit(40))).alias("mask"), F.pmod(-F.col("read_id"), F.lit(7)).alias("slot"),
+        bases.orientations_to_number(bit).alias("bits"), bases.bin_of(F.col("read_id"), BINS).alias("bin"),
+    )
+
+
 def norm_table(spark: SparkSession) -> DataFrame:
     """Every m-mer with its norm, from the numbers below 4^m."""
     mmer = bases.unpack(F.col("id"), M)
@@ -103,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "valid_segments": _reads(lambda r: km.valid_segments(r, K)),
     "kmer_orientation": _reads(lambda r: km.count_kmers(r, K, canonical=False).groupBy(bases.orientation(F.col("kmer")).alias("orientation")).agg(F.sum("n").alias("n"))),
     "kmer_packed": lambda spark, sf_dir: kmer_scalars(counts(spark, sf_dir)),
+    "bit_helpers": _reads(bit_helpers),
     "norm_table": lambda spark, sf_dir: norm_table(spark),
     "kmer_signatures": _reads(lambda r: mz.kmer_signatures(r, K, M)),
     "kmer_signature_values": lambda spark, sf_dir: counts(spark, sf_dir).select("kmer", minimizer.signature(F.col("kmer"), K, M).alias("s")).select("kmer", F.col("s.v").alias("sig"), F.col("s.p").alias("sig_pos")),
@@ -222,6 +232,7 @@ g AS (SELECT read_id, i, i - row_number() OVER (PARTITION BY read_id ORDER BY i)
 SELECT read_id, CAST(min(i) AS INTEGER) AS start, CAST(count(*) AS INTEGER) AS len FROM g GROUP BY read_id, run HAVING count(*) >= {K}""",
     "kmer_orientation": f"WITH {_kmers_sql()} SELECT CASE WHEN f < {_RC.format('f')} THEN 0 ELSE 1 END AS orientation, count(*) AS n FROM k GROUP BY 1",
     "kmer_packed": f"WITH {_kmers_sql()}, c AS (SELECT DISTINCT kmer FROM k) SELECT kmer, {_number('kmer', K)} AS packed, kmer AS unpacked, left(kmer, {M}) AS first_m, right(kmer, {M}) AS last_m, substring(kmer, 6, 1) AS base_5, {_RC.format('kmer')} AS rc, {_norm(f'right(kmer, {M})')} AS last_norm FROM c",
+    "bit_helpers": f"WITH {_reads_sql()} SELECT read_id, (CAST(1 AS BIGINT) << CAST(read_id % 40 AS INTEGER)) - 1 AS mask, (7 - read_id % 7) % 7 AS slot, CAST(" + " + ".join(f"CASE WHEN substring(seq, {i + 1}, 1) IN ('G', 'T') THEN {2**i} ELSE 0 END" for i in range(8)) + f" AS BIGINT) AS bits, {_bin('read_id')} AS bin FROM reads",
     "norm_table": "WITH b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS c), t AS (SELECT " + " || ".join(f"b{j}.c" for j in range(M)) + " AS mmer FROM " + ", ".join(f"b b{j}" for j in range(M)) + f"), n AS (SELECT mmer, {_norm('mmer')} AS norm FROM t) SELECT mmer, norm, CASE WHEN norm = '~' THEN {4**M} ELSE {_number('norm', M)} END AS norm_number, {_allowed('mmer')} AS allowed FROM n",
     "kmer_signatures": f"WITH {_supers_sql()} SELECT read_id, i, s.v AS sig, s.p AS sig_pos FROM s",
     "kmer_signature_values": f"WITH {_kmers_sql()}, c AS (SELECT DISTINCT kmer FROM k), m AS (SELECT kmer, j, substring(kmer, j + 1, {M}) AS q FROM (SELECT kmer, unnest(range(0, {K - M + 1})) AS j FROM c)), s AS (SELECT kmer, min({{'v': {_norm('q')}, 'p': j}}) AS s FROM m GROUP BY kmer) SELECT kmer, s.v AS sig, CAST(s.p AS INTEGER) AS sig_pos FROM s",
