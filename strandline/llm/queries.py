@@ -88,8 +88,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-#: WARC: the writer's rule and the payloads themselves, straight from the table.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Links by direct comparison of all pairs, WARC roles and chat prefixes straight from the tables.
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT a AS id, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+m AS (SELECT id AS doc_id, min(root) AS root FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.root, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    # a window of 13 tokens with at most two substitutions has four equal tokens in a row
+    "op10_decontamination": """
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9A-Za-z_\\x{80}-\\x{10FFFF}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[0-9A-Za-z_\\x{80}-\\x{10FFFF}]+') AS q FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+a AS (SELECT doc_id, p, w[p + 1:p + 4] AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 3)) AS p FROM t)),
+b AS (SELECT item_id, j, q[j + 1:j + 4] AS g FROM (SELECT item_id, q, unnest(range(0, len(q) - 3)) AS j FROM i)),
+d AS (SELECT DISTINCT doc_id, item_id, p - j AS o FROM a JOIN b USING (g)),
+c AS (SELECT doc_id, item_id, o, w, q FROM d JOIN t USING (doc_id) JOIN i USING (item_id))
+SELECT DISTINCT doc_id, item_id FROM c
+WHERE CASE WHEN len(q) >= 13 THEN list_contains(list_transform(range(0, len(q) - 12), lambda s: o + s >= 0 AND o + s + 13 <= len(w) AND list_sum(list_transform(range(0, 13), lambda k: CASE WHEN w[o + s + k + 1] = q[s + k + 1] THEN 1 ELSE 0 END)) >= 11), true)
+           ELSE len(q) >= 8 AND o >= 0 AND w[o + 1:o + len(q)] = q END""",
+    "op9_embedding_dups": """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
+u AS MATERIALIZED (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+r AS (SELECT a AS id, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+m AS (SELECT id AS vec_id, min(root) AS root FROM r GROUP BY id),
+c AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, coalesce(m.root, e.vec_id) AS component_id, coalesce(m.root, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN m USING (vec_id) LEFT JOIN c USING (vec_id)""",
     "op5_warc": """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
