@@ -61,6 +61,22 @@ def test_stages(spark, sf_dir):
     assert place(whole) == place(packed)
 
 
+DOCUMENTS, LABELS, ITEMS = "doc_id long, text string, lang string, source string, n_chars long", "doc_id long, quality int, toxic int", "item_id long, text string"
+
+
+def test_nulls_everywhere_and_empty_tables(spark, tmp_path):
+    tables = {
+        "nulls": ([(None,) * 5, (1, None, None, None, None), (1, "a b c", None, None, None), (2, "a b c", "x", "y", 5)], [(None, None, None), (1, None, None), (2, 1, None)], [(None, None), (1, None), (None, "x")]),
+        "empty": ([], [], []),
+    }
+    for name, contents in tables.items():
+        for table, schema, rows in zip(("documents", "labels", "benchmark"), (DOCUMENTS, LABELS, ITEMS), contents):
+            spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/nulls").collect()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in rows) == [(0, 1), (1, 1), (1, 4)]  # the copy with the larger id is gone
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
 def test_registry():
     names = registry.queries()
     for n in range(1, 11):
