@@ -120,7 +120,7 @@ def frequent_shingles(docs: DataFrame, width: int, space: Workspace) -> tuple[in
                         names.add(name)
                     held.append(s)
                     size += len(s)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield from flush()
                     held.clear()
                     size = 0
@@ -221,7 +221,7 @@ def index_entries(sets: DataFrame, space: Workspace) -> DataFrame:
                     rows["h"], rows["fp"], rows["n"], rows["pos"] = np.frombuffer(prefix, dtype="<u8")[:split], fp, n, np.arange(split)
                     held.append(rows)
                     size += split
-                if size > 1_500_000:
+                if size > 400_000:
                     yield from flush()
                     held.clear()
                     size = 0
