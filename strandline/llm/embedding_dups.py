@@ -5,14 +5,15 @@ Fitting uses at most FIT_ROWS vectors (the smallest by a hash of the id); every
 1. Equal vectors are one vector with a multiplicity from here on.
 2. k-means centres give coarse lists; a vector's residual to its centre is coded by one of 16
    centres in each group of DIMS_PER_CODE dimensions.
-3. A vector visits the lists behind whose border a linked vector can lie. A linked vector is at
-   most DELTA away; across a random direction it deviates DELTA / sqrt(d) (one sigma), and lists
-   are visited whose border is nearer than SIGMAS of these. Each pair meets in one place only: the
-   list of both, or that of the higher number.
+3. A vector visits the lists whose border is at most DELTA / 2 away. Linked vectors are at most
+   DELTA apart, and the distances of two vectors to the border between their lists add up to no
+   more than that, so at least one of them visits the list of the other: no link is lost, whatever
+   the vectors' spread. Where both do, the pair counts in the list of the higher number. Small
+   lists are put in groups of neighbours, and a vector is sent once to each group that it visits.
 4. In a list a table of inner products with all codes gives each candidate's approximate cosine;
    with the length of the candidate's quantisation error this bounds the true one from above, so
    the sieve loses nothing. What passes is compared exactly in double precision.
-5. Large lists are split into blocks and their visitors into chunks, so a group of near copies that
+5. Large lists, which are groups of their own, are split into blocks and their visitors into chunks, so a group of near copies that
    makes up much of the table is dealt over many tasks of bounded size. A task returns a number of
    links and one edge per vector, never its pairs.
 
@@ -39,7 +40,7 @@ FIT_ROWS = 20_000
 LIST_ROWS = 256
 MOST_LISTS = 16_384
 DIMS_PER_CODE, CODES = 4, 16
-SIGMAS = 3.0
+GROUP_ROWS, LEAST_GROUPS = 4_096, 16
 BLOCK, CHUNK = 1_024, 16_384
 SEED = 20_240_602
 ROUNDING = 1e-4  # single precision in the tables
@@ -74,8 +75,7 @@ class Quantiser:
         self.centres = k_means(sample, lists)
         rest = self._groups(sample - self.centres[nearest(sample, self.centres)])
         self.books = np.stack([self._full(k_means(rest[:, g], CODES)) for g in range(rest.shape[1])])
-        delta = math.sqrt(2 - 2 * threshold)
-        self.reach = SIGMAS * delta / math.sqrt(self.dims)
+        self.reach = math.sqrt(2 - 2 * threshold) / 2 + 1e-9
 
     @staticmethod
     def _full(centres: np.ndarray) -> np.ndarray:
@@ -93,8 +93,8 @@ class Quantiser:
         coded = np.stack([self.books[g][codes[:, g]] for g in range(rest.shape[1])], axis=1)
         return to, codes, np.sqrt(((rest - coded) ** 2).sum((1, 2)))
 
-    def visits(self, x: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
-        """Lists above each row's own whose border is within reach."""
+    def visits(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """A bit per list and row: whether the border between the row's own list and that one is within reach."""
         c, half = self.centres, 0.5 * (self.centres**2).sum(1)
         gaps = np.sqrt(np.maximum(2 * half[:, None] + 2 * half[None, :] - 2 * c @ c.T, 0)) if len(c) <= 4096 else None
         out = []
@@ -102,8 +102,23 @@ class Quantiser:
             score, mine = x[a : a + 1024] @ c.T - half, own[a : a + 1024]
             behind = score[np.arange(len(mine)), mine][:, None] - score  # distance to the border times the centres' distance
             gap = gaps[mine] if gaps is not None else np.sqrt(np.maximum(2 * half[mine, None] + 2 * half[None, :] - 2 * c[mine] @ c.T, 0))
-            near = behind <= self.reach * gap
-            out += [np.flatnonzero(row[m + 1 :]) + m + 1 for row, m in zip(near, mine)]
+            near = behind <= self.reach * gap + 1e-12
+            near[np.arange(len(mine)), mine] = False
+            out.append(np.packbits(near, axis=1, bitorder="little"))
+        return np.concatenate(out)
+
+    def groups(self, size: dict[int, int]) -> np.ndarray:
+        """A group for each list: neighbours together while small, a list of over BLOCK rows alone."""
+        room = min(GROUP_ROWS, sum(size.values()) // LEAST_GROUPS)
+        coarse = k_means(self.centres, max(1, sum(size.values()) // max(1, room)))
+        near = nearest(self.centres, coarse)
+        out, group, have = np.zeros(len(self.centres), dtype=np.int64), -1, room + 1
+        for c in np.lexsort((np.arange(len(near)), near)):
+            n = size.get(int(c), 0)
+            if n > BLOCK or have + n > room:
+                group, have = group + 1, 0
+            out[c] = group
+            have += n if n <= BLOCK else room + 1
         return out
 
     def sieve(self, q: np.ndarray, codes: np.ndarray, error: np.ndarray, cell: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +131,10 @@ class Quantiser:
         return query, member
 
 
+def has_bit(bits: np.ndarray, row: np.ndarray, at: np.ndarray | int) -> np.ndarray:
+    return (bits[row, at >> 3] >> (at & 7)) & 1 == 1
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest number in the component of each of 0..n-1 under the links a-b."""
     label = np.arange(n)
@@ -153,80 +172,117 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     made = Quantiser(sample, max(1, min(MOST_LISTS, count // LIST_ROWS, len(sample) // 4)), threshold)
     shared = spark.sparkContext.broadcast(made)
+    kind = "<f4" if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else "<f8"
+
+    def unit(raw: np.ndarray) -> np.ndarray:
+        x = raw.astype(np.float64)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantiser = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.asarray(batch.column(2).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            raw = np.asarray(batch.column(2).flatten()).astype(kind).reshape(batch.num_rows, -1)
+            x = unit(raw)
             to, codes, error = quantiser.encode(x)
             visits = quantiser.visits(x, to)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array([r.tobytes() for r in x], pa.binary()), pa.array(to.astype(np.int32)), pa.array([v.astype(np.int32) for v in visits], pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
+                [*batch.columns[:2], pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(to.astype(np.int32)), pa.array([v.tobytes() for v in visits], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
                 ["vec_id", "many", "x", "cell", "visits", "code", "error"],
             )
 
-    indexed = space.save(distinct.select("vec_id", "many", "v").mapInArrow(index, "vec_id long, many long, x binary, cell int, visits array<int>, code binary, error double"), "indexed")
+    indexed = space.save(distinct.select("vec_id", "many", "v").mapInArrow(index, "vec_id long, many long, x binary, cell int, visits binary, code binary, error double"), "indexed")
     space.drop("distinct")
     # two numbers per list, of which there are at most MOST_LISTS
     size = {r["cell"]: r["n"] for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    guests = {r["c"]: r["n"] for r in indexed.select(F.explode("visits").alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect()}
-    blocks = {c: -(-n // BLOCK) for c, n in size.items()}
-    chunks = {c: max(1, -(-(guests.get(c, 0) + (n if n > BLOCK else 0)) // CHUNK)) for c, n in size.items()}
+    group_of = made.groups(size)
+    home_of = {c: int(group_of[c]) for c in size}
+    filled = np.zeros(len(group_of), dtype=bool)
+    filled[list(size)] = True
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def visited(cells: list[int], bits: list[bytes]) -> list[list[int]]:
+        """The groups with rows, other than its own, that each row visits."""
+        near = np.unpackbits(np.frombuffer(b"".join(bits), dtype=np.uint8).reshape(len(bits), -1), axis=1, bitorder="little")[:, : len(filled)].astype(bool) & filled
+        return [[g for g in np.unique(group_of[row]).tolist() if g != home_of[c]] for c, row in zip(cells, near)]
+
+    def calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(group_of.max() + 1, dtype=np.int64)
         for batch in batches:
-            at, keys = [], []
-            part = batch.column(5).to_pylist()
-            for i, (cell, visits) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
-                home = part[i] % blocks[cell]
-                mine = [(cell, home, k, True) for k in range(chunks[cell])]
-                mine += [(cell, b, part[i] // 1024 % chunks[cell], False) for b in range(home + 1, blocks[cell])]
-                mine += [(c, b, part[i] // 1024 % chunks[c], False) for c in visits if c in blocks for b in range(blocks[c])]
-                at += [i] * len(mine)
-                keys += mine
-                if len(at) > 20_000:
-                    yield placed(batch, at, keys)
-                    at, keys = [], []
-            yield placed(batch, at, keys)
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                for row in visited(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    n[row] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["g", "n"])
+
+    guests = {r["g"]: r["n"] for r in indexed.select("cell", "visits").mapInArrow(calls, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    held: dict[int, int] = {}
+    for c, n in size.items():
+        held[home_of[c]] = held.get(home_of[c], 0) + n
+    alone = {home_of[c] for c, n in size.items() if n > BLOCK}
+    blocks = {g: -(-n // BLOCK) if g in alone else 1 for g, n in held.items()}
+    chunks = {g: max(1, -(-(guests.get(g, 0) + (n if g in alone else 0)) // CHUNK)) for g, n in held.items()}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1024):
+                batch = whole.slice(a, 1024)
+                at, keys = [], []
+                part, cells = batch.column(5).to_pylist(), batch.column(3).to_pylist()
+                for i, (cell, others) in enumerate(zip(cells, visited(cells, batch.column(4).to_pylist()))):
+                    g = home_of[cell]
+                    home = part[i] % blocks[g]
+                    mine = [(g, home, k, True) for k in range(chunks[g])]
+                    mine += [(g, b, part[i] // 1024 % chunks[g], False) for b in range(home + 1, blocks[g])]
+                    mine += [(o, b, part[i] // 1024 % chunks[o], False) for o in others for b in range(blocks[o])]
+                    at += [i] * len(mine)
+                    keys += mine
+                    if len(at) > 20_000:
+                        yield placed(batch, at, keys)
+                        at, keys = [], []
+                yield placed(batch, at, keys)
 
     def placed(batch: pa.RecordBatch, at: list[int], keys: list[tuple]) -> pa.RecordBatch:
         took = batch.take(pa.array(at, pa.int32()))
-        cell, block, chunk, member = zip(*keys) if keys else ([], [], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(block, pa.int32()), pa.array(chunk, pa.int32()), pa.array(member, pa.bool_()), *(took.column(i) for i in (0, 1, 2, 6, 7))], ["cell", "block", "chunk", "member", "vec_id", "many", "x", "code", "error"])
+        group, block, chunk, member = zip(*keys) if keys else ([], [], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(block, pa.int32()), pa.array(chunk, pa.int32()), pa.array(member, pa.bool_()), *(took.column(i) for i in (0, 1, 2, 3, 4, 6, 7))], ["group", "block", "chunk", "member", "vec_id", "many", "x", "cell", "visits", "code", "error"])
 
     def compare(group: pa.Table) -> pa.Table:
         quantiser = shared.value
-        cell, chunk = group.column("cell")[0].as_py(), group.column("chunk")[0].as_py()
-        member = np.asarray(group.column("member"))
+        chunk = group.column("chunk")[0].as_py()
+        member, cell = np.asarray(group.column("member")), np.asarray(group.column("cell"))
         ids, many = np.asarray(group.column("vec_id")), np.asarray(group.column("many"))
-        x = np.frombuffer(b"".join(group.column("x").to_pylist())).reshape(len(ids), -1)
-        inside, guests = np.flatnonzero(member), np.flatnonzero(~member)
+        x = unit(np.frombuffer(b"".join(group.column("x").to_pylist()), dtype=kind).reshape(len(ids), -1))
+        visits = np.frombuffer(b"".join(group.column("visits").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+        codes = np.frombuffer(b"".join(group.column("code").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+        error = np.asarray(group.column("error"))
+        asking = np.arange(len(ids)) if chunk == 0 else np.flatnonzero(~member)
         found = []
-        if len(inside):
-            codes = np.frombuffer(b"".join(group.column("code").filter(group.column("member")).to_pylist()), dtype=np.uint8).reshape(len(inside), -1)
-            error = np.asarray(group.column("error"))[inside]
-            for rows, own in ((inside if chunk == 0 else inside[:0], True), (guests, False)):
+        for c in np.unique(cell[member]):
+            inside = np.flatnonzero(member & (cell == c))
+            same = asking[cell[asking] == c]
+            for rows, how in ((same[member[same]], "own"), (same[~member[same]], "block"), (asking[has_bit(visits, asking, c)], "visit")):
                 for a in range(0, len(rows), 512):
                     q = rows[a : a + 512]
-                    i, j = quantiser.sieve(x[q], codes, error, cell, threshold)
+                    i, j = quantiser.sieve(x[q], codes[inside], error[inside], c, threshold)
                     i, j = q[i], inside[j]
-                    if own:
-                        i, j = i[ids[i] < ids[j]], j[ids[i] < ids[j]]
                     for b in range(0, len(i), 65_536):
                         p, r = i[b : b + 65_536], j[b : b + 65_536]
                         linked = np.einsum("ij,ij->i", x[p], x[r]) >= threshold
-                        found.append((p[linked], r[linked]))
+                        p, r = p[linked], r[linked]
+                        if how == "own":
+                            once = ids[p] < ids[r]
+                        else:  # the pair also meets in the other's list if each visits that of the other
+                            once = (cell[p] <= c) | ~has_bit(visits, r, cell[p])
+                        found.append((p[once], r[once]))
         a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, dtype=np.int64)
         b = np.concatenate([f[1] for f in found]) if found else np.zeros(0, dtype=np.int64)
         links = np.bincount(a, weights=many[b], minlength=len(ids)) + np.bincount(b, weights=many[a], minlength=len(ids))
         some = np.flatnonzero(links)
         return pa.table({"vec_id": ids[some], "links": links[some].astype(np.int64), "root": ids[roots(len(ids), a, b)][some]})
 
-    dealt = indexed.select("vec_id", "many", "x", "cell", "visits", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)).alias("part"), "code", "error").mapInArrow(deal, "cell int, block int, chunk int, member boolean, vec_id long, many long, x binary, code binary, error double")
-    met = space.save(dealt.groupBy("cell", "block", "chunk").applyInArrow(compare, "vec_id long, links long, root long"), "met")
+    dealt = indexed.select("vec_id", "many", "x", "cell", "visits", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)).alias("part"), "code", "error").mapInArrow(deal, "group int, block int, chunk int, member boolean, vec_id long, many long, x binary, cell int, visits binary, code binary, error double")
+    met = space.save(dealt.groupBy("group", "block", "chunk").applyInArrow(compare, "vec_id long, links long, root long"), "met")
     parts = space.save(connected_components(met.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), space), "parts")
     links = met.groupBy("vec_id").agg(F.sum("links").alias("links"))
     of_key = keyed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("first"), F.count("*").alias("many"))

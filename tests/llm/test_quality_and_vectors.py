@@ -110,3 +110,12 @@ def test_few_vectors(spark):
     assert [tuple(r) for r in ed.near_duplicates(vectors(spark, [(1, None)])).collect()] == [(1, 0, 1, True)]
     got = sorted(tuple(r) for r in ed.near_duplicates(vectors(spark, [(4, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])])).collect())
     assert got == [(2, 1, 2, True), (3, 0, 3, True), (4, 1, 2, False)]
+
+
+def test_no_link_is_lost_where_vectors_spread_in_few_directions(spark, monkeypatch):
+    monkeypatch.setattr(ed, "LIST_ROWS", 16)
+    rng = np.random.default_rng(5)
+    flat = rng.standard_normal((500, 3)) @ rng.standard_normal((3, 48)) + 0.01 * rng.standard_normal((500, 48))
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(flat)]
+    got = sorted(tuple(r) for r in ed.near_duplicates(vectors(spark, rows)).select("vec_id", "n_links", "component_id", "kept").collect())
+    assert got == expected(rows)
