@@ -6,9 +6,10 @@ positions, are chosen so that wherever the substitutions fall some mask ignores
 of the masked windows of the items are joined with those of the documents, and the windows around
 each hit are compared in full.
 
-Tokens are runs of letters, digits and underscores, where every character beyond ASCII counts as
-a letter, in lower case. An item of fewer than SPAN tokens, but at least
-LEAST, counts if all its tokens occur in a row; shorter ones are no evidence and match nothing.
+Tokens are runs of word characters (\\w: letters, digits and underscores of any script) in lower
+case, so no-break spaces, dashes and curly quotes part them. An item of fewer than SPAN tokens, but
+at least LEAST, counts if all its tokens occur in a row; shorter ones are no evidence and match
+nothing.
 
 The items' windows are held in memory by every task only if there are at most ``most_windows``;
 otherwise a filter of fixed size stands in, and hits are joined with the table of windows.
@@ -21,6 +22,7 @@ nothing; an empty table on either side gives an empty result; other columns are
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,7 @@ from strandline.llm.shingles import TOKENS, mixed, word_hashes
 SPAN, SUBSTITUTIONS, IGNORED, LEAST = 13, 2, 6, 8
 MOST_WINDOWS = 200_000
 FILTER_BITS = 1 << 26
+APART = re.compile(r"[^\x00-\x7f\w]+")  # beyond ASCII; TOKENS knows which ASCII characters part tokens
 WINDOW = "h long, item_id long, width int, tokens binary"
 
 
@@ -55,7 +58,12 @@ _FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(
 
 def tokens_of(text: str | None) -> np.ndarray:
     """A hash per token."""
-    return word_hashes(np.frombuffer(text.lower().encode("utf-8", "replace"), dtype=np.uint8), TOKENS) if text else np.zeros(0, dtype=np.uint64)
+    if not text:
+        return np.zeros(0, dtype=np.uint64)
+    low = text.lower()
+    if not low.isascii():
+        low = APART.sub(" ", low)
+    return word_hashes(np.frombuffer(low.encode("utf-8", "replace"), dtype=np.uint8), TOKENS)
 
 
 def masked_hashes(tokens: np.ndarray) -> list[np.ndarray]:

@@ -7,7 +7,7 @@ words share a hash with a probability of about 2**-60. A shingle's hash mixes it
 order. Hashes stand for shingles everywhere.
 
 ``TOKENS`` is another way to cut: runs of ASCII letters, digits, underscores and of all characters
-beyond ASCII, as they stand.
+beyond ASCII, as they stand; characters beyond ASCII that are to part words must be blanks by then.
 """
 
 from __future__ import annotations

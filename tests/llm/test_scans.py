@@ -116,3 +116,24 @@ def test_leaks_match_brute_force(spark, most_windows):
     assert kept.columns == docs.columns
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(d for d, _ in rows if d not in {p[0] for p in expected})
     assert dc.contaminated(docs.where("false"), bench, most_windows=most_windows).count() == dc.contaminated(docs, bench.where("false"), most_windows=most_windows).count() == 0
+
+
+@pytest.mark.parametrize("most_windows", [10**6, 0])
+def test_leaks_behind_other_spaces_dashes_and_quotes(spark, most_windows):
+    r = random.Random(8)
+    item = prose(r, 20, 60)
+    w = item.split()
+    texts = ["\u00a0".join(w), "\u3000".join(w), "\u2014".join(w), " ".join(f"\u201c{x}\u201d" for x in w), "\u2026 ".join(w), "\u00ab" + " \u2013 ".join(w) + "\u00bb", "\u3002".join(w)]
+    rows = [(i, f"{prose(r, 10, 60)} {t} {prose(r, 10, 60)}") for i, t in enumerate(texts)] + [(50, " ".join(f"{x}\u00e9" for x in w)), (51, "\u00a0")]
+    bench = spark.createDataFrame([(1, item), (2, "\u2019".join(prose(r, 20, 60).split()))], "item_id long, text string")
+    rows.append((60, bench.where("item_id = 2").first()["text"].replace("\u2019", "'")))
+    docs = frame(spark, rows)
+    assert {tuple(x) for x in dc.contaminated(docs, bench, most_windows=most_windows).collect()} == {(i, 1) for i in range(len(texts))} | {(60, 2)}
+    assert sorted(x["doc_id"] for x in dc.clean_of(docs, bench, most_windows).collect()) == [50, 51]
+
+
+def test_tokens_are_runs_of_word_characters():
+    for text in ["a\u00a0b\u2014c", "\u00c9t\u00e9 na\u00efve\u2019s \u0130x", "\u4e2d\u6587\u3002\u5b57 \u0661\u0662 x_1", "\u00b2\u00b7\u00d7y", "\U0001f600z\u200bq", "e\u0301a"]:
+        words = re.findall(r"\w+", text.lower())
+        h = dc.tokens_of(text)
+        assert len(h) == len(words) and [int(x) for x in h] == [int(dc.tokens_of(w)[0]) for w in words], text
