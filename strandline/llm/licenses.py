@@ -1,6 +1,6 @@
 """Licence scan: a trained paragraph classifier, a calibrated unknown class, template comparison.
 
-A paragraph is a line. Its words and word pairs are the sparse features of a multinomial logistic
+A paragraph is a line, or adjoining lines over which a notice is wrapped. Its words and word pairs are the sparse features of a multinomial logistic
 regression over licence families and ``none``. It learns from the notices below, varied at random
 with a fixed seed, and from lines of at most BACKGROUND_DOCS documents (the smallest by a hash of
 the id; lines that resemble a notice are left out). Its confidence is calibrated by one temperature
@@ -8,6 +8,11 @@ on variations and lines that it has not learned from. A paragraph that is rather
 not is compared with the predicted family's notices; if the calibrated probability or the
 resemblance is too low, its family is ``unknown``.
 
+Lines that no family got by themselves are searched for wrapped notices: in runs of adjoining lines,
+which a line without words ends (comment markers are no words), the windows of at most MOST_LINES
+lines that hold enough of a notice's word pairs are judged as one paragraph. What is found there
+takes the place of its lines' findings.
+
 Edge cases: null and empty texts have no paragraphs; repeated rows each give their findings; an
 empty table learns from the notices alone and gives an empty result; null ids are kept; columns
 other than the id and the text are ignored; texts are read whole.
@@ -30,11 +35,13 @@ BACKGROUND_DOCS, BACKGROUND_LINES = 400, 3_000
 VARIATIONS = 30
 SEED = 20_240_603
 LEAST_PROBABILITY, LEAST_RESEMBLANCE = 0.5, 0.6
+MOST_LINES = 24
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 # Notices of each family.
 NOTICES: dict[str, list[str]] = {
     "MIT": [
+        "MIT License",
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "SPDX-License-Identifier: MIT",
@@ -53,12 +60,13 @@ NOTICES: dict[str, list[str]] = {
     "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"],
     "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
     "BSD-3-Clause": [
+        "BSD 3-Clause License",
         "Licensed under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."],
-    "ISC": ["Released under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "ISC": ["ISC License", "Released under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -89,6 +97,13 @@ class Classifier:
         rng = np.random.default_rng(SEED)
         self.families = [*NOTICES, UNKNOWN, NONE]
         self.templates = {f: [pairs_of(words_of(n)) for n in notices] for f, notices in NOTICES.items()}
+        self.notices = [t for f in NOTICES for t in self.templates[f]]
+        self.notices_of: dict[tuple[str, str], list[int]] = {}
+        for i, t in enumerate(self.notices):
+            for pair in t:
+                if all(pair):
+                    self.notices_of.setdefault(pair, []).append(i)
+        self.first_words = {a for a, _ in self.notices_of}
         lines = [w for line in background if (w := words_of(line)) and self._best(w, list(NOTICES))[1] < 0.5][:BACKGROUND_LINES]
         spare = sorted({w for line in lines for w in line}) or ["word"]
         rows, y = [], []
@@ -161,6 +176,49 @@ class Classifier:
         sure = p[k] >= LEAST_PROBABILITY and resemblance >= LEAST_RESEMBLANCE
         return family if sure else UNKNOWN, float(p[k]), resemblance
 
+    def windows(self, lines: list[list[str]]) -> list[tuple[int, int]]:
+        """(first, last) of the adjoining lines that together may hold a wrapped notice, the fullest first; none overlap."""
+        hits: dict[int, dict[int, set]] = {}  # notice, line: word pairs, that with the line before among them
+        for k, words in enumerate(lines):
+            before = lines[k - 1][-1:] if k else []
+            if self.first_words.isdisjoint(words) and self.first_words.isdisjoint(before):
+                continue
+            for pair in zip([*before, *words], words if before else words[1:]):
+                for i in self.notices_of.get(pair, ()):
+                    hits.setdefault(i, {}).setdefault(k, set()).add(pair)
+        found = []
+        for i, by_line in hits.items():
+            least = LEAST_RESEMBLANCE * len(self.notices[i]) - 2  # both ends may be there
+            if len(by_line) < 2 or len(set().union(*by_line.values())) < least:
+                continue
+            at = sorted(by_line)
+            cuts = [0, *(j for j in range(1, len(at)) if at[j] != at[j - 1] + 1), len(at)]
+            todo = [(at[a], at[b - 1]) for a, b in zip(cuts, cuts[1:])]
+            while todo:
+                low, high = todo.pop()
+                best, count, a = (0, low, low), {}, low
+                for b in range(low, high + 1):
+                    for pair in by_line[b]:
+                        count[pair] = count.get(pair, 0) + 1
+                    while a < b and (b - a >= MOST_LINES or all(count[pair] > 1 for pair in by_line[a])):
+                        for pair in by_line[a]:
+                            count[pair] -= 1
+                            if not count[pair]:
+                                del count[pair]
+                        a += 1
+                    best = max(best, (len(count), -a, b), key=lambda x: x[0])
+                share, a, b = best[0], abs(best[1]), best[2]
+                if share < max(least, 1):
+                    continue
+                if b > a:
+                    found.append((share / len(self.notices[i]), a, b))
+                todo += [x for x in ((low, a - 1), (b + 1, high)) if x[0] < x[1]]
+        taken: list[tuple[int, int]] = []
+        for _, a, b in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            if all(b < c or a > d for c, d in taken):
+                taken.append((a, b))
+        return taken
+
 
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -168,14 +226,31 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def findings(text: str, classifier: Classifier) -> list[tuple]:
-    """(paragraph, start, end, family, probability, resemblance) of every licence line."""
-    out, start = [], 0
+    """(paragraph, start, end, family, probability, resemblance) of every licence paragraph; it has its first line's number."""
+    out: dict[int, tuple] = {}
+    run: list[tuple[int, int, int, list[str]]] = []  # adjoining lines of no family: number, start, end, words
+    start = 0
+
+    def search() -> None:
+        if len(run) > 1:
+            for a, b in classifier.windows([words for *_, words in run]):
+                if found := classifier.judge([w for *_, words in run[a : b + 1] for w in words]):
+                    for k, *_ in run[a : b + 1]:
+                        out.pop(k, None)
+                    out[run[a][0]] = (run[a][0], run[a][1], run[b][2], *found)
+        run.clear()
+
     for k, line in enumerate(text.split("\n")):
-        words = words_of(line)
+        words, end = words_of(line), start + len(line)
         if words and (found := classifier.judge(words)):
-            out.append((k, start, start + len(line), *found))
-        start += len(line) + 1
-    return out
+            out[k] = (k, start, end, *found)
+        if words and (k not in out or out[k][3] == UNKNOWN):
+            run.append((k, start, end, words))
+        else:
+            search()
+        start = end + 1
+    search()
+    return [out[k] for k in sorted(out)]
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classifier:

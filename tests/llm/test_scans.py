@@ -137,3 +137,36 @@ def test_tokens_are_runs_of_word_characters():
         words = re.findall(r"\w+", text.lower())
         h = dc.tokens_of(text)
         assert len(h) == len(words) and [int(x) for x in h] == [int(dc.tokens_of(w)[0]) for w in words], text
+
+
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above""",
+}
+
+
+def test_wrapped_licences(spark):
+    r = random.Random(11)
+    rows, want = [(i, prose(r, 40) + "\n" + prose(r, 30)) for i in range(40)], []
+    for d, (family, notice) in enumerate(WRAPPED.items()):
+        lines = notice.split("\n")
+        for k, (mark, before) in enumerate((("", prose(r, 9) + "\n\n"), (" * ", "/*\n * " + prose(r, 6) + "\n *\n"), ("# ", prose(r, 9) + "\n"))):
+            body = "\n".join(mark + x for x in lines)
+            rows.append((100 + 10 * d + k, before + body + "\n" + prose(r, 9)))
+            want.append((100 + 10 * d + k, before.count("\n"), len(before), len(before) + len(body), family))
+    for d, (heading, family) in enumerate((("MIT License", "MIT"), ("ISC License", "ISC"), ("BSD 3-Clause License", "BSD-3-Clause"))):
+        rows.append((200 + d, heading + "\n\n" + prose(r, 9)))
+        want.append((200 + d, 0, 0, len(heading), family))
+    body = WRAPPED["MIT"] + "\n" + WRAPPED["MIT"]  # twice in a row
+    rows.append((300, body))
+    want += [(300, 0, 0, len(WRAPPED["MIT"]), "MIT"), (300, 3, len(WRAPPED["MIT"]) + 1, len(body), "MIT")]
+    got = li.find_licenses(frame(spark, rows)).collect()
+    assert sorted((x["doc_id"], x["paragraph"], x["start"], x["end"], x["license"]) for x in got) == sorted(want)
