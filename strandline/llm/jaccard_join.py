@@ -25,6 +25,12 @@ Two sets link when 100 * intersection >= 80 * union, that is 9 * intersection >=
    others are verified on the full sets, recomputed from the texts of the documents concerned.
    Links give components.
 
+``linked_pairs`` gives every link between distinct sets, and ``jaccard_links`` their number for each
+document. There the hub's answers only decide pairs that they decide for certain: two sets whose
+distances to the hub add up to no more than 0.2 link, those whose distances differ by more do
+not, and all other pairs of a list are sieved and verified. As many rows are made as there are pairs
+to report, which is the square of a group's size; components need none of them.
+
 No list, set of pairs or component is collected on the driver or in one task.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing, each its own
@@ -348,11 +354,9 @@ LINKED = "9 * both >= 4 * (na + nb)"
 MAY_LINK = "9 * least <= total"
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", space: Workspace | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
-    spark = docs.sparkSession
-    space = space or Workspace(spark, "jaccard")
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, width, space))
+def prepared(docs: DataFrame, width: int, id_col: str, space: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets of all documents, a row per distinct set, and the index lists with their hubs."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width, space))
     sets = space.save(prefixes(docs, frequent, width, id_col), "sets")
     names = space.save(sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity")), "names")
     entries = space.save(index_entries(sets, space), "entries")
@@ -360,28 +364,36 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_i
     per_list = per_list.select("h", "len", F.col("hub.fp").alias("hub_fp"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
     lists = space.save(entries.join(per_list, "h"), "lists")
     space.drop("entries")
-    pairs = space.save(candidate_pairs(lists), "pairs")
+    return sets, names, lists
 
-    def answers(some: DataFrame, name: str) -> DataFrame:
-        """(a, b, linked, low, high): whether they link, and bounds of their distance (both the same if verified)."""
-        passed = space.save(sieved(some, names), f"{name}-sieved")
-        maybe = passed.where(MAY_LINK).select("a", "b")
-        ends = maybe.select(F.col("a").alias("fp")).unionByName(maybe.select(F.col("b").alias("fp"))).distinct()
-        hashes = space.save(full_sets(docs, ends.join(names.select("fp", "doc_id"), "fp"), width, id_col), f"{name}-hashes")
-        exact = overlaps(maybe, hashes).withColumn("d", 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
-        exact = space.save(exact.select("a", "b", F.expr(LINKED).alias("linked"), F.col("d").alias("low"), F.col("d").alias("high")), f"{name}-exact")
-        space.drop(f"{name}-hashes")
-        apart = passed.where(f"not ({MAY_LINK})").select("a", "b", F.lit(False).alias("linked"), (2 * F.col("least") / (F.col("total") + F.col("least"))).alias("low"), F.lit(1.0).alias("high"))
-        return exact.unionByName(apart)
-
-    first = answers(pairs, "first")
+
+def answers(some: DataFrame, name: str, docs: DataFrame, names: DataFrame, width: int, id_col: str, space: Workspace) -> DataFrame:
+    """(a, b, linked, low, high): whether they link, and bounds of their distance (both the same if verified)."""
+    passed = space.save(sieved(some, names), f"{name}-sieved")
+    maybe = passed.where(MAY_LINK).select("a", "b")
+    ends = maybe.select(F.col("a").alias("fp")).unionByName(maybe.select(F.col("b").alias("fp"))).distinct()
+    hashes = space.save(full_sets(docs, ends.join(names.select("fp", "doc_id"), "fp"), width, id_col), f"{name}-hashes")
+    exact = overlaps(maybe, hashes).withColumn("d", 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
+    exact = space.save(exact.select("a", "b", F.expr(LINKED).alias("linked"), F.col("d").alias("low"), F.col("d").alias("high")), f"{name}-exact")
+    space.drop(f"{name}-hashes")
+    apart = passed.where(f"not ({MAY_LINK})").select("a", "b", F.lit(False).alias("linked"), (2 * F.col("least") / (F.col("total") + F.col("least"))).alias("low"), F.lit(1.0).alias("high"))
+    return exact.unionByName(apart)
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", space: Workspace | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``."""
+    spark = docs.sparkSession
+    space = space or Workspace(spark, "jaccard")
+    sets, names, lists = prepared(docs, width, id_col, space)
+    pairs = space.save(candidate_pairs(lists), "pairs")
+    first = answers(pairs, "first", docs, names, width, id_col, space)
     links = first.where("linked").select("a", "b")
     # what the hubs' answers leave open
     classes = space.save(connected_components(links, space, "cc1"), "classes")
     left_open = space.save(open_pairs(lists.where(F.col("len") > SHORT), classes, first), "open")
     space.drop("lists", "pairs")
     if left_open.limit(1).count():
-        second = answers(left_open, "second").where("linked").select("a", "b")
+        second = answers(left_open, "second", docs, names, width, id_col, space).where("linked").select("a", "b")
         classes = space.save(connected_components(links.unionByName(second), space, "cc2"), "classes2")
 
     # a component's number is the smallest document of its sets
@@ -392,6 +404,46 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_i
     return sets.join(by_set, "fp", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def linked_pairs(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", space: Workspace | None = None) -> DataFrame:
+    """(a, b) for every two distinct sets that link, by fingerprint, a below b."""
+    space = space or Workspace(docs.sparkSession, "jaccard-links")
+    _, names, lists = prepared(docs, width, id_col, space)
+    return _linked(docs, names, lists, width, id_col, space)
+
+
+def _linked(docs: DataFrame, names: DataFrame, lists: DataFrame, width: int, id_col: str, space: Workspace) -> DataFrame:
+    pairs = space.save(candidate_pairs(lists), "pairs")
+    first = answers(pairs, "first", docs, names, width, id_col, space)
+    rest = space.save(other_pairs(lists.where(F.col("len") > SHORT), first), "rest")
+    second = answers(rest.where("not sure").select("a", "b"), "second", docs, names, width, id_col, space)
+    return first.where("linked").select("a", "b").unionByName(second.where("linked").select("a", "b")).unionByName(rest.where("sure").select("a", "b"))
+
+
+def jaccard_links(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", space: Workspace | None = None) -> DataFrame:
+    """doc_id, n_links for every row of ``docs``: how many other rows its set links with."""
+    space = space or Workspace(docs.sparkSession, "jaccard-links")
+    sets, names, lists = prepared(docs, width, id_col, space)
+    pairs = space.save(_linked(docs, names, lists, width, id_col, space), "links")
+    copies = sets.where("n > 0").groupBy("fp").agg(F.count("*").alias("copies"))
+    both = pairs.select(F.col("a").alias("of"), F.col("b").alias("fp")).unionByName(pairs.select(F.col("b").alias("of"), F.col("a").alias("fp")))
+    near = both.join(copies, "fp").groupBy("of").agg(F.sum("copies").alias("near"))
+    by_set = copies.join(near, copies["fp"] == near["of"], "left").select("fp", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return sets.join(by_set, "fp", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def other_pairs(long_lists: DataFrame, first: DataFrame) -> DataFrame:
+    """(a, b, sure): pairs of long lists without an answer yet that may link, and whether the hub's answers say so."""
+    known = first.select("a", "b", "low", "high")
+    rows = long_lists.withColumns({"a": F.least("fp", "hub_fp"), "b": F.greatest("fp", "hub_fp")}).join(known, ["a", "b"], "left")
+    rows = rows.select("h", "fp", "n", "pos", *[F.when(F.col("fp") == F.col("hub_fp"), 0.0).otherwise(F.coalesce(c, F.lit(v))).alias(c) for c, v in (("low", 0.0), ("high", 1.0))], size_class(F.col("n")).alias("k"))
+    u = side(rows.withColumn("k", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1))), "u_")
+    m = side(rows, "m_")
+    met = u.join(m, (u["h"] == m["h"]) & (u["u_k"] == m["m_k"])).where("u_fp < m_fp").where(viable("u_", "m_"))
+    met = met.where("u_low - m_high <= 0.2 + 1e-9 and m_low - u_high <= 0.2 + 1e-9")
+    met = met.groupBy(F.col("u_fp").alias("a"), F.col("m_fp").alias("b")).agg(F.max(F.col("u_high") + F.col("m_high") <= 0.2 - 1e-9).alias("sure"))
+    return met.join(first.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def open_pairs(long_lists: DataFrame, classes: DataFrame, first: DataFrame) -> DataFrame:
     """Pairs of long lists that may link and whose classes are not yet one: an entry outside its hub's class, and any other."""
     of = classes.select(F.col("node").alias("fp"), F.col("component").alias("class"))

@@ -100,3 +100,16 @@ def test_components(spark):
     expected = components({x for link in links for x in link}, links)
     assert {r[0]: r[1] for r in got.collect()} == {n: expected[n] for n in nodes}
     assert connected_components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "t")).count() == 0
+
+
+@pytest.mark.parametrize("short", [12, 2])
+def test_every_link_counts(spark, monkeypatch, short):
+    monkeypatch.setattr(jj, "SHORT", short)
+    rows = corpus(7)
+    sets = [shingles(t) for _, t in rows]
+    links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = [(d, sum(i in p for p in links)) for i, (d, _) in enumerate(rows)]
+    assert sorted(tuple(r) for r in jj.jaccard_links(frame(spark, rows)).collect()) == sorted(want)
+    distinct = {frozenset((sets[i], sets[j])) for i, j in links if sets[i] != sets[j]}
+    got = [(r["a"], r["b"]) for r in jj.linked_pairs(frame(spark, rows)).collect()]
+    assert len(got) == len(set(got)) == len(distinct) and all(a < b for a, b in got)
