@@ -239,13 +239,15 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def clean_of(docs: DataFrame, items: DataFrame, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, columns unchanged.
 
-    With the items in memory the rows are filtered where they stand.
+    Each row is judged by its own text. With the items in memory the rows are filtered where they
+    stand, otherwise a hash of id and text names them.
     """
     spark = docs.sparkSession
     windows = Workspace(spark, "leaks").save(item_windows(items, "item_id", "text"), "windows")
     if windows.count() > most_windows:
-        gone = contaminated(docs, items, most_windows=most_windows).select("doc_id").distinct()
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        own = F.xxhash64("doc_id", "text")  # ids may be null, or repeated with another text
+        gone = contaminated(docs.select(own.alias("doc_id"), "text"), items, most_windows=most_windows).select(F.col("doc_id").alias("_gone")).distinct()
+        return docs.join(gone, own == F.col("_gone"), "left_anti").select(*docs.columns)
     index, at = spark.sparkContext.broadcast(Index(windows.toPandas())), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

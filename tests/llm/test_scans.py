@@ -170,3 +170,14 @@ def test_wrapped_licences(spark):
     want += [(300, 0, 0, len(WRAPPED["MIT"]), "MIT"), (300, 3, len(WRAPPED["MIT"]) + 1, len(body), "MIT")]
     got = li.find_licenses(frame(spark, rows)).collect()
     assert sorted((x["doc_id"], x["paragraph"], x["start"], x["end"], x["license"]) for x in got) == sorted(want)
+
+
+@pytest.mark.parametrize("most_windows", [10**6, 0])
+def test_each_row_is_judged_by_its_own_text(spark, most_windows):
+    r = random.Random(12)
+    item = prose(r, 20, 60)
+    rows = [(None, item), (None, "clean"), (7, item), (7, "clean too"), (7, None), (None, None), (8, prose(r, 30, 60))]
+    docs = frame(spark, rows)
+    kept = dc.clean_of(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), most_windows)
+    assert kept.columns == docs.columns
+    assert sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=str) == sorted((x for x in rows if x[1] != item), key=str)
