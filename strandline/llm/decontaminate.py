@@ -63,7 +63,7 @@ def tokens_of(text: str | None) -> np.ndarray:
     low = text.lower()
     if not low.isascii():
         low = APART.sub(" ", low)
-    return word_hashes(np.frombuffer(low.encode("utf-8", "replace"), dtype=np.uint8), TOKENS)
+    return word_hashes(low.encode("utf-8", "replace"), TOKENS)
 
 
 def masked_hashes(tokens: np.ndarray) -> list[np.ndarray]:

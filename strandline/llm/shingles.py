@@ -1,10 +1,12 @@
 """Word shingles of whole texts as 64-bit hashes, from the UTF-8 bytes as they lie in an Arrow buffer.
 
-Words are maximal runs of bytes other than ASCII white space, with A-Z as a-z. Each byte value has
-a random 64-bit number; a word's hash is the sum of these times powers of an odd number by place
-in the word, modulo 2**64 and mixed, all words of a text at once by running sums. Two different
-words share a hash with a probability of about 2**-60. A shingle's hash mixes its words' hashes in
-order. Hashes stand for shingles everywhere.
+Words are maximal runs of bytes other than ASCII white space, with A-Z as a-z. A word is read in
+pieces of eight bytes; each piece, with its place in the word, goes through a bijective mixer, and
+the mixed pieces and the length are added up and mixed again. Words of up to eight bytes and the
+same length never share a hash; other two do with a probability of about 2**-64, also words
+of few different letters. A shingle's hash mixes its words' hashes in order. Hashes stand for
+shingles everywhere: two sets of n and m shingles are compared wrongly with a probability of about
+n * m / 2**64.
 
 ``TOKENS`` is another way to cut: runs of ASCII letters, digits, underscores and of all characters
 beyond ASCII, as they stand; characters beyond ASCII that are to part words must be blanks by then.
@@ -14,10 +16,9 @@ from __future__ import annotations
 
 import numpy as np
 
-SPAN = 1 << 20  # places with powers of their own; beyond, a factor per span
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
-_BASE = 0xD1342543DE82EF95
+_MIX, _MIX_AGAIN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)  # masks of the first k bytes
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -25,79 +26,48 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class Cut:
-    """Which bytes part words, and the number of each other byte value."""
-
-    def __init__(self, parting: np.ndarray, same_case: bool):
-        self.parting = parting
-        self.number = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * _ODD))
-        if same_case:
-            self.number[65:91] = self.number[97:123]
-        self.number[parting] = 0
-
-
-def _is(values) -> np.ndarray:
-    out = np.zeros(256, dtype=bool)
-    out[list(values)] = True
-    return out
-
-
-WORDS = Cut(_is([32, *range(9, 14)]), True)
-TOKENS = Cut(~_is([*b"0123456789_abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", *range(128, 256)]), False)
-
+def piece_hashes(value: np.ndarray, k) -> np.ndarray:
+    """One for each of the eight bytes in ``value``, the ``k``-th of their words; bijective for a place."""
+    h = (value + k * _ODD) * _MIX
+    h ^= h >> np.uint64(32)
+    h *= _MIX_AGAIN
+    h ^= h >> np.uint64(29)
+    return h
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 to base**(n - 1), modulo 2**64, by doubling."""
-    out = np.ones(n, dtype=np.uint64)
-    have = 1
-    while have < n:
-        take = min(have, n - have)
-        out[have : have + take] = out[:take] * np.uint64(pow(base, have, 1 << 64))
-        have += take
-    return out
 
+class Cut:
+    """Which bytes part words, and what stands for each byte value."""
 
-class _Powers:
-    """Powers of the base and of its inverse, as many as the longest text so far needs, SPAN at most."""
-
-    def __init__(self) -> None:
-        self.inverse = pow(_BASE, -1, 1 << 64)
-        self.up, self.down = _powers(_BASE, 1 << 14), _powers(self.inverse, 1 << 14)
-
-    def reach(self, n: int) -> None:
-        n = min(n, SPAN)
-        if n > len(self.up):
-            size = 1 << (n - 1).bit_length()
-            self.up, self.down = _powers(_BASE, size), _powers(self.inverse, size)
-
-    def at(self, places: np.ndarray, up: bool) -> np.ndarray:
-        table, base = (self.up, _BASE) if up else (self.down, self.inverse)
-        if len(table) < SPAN or not len(places) or places[-1] < SPAN:
-            return table[places]
-        spans = np.array([pow(base, SPAN * k, 1 << 64) for k in range(int(places[-1]) // SPAN + 1)], dtype=np.uint64)
-        return table[places % SPAN] * spans[places // SPAN]
+    def __init__(self, parting, same_case: bool):
+        self.inside = np.ones(256, dtype=bool)
+        self.inside[list(parting)] = False
+        self.fold = bytes(range(256)).lower() if same_case else None  # bytes.lower changes A-Z only
 
 
-_POWERS = _Powers()
+WORDS = Cut([32, *range(9, 14)], True)
+TOKENS = Cut(set(range(128)) - set(b"0123456789_abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), False)
 
 
-def word_hashes(raw: np.ndarray, cut: Cut = WORDS) -> np.ndarray:
-    """A hash per word of a text given as bytes (uint8)."""
-    n = len(raw)
-    if not n:
-        return np.zeros(0, dtype=np.uint64)
-    _POWERS.reach(n)
-    space = cut.parting[raw]
-    inside = np.empty(n + 2, dtype=bool)
-    inside[0] = inside[-1] = False
-    np.logical_not(space, out=inside[1:-1])
+def word_hashes(text: bytes | memoryview, cut: Cut = WORDS) -> np.ndarray:
+    """A hash per word of a text given as bytes."""
+    raw = bytes(text) if cut.fold is None else bytes(text).translate(cut.fold)
+    inside = np.zeros(len(raw) + 2, dtype=bool)
+    np.take(cut.inside, np.frombuffer(raw, dtype=np.uint8), out=inside[1:-1])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
+    if not len(edge):
+        return np.zeros(0, dtype=np.uint64)
     start, end = edge[::2], edge[1::2]
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    value = cut.number[raw]
-    value *= _POWERS.up[:n] if n <= len(_POWERS.up) else _POWERS.at(np.arange(n), True)
-    np.cumsum(value, out=sums[1:])
-    return mixed((sums[end] - sums[start]) * _POWERS.at(start, False))
+    at = np.ndarray(len(raw) + 1, dtype="<u8", buffer=raw + bytes(8), strides=(1,))  # eight bytes from any place
+    size = end - start
+    total = piece_hashes(at[start] & _FIRST[np.minimum(size, 8)], np.uint64(1))
+    if len(long := np.flatnonzero(size > 8)):
+        more = (size[long] - 1) >> 3
+        first = np.cumsum(more) - more
+        k = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        place = np.repeat(start[long], more) + 8 * k
+        value = at[place] & _FIRST[np.minimum(np.repeat(end[long], more) - place, 8)]
+        total[long] += np.add.reduceat(piece_hashes(value, (k + 1).astype(np.uint64)), first)
+    return mixed(total + size.astype(np.uint64) * _ODD)
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -117,6 +87,6 @@ def shingle_set(text: bytes | memoryview | None, width: int) -> np.ndarray:
     """The distinct shingles of a UTF-8 text, ascending; empty for null, empty and blank texts."""
     if text is None or not len(text):
         return np.zeros(0, dtype=np.uint64)
-    h = shingle_hashes(word_hashes(np.frombuffer(text, dtype=np.uint8)), width)
+    h = shingle_hashes(word_hashes(text), width)
     h.sort()
     return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) > 1 else h

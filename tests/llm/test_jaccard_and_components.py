@@ -3,7 +3,6 @@ from __future__ import annotations
 import itertools
 import random
 
-import numpy as np
 import pytest
 
 from strandline.llm import jaccard_join as jj
@@ -76,20 +75,40 @@ def test_word_hashes_follow_the_words():
     texts = ["", " ", "A b\n\tc  D e F", "x" * 5000 + " y", "Éa éA", prose(r, 3000)]
     for text in texts:
         words = WORD.findall(lower(text))
-        h = sh.word_hashes(np.frombuffer(text.encode(), dtype=np.uint8))
+        h = sh.word_hashes(text.encode())
         assert len(h) == len(words) and len(set(h.tolist())) == len(set(words))
         assert len({(w, int(x)) for w, x in zip(words, h)}) == len(set(words))
         assert len(sh.shingle_set(text.encode(), 5)) == len(shingles(text))
 
 
-def test_hashes_go_on_beyond_a_span(monkeypatch):
-    text = prose(random.Random(2), 3000).encode() + b" " + b"q" * 3000 + b" end"
-    raw = np.frombuffer(text, dtype=np.uint8)
-    whole = sh.word_hashes(raw)
-    monkeypatch.setattr(sh, "SPAN", 1024)
-    monkeypatch.setattr(sh, "_POWERS", sh._Powers())
-    sh._POWERS.up, sh._POWERS.down = sh._POWERS.up[:1024], sh._POWERS.down[:1024]
-    assert np.array_equal(whole, sh.word_hashes(raw))
+def test_words_of_few_letters_do_not_collide():
+    for size in (8, 9, 64, 1024, 4096):
+        swap = bytes.maketrans(b"ab", b"ba")
+        word = b"a"
+        while len(word) < size:  # the sequence on which sums of powers modulo 2**64 fail
+            word += word.translate(swap)
+        words = [word[:size], word[:size].translate(swap), b"a" * size, b"b" * size, b"a" * (size - 1) + b"b", b"b" + b"a" * (size - 1), b"\0" * size, b"\0" * (size + 1)]
+        assert len({int(sh.word_hashes(w)[0]) for w in words}) == len(words)
+
+
+def test_common_line_without_near_copies_makes_no_pairs(spark, tmp_path):
+    """Documents that share most of their shingles, but too few: index skipping leaves nothing to compare."""
+    line = " ".join(f"common{i}" for i in range(104))
+    rows = [(i, line + " " + " ".join(f"own{i}x{j}" for j in range(18))) for i in range(120)]
+    index = jj.Index(frame(spark, rows), 5, "doc_id", Workspace(spark, "t"))
+    assert index.lists.count() > 120 and index.pairs.count() == 0
+    classes = spark.createDataFrame([], "node long, component long")
+    none = spark.createDataFrame([], "a long, b long, low double, high double")
+    assert jj.open_pairs(index, classes, none).count() == 0
+    assert found(jj.jaccard_components(frame(spark, rows))) == brute(rows)
+
+
+def test_rows_without_an_id_link_too(spark):
+    r = random.Random(8)
+    words = prose(r, 60).split()
+    near = " ".join([*words[:-1], "other"])
+    got = {(r[0], r[2]) for r in jj.jaccard_components(frame(spark, [(None, near), (7, " ".join(words)), (7, prose(r, 30)), (None, prose(r, 9))])).collect()}
+    assert got == {(None, 7), (7, 7), (None, None)}
 
 
 def test_components(spark):
