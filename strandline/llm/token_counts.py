@@ -1,16 +1,26 @@
-"""Token counts of whole texts without their ids.
+"""Token counts of whole texts: pieces of each distinct pre-token once, joined to documents' frequencies.
 
-A text is cut into pre-tokens over which no vocabulary entry reaches. Each pre-token is given
-to the tokenizer once (per worker, while it is remembered), its number of pieces is joined to
-the frequencies of pre-tokens of each document, and the products are summed. The join happens
-where the document is read, so nothing is shuffled: at any size the cost is one scan.
+A text is cut into pre-tokens over which no vocabulary entry reaches.
+
+1. Tasks count the pre-tokens of their texts and send each with its number; added up, there is one
+   row per distinct pre-token of the corpus.
+2. The tokenizer sees each of these rows once. It gives the number of its pieces; no ids are kept,
+   and those of a document never exist.
+3. The texts are read again for each document's frequencies. The HEAD most frequent pre-tokens, a
+   bounded number of bounded length, are joined to them where the document is read, as they make up
+   nearly all of a text. The others of a document are written with its row number and joined to
+   the table of step 2 by a shuffle. Products are summed.
+
+So the shuffles move distinct pre-tokens and rare ones, not the corpus, at any size.
 
 Why the cut is exact: in the model every space becomes U+2581, which in a vocabulary entry only
 stands at the front, and no entry holds a line feed. Hence no merge crosses from a non-space to
 a space or touches a line feed. ``check_model`` verifies this when the model is loaded.
 
-Edge cases: a null text counts as empty and has no tokens; an empty table gives an empty one;
-repeated rows each give a row; other columns are ignored; nothing is cut off.
+Edge cases: a null text counts as empty and has no tokens; a text with the character U+0000, at which
+the library's interface ends in some versions, is given to it as a whole; very long texts and
+pre-tokens are counted like others; repeated rows each give a row and null ids stay; an empty table
+gives an empty one; other columns are ignored; nothing is cut off.
 """
 
 from __future__ import annotations
@@ -19,17 +29,19 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import text_of
+from strandline.llm.common import Workspace, text_of
 
 PRETOKEN = re.compile(r" *[^ \n]+| +|\n")
 SPACE = "▁"
-#: Pre-tokens that a worker remembers; when full, the older half goes and is counted again if seen.
-REMEMBERED = 800_000
+#: Pre-tokens that are joined where the document is read, and their greatest length in bytes: 25 MB at most.
+HEAD, HEAD_BYTES = 200_000, 128
+#: A task sends what it has counted after so many pre-tokens or characters.
+HELD, HELD_CHARS = 300_000, 32 << 20
+SENT = 50_000
 
 
 def check_model(model) -> None:
@@ -42,61 +54,102 @@ def check_model(model) -> None:
         raise ValueError("the model drops or rewrites white space")
 
 
-class PieceCounts:
-    """Number of pieces of each pre-token, each counted once while it is remembered."""
+def load(path: str):
+    import sentencepiece
 
-    def __init__(self, model, remembered: int = REMEMBERED):
-        self.model, self.half, self.new, self.old = model, max(1, remembered // 2), {"\n": 1}, {}
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    check_model(model)
+    return model
+
+
+def pretokens(text: str) -> Counter:
+    """How often each pre-token occurs in ``text``, which gets the model's space in front."""
+    return Counter(PRETOKEN.findall(" " + text.replace(SPACE, " "))) if text else Counter()
 
-    def of(self, pretokens) -> dict[str, int]:
-        new, old = self.new, self.old
-        missing = []
-        for p in pretokens:
-            if p not in new:
-                if p in old:
-                    new[p] = old[p]
-                else:
-                    missing.append(p)
-        if missing:
-            # after a line feed no prefix is added to the pre-token: two pieces are the feed's own
-            sizes = self.model.encode(["\n" + p for p in missing], num_threads=1)
-            new.update(zip(missing, [len(s) - 2 for s in sizes], strict=True))
-        return new
 
-    def trim(self) -> None:
-        if len(self.new) > self.half:
-            self.old, self.new = self.new, {"\n": 1}
+def pieces(model, some: list[str]) -> list[int]:
+    """The number of pieces of each pre-token."""
+    # after a line feed no prefix is added to the pre-token: two pieces are the feed's own
+    return [1 if p == "\n" else len(made) - 2 for p, made in zip(some, model.encode(["\n" + p for p in some], num_threads=1), strict=True)]
 
 
-def count_text(text: str, counts: PieceCounts) -> int:
-    if not text:
-        return 0
-    if "\0" in text:  # ends a text for the library's C interface in some versions: counted directly
-        return len(counts.model.encode(text, num_threads=1))
-    frequency = Counter(PRETOKEN.findall(" " + text.replace(SPACE, " ")))
-    sizes = counts.of(frequency)
-    return sum(n * sizes[p] for p, n in frequency.items())
+def distinct_pretokens(texts: DataFrame) -> DataFrame:
+    """(p, n): every pre-token of the column ``text`` with its number of occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> Iterator[pa.RecordBatch]:
+            keys, numbers = list(held), list(held.values())
+            for a in range(0, len(keys), SENT):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + SENT], pa.string()), pa.array(numbers[a : a + SENT], pa.int64())], ["p", "n"])
+
+        held, chars = Counter(), 0
+        for batch in batches:
+            for value in batch.column(0):
+                text = value.as_py()
+                if "\0" in text:
+                    continue
+                held.update(pretokens(text))
+                chars += len(text)
+                if len(held) > HELD or chars > HELD_CHARS:
+                    yield from sent()
+                    held, chars = Counter(), 0
+        yield from sent()
 
+    return texts.select(text_of().alias("text")).mapInArrow(run, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
 
-def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def with_pieces(distinct: DataFrame, model_path: str) -> DataFrame:
+    """``distinct`` (p, n) with the number of pieces of each pre-token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load(model_path)
+        for whole in batches:
+            for a in range(0, whole.num_rows, SENT):
+                batch = whole.slice(a, SENT)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces(model, batch.column(0).to_pylist()), pa.int64())], ["p", "n", "pieces"])
+
+    return distinct.mapInArrow(run, "p string, n long, pieces long")
+
+
+def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """id, n_bytes (UTF-8) and n_tokens of every whole text, by the sentencepiece model at ``model_path``."""
+    spark = docs.sparkSession
+    space = Workspace(spark, "tokens")
+    rows = docs.select(F.col(id_col).alias("_id"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"), text_of(text_col).alias("text"))
+    counted = space.save(with_pieces(distinct_pretokens(rows), model_path), "pretokens")
+    first = counted.where(F.octet_length("p") <= HEAD_BYTES).orderBy(F.desc("n"), "p").limit(head).select("p", "pieces").toPandas()  # at most HEAD rows
+    known = spark.sparkContext.broadcast(dict(zip(first["p"].tolist(), first["pieces"].tolist())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
+        from pyspark import TaskContext
 
-        model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        check_model(model)
-        counts = PieceCounts(model)
+        model, sizes, row = None, known.value, TaskContext.get().partitionId() << 40
+        kind = pa.list_(pa.struct([("p", pa.string()), ("n", pa.int64())]))
         for batch in batches:
-            totals = []
+            total, rest = [], []
             for value in batch.column(2):
-                totals.append(count_text(value.as_py(), counts))
-                counts.trim()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(totals, dtype=np.int64))], ["_id", "n_bytes", "n_tokens"])
-
-    rows = docs.select(F.col(id_col).alias("_id"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"), text_of(text_col).alias("_text"))
-    schema = f"_id {rows.schema['_id'].dataType.simpleString()}, n_bytes long, n_tokens long"
-    return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+                text, others, n = value.as_py(), [], 0
+                if "\0" in text:
+                    model = model or load(model_path)
+                    n = len(model.encode(text, num_threads=1))
+                else:
+                    for p, times in pretokens(text).items():
+                        size = sizes.get(p)
+                        if size is None:
+                            others.append({"p": p, "n": times})
+                        else:
+                            n += times * size
+                total.append(n)
+                rest.append(others)
+            number = range(row, row + batch.num_rows)
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), *batch.columns[:2], pa.array(total, pa.int64()), pa.array(rest, kind)], ["row", "_id", "n_bytes", "known", "rest"])
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    by_row = space.save(rows.mapInArrow(run, f"row long, _id {kind}, n_bytes long, known long, rest array<struct<p:string,n:long>>"), "rows")
+    rest = by_row.select("row", F.explode("rest").alias("x")).select("row", F.col("x.p").alias("p"), F.col("x.n").alias("times"))
+    rest = rest.join(counted.select("p", "pieces"), "p").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("more"))
+    return by_row.join(rest, "row", "left").select(F.col("_id").alias(id_col), "n_bytes", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
 
 
 def token_report(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:

@@ -17,22 +17,25 @@ TEXTS = [
 ]
 
 
-def test_counts_are_the_library_s(spark):
+@pytest.mark.parametrize("head", [0, 3, 200_000])
+def test_counts_are_the_library_s(spark, monkeypatch, head):
     import sentencepiece
 
     r = random.Random(1)
     texts = TEXTS + [prose(r, 200), "".join(r.choice(" \nab▁é.") for _ in range(400))]
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    got = tc.token_report(frame(spark, [*enumerate(texts), (500, None), (0, texts[0])]), public_tokenizers.path("piece_bpe_32k.model"), limit=100).collect()
-    assert len(got) == len(texts) + 2
+    docs = frame(spark, [*enumerate(texts), (500, None), (0, texts[0]), (None, texts[5])])
+    got = tc.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), head=head).collect()  # the rest is joined by a shuffle
+    assert len(got) == len(texts) + 3
+    report = tc.token_report(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=100)
+    assert sorted((x["n_tokens"], x["over_limit"]) for x in report.collect()) == sorted((x["n_tokens"], x["n_tokens"] > 100) for x in got)
     for x in got:
-        text = texts[x["doc_id"]] if x["doc_id"] < 500 else ""
-        n = len(model.encode(text))
-        assert (x["n_bytes"], x["n_tokens"], x["over_limit"]) == (len(text.encode()), n, n > 100), text
-    counts = tc.PieceCounts(model, remembered=4)  # forgets all the time
-    for t in texts:
-        assert tc.count_text(t, counts) == len(model.encode(t))
-        counts.trim()
+        text = texts[5 if x["doc_id"] is None else x["doc_id"]] if x["doc_id"] != 500 else ""
+        assert (x["n_bytes"], x["n_tokens"]) == (len(text.encode()), len(model.encode(text))), text
+    monkeypatch.setattr(tc, "HELD_CHARS", 10)
+    monkeypatch.setattr(tc, "SENT", 2)
+    counted = tc.with_pieces(tc.distinct_pretokens(docs), public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert len({x["p"] for x in counted}) == len(counted)  # each distinct pre-token is counted once
     assert tc.count_tokens(frame(spark, []).where("false"), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
