@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows go to Python in batches of at most so many bytes, however long their texts are.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 _done: set[str] = set()
 
 
