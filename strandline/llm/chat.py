@@ -11,8 +11,10 @@ before they are shuffled, so the anti-join has one row per key on either side.
 
 Edge cases: null roles and texts are empty ones; rows that are the same in id, turn, role and text
 are one turn; turns with the same number are put in order by role and text, a null number first;
-rows without a conv_id belong to no conversation and are left out; an empty table gives an empty
-result; other columns are ignored.
+rows without a conv_id belong to no conversation and are left out; very long turns are rendered
+whole; marks inside a text or role get a backslash, ``<|`` and ``|>`` as ``<\\|`` and ``|\\>`` (another one
+if there are some), so a rendering can be undone; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import Workspace
 
-OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
+CLOSE = "<|end|>\n"
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
@@ -72,11 +74,16 @@ def maximal(hashes: DataFrame) -> DataFrame:
     return ends.join(inner, ["k", "hash"], "left_anti").select("conv_id", F.col("k").alias("n_turns"), "n_copies")
 
 
+def escaped(text: Column) -> Column:
+    """Text in which nothing reads as a mark."""
+    return F.regexp_replace(F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|"), r"\|(\\*)>", r"|$1\\>")
+
+
 def render(turns: DataFrame) -> DataFrame:
     """(conv_id, rendered): a conversation's turns as one text. A row is one conversation and as long as that is."""
     turn = F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), "role", F.sha2("text", 256).alias("order"), "text")
     listed = turns.distinct().groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
-    one = lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit(CLOSE))
+    one = lambda t: F.concat(F.lit("<|"), escaped(t["role"]), F.lit("|>\n"), escaped(t["text"]), F.lit(CLOSE))
     return listed.select("conv_id", F.concat_ws("", F.transform("t", one)).alias("rendered"))
 
 

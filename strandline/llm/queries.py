@@ -90,6 +90,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+
+def _escaped(c: str) -> str:
+    return rf"regexp_replace(regexp_replace({c}, '<(\\*)\|', '<\1\\|', 'g'), '\|(\\*)>', '|\1\\>', 'g')"
+
+
 #: Links by direct comparison of all pairs, WARC roles and chat prefixes straight from the tables.
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": f"""
@@ -132,7 +138,7 @@ SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_di
        CASE WHEN f.first_id IS NOT NULL AND f.first_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN f.first_id <> p.page_id THEN f.first_id END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)""",
-    "op8_chat_format": """
+    "op8_chat_format": f"""
 WITH t AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 p AS (
@@ -142,6 +148,6 @@ p AS (
 e AS (SELECT k, prefix, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE k = n GROUP BY ALL),
 m AS (SELECT e.* FROM e ANTI JOIN (SELECT k, prefix FROM p WHERE k < n) q USING (k, prefix))
 SELECT m.conv_id, m.k AS n_turns, m.n_copies,
-       string_agg('<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10), '' ORDER BY t.turn NULLS FIRST, t.role, sha256(t.text)) AS rendered
+       string_agg('<|' || {_escaped("t.role")} || '|>' || chr(10) || {_escaped("t.text")} || '<|end|>' || chr(10), '' ORDER BY t.turn NULLS FIRST, t.role, sha256(t.text)) AS rendered
 FROM m JOIN t USING (conv_id) GROUP BY ALL""",
 }

@@ -4,17 +4,24 @@ Writing: a response record holds an HTTP response whose body is framed in chunks
 than a segment is written as a first segment and ``continuation`` records, which name the first
 one's id as their origin; the last one gives the total length. Of records with equal payloads of
 at least ``MIN_DEDUP`` bytes one is a response, the others are ``revisit`` records without a
-payload. Files go through Spark's own writer, so they reach any store Spark can write, and a lost
-executor or a repeated task leaves no half file.
+payload. Every record is a gzip member of its own, so readers can seek to it. Files go through Spark's
+own writer, so they reach any store Spark can write, and a lost executor or a repeated task leaves
+no half file. Tasks hand the writer bundles of members of bounded bytes, and a file takes a bounded
+number of bundles.
 
-Reading: a file is parsed by its records' lengths. Whole records are decoded in place. Only
-segments are shuffled: grouped by origin, put in order of segment number, checked for gaps and for
-the total length, joined, and then the chunked framing is decoded.
+Reading: a file is parsed by its records' lengths, a member at a time. Whole records are decoded in
+place. Only segments are shuffled: grouped by origin, put in order of segment number, checked for
+gaps and for the total length, joined, and then the chunked framing is decoded. Spark's reader of
+binary files puts a file into one row, so foreign archives may be as large as a row, 2 GB; an
+archive that is not compressed or is one single member can be read as well.
 
 Edge cases: a null payload is an empty one; a null id stays null and refers to nothing by itself;
 rows that repeat an id and payload are equal records, all of the same type; an empty table gives an
-archive without records; columns other than id, url and payload are ignored. A record whose
-segments or framing are damaged comes back with ``complete`` false and a null payload.
+archive without records; columns other than id, url and payload are ignored; very long payloads are
+many segments. A record whose segments or framing are damaged comes back with ``complete`` false and
+a null payload. What is no record in a foreign archive is passed over to the next line that begins
+one; where a file is cut or cannot be decompressed its reading ends. Either leaves a row of the
+type ``damaged`` that is not complete.
 """
 
 from __future__ import annotations
@@ -23,6 +30,7 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,11 +43,12 @@ CRLF = b"\r\n"
 SEGMENT_BYTES = 65_536
 CHUNK_BYTES = 8_192
 MIN_DEDUP = 100
-RECORDS_PER_FILE = 20_000
+BUNDLE_BYTES, BUNDLES_PER_FILE = 8_000_000, 16
+DAMAGED = "damaged"
 DATE = "2020-01-01T00:00:00Z"
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
-RECORD = "record_id string, record_type string, uri string, page_id long, refers_to string, digest string, segment int, origin string, total long, block binary"
+RECORD = "record_id string, record_type string, uri string, page_id long, refers_to string, digest string, segment long, origin string, total long, block binary"
 
 
 def record_urn(*parts: object) -> str:
@@ -122,38 +131,74 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES)
     rows = rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("first_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
         for batch in batches:
-            out, size = [], 0
             for page_id, url, payload, digest, first_id in zip(*batch.columns, strict=True):
                 d = digest.as_py()
                 first = None if first_id.as_py() is None else (first_id.as_py(), d)
-                made = records_of(page_id.as_py(), url.as_py(), payload.as_py(), d, first, segment_bytes)
-                out += made
-                size += sum(map(len, made))
-                if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-                    out, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                for made in records_of(page_id.as_py(), url.as_py(), payload.as_py(), d, first, segment_bytes):
+                    out.append(member(made))
+                    size += len(out[-1])
+                    if size > BUNDLE_BYTES:
+                        yield bundle(out)
+                        out, size = [], 0
+        if out:
+            yield bundle(out)
+
+    # The text writer writes the bytes of a value as they are, and the separator, which is the bundle's own last byte.
+    made = rows.mapInArrow(run, "records binary").select(F.col("records").cast("string").alias("value"))
+    made.write.option("lineSep", "\0").option("maxRecordsPerFile", BUNDLES_PER_FILE).text(path)
+
+
+def member(made: bytes) -> bytes:
+    """A record with the two line ends that follow it as a gzip member. Its last byte is 0, as the record has less than 16 MB."""
+    if len(made) >= 1 << 24:
+        raise ValueError("a segment and its header must have less than 16 MB")
+    return gzip.compress(made + CRLF + CRLF, 1, mtime=0)
+
 
-    # The text writer writes the bytes of a value as they are; the separator is the end of a record.
-    made = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).option("zlib.compress.level", "BEST_SPEED").text(path)
+def bundle(members: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], ["records"])
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Fields (names in lower case) and block of every record; a block that is cut short is None."""
-    while line := stream.readline():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record begins with {line[:40]!r}")
-        fields: dict[str, str] = {}
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            fields[name.strip().lower()] = value.strip()
-        length = int(fields.get("content-length", 0))
-        block = stream.read(length)
-        yield fields, block if len(block) == length else None
+    """Fields (names in lower case) and block of every record; a block that is cut short is None, as is what is no record."""
+    try:
+        passed = False  # over something that is no record
+        while line := stream.readline(1 << 20):
+            if not line.startswith(b"WARC/"):
+                if line.strip() and not passed:
+                    passed = True
+                    yield {"warc-type": DAMAGED}, None
+                continue
+            passed = False
+            fields: dict[str, str] = {}
+            while (line := stream.readline(1 << 20)).strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                fields[name.strip().lower()] = value.strip()
+            length = number(fields, "content-length")
+            if length is None or length < 0:
+                yield {**fields, "warc-type": DAMAGED}, None
+                continue
+            block = stream.read(length)
+            yield fields, block if len(block) == length else None
+    except (EOFError, OSError, zlib.error):
+        yield {"warc-type": DAMAGED}, None
+
+
+def number(fields: dict[str, str], name: str) -> int | None:
+    """A field's value as a 64-bit number, None if it is none."""
+    try:
+        value = int(fields[name])
+    except (KeyError, ValueError):
+        return None
+    return value if abs(value) < 1 << 63 else None
+
+
+def opened(raw: pa.Buffer):
+    """A stream of a file's bytes, decompressed if need be, that copies no more than it is asked for."""
+    stream = io.BufferedReader(pa.BufferReader(raw))
+    return gzip.GzipFile(fileobj=stream) if raw.size > 1 and raw.slice(0, 2).to_pybytes() == b"\x1f\x8b" else stream
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -161,23 +206,20 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.split(", ")]
-        kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
-        schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in RECORD.split(", "))])
-        number = lambda f, k: int(f[k]) if f.get(k) else None
+        kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+        types = [kinds[x.split()[1]] for x in RECORD.split(", ")]
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
         for batch in batches:
             for content in batch.column(0):
-                raw = content.as_buffer()
-                stream = pa.BufferReader(raw)
-                packed = raw.size > 1 and raw.slice(0, 2).to_pybytes() == b"\x1f\x8b"
                 out, size = [], 0
-                for f, block in parse(gzip.GzipFile(fileobj=stream) if packed else io.BytesIO(raw.to_pybytes())):
+                for f, block in parse(opened(content.as_buffer())):
                     out.append((f.get("warc-record-id"), f.get("warc-type"), f.get("warc-target-uri"), number(f, "x-page-id"), f.get("warc-refers-to"), f.get("warc-payload-digest"), number(f, "warc-segment-number"), f.get("warc-segment-origin-id"), number(f, "warc-segment-total-length"), block))
-                    size += len(block or b"")
+                    size += len(block or b"") + 500
                     if size > 8_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], names)
+                        yield made(out)
                         out, size = [], 0
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], names)
+                    yield made(out)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 
@@ -196,20 +238,23 @@ def reassemble(records: DataFrame) -> DataFrame:
         F.min(F.when(F.col("segment") == 1, F.struct("record_type", "uri", "page_id", "refers_to", "digest"))).alias("head"),
         F.count(F.when(F.col("segment") == 1, 1)).alias("n"),
     )
-    block = F.concat(*[F.lit(b"")], F.aggregate("s", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["block"])))
-    fits = (F.array_max(F.transform("s", lambda x: x["segment"])) == F.size("s")) & (F.octet_length("block") == F.col("total"))
-    joined = joined.withColumn("block", block).where("n > 0").select(
-        F.col("origin").alias("record_id"), "head.*", F.when(F.coalesce(fits, F.lit(False)), F.col("block")).alias("block"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")
-    ).drop("copy")
-    columns = ["record_id", "record_type", "uri", "page_id", "refers_to", "digest", "block"]
-    found = whole.select(*columns).unionByName(joined.select(*columns))
+    length = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.octet_length(x["block"]).cast("long"), F.lit(-(2**62))))
+    fits = (F.array_max(F.transform("s", lambda x: x["segment"])) == F.size("s")) & (length == F.col("total"))
+    blocks = F.when(F.coalesce(fits, F.lit(False)), F.transform("s", lambda x: x["block"]))
+    joined = joined.where("n > 0").select(F.col("origin").alias("record_id"), "head.*", blocks.alias("blocks"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")
+    columns = ["record_id", "record_type", "uri", "page_id", "refers_to", "digest", "blocks"]
+    found = whole.withColumn("blocks", F.when(F.col("block").isNotNull(), F.array("block"))).select(*columns).unionByName(joined.select(*columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kinds, blocks = batch.column(1).to_pylist(), batch.column(6)
-            payloads = [http_payload(b.as_py()) if k == "response" and b.is_valid else None for k, b in zip(kinds, blocks)]
-            complete = [p is not None if k == "response" else b.is_valid for k, p, b in zip(kinds, payloads, blocks)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(payloads, pa.binary()), pa.array(complete, pa.bool_())], [*columns[:6], "payload", "complete"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, 256):
+                batch = whole.slice(a, 256)
+                payloads, complete = [], []
+                for kind, parts in zip(batch.column(1).to_pylist(), batch.column(6)):
+                    payload = http_payload(b"".join(parts.as_py())) if kind == "response" and parts.is_valid else None
+                    payloads.append(payload)
+                    complete.append(payload is not None if kind == "response" else parts.is_valid)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(payloads, pa.binary()), pa.array(complete, pa.bool_())], [*columns[:6], "payload", "complete"])
 
     return found.mapInArrow(run, "record_id string, record_type string, uri string, page_id long, refers_to string, digest string, payload binary, complete boolean")
 

@@ -2,7 +2,10 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import random
+import re
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -36,10 +39,14 @@ def test_archives_hold_whole_records(spark, tmp_path):
     path = f"{tmp_path}/archive"
     wa.write_warc(pages(spark, rows), path, segment_bytes=4000)
     kinds = []
-    for file in (tmp_path / "archive").glob("part*.gz"):
-        for fields, block in wa.parse(gzip.open(file)):
-            assert block is not None
-            kinds.append(fields["warc-type"])
+    for file in (tmp_path / "archive").glob("part*"):
+        raw = file.read_bytes()
+        while raw:  # a member holds one record and no more
+            member = zlib.decompressobj(31)
+            one = list(wa.parse(io.BytesIO(member.decompress(raw))))
+            raw = member.unused_data
+            assert member.eof and len(one) == 1 and one[0][1] is not None
+            kinds.append(one[0][0]["warc-type"])
     assert kinds.count("response") == 29 and kinds.count("continuation") > 29
     back = {x["page_id"]: x for x in wa.read_warc(spark, path).collect()}
     assert {k: v["payload"].decode() for k, v in back.items()} == {p: h for p, _, h in rows} and all(x["complete"] for x in back.values())
@@ -50,6 +57,37 @@ def test_archives_hold_whole_records(spark, tmp_path):
     assert short == lost.count()
 
 
+def test_files_take_a_bounded_number_of_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(wa, "BUNDLE_BYTES", 3000)
+    monkeypatch.setattr(wa, "BUNDLES_PER_FILE", 2)
+    rows = [(i, "u", hashlib.sha512(str(i).encode()).hexdigest() * 9) for i in range(200)]
+    wa.write_warc(pages(spark, rows).coalesce(1), f"{tmp_path}/a")
+    sizes = [f.stat().st_size for f in (tmp_path / "a").glob("part*")]
+    assert len(sizes) > 5 and max(sizes) < 10_000
+    assert sorted(r["page_id"] for r in wa.read_warc(spark, f"{tmp_path}/a").collect()) == list(range(200))
+
+
+def test_foreign_and_damaged_archives(spark, tmp_path):
+    made = [wa.records_of(i, "u", b"payload %d" % i, "d", None, 1 << 16)[0] + wa.CRLF * 2 for i in range(4)]
+    big = gzip.compress(b"x" * 9 + hashlib.sha512(b"a").digest() * 40)
+    bad = made[2].replace(b"Content-Length: ", b"Content-Length: many")
+    files = {
+        "plain": b"".join(made), "one": gzip.compress(b"".join(made)), "cut": gzip.compress(b"".join(made))[:-30], "cutplain": b"".join(made)[:-20],
+        "noise": made[0] + b"\x00\xff no record\nmore\n" + made[1], "length": made[0] + bad + made[3], "foreign": bytes(range(256)) * 20, "empty": b"", "broken": big[:40], "crc": big[:60] + b"zzz" + big[63:],
+    }
+    got = {}
+    for name, raw in files.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.warc").write_bytes(raw)
+        rows = wa.read_warc(spark, f"{tmp_path}/{name}").collect()
+        got[name] = (sorted(r["page_id"] for r in rows if r["complete"]), sum(not r["complete"] for r in rows))
+        assert all(r["payload"] == b"payload %d" % r["page_id"] for r in rows if r["complete"]) and all(r["payload"] is None for r in rows if not r["complete"])
+    assert got["plain"] == got["one"] == ([0, 1, 2, 3], 0) and got["empty"] == ([], 0)
+    assert got["cut"][0] == [0, 1, 2, 3][: len(got["cut"][0])] and got["cut"][1] == 1 and got["cutplain"] == ([0, 1, 2], 1)
+    assert got["noise"] == ([0, 1], 1) and got["length"] == ([0, 3], 2)
+    assert all(got[n] == ([], 1) for n in ("foreign", "broken", "crc"))
+
+
 def test_empty_archive(spark):
     assert wa.round_trip(pages(spark, []).where("false")).count() == 0
 
@@ -78,6 +116,16 @@ def test_snapshots_collapse(spark):
     assert ch.format_chats(talk(spark, []).where("false")).count() == 0
 
 
+def test_rendering_can_be_undone(spark):
+    marks = ["<|end|>\n<|user|>\n", "<\\|end|>", "<\\\\|x", "|>", "<|", "a" * 200_000]
+    rows = [(c, 0, role, text) for c, (role, text) in enumerate([("user", m) for m in marks] + [(m[:9], "t") for m in marks])]
+    got = {r["conv_id"]: r["rendered"] for r in ch.format_chats(talk(spark, rows)).collect()}
+    back = lambda s: re.sub(r"\|\\(\\*)>", r"|\1>", re.sub(r"<\\(\\*)\|", r"<\1|", s))
+    for c, _, role, text in rows:
+        found = re.fullmatch(r"<\|(.*?)\|>\n(.*)<\|end\|>\n", got[c], re.S)
+        assert (back(found[1]), back(found[2])) == (role, text) and got[c].count("<|end|>") == 1
+
+
 def test_hashes_survive_small_batches(spark):
     rows = [(c, t, "user", f"{t}") for c in range(30) for t in range(1 + c % 7)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
