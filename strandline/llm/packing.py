@@ -4,13 +4,18 @@
    pieces from its end. A task numbers its pieces of each length as it writes them.
 2. Plan, on the driver, from the histogram alone (a number for each of at most ``size`` lengths):
    patterns of few length classes that fill a sequence are enumerated, their repeat counts are
-   fitted to the histogram by non-negative least squares and rounded down, and what is left is
-   packed best-fit-decreasing into the gaps and into new sequences, whole runs of equal lengths
-   at a time. The plan's size depends on the number of lengths, not of documents.
+   fitted to the histogram by non-negative least squares and rounded, realised by lengths that fill
+   a sequence, and what is left is packed best-fit-decreasing into the gaps and into new sequences,
+   whole runs of equal lengths at a time. Short pieces fill gaps best, so a few such drafts are made
+   that keep the shortest classes out of the patterns, from none to all below half a sequence (there
+   best fit places all but full pieces). The first one with the fewest sequences is the plan; no draft
+   follows one that reaches the total length divided by ``size``. The plan's size depends on the
+   number of lengths, not of documents.
 3. Place: a piece's number among all pieces of its length decides its sequence and offset.
 
-Edge cases: a null or empty text is one piece with the closing id alone; repeated rows are packed
-each; an empty table gives an empty result; columns other than id and text are ignored.
+Edge cases: a null or empty text is one piece with the closing id alone; very long texts are many
+pieces; repeated rows are packed each, and pieces of equal length are placed in order of task and
+row; an empty table gives an empty result; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ PATTERN_DOCS = 4
 # The vocabulary's expression for pre-tokens, and characters whose classes do not differ between libraries.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧€]*")
+#: Of CLASSES, the shortest ones that a draft keeps out of the patterns.
+KEPT_OUT = (0, 4, 8, 12, 16, 24, 32)
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, local long"
 
 
@@ -128,55 +135,53 @@ def nonnegative_fit(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarr
     return x
 
 
-class Plan:
-    """Intervals of piece numbers, by length, with the sequence and offset that they go to."""
-
-    def __init__(self, counts: np.ndarray, size: int = SEQUENCE, classes: int = CLASSES, docs: int = PATTERN_DOCS):
-        """``counts[n]``: pieces of length n, n from 0 to ``size``."""
+def fitted(counts: np.ndarray, size: int, classes: int, docs: int, out: int = 0) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, repeats) of the fit to the histogram without its ``out`` shortest classes, most frequent first."""
+    width = size // classes
+    if width * classes != size:
+        return []
+    klass = -(-np.arange(size + 1) // width)
+    histogram = np.bincount(klass, weights=counts, minlength=classes + 1)[1:]
+    histogram[:out] = 0
+    made = [p for p in patterns(classes, docs) if min(p) > out]
+    a = np.zeros((classes, len(made)))
+    for j, pattern in enumerate(made):
+        for c in pattern:
+            a[c - 1, j] += 1
+    weight = np.sqrt(np.arange(1, classes + 1) / classes)[:, None]  # a long piece that finds no place costs more
+    repeats = np.rint(nonnegative_fit(a * weight, histogram * weight[:, 0])).astype(np.int64)
+    return [(made[j], int(repeats[j])) for j in np.argsort(-repeats, kind="stable") if repeats[j]]
+
+
+class Draft:
+    """Places for all pieces: the repeats by pattern, each sequence full, the rest best-fit."""
+
+    def __init__(self, counts: np.ndarray, size: int, width: int, repeats: list[tuple[tuple[int, ...], int]]):
         self.size, self.left, self.next = size, counts.astype(np.int64).copy(), np.zeros(size + 1, dtype=np.int64)
         self.rows: list[tuple[int, int, int, int]] = []  # length, first piece number, first sequence, offset
         self.open: dict[int, list[tuple[int, int]]] = {}  # free space: runs (first sequence, how many)
         self.sequences = 0
-        self._fit(classes, docs)
+        for pattern, many in repeats:
+            self._realise(pattern, many, width)
+        self.by_pattern = int(counts.sum() - self.left.sum())
         self._fill()
-        self.rows.sort()
-        self.keys = np.array([(n << 44) | lo for n, lo, _, _ in self.rows], dtype=np.int64)
-        self.lo, self.base, self.offset = (np.array([r[k] for r in self.rows], dtype=np.int64) for k in (1, 2, 3))
 
     def _put(self, length: int, many: int, first: int, offset: int) -> None:
         self.rows.append((length, int(self.next[length]), first, offset))
         self.next[length] += many
         self.left[length] -= many
 
-    def _fit(self, classes: int, docs: int) -> None:
-        width = self.size // classes
-        if width * classes != self.size:
-            return
-        lengths = np.arange(self.size + 1)
-        klass = -(-lengths // width)
-        histogram = np.bincount(klass, weights=self.left, minlength=classes + 1)[1:]
-        made = patterns(classes, docs)
-        a = np.zeros((classes, len(made)))
-        for j, pattern in enumerate(made):
-            for c in pattern:
-                a[c - 1, j] += 1
-        weight = np.sqrt(np.arange(1, classes + 1) / classes)[:, None]  # a long piece that finds no place costs more
-        repeats = np.floor(nonnegative_fit(a * weight, histogram * weight[:, 0])).astype(np.int64)
-        for j in np.argsort(-repeats, kind="stable"):
-            many = int(repeats[j])
-            while many > 0:
-                chosen = self._exact(made[j], width)
-                if chosen is None:
-                    break  # the rest of this pattern is left to best fit
-                run = min(many, *(int(self.left[n]) // chosen.count(n) for n in set(chosen)))
-                offset = 0
-                for n in chosen:
-                    self._put(n, run, self.sequences, offset)
-                    offset += n
-                self.sequences += run
-                many -= run
-
-    def _exact(self, pattern: tuple[int, ...], width: int) -> list[int] | None:
+    def _realise(self, pattern: tuple[int, ...], many: int, width: int) -> None:
+        while many > 0 and (chosen := self._lengths(pattern, width)):  # what has no such lengths is left to best fit
+            run = min(many, *(int(self.left[n]) // chosen.count(n) for n in set(chosen)))
+            offset = 0
+            for n in chosen:
+                self._put(n, run, self.sequences, offset)
+                offset += n
+            self.sequences += run
+            many -= run
+
+    def _lengths(self, pattern: tuple[int, ...], width: int) -> list[int] | None:
         """Lengths still left, one of each class of ``pattern``, the last as long as the room that the others leave."""
         lead: list[int] = []
         for c in pattern[:-2]:
@@ -216,6 +221,23 @@ class Plan:
                 if gap > n:
                     self.open.setdefault(gap - n, []).append((first, many))
 
+
+class Plan:
+    """Intervals of piece numbers, by length, with the sequence and offset that they go to."""
+
+    def __init__(self, counts: np.ndarray, size: int = SEQUENCE, classes: int = CLASSES, docs: int = PATTERN_DOCS):
+        """``counts[n]``: pieces of length n, n from 0 to ``size``."""
+        least, best = -(-int((counts * np.arange(size + 1)).sum()) // size), None
+        for out in KEPT_OUT:
+            draft = Draft(counts, size, size // classes, fitted(counts, size, classes, docs, out))
+            if best is None or draft.sequences < best.sequences:
+                best = draft
+            if best.sequences == least:
+                break
+        self.sequences, self.by_pattern, rows = best.sequences, best.by_pattern, sorted(best.rows)
+        self.keys = np.array([(n << 44) | lo for n, lo, _, _ in rows], dtype=np.int64)
+        self.lo, self.base, self.offset = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 3))
+
     def place(self, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sequence and offset of pieces given by length and number among the pieces of that length."""
         at = np.searchsorted(self.keys, (length.astype(np.int64) << 44) | number, side="right") - 1

@@ -105,10 +105,21 @@ def test_plans_place_every_piece_once(seed):
     first = np.concatenate([[True], s[1:] != s[:-1]])
     assert (o[first] == 0).all() and (o[1:][~first[1:]] == (o + n)[:-1][~first[1:]]).all() and (o + n).max() <= 2048
     assert len(set(s.tolist())) == plan.sequences
+    assert plan.sequences <= pk.Draft(counts, 2048, 32, []).sequences  # never more than best fit alone
     if seed == 0:
         assert plan.sequences <= 1.005 * -(-lengths.sum() // 2048)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_patterns_cost_no_sequence(seed):
+    rng = np.random.default_rng(seed)
+    counts = np.zeros(2049, dtype=np.int64)
+    np.add.at(counts, np.clip(rng.lognormal(6, 1, 400 * (seed + 1)).astype(int), 1, 2048), 1)
+    plan, alone = pk.Plan(counts), pk.Draft(counts, 2048, 32, [])
+    assert plan.sequences <= alone.sequences
+    assert plan.by_pattern > 0.05 * counts.sum()
+
+
 def test_nonnegative_fit():
     rng = np.random.default_rng(1)
     a, x = rng.random((6, 20)), np.zeros(20)
