@@ -1,4 +1,4 @@
-"""Command line: ``count``, ``signatures`` and ``distance``."""
+"""Command line: ``count``, ``signatures``, ``balance``, ``totals`` and ``distance``."""
 
 from __future__ import annotations
 
@@ -8,13 +8,15 @@ from pyspark.sql import SparkSession
 
 from strandline.config import CounterConfig, DistanceConfig
 from strandline.operators.distance import MEASURES
-from strandline.plans.jobs import count_job, distance_job, signature_job
+from strandline.plans.jobs import balance_job, count_job, distance_job, signature_job, totals_job
+
+JOBS = {"count": count_job, "signatures": signature_job, "balance": balance_job, "totals": totals_job, "distance": distance_job}
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="strandline", description="Exact, strand-neutral k-mer analytics.")
     jobs = top.add_subparsers(dest="job", required=True)
-    for name in ("count", "signatures", "distance"):
+    for name in JOBS:
         p = jobs.add_parser(name)
         p.add_argument("k", type=int, help="length of a k-mer")
         p.add_argument("m", type=int, help="length of a signature")
@@ -47,7 +49,7 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     builder = SparkSession.builder.appName(f"strandline-{args.job}")
     spark = (builder.master(args.master) if args.master else builder).getOrCreate()
-    {"count": count_job, "signatures": signature_job, "distance": distance_job}[args.job](spark, config_of(args))
+    JOBS[args.job](spark, config_of(args))
 
 
 if __name__ == "__main__":

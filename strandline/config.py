@@ -40,9 +40,10 @@ class CounterConfig:
     def bins(self) -> int:
         return n_bins(self.m, self.max_bins)
 
-    def output_dir(self, debug: bool = False) -> str:
+    def output_dir(self, debug: bool = False, root: str = "") -> str:
+        """The folder of a job's files; of a debug job below ``root`` and without the kind of sequences."""
         name = f"{self.prefix}k{self.k}_m{self.m}_x{self.x}_b{self.bins}"
-        return f"/tmp/{name}" if debug else f"{self.output_path}{name}_s{int(self.long_sequences)}"
+        return f"{root}/{name}" if debug else f"{self.output_path}{name}_s{int(self.long_sequences)}"
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,8 @@ from strandline.functions.bases import pack, reverse_complement
 
 #: Stands for the default signature; sorts after every base.
 DEFAULT = "~"
+#: m-mers of a k-mer up to which a signature is one unrolled expression.
+UNROLLED = 32
 
 
 def is_allowed(mmer: Column, m: int) -> Column:
@@ -32,6 +34,12 @@ def signature_number(signature: Column, m: int) -> Column:
 
 
 def signature(kmer: Column, k: int, m: int) -> Column:
-    """struct(v, p): the least norm of the k-mer's m-mers and the leftmost place that has it."""
+    """struct(v, p): the least norm of the k-mer's m-mers and the leftmost place that has it.
+
+    Few m-mers are unrolled, which stays within generated code; many would make too large an expression.
+    """
+    if k - m + 1 > UNROLLED:
+        every = F.transform(F.sequence(F.lit(0), F.lit(k - m)), lambda j: F.struct(norm(F.substring(kmer, j + 1, F.lit(m)), m).alias("v"), j.cast("int").alias("p")))
+        return F.array_min(every)
     terms = [F.struct(norm(F.substring(kmer, j + 1, m), m).alias("v"), F.lit(j).alias("p")) for j in range(k - m + 1)]
     return F.least(*terms) if len(terms) > 1 else terms[0]

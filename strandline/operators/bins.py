@@ -11,19 +11,36 @@ from strandline.operators.kmers import count_kmers
 from strandline.operators.minimizers import kx_mers, super_kmers
 
 
+def super_kmer_counts(reads: DataFrame, k: int, m: int, bins: int) -> DataFrame:
+    """(bin, sig, n, n_kmers): super-k-mers and their k-mers by bin and signature.
+
+    Reads with a ``chunk_start`` are chunks of long sequences that overlap by k - 1. A super-k-mer that
+    reaches over the border of chunks is known by its signature's place in the sequence and counts once;
+    only such pieces, two per chunk at most, are grouped by place.
+    """
+    if "chunk_start" not in reads.columns:
+        return super_kmers(reads, k, m, bins).groupBy("bin", "sig").agg(F.count("*").alias("n"), F.sum("n_kmers").alias("n_kmers"))
+    made = super_kmers(reads.withColumn("chars", F.length("seq")), k, m, bins, "chunk_start", "chars")
+    border = (F.col("start") == 0) | (F.col("start") + F.col("n_kmers") + (k - 1) == F.col("chars"))
+    place = F.when(border, F.struct("read_id", (F.col("chunk_start") + F.col("sig_pos")).alias("at")))
+    each = made.groupBy("bin", "sig", place.alias("place")).agg(F.count("*").alias("n"), F.sum("n_kmers").alias("n_kmers"))
+    return each.groupBy("bin", "sig").agg(F.sum(F.when(F.col("place").isNull(), F.col("n")).otherwise(1)).alias("n"), F.sum("n_kmers").alias("n_kmers"))
+
+
 def bin_sizes(reads: DataFrame, k: int, m: int, bins: int) -> DataFrame:
     """(bin, n_super, n_kmers)."""
-    return super_kmers(reads, k, m, bins).groupBy("bin").agg(F.count("*").alias("n_super"), F.sum("n_kmers").alias("n_kmers"))
+    return super_kmer_counts(reads, k, m, bins).groupBy("bin").agg(F.sum("n").alias("n_super"), F.sum("n_kmers").alias("n_kmers"))
 
 
 def sampled(reads: DataFrame, one_in: int) -> DataFrame:
-    """Every ``one_in``-th read by id: a sample that does not change when a task runs again."""
-    return reads.where(F.pmod("read_id", F.lit(one_in)) == 0)
+    """Every ``one_in``-th read by id, or chunk by a hash of id and place: a sample that does not change when a task runs again."""
+    key = F.xxhash64("read_id", "chunk_start") if "chunk_start" in reads.columns else F.col("read_id")
+    return reads.where(F.pmod(key, F.lit(one_in)) == 0)
 
 
 def signature_histogram(reads: DataFrame, k: int, m: int, bins: int, totals: bool = True) -> DataFrame:
     """(bin, sig, n): super-k-mers by bin and signature; with a total per bin under a null signature."""
-    each = super_kmers(reads, k, m, bins).groupBy("bin", "sig").agg(F.count("*").alias("n"))
+    each = super_kmer_counts(reads, k, m, bins).select("bin", "sig", "n")
     if not totals:
         return each
     return each.unionByName(each.groupBy("bin").agg(F.sum("n").alias("n")).select("bin", F.lit(None).cast("string").alias("sig"), "n"))
@@ -31,7 +48,7 @@ def signature_histogram(reads: DataFrame, k: int, m: int, bins: int, totals: boo
 
 def bin_totals(reads: DataFrame, k: int, m: int, bins: int) -> DataFrame:
     """(bin, n_super, n_sigs)."""
-    return super_kmers(reads, k, m, bins).groupBy("bin", "sig").agg(F.count("*").alias("n")).groupBy("bin").agg(F.sum("n").alias("n_super"), F.count("*").alias("n_sigs"))
+    return super_kmer_counts(reads, k, m, bins).groupBy("bin").agg(F.sum("n").alias("n_super"), F.count("*").alias("n_sigs"))
 
 
 def counts_via_super_kmers(reads: DataFrame, k: int, m: int) -> DataFrame:

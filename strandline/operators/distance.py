@@ -13,15 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _same(d: Column) -> Column:
+def _same(d: Column, n: Column) -> Column:
     return d
 
 
+def _any(counts: DataFrame) -> bool:
+    return True
+
+
 @dataclass(frozen=True)
 class Measure:
     """``partial(p, q)`` of a k-mer with values p and q, folded by sum (from 0) or product (from 1), then ``finalize``.
 
-    ``alone``: what a k-mer adds that only one of both sequences has; None if nothing.
+    ``alone``: what a k-mer adds that only one of both sequences has; None if nothing. ``finalize(d, n)``
+    gets the folded value and the number of k-mers that either sequence has. ``compatible(counts)`` says
+    whether the measure can be taken of such counts. ``internal_product``: it needs common k-mers only.
     """
 
     name: str
@@ -29,7 +35,12 @@ class Measure:
     symmetric: bool
     fold: str = "sum"
     alone: Callable[[Column], Column] | None = None
-    finalize: Callable[[Column], Column] = _same
+    finalize: Callable[[Column, Column], Column] = _same
+    compatible: Callable[[DataFrame], bool] = _any
+
+    @property
+    def internal_product(self) -> bool:
+        return self.alone is None
 
 
 MEASURES: dict[str, Measure] = {}
@@ -44,6 +55,8 @@ def register(measure: Measure) -> Measure:
 SQUARED_EUCLIDEAN = register(Measure("squared_euclidean", lambda p, q: -2 * p * q, True, alone=lambda p: p * p))
 KLD_LOG2 = register(Measure("kld_log2", lambda p, q: p * F.log2(p / q), False))
 KLD_LN = register(Measure("kld_ln", lambda p, q: p * F.log(p / q), False))
+# squares over the number of k-mers that either has
+MEAN_SQUARE = register(Measure("mean_square", lambda p, q: -2 * p * q, True, alone=lambda p: p * p, finalize=lambda d, n: F.when(n > 0, d / n).otherwise(0.0)))
 
 
 def normalized(counts: DataFrame, reads: DataFrame, k: int) -> DataFrame:
@@ -75,17 +88,22 @@ def distances(counts: DataFrame, measure: Measure | str = "squared_euclidean") -
     Sequences go by number in the join over k-mers, so its keys and groups are of fixed width.
     """
     measure = MEASURES[measure] if isinstance(measure, str) else measure
+    if not measure.compatible(counts):
+        raise ValueError(f"{measure.name} cannot be taken of these counts")
     tags = numbered_tags(counts)
     values = counts.join(F.broadcast(tags), "seq_tag").select("kmer", "t", F.col("n").cast("double").alias("n"))
     a = values.select("kmer", F.col("t").alias("t1"), F.col("n").alias("p"))
     b = values.select("kmer", F.col("t").alias("t2"), F.col("n").alias("q"))
     met = a.join(b, "kmer").where("t1 < t2" if measure.symmetric else "t1 <> t2")
     fold, start = (F.product, 1.0) if measure.fold == "product" else (F.sum, 0.0)
-    met = met.groupBy("t1", "t2").agg(fold(measure.partial(F.col("p"), F.col("q"))).alias("d"))
-    grid = pair_grid(tags, measure.symmetric).join(met, ["t1", "t2"], "left").withColumn("d", F.coalesce("d", F.lit(start)))
-    if measure.alone is not None:
-        own = values.groupBy("t").agg(F.sum(measure.alone(F.col("n"))).alias("own"))
-        grid = grid.join(own.select(F.col("t").alias("t1"), F.col("own").alias("o1")), "t1").join(own.select(F.col("t").alias("t2"), F.col("own").alias("o2")), "t2")
-        grid = grid.withColumn("d", F.col("d") + F.col("o1") + F.col("o2"))
+    met = met.groupBy("t1", "t2").agg(fold(measure.partial(F.col("p"), F.col("q"))).alias("d"), F.count("*").alias("common"))
+    grid = pair_grid(tags, measure.symmetric).join(met, ["t1", "t2"], "left").withColumns({"d": F.coalesce("d", F.lit(start)), "common": F.coalesce("common", F.lit(0))})
+    alone = measure.alone or (lambda p: F.lit(0.0))
+    if measure.alone is not None or measure.finalize is not _same:
+        own = values.groupBy("t").agg(F.sum(alone(F.col("n"))).alias("own"), F.count("*").alias("have"))
+        for i in "12":
+            grid = grid.join(own.select(F.col("t").alias(f"t{i}"), F.col("own").alias(f"o{i}"), F.col("have").alias(f"h{i}")), f"t{i}")
+        d = F.col("d") + F.col("o1") + F.col("o2") if measure.alone is not None else F.col("d")
+        grid = grid.withColumns({"d": d, "common": F.col("h1") + F.col("h2") - F.col("common")})
     names = lambda t, s: F.broadcast(tags.select(F.col("t").alias(t), F.col("seq_tag").alias(s)))
-    return grid.join(names("t1", "s1"), "t1").join(names("t2", "s2"), "t2").select("s1", "s2", measure.finalize(F.col("d")).alias("distance"))
+    return grid.join(names("t1", "s1"), "t1").join(names("t2", "s2"), "t2").select("s1", "s2", measure.finalize(F.col("d"), F.col("common")).alias("distance"))

@@ -19,9 +19,10 @@ from strandline.functions.bases import bin_of
 from strandline.functions.minimizer import DEFAULT
 
 BLOCK = 1 << 20
+AT_ONCE = 1 << 15  # stretches of a read that become texts together
 _CODE = np.full(256, 4, dtype=np.uint8)
 _CODE[[65, 67, 71, 84]] = range(4)
-_REVERSE = bytes.maketrans(b"ACGT", b"TGCA")
+_REVERSE = np.frombuffer(bytes.maketrans(b"ACGT", b"TGCA"), dtype=np.uint8)
 
 
 def codes_of(seq: bytes) -> np.ndarray:
@@ -131,8 +132,31 @@ def signature_text(value: int, m: int) -> str:
     return DEFAULT if value == 4**m else "".join("ACGT"[value >> (2 * j) & 3] for j in range(m - 1, -1, -1))
 
 
+def signature_texts(values: np.ndarray, m: int) -> pa.Array:
+    """The text of each signature number, made once per distinct one."""
+    distinct, at = np.unique(values, return_inverse=True)
+    return pa.array([signature_text(v, m) for v in distinct.tolist()], pa.string()).take(pa.array(at))
+
+
+def cuts(seq: bytes, start: np.ndarray, length: np.ndarray, turned: np.ndarray | None = None) -> pa.Array:
+    """The stretches of a read as texts, many at once; those that are turned as reverse complements."""
+    if len(start) > AT_ONCE:
+        return pa.concat_arrays([cuts(seq, start[a : a + AT_ONCE], length[a : a + AT_ONCE], None if turned is None else turned[a : a + AT_ONCE]) for a in range(0, len(start), AT_ONCE)])
+    raw = np.frombuffer(seq, dtype=np.uint8)
+    ends = np.cumsum(length)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    place = np.arange(int(offsets[-1])) - np.repeat(ends - length, length)
+    if turned is None:
+        data = raw[np.repeat(start, length) + place]
+    else:
+        back = np.repeat(turned == 1, length)
+        data = raw[np.repeat(start, length) + np.where(back, np.repeat(length, length) - 1 - place, place)]
+        data = np.where(back, _REVERSE[data], data)
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data.astype(np.uint8)))
+
+
 def mapped(reads: DataFrame, rows_of, schema: str, keep: tuple[str, ...]) -> DataFrame:
-    """``rows_of(seq)`` gives arrays or lists, one per column of ``schema``, for each read."""
+    """``rows_of(seq)`` gives an array per column of ``schema``, of Arrow for texts, for each read."""
     rows = reads.select(*keep, F.encode(F.coalesce("seq", F.lit("")), "utf-8").alias("seq"))
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in schema.split(", ")]
@@ -152,7 +176,7 @@ def mapped(reads: DataFrame, rows_of, schema: str, keep: tuple[str, ...]) -> Dat
 
     def made(batch: pa.RecordBatch, parts: list, at: list) -> pa.RecordBatch:
         source = pa.array(np.concatenate(at) if at else np.zeros(0, dtype=np.int32))
-        columns = [pa.array([v for p in parts for v in p[j]] if t == pa.string() else np.concatenate([p[j] for p in parts]).astype(t.to_pandas_dtype()) if parts else [], t) for j, t in enumerate(kinds)]
+        columns = [pa.array([], t) if not parts else pa.concat_arrays([p[j] for p in parts]) if t == pa.string() else pa.array(np.concatenate([p[j] for p in parts]).astype(t.to_pandas_dtype()), t) for j, t in enumerate(kinds)]
         return pa.RecordBatch.from_arrays([*(batch.column(j).take(source) for j in range(len(keep))), *columns], [*keep, *names])
 
     kept = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
@@ -164,8 +188,7 @@ def super_kmers(reads: DataFrame, k: int, m: int, bins: int | None = None, *keep
 
     def rows_of(seq: bytes):
         s = super_kmers_of(seq, k, m)
-        text = [seq[a : a + n + k - 1].decode() for a, n in zip(s.start.tolist(), s.n.tolist())]
-        return s.start, [signature_text(v, m) for v in s.sig.tolist()], s.sig, s.pos, text, s.n
+        return s.start, signature_texts(s.sig, m), s.sig, s.pos, cuts(seq, s.start, s.n + (k - 1)), s.n
 
     made = mapped(reads, rows_of, "start bigint, sig string, sig_number bigint, sig_pos bigint, super_kmer string, n_kmers bigint", ("read_id", *keep))
     return made if bins is None else made.withColumn("bin", bin_of(F.col("sig_number"), bins))
@@ -177,7 +200,7 @@ def kmer_signatures(reads: DataFrame, k: int, m: int) -> DataFrame:
     def rows_of(seq: bytes):
         s = super_kmers_of(seq, k, m)
         place = np.repeat(s.start, s.n) + np.arange(s.n.sum()) - np.repeat(np.cumsum(s.n) - s.n, s.n)
-        return place, [t for v, n in zip(s.sig.tolist(), s.n.tolist()) for t in [signature_text(v, m)] * n], np.repeat(s.pos, s.n)
+        return place, signature_texts(np.repeat(s.sig, s.n), m), np.repeat(s.pos, s.n)
 
     return mapped(reads, rows_of, "i bigint, sig string, sig_pos bigint", ("read_id",))
 
@@ -187,10 +210,6 @@ def kx_mers(reads: DataFrame, k: int, m: int, x: int) -> DataFrame:
 
     def rows_of(seq: bytes):
         start, n, turn = kx_mers_of(seq, super_kmers_of(seq, k, m), k, x)
-        text = []
-        for a, c, o in zip(start.tolist(), n.tolist(), turn.tolist()):
-            part = seq[a : a + c + k - 1]
-            text.append((part.translate(_REVERSE)[::-1] if o else part).decode())
-        return start, n - 1, turn, text
+        return start, n - 1, turn, cuts(seq, start, n + (k - 1), turn)
 
     return mapped(reads, rows_of, "start bigint, x bigint, orientation int, kxmer string", ("read_id",))

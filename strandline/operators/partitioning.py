@@ -34,8 +34,7 @@ def deal(rows: DataFrame, assignment: DataFrame, slots: int) -> DataFrame:
     return placed.repartitionById(slots, F.col("slot"))
 
 
-def balance(super_kmers: DataFrame, assignment: DataFrame, slots: int) -> DataFrame:
-    """(slot, bin, n): super-k-mers per bin, with the slot each bin is placed in."""
-    per_bin = super_kmers.groupBy("bin").agg(F.count("*").alias("n"))
-    placed = per_bin.join(F.broadcast(assignment), "bin", "left")
-    return placed.select(F.coalesce("slot", F.pmod("bin", F.lit(slots))).alias("slot"), "bin", "n")
+def balance(sizes: DataFrame, assignment: DataFrame, slots: int) -> DataFrame:
+    """(slot, bin, n): the bins of ``sizes`` (bin, n_super) with the slot that each is placed in."""
+    placed = sizes.join(F.broadcast(assignment), "bin", "left")
+    return placed.select(F.coalesce("slot", F.pmod("bin", F.lit(slots))).alias("slot"), "bin", F.col("n_super").alias("n"))

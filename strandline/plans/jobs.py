@@ -1,4 +1,4 @@
-"""Jobs from a configuration to files: counting, signature histogram, distances."""
+"""Jobs from a configuration to files: counting, signature histogram, balance of bins, counts of many sequences, distances."""
 
 from __future__ import annotations
 
@@ -9,10 +9,10 @@ from strandline.config import CounterConfig, DistanceConfig
 from strandline.operators.bins import bin_sizes, binned_counts, sampled, signature_histogram
 from strandline.operators.distance import distances, normalized
 from strandline.operators.kmers import count_by_tag, count_kmers
-from strandline.operators.partitioning import assign, deal
-from strandline.runtime import ship, spread
+from strandline.operators.partitioning import assign, balance, deal
+from strandline.runtime import shared_root, ship, spread
 from strandline.sources.reads import read_fasta, read_long_fasta
-from strandline.sources.sinks import write_counts, write_distances, write_nothing, write_signatures
+from strandline.sources.sinks import write_balance, write_counts, write_distances, write_nothing, write_signatures, write_totals
 
 SAMPLE_ONE_IN = 100
 
@@ -24,29 +24,56 @@ def open_reads(spark: SparkSession, config: CounterConfig | DistanceConfig) -> D
     return spread(read_fasta(spark, config.input_path))
 
 
+def placement(spark: SparkSession, reads: DataFrame, config: CounterConfig) -> tuple[DataFrame, int]:
+    """(bin, slot) by the sizes of bins in a sample, and the number of slots."""
+    slots = config.tasks or spark.sparkContext.defaultParallelism
+    return assign(bin_sizes(sampled(reads, SAMPLE_ONE_IN), config.k, config.m, config.bins), slots), slots
+
+
 def count_job(spark: SparkSession, config: CounterConfig) -> DataFrame:
-    """(bin, kmer, n), written below ``config.output_dir()`` unless ``write`` is off. ``use_hash`` off: sorted in each bin."""
+    """(bin, kmer, n), written below ``config.output_dir()`` unless ``write`` is off. ``use_hash`` off: sorted in each bin.
+
+    With ``balance`` a slot is a task of the writer; with ``tasks`` alone bins go to so many tasks by hash.
+    """
     reads = open_reads(spark, config)
     if config.uppercase:
         reads = reads.withColumn("seq", F.upper("seq"))
     counts = binned_counts(count_kmers(reads, config.k, config.canonical), config.k, config.m, config.bins)
     if config.balance:
-        slots = config.tasks or spark.sparkContext.defaultParallelism
-        counts = deal(counts, assign(bin_sizes(sampled(reads, SAMPLE_ONE_IN), config.k, config.m, config.bins), slots), slots).drop("slot")
+        assignment, slots = placement(spark, reads, config)
+        counts = deal(counts, assignment, slots).drop("slot")
     elif config.tasks:
         counts = counts.repartition(config.tasks, "bin")
     if config.write:
-        write_counts(counts, config.output_dir(), sort=not config.use_hash, binary=config.binary)
+        write_counts(counts, config.output_dir(), sort=not config.use_hash, binary=config.binary, placed=bool(config.balance or config.tasks))
     else:
         write_nothing(counts)
     return counts
 
 
+def balance_job(spark: SparkSession, config: CounterConfig) -> DataFrame:
+    """(slot, bin, n): super-k-mers of each bin and where the sample's placement puts it, written as text with totals."""
+    reads = open_reads(spark, config)
+    assignment, slots = placement(spark, reads, config)
+    report = balance(bin_sizes(reads, config.k, config.m, config.bins), assignment, slots)
+    if config.write:
+        write_balance(report, config.output_dir())
+    return report
+
+
+def totals_job(spark: SparkSession, config: CounterConfig) -> DataFrame:
+    """(seq_tag, kmer, n) of many sequences; the sums over all of them are written as text."""
+    counts = count_by_tag(open_reads(spark, config), config.k)
+    if config.write:
+        write_totals(counts, config.output_dir())
+    return counts
+
+
 def signature_job(spark: SparkSession, config: CounterConfig) -> DataFrame:
     """(bin, sig, n) with totals, written as text."""
     histogram = signature_histogram(open_reads(spark, config), config.k, config.m, config.bins)
     if config.write:
-        write_signatures(histogram, config.output_dir(debug=not config.output_path))
+        write_signatures(histogram, config.output_dir(debug=not config.output_path, root=shared_root(spark)))
     return histogram
 
 

@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.config import n_bins
+from strandline.config import CounterConfig, DistanceConfig, n_bins
 from strandline.functions import bases, minimizer
 from strandline.operators import bins as b
 from strandline.operators import distance as d
 from strandline.operators import kmers as km
 from strandline.operators import minimizers as mz
 from strandline.operators import partitioning as pt
-from strandline.runtime import ship, spread
-from strandline.sources.reads import LETTER_BASES, LETTERS, chunk_reads, reads_from_text, tag_of
+from strandline.plans import jobs
+from strandline.runtime import scratch, ship, spread
+from strandline.sources import sinks
+from strandline.sources.reads import LETTER_BASES, LETTERS, chunk_reads, read_fasta, read_long_fasta, reads_from_text, tag_of
+from strandline.sources.tables import register_functions
 
 K, M, X, SLOTS, SAMPLE = 11, 4, 3, 8, 10
 BINS = n_bins(M, 2000)
@@ -69,8 +72,7 @@ def lpt_assignment(reads: DataFrame) -> DataFrame:
 
 
 def partition_balance(reads: DataFrame) -> DataFrame:
-    supers = mz.super_kmers(reads, K, M, BINS)
-    placed = pt.balance(supers, lpt_assignment(reads), SLOTS)
+    placed = pt.balance(super_kmer_sizes(reads), lpt_assignment(reads), SLOTS)
     return placed.groupBy("slot").agg(F.count("*").alias("n_bins"), F.sum("n").alias("n_super"))
 
 
@@ -80,9 +82,114 @@ def dealt_counts(reads: DataFrame) -> DataFrame:
     return placed.groupBy("slot").agg(F.count("*").alias("n_kmers"), F.sum("n").alias("n"))
 
 
+LANGUAGES = ("en", "de", "fr", "es")
+
+
 def by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = km.count_by_tag(reads_of(spark, sf_dir, "lang"), K).groupBy("kmer").pivot("seq_tag", ["en", "de", "fr", "es"]).agg(F.sum("n"))
-    return wide.select("kmer", *[F.coalesce(c, F.lit(0)).alias(f"n_{c}") for c in ("en", "de", "fr", "es")])
+    """Counts by language, those of all other languages together."""
+    counted = km.count_by_tag(reads_of(spark, sf_dir, "lang"), K)
+    named = F.when(F.col("seq_tag").isin(*LANGUAGES), F.col("seq_tag")).otherwise("other")
+    wide = counted.withColumn("seq_tag", named).groupBy("kmer").pivot("seq_tag", [*LANGUAGES, "other"]).agg(F.sum("n"))
+    return wide.select("kmer", *[F.coalesce(c, F.lit(0)).alias(f"n_{c}") for c in (*LANGUAGES, "other")])
+
+
+def write_fasta(reads: DataFrame, path: str, width: int, same_header: bool = False) -> None:
+    """Records with lines of ``width`` characters; each third one ends its lines with a carriage return too."""
+    header = F.lit("chr1 copied") if same_header else F.concat(F.coalesce("seq_tag", F.lit("")), F.lit("."), F.col("read_id").cast("string"))
+    end = F.when(F.pmod("read_id", F.lit(3)) == 0, "\r\n").otherwise("\n")
+    body = F.regexp_replace(F.coalesce("seq", F.lit("")), f"(.{{{width}}})(?=.)", "$1\n")
+    reads.select(F.concat(F.lit(">"), header, end, F.when(end == "\n", body).otherwise(F.replace(body, F.lit("\n"), F.lit("\r\n")))).alias("value")).write.text(path)
+
+
+def fasta_of(spark: SparkSession, sf_dir: str, long: bool = False) -> str:
+    path = scratch(spark, "fasta")
+    write_fasta(reads_of(spark, sf_dir), path, 70, same_header=long)
+    return path
+
+
+def fasta_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back of the reads written as FASTA: by tag, their number and length."""
+    back = read_fasta(spark, fasta_of(spark, sf_dir))
+    return back.groupBy("seq_tag").agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("chars"), F.countDistinct("read_id").alias("ids"))
+
+
+def long_fasta_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of long sequences that all have one header, read in chunks of 500."""
+    return km.count_kmers(read_long_fasta(spark, fasta_of(spark, sf_dir, long=True), K, chunk=500), K)
+
+
+def long_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Super-k-mers by bin and signature of chunks of long sequences: those over a border count once."""
+    chunks = read_long_fasta(spark, fasta_of(spark, sf_dir, long=True), K, chunk=500)
+    return b.signature_histogram(chunks, K, M, BINS, totals=False)
+
+
+def config_for(spark: SparkSession, sf_dir: str, **more) -> CounterConfig:
+    return CounterConfig(k=K, m=M, x=X, max_bins=2000, input_path=fasta_of(spark, sf_dir), output_path=scratch(spark, "job") + "/", **more)
+
+
+def counted_files(binary: bool, **more) -> Callable[[SparkSession, str], DataFrame]:
+    """The count job from FASTA to files, and what the files hold."""
+
+    def made(spark: SparkSession, sf_dir: str) -> DataFrame:
+        config = config_for(spark, sf_dir, binary=binary, **more)
+        jobs.count_job(spark, config)
+        return sinks.read_counts(spark, config.output_dir(), binary)
+
+    return made
+
+
+def compute_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The count job without output: what it made, by bin."""
+    made = jobs.count_job(spark, config_for(spark, sf_dir, write=False))
+    return made.groupBy("bin").agg(F.count("*").alias("n_kmers"), F.sum("n").alias("n"))
+
+
+def totals_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = config_for(spark, sf_dir)
+    jobs.totals_job(spark, config)
+    return spark.read.option("sep", "\t").schema("kmer string, n bigint").csv(config.output_dir())
+
+
+def signature_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = config_for(spark, sf_dir)
+    jobs.signature_job(spark, config)
+    return spark.read.option("sep", "\t").schema("sig string, n bigint, bin int").csv(config.output_dir()).select("bin", "sig", "n")
+
+
+def balance_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The balance report's totals agree with its rows whatever the placement; the placement is of a sample."""
+    config = config_for(spark, sf_dir, balance=True, tasks=SLOTS)
+    jobs.balance_job(spark, config)
+    rows = spark.read.schema("bin string, n bigint, slot int").csv(config.output_dir())
+    whole = F.col("bin") == "Total"
+    return rows.agg(F.count(F.when(~whole, 1)).alias("n_bins"), F.sum(F.when(~whole, F.col("n"))).alias("n_super"), F.sum(F.when(whole, F.col("n"))).alias("n_totals"))
+
+
+def distance_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = DistanceConfig(k=K, m=M, x=X, max_bins=2000, input_path=fasta_of(spark, sf_dir), output_path=scratch(spark, "job") + "/")
+    jobs.distance_job(spark, config)
+    rows = spark.read.option("sep", "\t").schema("s1 string, s2 string, distance double").csv(config.output_dir())
+    return rows.select("s1", "s2", F.round("distance", 4).alias("distance"))
+
+
+def output_names(spark: SparkSession) -> DataFrame:
+    """Folders of jobs, by parameters."""
+    rows = [(k, m, x, n, s, CounterConfig(k=k, m=m, x=x, max_bins=n, long_sequences=bool(s), output_path="/out/", prefix="p_").output_dir()) for k in (11, 28) for m in (2, 4, 10) for x in (0, 3) for n in (16, 2048) for s in (0, 1)]
+    return spark.createDataFrame(rows, "k int, m int, x int, max_bins int, kind int, folder string")
+
+
+def long_kmer_words(reads: DataFrame) -> DataFrame:
+    """k-mers of 40 bases as two numbers."""
+    words = km.count_kmers(reads, 40).select("kmer", "n", bases.pack_words(F.col("kmer")).alias("w"))
+    return words.select("kmer", "n", F.col("w")[0].alias("word_0"), F.col("w")[1].alias("word_1"))
+
+
+def sql_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The k-mers of reads by the function that SQL users get."""
+    register_functions(spark)
+    reads = reads_of(spark, sf_dir)
+    return spark.sql("SELECT kmer, count(*) AS n FROM (SELECT explode(kmers(seq, 11)) AS kmer FROM {reads}) GROUP BY kmer", reads=reads)
 
 
 def distance_of(measure: str, normalize: bool = False) -> Callable[[DataFrame], DataFrame]:
@@ -137,6 +244,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dist_kld2": _reads(distance_of("kld_log2")),
     "dist_kldn": _reads(distance_of("kld_ln")),
     "dist_sqeuclid_norm": _reads(distance_of("squared_euclidean", True)),
+    "dist_mean_square": _reads(distance_of("mean_square")),
+    "dist_file": distance_file,
+    "fasta_reads": fasta_reads,
+    "fasta_counts": lambda spark, sf_dir: km.count_kmers(read_fasta(spark, fasta_of(spark, sf_dir)), K),
+    "long_fasta_counts": long_fasta_counts,
+    "long_signature_histogram": long_histogram,
+    "count_files_text": counted_files(False),
+    "count_files_sorted": counted_files(False, use_hash=False, tasks=5),
+    "count_files_binary": counted_files(True),
+    "count_files_balanced": counted_files(False, balance=True, tasks=SLOTS),
+    "count_compute_only": compute_only,
+    "totals_file": totals_file,
+    "signature_file": signature_file,
+    "balance_file": balance_file,
+    "output_names": lambda spark, sf_dir: output_names(spark),
+    "kmer_words_k40": _reads(long_kmer_words),
+    "kmer_signatures_k28_m10": _reads(lambda r: km.count_kmers(r, 28).select("kmer", minimizer.signature(F.col("kmer"), 28, 10).alias("s")).select("kmer", F.col("s.v").alias("sig"), F.col("s.p").alias("sig_pos"))),
+    "sql_kmers": sql_kmers,
 }
 
 # ---- the same in SQL --------------------------------------------------------------------------
@@ -199,7 +324,7 @@ l AS (
 _TAGGED = f"{_kmers_sql()}, c AS (SELECT seq_tag, kmer, count(*) AS n FROM k GROUP BY ALL)"
 
 
-def _distance_sql(term: str, symmetric: bool, digits: int = 4, values: str = "SELECT seq_tag, kmer, CAST(n AS DOUBLE) AS n FROM c") -> str:
+def _distance_sql(term: str, symmetric: bool, digits: int = 4, values: str = "SELECT seq_tag, kmer, CAST(n AS DOUBLE) AS n FROM c", fold: str = "{0}") -> str:
     """Every pair of sequences with all k-mers that either of them has."""
     compare = "<" if symmetric else "<>"
     return f"""WITH {_TAGGED},
@@ -210,7 +335,7 @@ e AS (
   SELECT s1, s2, kmer, n AS p, CAST(0 AS DOUBLE) AS q FROM g JOIN v ON v.seq_tag = g.s1
   UNION ALL SELECT s1, s2, kmer, 0, n FROM g JOIN v ON v.seq_tag = g.s2),
 f AS (SELECT s1, s2, kmer, sum(p) AS p, sum(q) AS q FROM e GROUP BY ALL)
-SELECT s1, s2, round(sum({term}), {digits}) AS distance FROM f GROUP BY ALL"""
+SELECT s1, s2, round({fold.format(f"sum({term})")}, {digits}) AS distance FROM f GROUP BY ALL"""
 
 
 _NORMALIZED = f"SELECT seq_tag, kmer, CASE WHEN len - {K} + 1 > 0 THEN n / CAST(len - {K} + 1 AS DOUBLE) ELSE 0 END AS n FROM c JOIN (SELECT seq_tag, sum(length(seq)) AS len FROM reads GROUP BY ALL) USING (seq_tag)"
@@ -221,11 +346,13 @@ r AS (SELECT *, sum(fresh) OVER (PARTITION BY read_id, sig_pos ORDER BY i) AS ru
 z AS (SELECT *, (row_number() OVER (PARTITION BY read_id, sig_pos, run ORDER BY i) - 1) // {X + 1} AS part FROM r),
 kx AS (SELECT read_id, min(i) AS start, count(*) - 1 AS x, o AS orientation FROM z GROUP BY read_id, sig_pos, run, part, o)"""
 
+_BINNED = f"WITH {_supers_sql()}, b AS (SELECT DISTINCT kmer, bin FROM s JOIN k USING (read_id, i) JOIN ub ON ub.read_id = s.read_id AND ub.sig_pos = s.s.p) SELECT bin, kmer, n FROM (SELECT kmer, count(*) AS n FROM k GROUP BY kmer) JOIN b USING (kmer)"
+
 ORACLES: dict[str, str] = {
     "canonical_kmer_counts": _COUNTS,
     "canonical_kmer_counts_k28": f"WITH {_kmers_sql(28)} SELECT kmer, count(*) AS n FROM k GROUP BY kmer",
     "forward_kmer_counts": f"WITH {_kmers_sql()} SELECT f AS kmer, count(*) AS n FROM k GROUP BY f",
-    "sort_path_counts": f"WITH {_supers_sql()}, b AS (SELECT DISTINCT kmer, bin FROM s JOIN k USING (read_id, i) JOIN ub ON ub.read_id = s.read_id AND ub.sig_pos = s.s.p) SELECT bin, kmer, n FROM (SELECT kmer, count(*) AS n FROM k GROUP BY kmer) JOIN b USING (kmer)",
+    "sort_path_counts": _BINNED,
     "window_invalid_bounds": f"WITH {_kmers_sql()} SELECT read_id, CAST(i AS INTEGER) AS i, CAST(strpos(f, 'N') - 1 AS INTEGER) AS first_bad, CAST({K} - strpos(reverse(f), 'N') AS INTEGER) AS last_bad FROM w WHERE contains(f, 'N')",
     "valid_segments": f"""WITH {_reads_sql()}, c AS (SELECT read_id, unnest(range(0, length(seq))) AS i, unnest(string_split(seq, '')) AS ch FROM reads WHERE length(seq) >= {K}),
 g AS (SELECT read_id, i, i - row_number() OVER (PARTITION BY read_id ORDER BY i) AS run FROM c WHERE ch <> 'N')
@@ -252,9 +379,27 @@ SELECT read_id, CAST(min(i) AS INTEGER) AS start, CAST(count(*) AS INTEGER) AS l
     "header_tags": "SELECT regexp_extract(source || '.' || doc_id, '^(\\w+)', 1) AS seq_tag, count(*) AS n FROM documents GROUP BY 1",
     "multiseq_counts": f"WITH {_TAGGED} SELECT seq_tag, kmer, n FROM c",
     "multiseq_totals": _COUNTS,
-    "multiseq_pivot": f"WITH {_kmers_sql(tag='lang')} SELECT kmer, " + ", ".join(f"count(*) FILTER (WHERE seq_tag = '{c}') AS n_{c}" for c in ("en", "de", "fr", "es")) + " FROM k GROUP BY kmer",
+    "multiseq_pivot": f"WITH {_kmers_sql(tag='lang')} SELECT kmer, " + ", ".join(f"count(*) FILTER (WHERE seq_tag = '{c}') AS n_{c}" for c in LANGUAGES) + ", count(*) FILTER (WHERE seq_tag IS NULL OR seq_tag NOT IN (" + ", ".join(f"'{c}'" for c in LANGUAGES) + ")) AS n_other FROM k GROUP BY kmer",
     "dist_sqeuclid": _distance_sql("(p - q) * (p - q)", True),
     "dist_kld2": _distance_sql("CASE WHEN p > 0 AND q > 0 THEN p * log2(p / q) ELSE 0 END", False),
     "dist_kldn": _distance_sql("CASE WHEN p > 0 AND q > 0 THEN p * ln(p / q) ELSE 0 END", False),
     "dist_sqeuclid_norm": _distance_sql("(p - q) * (p - q)", True, 12, _NORMALIZED),
+    "dist_mean_square": _distance_sql("(p - q) * (p - q)", True, fold="{0} / count(*)"),
+    "dist_file": _distance_sql("(p - q) * (p - q)", True),
+    "fasta_reads": f"WITH {_reads_sql()} SELECT seq_tag, count(*) AS n, CAST(sum(length(coalesce(seq, ''))) AS BIGINT) AS chars, count(DISTINCT read_id) AS ids FROM reads GROUP BY seq_tag",
+    "fasta_counts": _COUNTS,
+    "long_fasta_counts": _COUNTS,
+    "long_signature_histogram": f"WITH {_supers_sql()} SELECT bin, sig, count(*) AS n FROM ub GROUP BY bin, sig",
+    "count_files_text": _BINNED,
+    "count_files_sorted": _BINNED,
+    "count_files_binary": _BINNED,
+    "count_files_balanced": _BINNED,
+    "count_compute_only": f"SELECT bin, count(*) AS n_kmers, CAST(sum(n) AS BIGINT) AS n FROM ({_BINNED}) GROUP BY bin",
+    "totals_file": _COUNTS,
+    "signature_file": f"WITH {_supers_sql()} SELECT bin, coalesce(sig, 'Total') AS sig, count(*) AS n FROM ub GROUP BY GROUPING SETS ((bin, sig), (bin))",
+    "balance_file": f"WITH {_supers_sql()} SELECT count(DISTINCT bin) AS n_bins, count(*) AS n_super, count(*) AS n_totals FROM ub",
+    "output_names": "SELECT CAST(k AS INTEGER) AS k, CAST(m AS INTEGER) AS m, CAST(x AS INTEGER) AS x, CAST(b AS INTEGER) AS max_bins, CAST(s AS INTEGER) AS kind, '/out/p_k' || k || '_m' || m || '_x' || x || '_b' || least(CAST(4 ** m AS INTEGER), b) || '_s' || s AS folder FROM (SELECT unnest([11, 28]) AS k), (SELECT unnest([2, 4, 10]) AS m), (SELECT unnest([0, 3]) AS x), (SELECT unnest([16, 2048]) AS b), (SELECT unnest([0, 1]) AS s)",
+    "kmer_words_k40": f"WITH {_kmers_sql(40)} SELECT kmer, count(*) AS n, {_number('left(kmer, 31)', 31)} AS word_0, {_number('right(kmer, 9)', 9)} AS word_1 FROM k GROUP BY kmer",
+    "kmer_signatures_k28_m10": f"WITH {_kmers_sql(28)}, c AS (SELECT DISTINCT kmer FROM k), m AS (SELECT kmer, j, substring(kmer, j + 1, 10) AS q FROM (SELECT kmer, unnest(range(0, 19)) AS j FROM c)), s AS (SELECT kmer, min({{'v': {_norm('q')}, 'p': j}}) AS s FROM m GROUP BY kmer) SELECT kmer, s.v AS sig, CAST(s.p AS INTEGER) AS sig_pos FROM s",
+    "sql_kmers": _COUNTS,
 }

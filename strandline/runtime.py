@@ -1,8 +1,11 @@
-"""What a session needs for this package: its sources on the executors, and batches of bounded size."""
+"""What a session needs for this package: its sources on the executors, batches of bounded size, a shared folder."""
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -10,18 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows go to Python in batches of at most so many bytes, however long their texts are.
 BATCH_BYTES = 4 << 20
+#: No table of more bytes is moved only to have more tasks.
+SPREAD_BYTES = 4 << 30
 _done: set[str] = set()
+_local_roots: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors and bound the batches, once per application."""
+    """Bound the session's batches, and send the package's sources to the executors, once per application."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _done:
         return
     _done.add(app)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="strandline-ship-")) / "strandline.zip"
+    target = Path(tempfile.mkdtemp(prefix="strandline-ship-")) / "strandline.zip"  # the driver's own; Spark sends it on
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
         for source in sorted(root.rglob("*.py")):
             out.write(source, source.relative_to(root.parent))
@@ -29,9 +35,41 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """``table`` dealt over all cores if it comes in fewer splits than there are cores; as it is otherwise.
+    """``table`` dealt over all cores if it has fewer splits than there are cores and at most SPREAD_BYTES; as it is otherwise."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores or int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return table
+    return table.repartition(cores)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from the session's settings.
 
-    Only a table of few splits, hence a small one, is ever moved.
+    Only where that setting is absent and the master is this machine (tests) a temporary folder of it
+    is used; on a cluster that is an error.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if context.applicationId not in _local_roots:
+            _local_roots[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="strandline-")
+        root = _local_roots[context.applicationId]
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of this name in the shared one; it goes when the driver's Python ends."""
+    path = f"{shared_root(spark)}/strandline/{name}-{uuid.uuid4().hex}"
+    atexit.register(delete, spark, path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    try:
+        context = spark.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session or its JVM may be gone by now
+        pass

@@ -1,7 +1,7 @@
 """Reads: FASTA files, and reads derived from tables of text.
 
-A read is (read_id, seq_tag, seq). FASTA has no ids; ``read_id`` is a hash of file and header, so
-it does not change when a task runs again.
+A read is (read_id, seq_tag, seq). FASTA has no ids; ``read_id`` is a hash of file and header, of long
+sequences also of the record's number in the file, so it does not change when a task runs again.
 """
 
 from __future__ import annotations
@@ -43,7 +43,8 @@ def read_long_fasta(spark: SparkSession, path: str, k: int, chunk: int = CHUNK,
 
     The file is read by lines in as many splits as there are. The place of a line in its sequence
     comes from two sums: over the splits before it (one row per split), and over the lines before
-    it in its split. Lines are then put together chunk by chunk, so no task holds a sequence.
+    it in its split. Lines are then put together chunk by chunk, so no task holds a sequence. Records
+    are told apart by their number in the file, as headers may repeat.
     """
     if chunk < k:
         raise ValueError("a chunk must hold a k-mer")
@@ -52,24 +53,25 @@ def read_long_fasta(spark: SparkSession, path: str, k: int, chunk: int = CHUNK,
     lines = lines.withColumns({"is_head": head, "n": F.when(head, 0).otherwise(F.length("line"))})
     inside = Window.partitionBy("file", "block").orderBy("row")
     lines = lines.withColumn("sofar", F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    lines = lines.withColumn("own_heads", F.sum(F.col("is_head").cast("int")).over(inside))
     lines = lines.withColumns({"own_head": F.last(F.when(F.col("is_head"), F.col("line")), True).over(inside), "own_from": F.last(F.when(F.col("is_head"), F.col("sofar")), True).over(inside)})
-    blocks = lines.groupBy("file", "block").agg(F.sum("n").alias("n"), F.max_by("line", F.when(F.col("is_head"), F.col("row"))).alias("head"), F.max(F.when(F.col("is_head"), F.col("sofar"))).alias("head_at"))
+    blocks = lines.groupBy("file", "block").agg(F.sum("n").alias("n"), F.sum(F.col("is_head").cast("int")).alias("heads"), F.max_by("line", F.when(F.col("is_head"), F.col("row"))).alias("head"), F.max(F.when(F.col("is_head"), F.col("sofar"))).alias("head_at"))
     order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     total = F.coalesce(F.sum("n").over(order), F.lit(0))
-    blocks = blocks.withColumn("before", total).withColumn("head_total", F.when(F.col("head").isNotNull(), F.col("before") + F.col("head_at")))
-    blocks = blocks.select("file", "block", "before", F.last("head", True).over(order).alias("prior_head"), F.last("head_total", True).over(order).alias("prior_total"))
+    blocks = blocks.withColumns({"before": total, "heads_before": F.coalesce(F.sum("heads").over(order), F.lit(0))}).withColumn("head_total", F.when(F.col("head").isNotNull(), F.col("before") + F.col("head_at")))
+    blocks = blocks.select("file", "block", "before", "heads_before", F.last("head", True).over(order).alias("prior_head"), F.last("head_total", True).over(order).alias("prior_total"))
     lines = lines.where("not is_head and n > 0").join(blocks, ["file", "block"])
     start = F.col("before") + F.col("sofar") - F.coalesce(F.col("before") + F.col("own_from"), "prior_total")
     header = F.trim(F.substring(F.coalesce("own_head", "prior_head"), 2, 1 << 30))
-    lines = lines.select("file", header.alias("header"), start.alias("start"), "line", "n").where("header is not null")
+    lines = lines.select("file", header.alias("header"), (F.col("heads_before") + F.col("own_heads")).alias("record"), start.alias("start"), "line", "n").where("header is not null")
     # a line belongs to every chunk [c * chunk, (c + 1) * chunk + k - 1) that it touches
     first = F.greatest(F.lit(0), F.floor((F.col("start") - (k - 1)) / chunk))
     parts = lines.withColumn("c", F.explode(F.sequence(first.cast("bigint"), F.floor((F.col("start") + F.col("n") - 1) / chunk).cast("bigint"))))
-    joined = parts.groupBy("file", "header", "c").agg(F.array_sort(F.collect_list(F.struct("start", "line"))).alias("p"))
+    joined = parts.groupBy("file", "record", "header", "c").agg(F.array_sort(F.collect_list(F.struct("start", "line"))).alias("p"))
     text = F.concat_ws("", F.transform("p", lambda x: x["line"]))
     skip = F.greatest(F.lit(0), F.col("c") * chunk - F.col("p")[0]["start"])
     seq = F.substring(text, (skip + 1).cast("int"), F.lit(chunk + k - 1))
-    rows = joined.select(F.xxhash64("file", "header").alias("read_id"), tag_of(F.col("header")).alias("seq_tag"), "header", (F.col("c") * chunk).alias("chunk_start"), (F.upper(seq) if uppercase else seq).alias("seq"))
+    rows = joined.select(F.xxhash64("file", "record", "header").alias("read_id"), tag_of(F.col("header")).alias("seq_tag"), "header", (F.col("c") * chunk).alias("chunk_start"), (F.upper(seq) if uppercase else seq).alias("seq"))
     return rows.where(F.length("seq") >= 1)
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_counts(counts: DataFrame, path: str, sort: bool = True, binary: bool = False) -> None:
-    """(bin, kmer, n) below ``path``, a folder per bin; lines of k-mer, tab, count, or Parquet if ``binary``."""
-    dealt = counts.repartition("bin")
+def write_counts(counts: DataFrame, path: str, sort: bool = True, binary: bool = False, placed: bool = False) -> None:
+    """(bin, kmer, n) below ``path``, a folder per bin; lines of k-mer, tab, count, or Parquet if ``binary``.
+
+    ``placed``: each bin already lies in one partition, and nothing is shuffled again.
+    """
+    dealt = counts if placed else counts.repartition("bin")
     if sort:
         dealt = dealt.sortWithinPartitions("bin", "kmer")
     out = dealt.select("bin", "kmer", "n").write.mode("overwrite").partitionBy("bin")
@@ -18,6 +21,19 @@ def write_counts(counts: DataFrame, path: str, sort: bool = True, binary: bool =
         out.option("sep", "\t").csv(path)
 
 
+def read_counts(spark: SparkSession, path: str, binary: bool = False) -> DataFrame:
+    """(bin, kmer, n) as written by ``write_counts``."""
+    kind = "kmer string, n bigint, bin int"
+    rows = spark.read.schema(kind).parquet(path) if binary else spark.read.schema(kind).option("sep", "\t").csv(path)
+    return rows.select("bin", "kmer", "n")
+
+
+def write_totals(counts: DataFrame, path: str) -> None:
+    """Lines of k-mer, tab, sum over all sequences, from (seq_tag, kmer, n)."""
+    totals = counts.groupBy("kmer").agg(F.sum("n").alias("n"))
+    totals.select("kmer", "n").write.mode("overwrite").option("sep", "\t").csv(path)
+
+
 def write_nothing(result: DataFrame) -> None:
     """All the work, no output."""
     result.write.format("noop").mode("overwrite").save()

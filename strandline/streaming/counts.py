@@ -6,6 +6,7 @@ Counts are state by k-mer, kept by Spark; there is no event time, so nothing is
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from strandline.operators.kmers import count_kmers
@@ -21,6 +22,19 @@ def stream_counts(reads: DataFrame, k: int, canonical: bool = True) -> DataFrame
     return count_kmers(reads, k, canonical=canonical)
 
 
-def start_counts(reads: DataFrame, k: int, name: str, checkpoint: str) -> StreamingQuery:
-    """Keep the counts in the memory table ``name``; for tests and small streams."""
-    return stream_counts(reads, k).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).start()
+def start_counts(reads: DataFrame, k: int, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the counts that each batch changes below ``path``, a folder per batch; ``latest_counts`` reads them.
+
+    A batch that runs again writes its own folder again, so counts are exact after a failure.
+    """
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return stream_counts(reads, k).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).start()
+
+
+def latest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(kmer, n) so far: each k-mer as the last batch that changed it has it."""
+    rows = spark.read.schema("kmer string, n bigint, batch bigint").parquet(path)
+    return rows.groupBy("kmer").agg(F.max_by("n", "batch").alias("n"))

@@ -43,10 +43,14 @@ def test_matches_direct_sum_also_for_disjoint_sequences(spark, normalize):
 
 
 def test_a_measure_of_ones_own(spark):
-    m = d.register(d.Measure("shared_product", lambda p, q: p * q, True, fold="product", finalize=lambda x: x + 1))
+    m = d.register(d.Measure("shared_product", lambda p, q: p * q, True, fold="product", finalize=lambda x, n: x + n))
     counts = spark.createDataFrame([("a", "AC", 2), ("a", "GG", 3), ("b", "AC", 5), ("b", "GG", 1), ("c", "TT", 1)], "seq_tag string, kmer string, n long")
-    assert found(d.distances(counts, "shared_product")) == {("a", "b"): 31.0, ("a", "c"): 2.0, ("b", "c"): 2.0}
-    assert d.MEASURES.pop(m.name) is m
+    assert found(d.distances(counts, "shared_product")) == {("a", "b"): 32.0, ("a", "c"): 4.0, ("b", "c"): 4.0}
+    assert d.MEASURES.pop(m.name) is m and m.internal_product and not d.SQUARED_EUCLIDEAN.internal_product
+    assert found(d.distances(counts, "mean_square")) == {("a", "b"): 13 / 2, ("a", "c"): 14 / 3, ("b", "c"): 27 / 3}
+    picky = d.Measure("picky", lambda p, q: p, True, compatible=lambda c: "weight" in c.columns)
+    with pytest.raises(ValueError):
+        d.distances(counts, picky)
 
 
 def test_lpt():
@@ -61,5 +65,5 @@ def test_rows_are_dealt_by_slot(spark):
     dealt = pt.deal(rows, assignment, 3).withColumn("p", F.spark_partition_id()).collect()
     assert len(dealt) == 21 and all(r["p"] == r["slot"] for r in dealt)
     assert {r["slot"] for r in dealt if r["bin"] == 5} == {5 % 3}
-    balance = {(r["slot"], r["bin"]): r["n"] for r in pt.balance(rows, assignment, 3).collect()}
+    balance = {(r["slot"], r["bin"]): r["n"] for r in pt.balance(rows.groupBy("bin").agg(F.count("*").alias("n_super")), assignment, 3).collect()}
     assert sum(balance.values()) == 21 and balance[2, 5] == 6

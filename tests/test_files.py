@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from strandline.cli import config_of, main, parser
 from strandline.config import CounterConfig, n_bins
 from strandline.operators import kmers as km
+from strandline.operators.bins import sampled, super_kmer_counts
 from strandline.sources import sinks
 from strandline.sources.reads import read_fasta, read_long_fasta, tag_of
-from strandline.streaming.counts import start_counts, stream_reads
+from strandline.streaming.counts import latest_counts, start_counts, stream_reads
 from tests import brute
 from tests.test_kmers import as_dict, noisy
 
@@ -53,6 +55,28 @@ def test_fasta_of_long_sequences(spark, tmp_path, seqs):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
 
 
+def test_long_sequences_with_the_same_header(spark, tmp_path):
+    a, b = "ACGTTGCAGGATTC", "TTTTCCCCGAGAGA"
+    (tmp_path / "l.fa").write_text(f">chr1\n{a[:8]}\n{a[8:]}\n>chr1\n{b[:8]}\n{b[8:]}\n>chr2\n>chr1\n{a}\n")
+    chunks = read_long_fasta(spark, str(tmp_path), 5, chunk=50).collect()
+    assert sorted(r["seq"] for r in chunks) == sorted([a, b, a]) and len({r["read_id"] for r in chunks}) == 3
+
+
+def test_super_kmers_over_borders_of_chunks_count_once(spark, tmp_path, seqs):
+    long = [seqs[0] * 5, seqs[1] + "N" + seqs[0], "ACGTACGTAC"]
+    (tmp_path / "l.fa").write_text("".join(f">c\n{wrapped(s, 50)}\n" for s in long))
+    want: dict = {}
+    for s in long:
+        for _, n, sig, _ in brute.super_kmers(s, 9, 4):
+            have = want.get(sig, (0, 0))
+            want[sig] = (have[0] + 1, have[1] + n)
+    for chunk in (9, 31, 100):
+        got = super_kmer_counts(read_long_fasta(spark, str(tmp_path), 9, chunk=chunk), 9, 4, 64).collect()
+        number = lambda sig: 4**4 if sig == "~" else brute.number(sig)
+        assert {number(r["sig"]): (r["n"], r["n_kmers"]) for r in got} == want
+    assert 0 < sampled(read_long_fasta(spark, str(tmp_path), 9, chunk=9), 5).count() < 100
+
+
 def test_tags(spark):
     rows = spark.createDataFrame([("SRR197985.1 HWUSI",), ("",), (".x",), (None,)], "h string").select(tag_of(F.col("h"))).collect()
     assert [r[0] for r in rows] == ["SRR197985", "", "", None]
@@ -74,6 +98,7 @@ def test_count_files(spark, tmp_path):
 def test_config():
     assert n_bins(3, 2048) == 64 and n_bins(10, 2048) == 2048
     assert CounterConfig(k=28, m=10, x=3, output_path="/out/", prefix="p_").output_dir() == "/out/p_k28_m10_x3_b2048_s0"
+    assert CounterConfig(k=28, m=10).output_dir(debug=True, root="/shared") == "/shared/k28_m10_x3_b2048"
     for bad in ({"m": 0}, {"m": 16}, {"k": 3, "m": 4}, {"x": -1}, {"max_bins": 0}):
         with pytest.raises(ValueError):
             CounterConfig(**bad)
@@ -86,10 +111,17 @@ def test_jobs_by_command_line(spark, tmp_path, seqs, options):
     (tmp_path / "in.fa").write_text("".join(f">t{i}.1\n{s}\n" for i, s in enumerate(seqs)))
     use_hash, balance = options
     main(["count", "7", "3", "2", "20", use_hash, "0", f"{tmp_path}/in.fa", f"{tmp_path}/out/", "p_", "1", "0", balance, "3"])
-    rows = spark.read.option("sep", "\t").schema("kmer string, n long, bin int").csv(f"{tmp_path}/out/p_k7_m3_x2_b20_s0")
+    out = f"{tmp_path}/out/p_k7_m3_x2_b20_s0"
+    rows = spark.read.option("sep", "\t").schema("kmer string, n long, bin int").csv(out)
+    assert max(len(list(b.glob("part*.csv"))) for b in Path(out).glob("bin=*")) == 1  # each bin is the work of one task
     assert as_dict(rows) == brute.counts(seqs, 7)
     main(["signatures", "7", "3", "2", "20", "1", "0", f"{tmp_path}/in.fa", f"{tmp_path}/sig/"])
     assert spark.read.text(f"{tmp_path}/sig/k7_m3_x2_b20_s0").where("value like 'Total%'").count() > 0
+    main(["balance", "7", "3", "2", "20", "1", "0", f"{tmp_path}/in.fa", f"{tmp_path}/bal/", "", "1", "0", "0", "3"])
+    lines = spark.read.schema("bin string, n long, slot int").csv(f"{tmp_path}/bal/k7_m3_x2_b20_s0")
+    assert lines.where("bin = 'Total'").agg(F.sum("n")).first()[0] == sum(len(brute.super_kmers(s, 7, 3)) for s in seqs)
+    main(["totals", "7", "3", "2", "20", "1", "0", f"{tmp_path}/in.fa", f"{tmp_path}/tot/"])
+    assert as_dict(spark.read.option("sep", "\t").schema("kmer string, n long").csv(f"{tmp_path}/tot/k7_m3_x2_b20_s0")) == brute.counts(seqs, 7)
     main(["distance", "7", "3", "2", "20", "1", "0", f"{tmp_path}/in.fa", f"{tmp_path}/dist/", "--measure", "kld_ln"])
     assert spark.read.text(f"{tmp_path}/dist/k7_m3_x2_b20_s0").count() == 2  # the third read is shorter than k
 
@@ -97,12 +129,12 @@ def test_jobs_by_command_line(spark, tmp_path, seqs, options):
 def test_stream_matches_batch(spark, tmp_path, seqs):
     frame = lambda *s: spark.createDataFrame([(i, "t", x) for i, x in enumerate(s)], "read_id long, seq_tag string, seq string")
     frame(seqs[0]).write.parquet(f"{tmp_path}/in/a")
-    query = start_counts(stream_reads(spark, f"{tmp_path}/in/*"), 6, "so_far", f"{tmp_path}/checkpoint")
+    query = start_counts(stream_reads(spark, f"{tmp_path}/in/*"), 6, f"{tmp_path}/so_far", f"{tmp_path}/checkpoint")
     try:
         query.processAllAvailable()
-        assert as_dict(spark.table("so_far")) == brute.counts(seqs[:1], 6)
+        assert as_dict(latest_counts(spark, f"{tmp_path}/so_far")) == brute.counts(seqs[:1], 6)
         frame(*seqs[1:]).write.parquet(f"{tmp_path}/in/b")
         query.processAllAvailable()
-        assert as_dict(spark.table("so_far")) == brute.counts(seqs, 6)
+        assert as_dict(latest_counts(spark, f"{tmp_path}/so_far")) == brute.counts(seqs, 6)
     finally:
         query.stop()

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from strandline.functions import minimizer
 from strandline.functions.minimizer import signature, signature_number
 from strandline.operators import bins as b
 from strandline.operators import kmers as km
@@ -78,6 +79,14 @@ def test_signature_of_a_kmer_is_that_of_its_super_kmer(spark):
     assert tuple(row) == min((brute.norm("GATTACAGA"[j : j + m]), j) for j in range(k - m + 1))
 
 
+def test_signatures_of_long_kmers_are_not_unrolled(spark, monkeypatch):
+    rows = spark.createDataFrame([(noisy(16, 60).replace("N", "A")[:50],)], "kmer string")
+    one = lambda: rows.select(signature(F.col("kmer"), 50, 5).alias("s")).select("s.v", "s.p")
+    folded = one().first()
+    monkeypatch.setattr(minimizer, "UNROLLED", 100)
+    assert folded == one().first() and one().schema["p"].dataType.simpleString() == "int"
+
+
 def test_histogram_and_sizes(spark):
     r = reads(spark, noisy(14, 600), noisy(15, 300))
     h = b.signature_histogram(r, 9, 4, 32).collect()
