@@ -189,7 +189,7 @@ def sql_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The k-mers of reads by the function that SQL users get."""
     register_functions(spark)
     reads = reads_of(spark, sf_dir)
-    return spark.sql("SELECT kmer, count(*) AS n FROM (SELECT explode(kmers(seq, 11)) AS kmer FROM {reads}) GROUP BY kmer", reads=reads)
+    return spark.sql("SELECT kmer, count(*) AS n FROM (SELECT explode(all) AS kmer FROM (SELECT kmers(seq, 11) AS all FROM {reads})) GROUP BY kmer", reads=reads)
 
 
 def distance_of(measure: str, normalize: bool = False) -> Callable[[DataFrame], DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def register_functions(spark: SparkSession) -> None:
-    """The function ``kmers(seq, k)``: the canonical k-mers of a read in order, to be used with ``explode``.
+    """The function ``kmers(seq, k)``: the canonical k-mers of a read in order, for an ``explode`` around its query.
 
     It is SQL itself and becomes part of the plan, so no Python runs and nothing is shuffled for it. A
     null read has null, one without k-mers an empty array.
