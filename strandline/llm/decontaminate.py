@@ -8,15 +8,18 @@ each hit are compared in full.
 
 Tokens are runs of word characters (\\w: letters, digits and underscores of any script) in lower
 case, so no-break spaces, dashes and curly quotes part them. An item of fewer than SPAN tokens, but
-at least LEAST, counts if all its tokens occur in a row; shorter ones are no evidence and match
-nothing.
+at least LEAST, counts if all its tokens occur in a row; from ten tokens on one of them may be
+substituted, by masks of the item's own width. Shorter items are no evidence and match nothing;
+``unsearched`` lists them.
 
 The items' windows are held in memory by every task only if there are at most ``most_windows``;
-otherwise a filter of fixed size stands in, and hits are joined with the table of windows.
+otherwise a filter of fixed size stands in, and hits are joined with the table of windows. Both
+ways give the same rows.
 
-Edge cases: null or empty texts and items match nothing; repeated items each count under their id,
-repeated documents each give their rows once per (id, item); ids may be null and then match
-nothing; an empty table on either side gives an empty result; other columns are ignored.
+Edge cases: null or empty texts and items match nothing; very long texts are read whole; repeated
+items each count under their id, repeated documents each give their rows once per (id, item), also if
+a repeated id stands for different texts; ids may be null and then match nothing; ties cannot arise;
+an empty table on either side gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from strandline.llm.shingles import TOKENS, mixed, word_hashes
 
 SPAN, SUBSTITUTIONS, IGNORED, LEAST = 13, 2, 6, 8
 MOST_WINDOWS = 200_000
+HELD_HITS = 100_000  # hits of the filter that a task holds
 FILTER_BITS = 1 << 26
 APART = re.compile(r"[^\x00-\x7f\w]+")  # beyond ASCII; TOKENS knows which ASCII characters part tokens
 WINDOW = "h long, item_id long, width int, tokens binary"
@@ -52,7 +56,13 @@ def spaced_masks(span: int = SPAN, ignored: int = IGNORED, substitutions: int =
     return masks
 
 
-MASKS = spaced_masks()
+def substitutions_of(width: int) -> int:
+    """How many tokens of a window may differ: 2 of SPAN, 1 of ten or more, else none."""
+    return max(0, (width - 7) // 3)
+
+
+#: By width of window: the positions that each mask keeps.
+MASKS = {w: spaced_masks(w, IGNORED if w == SPAN else w // 3, n) if (n := substitutions_of(w)) else [tuple(range(w))] for w in range(LEAST, SPAN + 1)}
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(SPAN)], dtype=np.uint64)
 
 
@@ -66,43 +76,31 @@ def tokens_of(text: str | None) -> np.ndarray:
     return word_hashes(low.encode("utf-8", "replace"), TOKENS)
 
 
-def masked_hashes(tokens: np.ndarray) -> list[np.ndarray]:
+def masked_hashes(tokens: np.ndarray, width: int = SPAN) -> list[np.ndarray]:
     """One array per mask: the hash of the kept tokens of every window."""
-    n = len(tokens) - SPAN + 1
+    n = len(tokens) - width + 1
     if n <= 0:
         return []
-    scaled = [tokens[k : k + n] * _FACTORS[k] for k in range(SPAN)]
+    scaled = [tokens[k : k + n] * _FACTORS[k] for k in range(width)]
     out = []
-    for i, mask in enumerate(MASKS):
-        total = scaled[mask[0]] + np.uint64(i + 1)
+    for i, mask in enumerate(MASKS[width]):
+        total = scaled[mask[0]] + np.uint64((width << 8) + i + 1)
         for k in mask[1:]:
             total = total + scaled[k]
         out.append(mixed(total))
     return out
 
 
-def whole_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all windows of ``width`` < SPAN tokens, none ignored."""
-    n = len(tokens) - width + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    total = np.full(n, width, dtype=np.uint64) << np.uint64(32)
-    for k in range(width):
-        total = total + tokens[k : k + n] * _FACTORS[k]
-    return mixed(total)
-
-
 def seeds(tokens: np.ndarray, widths) -> Iterator[tuple[int, np.ndarray]]:
-    """(window width, hashes by position) for every mask, and for the widths of short items."""
-    for h in masked_hashes(tokens):
-        yield SPAN, h
+    """(window width, hashes by position) for every mask of the ``widths``."""
     for w in widths:
-        yield w, whole_hashes(tokens, w)
+        for h in masked_hashes(tokens, w):
+            yield w, h
 
 
 def agree(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
     """Whether windows (rows) are the same but for the substitutions that their width allows."""
-    return (a != b).sum(axis=1) <= (SUBSTITUTIONS if width == SPAN else 0)
+    return (a != b).sum(axis=1) <= substitutions_of(width)
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -113,7 +111,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 t = tokens_of(text.as_py())
-                for width, h in seeds(t, [len(t)] if LEAST <= len(t) < SPAN else []):
+                for width, h in seeds(t, [min(len(t), SPAN)] if len(t) >= LEAST else []):
                     rows += [(int(x), item, width, t[p : p + width].tobytes()) for p, x in enumerate(h.view(np.int64))]
             columns = zip(*rows) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], [x.split()[0] for x in WINDOW.split(", ")])
@@ -141,9 +139,7 @@ class Index:
     def found(self, tokens: np.ndarray) -> list[int]:
         """Items of which ``tokens`` holds a window."""
         hits: set[int] = set()
-        for width, h in seeds(tokens, [w for w in self.by_width if w < SPAN]):
-            if width not in self.by_width:
-                continue
+        for width, h in seeds(tokens, self.by_width):
             h = h.view(np.int64)
             at = np.flatnonzero(has_bits(self.bits, h))
             if not len(at):
@@ -178,20 +174,25 @@ def has_bits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def filter_of(hashes: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over the long column ``h``, made in at most 8 tasks."""
+    """A Bloom filter of fixed size over the long column ``h``: its words are put together by an aggregate."""
+    place = F.explode(F.array(F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(FILTER_BITS - 1))))
+    words = hashes.select("h").distinct().select(place.alias("place")).groupBy(F.shiftright("place", 6).cast("int").alias("word"))
+    found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("set")).toPandas()  # at most FILTER_BITS / 64 rows
+    made = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    made[found["word"].to_numpy()] = found["set"].to_numpy()
+    return made.view(np.uint8)
+
+
+def unsearched(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item_id, n_tokens) of the items that have too few tokens to be searched for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
         for batch in batches:
-            set_bits(bits, np.asarray(batch.column(0)))
-        for k in range(0, len(bits), 1 << 18):
-            if (part := bits[k : k + (1 << 18)]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["at", "part"])
+            n = pa.array([len(tokens_of(v.as_py())) for v in batch.column(1)], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n], ["item_id", "n_tokens"])
 
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for row in hashes.select("h").coalesce(8).mapInArrow(run, "at int, part binary").toLocalIterator():
-        bits[row["at"] : row["at"] + len(row["part"])] |= np.frombuffer(row["part"], dtype=np.uint8)
-    return bits
+    rows = items.select(F.col(id_col).cast("long").alias("item_id"), text_of(text_col).alias("text"))
+    return rows.mapInArrow(run, "item_id long, n_tokens int").where(F.col("n_tokens") < LEAST)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most_windows: int = MOST_WINDOWS) -> DataFrame:
@@ -211,18 +212,31 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
         return rows.mapInArrow(look, "doc_id long, item_id long").distinct()
 
-    widths = [r["width"] for r in windows.select("width").distinct().collect() if r["width"] < SPAN]  # at most SPAN numbers
+    widths = [r["width"] for r in windows.select("width").distinct().collect()]  # at most SPAN numbers
     bits = spark.sparkContext.broadcast(filter_of(windows))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for h, doc_id, width, seen in held:
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.repeat(pa.scalar(doc_id, pa.int64()), len(h)), pa.repeat(pa.scalar(width, pa.int32()), len(h)), pa.array([row.tobytes() for row in seen], pa.binary())], ["h", "doc_id", "width", "seen"])
+
         for batch in batches:
-            out = []
             for doc_id, text in zip(*batch.columns):
                 t = tokens_of(text.as_py())
                 for width, h in seeds(t, widths):
                     h = h.view(np.int64)
-                    out += [(int(h[p]), doc_id.as_py(), width, t[p : p + width].tobytes()) for p in np.flatnonzero(has_bits(bits.value, h))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["h", "doc_id", "width", "seen"])
+                    found = np.flatnonzero(has_bits(bits.value, h))
+                    for at in np.array_split(found, len(found) // HELD_HITS + 1):
+                        if len(at):
+                            held.append((h[at], doc_id.as_py(), width, t[at[:, None] + np.arange(width)]))
+                            size += len(at)
+                        if size > HELD_HITS:
+                            yield from sent()
+                            held, size = [], 0
+        yield from sent()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -112,15 +112,15 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.root, d.doc_id) AS c
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
     # a window of 13 tokens with at most two substitutions has four equal tokens in a row
     "op10_decontamination": """
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9A-Za-z_\\x{80}-\\x{10FFFF}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-i AS (SELECT item_id, regexp_extract_all(lower(text), '[0-9A-Za-z_\\x{80}-\\x{10FFFF}]+') AS q FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS q FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
 a AS (SELECT doc_id, p, w[p + 1:p + 4] AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 3)) AS p FROM t)),
 b AS (SELECT item_id, j, q[j + 1:j + 4] AS g FROM (SELECT item_id, q, unnest(range(0, len(q) - 3)) AS j FROM i)),
 d AS (SELECT DISTINCT doc_id, item_id, p - j AS o FROM a JOIN b USING (g)),
 c AS (SELECT doc_id, item_id, o, w, q FROM d JOIN t USING (doc_id) JOIN i USING (item_id))
 SELECT DISTINCT doc_id, item_id FROM c
 WHERE CASE WHEN len(q) >= 13 THEN list_contains(list_transform(range(0, len(q) - 12), lambda s: o + s >= 0 AND o + s + 13 <= len(w) AND list_sum(list_transform(range(0, 13), lambda k: CASE WHEN w[o + s + k + 1] = q[s + k + 1] THEN 1 ELSE 0 END)) >= 11), true)
-           ELSE len(q) >= 8 AND o >= 0 AND w[o + 1:o + len(q)] = q END""",
+           ELSE len(q) >= 8 AND o >= 0 AND o + len(q) <= len(w) AND list_sum(list_transform(range(0, len(q)), lambda k: CASE WHEN w[o + k + 1] = q[k + 1] THEN 1 ELSE 0 END)) >= len(q) - (len(q) - 7) // 3 END""",
     "op9_embedding_dups": """
 WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
 u AS MATERIALIZED (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
