@@ -2,20 +2,22 @@
 
 A paragraph is a line, or adjoining lines over which a notice is wrapped. Its words and word pairs are the sparse features of a multinomial logistic
 regression over licence families and ``none``. It learns from the notices below, varied at random
-with a fixed seed, and from lines of at most BACKGROUND_DOCS documents (the smallest by a hash of
-the id; lines that resemble a notice are left out). Its confidence is calibrated by one temperature
-on variations and lines that it has not learned from. A paragraph that is rather a licence than
-not is compared with the predicted family's notices; if the calibrated probability or the
-resemblance is too low, its family is ``unknown``.
-
-Lines that no family got by themselves are searched for wrapped notices: in runs of adjoining lines,
+with a fixed seed, from sentences that only use their words (``LOOKALIKES``), and from lines of at most
+BACKGROUND_DOCS documents (the smallest by a hash of the id; lines that resemble a notice are left
+out). Its confidence is calibrated by one temperature on variations and lines that it has not learned
+from. A paragraph that is rather a licence than not is compared with the predicted family's notices;
+if the calibrated probability or the resemblance is too low, its family is ``unknown``. That again has
+to be confirmed: the paragraph must resemble some notice a little, or the form of a grant.
+
+Lines that are not most of a notice by themselves are searched for wrapped notices: in runs of adjoining lines,
 which a line without words ends (comment markers are no words), the windows of at most MOST_LINES
 lines that hold enough of a notice's word pairs are judged as one paragraph. What is found there
-takes the place of its lines' findings.
+takes the place of its lines' findings if it resembles its notice more than any of them.
 
 Edge cases: null and empty texts have no paragraphs; repeated rows each give their findings; an
 empty table learns from the notices alone and gives an empty result; null ids are kept; columns
-other than the id and the text are ignored; texts are read whole.
+other than the id and the text are ignored; very long texts are read whole; of families with equal
+probability the first one is taken, of equal windows the shorter, then the earlier one.
 """
 
 from __future__ import annotations
@@ -35,8 +37,10 @@ BACKGROUND_DOCS, BACKGROUND_LINES = 400, 3_000
 VARIATIONS = 30
 SEED = 20_240_603
 LEAST_PROBABILITY, LEAST_RESEMBLANCE = 0.5, 0.6
+LEAST_HINT = 0.6  # of a notice's or a grant's word pairs, for the family ``unknown``
+WHOLE = 0.9  # a line that resembles a notice so much is all of it
 MOST_LINES = 24
-WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")  # hyphenated words are parted, as lines may be wrapped there
 
 # Notices of each family.
 NOTICES: dict[str, list[str]] = {
@@ -75,6 +79,14 @@ NOTICES: dict[str, list[str]] = {
 }
 #: Licence-like lines of no family, so that the classifier learns what the families do not share.
 OTHER_NOTICES = ["Licensed under the {} License.", "Released under the terms of the {} Public License, version {}.", "All rights reserved by {}.", "SPDX-License-Identifier: {}"]
+#: Sentences of no licence that use the words of one; gaps are filled at random.
+LOOKALIKES = [
+    "His driving license was revoked by the {} court.", "You need a {} license to fish in the river.", "The {} permission was granted to any person who asked for a copy.",
+    "The software is free of charge for {} and {} users.", "Apache helicopters flew over the {} base.", "Students at MIT released a {} study this week.",
+    "The general public may visit the {} garden.", "The {} foundation published a version of the report.", "Files and documents of the {} project are kept in the office.",
+    "All copies of the {} book were sold under the old title.", "The license fee for {} was paid without delay.", "A licensed {} must follow the terms and conditions of the contract.",
+    "The creative work of {} was shared in common rooms.", "This file is subject to the {} rules of the house.", "She released the {} under her own name.", "The source of the {} code is not known.",
+]
 
 
 def words_of(line: str) -> list[str]:
@@ -90,6 +102,30 @@ def pairs_of(words: list[str]) -> set:
     return set(zip(["", *words], [*words, ""]))
 
 
+class Sparse:
+    """Rows of given features, each scaled to length 1, and a constant: only what is not zero is kept, by row and by feature."""
+
+    def __init__(self, rows: list[list[int]], features: int):
+        size = np.array([len(r) + 1 for r in rows], dtype=np.int64)
+        self.shape = len(rows), features + 1
+        self.column = np.array([j for r in rows for j in (*r, features)], dtype=np.int64)
+        self.row = np.repeat(np.arange(len(rows)), size)
+        value = 1 / np.sqrt(np.maximum(1, size - 1)).astype(np.float32)
+        self.value = np.where(self.column == features, np.float32(1), np.repeat(value, size))[:, None]
+        self.start = np.cumsum(size) - size
+        self.order = np.argsort(self.column, kind="stable")
+        self.used, self.first = np.unique(self.column[self.order], return_index=True)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.value * w[self.column], self.start) if self.shape[0] else np.zeros((0, w.shape[1]), dtype=w.dtype)
+
+    def transposed_times(self, z: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.shape[1], z.shape[1]), dtype=z.dtype)
+        if self.shape[0]:
+            out[self.used] = np.add.reduceat((self.value * z[self.row])[self.order], self.first)
+        return out
+
+
 class Classifier:
     """Sparse weights of the families, a temperature, and the notices' word pairs."""
 
@@ -104,6 +140,7 @@ class Classifier:
                 if all(pair):
                     self.notices_of.setdefault(pair, []).append(i)
         self.first_words = {a for a, _ in self.notices_of}
+        self.grants = [g for n in OTHER_NOTICES if (g := {p for part in n.split("{}") for p in zip(words_of(part), words_of(part)[1:])})]
         lines = [w for line in background if (w := words_of(line)) and self._best(w, list(NOTICES))[1] < 0.5][:BACKGROUND_LINES]
         spare = sorted({w for line in lines for w in line}) or ["word"]
         rows, y = [], []
@@ -116,6 +153,10 @@ class Classifier:
                     cut = rng.integers(0, len(around) + 1)
                     rows.append([*around[:cut], *words, *around[cut:]])
                     y.append(k)
+        for sentence in LOOKALIKES:
+            for _ in range(VARIATIONS // 3):
+                rows.append(words_of(re.sub(r"\{\}", lambda _: str(rng.choice(spare)), sentence)))
+                y.append(len(self.families) - 1)
         rows += lines
         y += [len(self.families) - 1] * len(lines)
         order = rng.permutation(len(rows))
@@ -131,28 +172,29 @@ class Classifier:
         gain = (self.weights[:, :-1] - self.weights[:, -1:]).max(axis=1)
         self.evidence = {w for g, j in self.feature.items() if gain[j] > 0 for w in ([g] if isinstance(g, str) else g)}
 
-    def _matrix(self, rows: list[list[str]]) -> np.ndarray:
-        x = np.zeros((len(rows), len(self.feature) + 1), dtype=np.float32)
-        x[:, -1] = 1
-        for i, words in enumerate(rows):
-            at = [self.feature[g] for g in grams_of(words) if g in self.feature]
-            x[i, at] = 1 / max(1.0, len(at)) ** 0.5
-        return x
+    def _matrix(self, rows: list[list[str]]) -> "Sparse":
+        at = [[self.feature[g] for g in grams_of(words) if g in self.feature] for words in rows]
+        return Sparse(at, len(self.feature))
 
     def _fit(self, rows, y, check_rows, check_y, rounds: int = 150, rate: float = 6.0, l1: float = 2e-5) -> None:
         x, goal = self._matrix(rows), np.eye(len(self.families), dtype=np.float32)[y]
         share = 1 / np.sqrt(np.maximum(1, np.bincount(y, minlength=len(self.families))))[y]
         share = (share / share.sum()).astype(np.float32)[:, None]
-        w = before = np.zeros((x.shape[1], len(self.families)), dtype=np.float32)
+        w = before = np.zeros((len(self.feature) + 1, len(self.families)), dtype=np.float32)
         for k in range(rounds):
             ahead = w + k / (k + 3) * (w - before)
-            step = ahead - rate * (x.T @ (share * (softmax(x @ ahead) - goal)))
+            step = ahead - rate * x.transposed_times(share * (softmax(x.times(ahead)) - goal))
             before, w = w, np.sign(step) * np.maximum(np.abs(step) - rate * l1, 0)
         self.weights, self.bias = w[:-1], w[-1]
-        z = self._matrix(check_rows) @ w
+        z = self._matrix(check_rows).times(w)
         loss = lambda t: -np.log(softmax(z / t)[np.arange(len(check_y)), check_y] + 1e-12).mean() if len(check_y) else t
         self.temperature = min(np.geomspace(0.05, 5, 60), key=loss)
 
+    def _hinted(self, words: list[str], resemblance: float) -> bool:
+        """Whether a paragraph of no certain family is like a licence at all: part of a notice, or a grant's form."""
+        have = set(zip(words, words[1:]))
+        return resemblance >= LEAST_HINT or any(len(g & have) >= LEAST_HINT * len(g) for g in self.grants)
+
     def _best(self, words: list[str], families: list[str]) -> tuple[str, float]:
         """The notice that is most nearly contained in ``words``: its family and the share of its word pairs."""
         have = {*zip(words, words[1:]), *(("", w) for w in words), *((w, "") for w in words)}
@@ -170,11 +212,10 @@ class Classifier:
             return None
         k = int(p[:-1].argmax())
         family = self.families[k]
-        if family == UNKNOWN:
-            return UNKNOWN, float(p[k]), self._best(words, list(NOTICES))[1]
-        resemblance = self._best(words, [family])[1]
-        sure = p[k] >= LEAST_PROBABILITY and resemblance >= LEAST_RESEMBLANCE
-        return family if sure else UNKNOWN, float(p[k]), resemblance
+        resemblance = self._best(words, list(NOTICES) if family == UNKNOWN else [family])[1]
+        if family != UNKNOWN and p[k] >= LEAST_PROBABILITY and resemblance >= LEAST_RESEMBLANCE:
+            return family, float(p[k]), resemblance
+        return (UNKNOWN, float(p[k]), resemblance) if self._hinted(words, resemblance) else None
 
     def windows(self, lines: list[list[str]]) -> list[tuple[int, int]]:
         """(first, last) of the adjoining lines that together may hold a wrapped notice, the fullest first; none overlap."""
@@ -228,13 +269,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def findings(text: str, classifier: Classifier) -> list[tuple]:
     """(paragraph, start, end, family, probability, resemblance) of every licence paragraph; it has its first line's number."""
     out: dict[int, tuple] = {}
-    run: list[tuple[int, int, int, list[str]]] = []  # adjoining lines of no family: number, start, end, words
+    run: list[tuple[int, int, int, list[str]]] = []  # adjoining lines that are no whole notice: number, start, end, words
     start = 0
 
     def search() -> None:
         if len(run) > 1:
             for a, b in classifier.windows([words for *_, words in run]):
-                if found := classifier.judge([w for *_, words in run[a : b + 1] for w in words]):
+                found = classifier.judge([w for *_, words in run[a : b + 1] for w in words])
+                if found and found[2] > max(out[k][5] if k in out else 0 for k, *_ in run[a : b + 1]):
                     for k, *_ in run[a : b + 1]:
                         out.pop(k, None)
                     out[run[a][0]] = (run[a][0], run[a][1], run[b][2], *found)
@@ -244,7 +286,7 @@ def findings(text: str, classifier: Classifier) -> list[tuple]:
         words, end = words_of(line), start + len(line)
         if words and (found := classifier.judge(words)):
             out[k] = (k, start, end, *found)
-        if words and (k not in out or out[k][3] == UNKNOWN):
+        if words and (k not in out or out[k][5] < WHOLE):
             run.append((k, start, end, words))
         else:
             search()

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
+import textwrap
 import zlib
 
+import numpy as np
 import pytest
 
 from strandline.llm import decontaminate as dc
@@ -77,28 +80,79 @@ def test_licences(spark):
     assert li.find_licenses(frame(spark, []).where("false")).count() == 0
 
 
+def test_sparse_rows_multiply_like_dense_ones():
+    rng = np.random.default_rng(3)
+    rows = [rng.choice(30, n, replace=False).tolist() for n in (0, 1, 7, 30, 4)]
+    dense = np.zeros((5, 31))
+    for i, r in enumerate(rows):
+        dense[i, r], dense[i, 30] = 1 / max(1, len(r)) ** 0.5, 1
+    w, z = rng.random((31, 4)).astype(np.float32), rng.random((5, 4)).astype(np.float32)
+    assert np.allclose(li.Sparse(rows, 30).times(w), dense @ w, atol=1e-5) and np.allclose(li.Sparse(rows, 30).transposed_times(z), dense.T @ z, atol=1e-5)
+
+
+def test_precision_and_recall_on_wrapped_notices_and_lookalikes():
+    r = random.Random(11)
+    made = li.Classifier([prose(r, r.randrange(5, 40)) for _ in range(400)])
+    marks = ("", "# ", " * ", "// ", "-- ")
+    right = wrong = all_ = 0
+    for family, notices in li.NOTICES.items():
+        for notice in notices:
+            if len(notice.split()) < 12:
+                continue
+            for width in (40, 60, 72, 100):
+                words = notice.split()
+                if width != 60:  # held out: a word that differs
+                    words[r.choice([i for i, w in enumerate(words) if re.fullmatch("[a-z]+", w)])] = "foobar"
+                lines = textwrap.wrap(" ".join(words), width)
+                found = li.findings(prose(r, 30) + "\n\n" + "\n".join(r.choice(marks) + x for x in lines) + "\n\n" + prose(r, 9), made)
+                all_ += 1
+                right += any(f[3] == family for f in found)
+                wrong += sum(f[3] not in (family, li.UNKNOWN) for f in found)
+    assert right >= 0.95 * all_ and wrong == 0
+    lookalikes = [
+        "The license to drive was revoked under the public vehicle act.", "She works at MIT and drives a Ford.", "The Apache people lived in the south.", "Terms of the lease are public.",
+        "Without restriction of any kind, the person may leave.", "Version 2.0 of the film was released in May.", "He was licensed to carry mail in 1901.", "The foundation granted free copies of the associated books.",
+        "A general license is needed for this type of work, the ministry said.", "Common sense is creative.", "The following conditions are met by few of them.", "You may not use the lift during a fire.",
+    ]
+    assert [x for x in lookalikes if li.findings(x, made)] == []
+    assert [f[3] for f in li.findings("Licensed under the Zorp License.", made)] == ["unknown"]
+
+
+def test_findings_match_judging_every_paragraph_by_itself():
+    """The evidence test and the search for windows leave out only what would not be found."""
+    r = random.Random(12)
+    made = li.Classifier([prose(r, 20) for _ in range(200)])
+    for _ in range(40):
+        lines = [r.choice([prose(r, 12), "", *(n for f in li.NOTICES.values() for n in f)]) for _ in range(8)]
+        want = {k: j[0] for k, line in enumerate(lines) if (words := li.words_of(line)) and (j := made.judge(words)) and j[0] != li.UNKNOWN}
+        got = {f[0]: f[3] for f in li.findings("\n".join(lines), made)}
+        assert {k: f for k, f in got.items() if k in want} == want
+
+
 def test_masks_ignore_every_choice_of_substitutions():
-    for a in range(dc.SPAN):
-        for b in range(a):
-            assert any(a not in m and b not in m for m in dc.MASKS)
+    assert [dc.substitutions_of(w) for w in (8, 9, 10, 12, 13)] == [0, 0, 1, 1, 2]
+    for width, masks in dc.MASKS.items():
+        for gone in itertools.combinations(range(width), dc.substitutions_of(width)):
+            assert any(not set(gone) & set(m) for m in masks)
 
 
 def leaks(rows, items):
-    tokens = lambda t: re.findall("[0-9A-Za-z_\x80-\U0010ffff]+", t.lower()) if t else []
+    tokens = lambda t: re.findall(r"\w+", t.lower()) if t else []
     out = set()
     for d, text in rows:
         w = tokens(text)
         for i, item in items:
             q = tokens(item)
             width = dc.SPAN if len(q) >= dc.SPAN else len(q)
-            allowed = dc.SUBSTITUTIONS if width == dc.SPAN else 0
+            allowed = 2 if width == dc.SPAN else 1 if width >= 10 else 0
             if width >= dc.LEAST and any(sum(a != b for a, b in zip(w[p : p + width], q[j : j + width])) <= allowed for p in range(len(w) - width + 1) for j in range(len(q) - width + 1)):
                 out.add((d, i))
     return out
 
 
 @pytest.mark.parametrize("most_windows", [10**6, 0])
-def test_leaks_match_brute_force(spark, most_windows):
+def test_leaks_match_brute_force(spark, monkeypatch, most_windows):
+    monkeypatch.setattr(dc, "HELD_HITS", 5)
     r = random.Random(6)
     items = [(i, prose(r, n, 60)) for i, n in enumerate((40, 25, 13, 12, 9, 8, 7, 3, 20))] + [(20, None), (21, "")]
     rows = [(i, prose(r, 60, 60)) for i in range(30)]
@@ -110,6 +164,7 @@ def test_leaks_match_brute_force(spark, most_windows):
     rows += [(100, None), (101, ""), (30, rows[30][1])]
     docs = frame(spark, rows)
     bench = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id int")
+    assert sorted(tuple(x) for x in dc.unsearched(bench).collect()) == [(6, 7), (7, 3), (20, 0), (21, 0)]
     expected = leaks(rows, items)
     assert expected and {tuple(x) for x in dc.contaminated(docs, bench, most_windows=most_windows).collect()} == expected
     kept = dc.clean_of(docs, bench, most_windows)
