@@ -3,8 +3,8 @@
 Fitting uses at most FIT_ROWS vectors (the smallest by a hash of the id); every vector is indexed.
 
 1. Equal vectors are one vector with a multiplicity from here on.
-2. k-means centres give coarse lists; a vector's residual to its centre is coded by one of 16
-   centres in each group of DIMS_PER_CODE dimensions.
+2. k-means centres, at most MOST_LISTS, give coarse lists; a vector's residual to its centre is coded
+   by one of 16 centres in each group of DIMS_PER_CODE dimensions.
 3. A vector visits the lists whose border is at most DELTA / 2 away. Linked vectors are at most
    DELTA apart, and the distances of two vectors to the border between their lists add up to no
    more than that, so at least one of them visits the list of the other: no link is lost, whatever
@@ -15,11 +15,16 @@ Fitting uses at most FIT_ROWS vectors (the smallest by a hash of the id); every
    the sieve loses nothing. What passes is compared exactly in double precision.
 5. Large lists, which are groups of their own, are split into blocks and their visitors into chunks, so a group of near copies that
    makes up much of the table is dealt over many tasks of bounded size. A task returns a number of
-   links and one edge per vector, never its pairs.
+   links and one edge per vector, never its pairs, and holds a bounded number of them.
 
-Edge cases: a vector that is null, zero, of another length than most, or holds null or non-finite
-components links with nothing and is its own component; equal rows link with each other, also if
-they repeat an id; a null id is kept and links with nothing; an empty table gives an empty result.
+Vectors of different lengths never link. Lengths between two powers of two are indexed together,
+filled up with zeros, which changes no cosine; there are no more such tables than powers of two.
+
+Edge cases: a vector that is null, zero, or holds null or non-finite components links with
+nothing and is its own component; equal rows link with each other, also if they repeat an id; an id
+may be repeated with another vector, each row is judged by its own; a null id is kept and links with
+nothing; very long vectors are compared like others; cosines that tie with the threshold link; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,10 +43,11 @@ from strandline.llm.components import connected_components
 THRESHOLD = 0.9
 FIT_ROWS = 20_000
 LIST_ROWS = 256
-MOST_LISTS = 16_384
+MOST_LISTS = 5_000
 DIMS_PER_CODE, CODES = 4, 16
 GROUP_ROWS, LEAST_GROUPS = 4_096, 16
 BLOCK, CHUNK = 1_024, 16_384
+FOLDED = 500_000  # pairs that a task holds at once
 SEED = 20_240_602
 ROUNDING = 1e-4  # single precision in the tables
 
@@ -75,6 +81,7 @@ class Quantiser:
         self.centres = k_means(sample, lists)
         rest = self._groups(sample - self.centres[nearest(sample, self.centres)])
         self.books = np.stack([self._full(k_means(rest[:, g], CODES)) for g in range(rest.shape[1])])
+        self.half = 0.5 * (self.centres**2).sum(1)
         self.reach = math.sqrt(2 - 2 * threshold) / 2 + 1e-9
 
     @staticmethod
@@ -95,14 +102,13 @@ class Quantiser:
 
     def visits(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
         """A bit per list and row: whether the border between the row's own list and that one is within reach."""
-        c, half = self.centres, 0.5 * (self.centres**2).sum(1)
-        gaps = np.sqrt(np.maximum(2 * half[:, None] + 2 * half[None, :] - 2 * c @ c.T, 0)) if len(c) <= 4096 else None
-        out = []
+        c, half, out = self.centres, self.half, []
         for a in range(0, len(x), 1024):
             score, mine = x[a : a + 1024] @ c.T - half, own[a : a + 1024]
             behind = score[np.arange(len(mine)), mine][:, None] - score  # distance to the border times the centres' distance
-            gap = gaps[mine] if gaps is not None else np.sqrt(np.maximum(2 * half[mine, None] + 2 * half[None, :] - 2 * c[mine] @ c.T, 0))
-            near = behind <= self.reach * gap + 1e-12
+            lists, which = np.unique(mine, return_inverse=True)
+            gap = np.sqrt(np.maximum(2 * half[lists, None] + 2 * half[None, :] - 2 * c[lists] @ c.T, 0))
+            near = behind <= self.reach * gap[which] + 1e-12
             near[np.arange(len(mine)), mine] = False
             out.append(np.packbits(near, axis=1, bitorder="little"))
         return np.concatenate(out)
@@ -151,49 +157,100 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+class Links:
+    """Number of links and component of each of n rows, from pairs that come by and by."""
+
+    def __init__(self, many: np.ndarray):
+        self.many, self.links, self.label = many, np.zeros(len(many)), np.arange(len(many))
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.held.append((a, b))
+        self.size += len(a)
+        if self.size > FOLDED:
+            self.fold()
+
+    def fold(self) -> None:
+        if self.size:
+            a, b = (np.concatenate(c) for c in zip(*self.held))
+            self.links += np.bincount(a, weights=self.many[b], minlength=len(self.many)) + np.bincount(b, weights=self.many[a], minlength=len(self.many))
+            self.label = roots(len(self.many), self.label[a], self.label[b])[self.label]
+        self.held, self.size = [], 0
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors``."""
-    spark = vectors.sparkSession
-    space = Workspace(spark, "vectors")
+    space = Workspace(vectors.sparkSession, "vectors")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
     good &= F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.withColumn("dims", F.when(F.coalesce(good, F.lit(False)), F.size("v")))
-    common = rows.where("dims is not null").groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(1).collect()
-    if not common:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    rows = rows.withColumns({"k1": F.when(F.col("dims") == common[0]["dims"], F.xxhash64("v")), "k2": F.when(F.col("dims") == common[0]["dims"], F.hash("v"))})
+    good = F.coalesce(good, F.lit(False))
+    rows = rows.withColumns({"k1": F.when(good, F.xxhash64("v")), "k2": F.when(good, F.hash("v"))})
     keyed = space.save(rows.select("vec_id", "k1", "k2"), "keyed")
-    distinct = space.save(rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("many"), F.first("v").alias("v")), "distinct")
-    count = distinct.count()
-
-    sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").toPandas()["v"]
-    sample = np.array(sample.to_list(), dtype=np.float64)
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    made = Quantiser(sample, max(1, min(MOST_LISTS, count // LIST_ROWS, len(sample) // 4)), threshold)
-    shared = spark.sparkContext.broadcast(made)
+    distinct = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("many"), F.first("v").alias("v"))
+    table = F.ceil(F.log2(F.size("v")) - 1e-9).cast("int")  # lengths up to a power of two
+    distinct = space.save(distinct.withColumns({"node": F.monotonically_increasing_id(), "table": table}), "distinct")
+    tables = distinct.groupBy("table").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims")).collect()  # 31 rows at most
     kind = "<f4" if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else "<f8"
+    met = None
+    for t in sorted(tables, key=lambda t: t["table"]):
+        found = links_within(distinct.where(F.col("table") == t["table"]), t["n"], t["dims"], kind, threshold, space, str(t["table"]))
+        met = found if met is None else met.unionByName(found)
+    if met is None:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    parts = space.save(connected_components(met.select(F.col("node").alias("a"), F.col("root").alias("b")), space), "parts")
+    links = met.groupBy("node").agg(F.sum("links").alias("links"))
+    of_key = distinct.select("k1", "k2", "node", "many", "vec_id").join(links, "node", "left").join(parts, "node", "left")
+    of_key = space.save(of_key.select("k1", "k2", "vec_id", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("component")), "of_key")
+    space.drop("distinct", "parts")
+    number = of_key.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    done = keyed.join(of_key.join(number, "component").select("k1", "k2", "links", "component_id"), ["k1", "k2"], "left")
+    done = done.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return done.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def links_within(distinct: DataFrame, count: int, dims: int, kind: str, threshold: float, space: Workspace, name: str) -> DataFrame:
+    """(node, links, root): per task, a number of links of each vector and one that it is connected with.
+
+    ``distinct``: (node, vec_id, many, v) of ``count`` vectors of at most ``dims`` components of the type ``kind``.
+    """
+    spark = distinct.sparkSession
+
+    def filled_up(some: list[np.ndarray]) -> np.ndarray:
+        """A row per vector, with zeros up to ``dims``."""
+        out = np.zeros((len(some), dims), dtype=kind)
+        for row, v in zip(out, some):
+            row[: len(v)] = v
+        return out
 
     def unit(raw: np.ndarray) -> np.ndarray:
         x = raw.astype(np.float64)
+        x /= np.maximum(np.abs(x).max(axis=1, keepdims=True, initial=0), 1e-300)  # else squares may overflow
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
+    sample = distinct.orderBy(F.xxhash64("vec_id"), "node").limit(FIT_ROWS).select("v").toPandas()["v"]
+    sample = unit(filled_up(sample.to_list()))
+    made = Quantiser(sample, max(1, min(MOST_LISTS, count // LIST_ROWS, len(sample) // 4)), threshold)
+    shared = spark.sparkContext.broadcast(made)
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantiser = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = np.asarray(batch.column(2).flatten()).astype(kind).reshape(batch.num_rows, -1)
+            sizes = np.diff(np.asarray(batch.column(2).offsets))
+            flat = np.asarray(batch.column(2).flatten()).astype(kind)
+            raw = flat.reshape(-1, dims) if (sizes == dims).all() else filled_up(np.split(flat, np.cumsum(sizes)[:-1]))
             x = unit(raw)
             to, codes, error = quantiser.encode(x)
             visits = quantiser.visits(x, to)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(to.astype(np.int32)), pa.array([v.tobytes() for v in visits], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
-                ["vec_id", "many", "x", "cell", "visits", "code", "error"],
+                [*batch.columns[:2], pa.array(sizes.astype(np.int32)), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(to.astype(np.int32)), pa.array([v.tobytes() for v in visits], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
+                ["node", "many", "dims", "x", "cell", "visits", "code", "error"],
             )
 
-    indexed = space.save(distinct.select("vec_id", "many", "v").mapInArrow(index, "vec_id long, many long, x binary, cell int, visits binary, code binary, error double"), "indexed")
-    space.drop("distinct")
+    indexed = space.save(distinct.select("node", "many", "v").mapInArrow(index, "node long, many long, dims int, x binary, cell int, visits binary, code binary, error double"), f"indexed-{name}")
     # two numbers per list, of which there are at most MOST_LISTS
     size = {r["cell"]: r["n"] for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     group_of = made.groups(size)
@@ -223,13 +280,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     blocks = {g: -(-n // BLOCK) if g in alone else 1 for g, n in held.items()}
     chunks = {g: max(1, -(-(guests.get(g, 0) + (n if g in alone else 0)) // CHUNK)) for g, n in held.items()}
 
+    columns = ["node", "many", "dims", "x", "cell", "visits", "code", "error"]
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 1024):
                 batch = whole.slice(a, 1024)
                 at, keys = [], []
-                part, cells = batch.column(5).to_pylist(), batch.column(3).to_pylist()
-                for i, (cell, others) in enumerate(zip(cells, visited(cells, batch.column(4).to_pylist()))):
+                part, cells = batch.column(8).to_pylist(), batch.column(4).to_pylist()
+                for i, (cell, others) in enumerate(zip(cells, visited(cells, batch.column(5).to_pylist()))):
                     g = home_of[cell]
                     home = part[i] % blocks[g]
                     mine = [(g, home, k, True) for k in range(chunks[g])]
@@ -245,19 +304,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     def placed(batch: pa.RecordBatch, at: list[int], keys: list[tuple]) -> pa.RecordBatch:
         took = batch.take(pa.array(at, pa.int32()))
         group, block, chunk, member = zip(*keys) if keys else ([], [], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(block, pa.int32()), pa.array(chunk, pa.int32()), pa.array(member, pa.bool_()), *(took.column(i) for i in (0, 1, 2, 3, 4, 6, 7))], ["group", "block", "chunk", "member", "vec_id", "many", "x", "cell", "visits", "code", "error"])
+        return pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(block, pa.int32()), pa.array(chunk, pa.int32()), pa.array(member, pa.bool_()), *took.columns[:8]], ["group", "block", "chunk", "member", *columns])
 
     def compare(group: pa.Table) -> pa.Table:
         quantiser = shared.value
         chunk = group.column("chunk")[0].as_py()
-        member, cell = np.asarray(group.column("member")), np.asarray(group.column("cell"))
-        ids, many = np.asarray(group.column("vec_id")), np.asarray(group.column("many"))
-        x = unit(np.frombuffer(b"".join(group.column("x").to_pylist()), dtype=kind).reshape(len(ids), -1))
-        visits = np.frombuffer(b"".join(group.column("visits").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-        codes = np.frombuffer(b"".join(group.column("code").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+        member, cell, nodes, sizes = (np.asarray(group.column(c)) for c in ("member", "cell", "node", "dims"))
+        x = unit(np.frombuffer(b"".join(group.column("x").to_pylist()), dtype=kind).reshape(len(nodes), -1))
+        visits = np.frombuffer(b"".join(group.column("visits").to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)
+        codes = np.frombuffer(b"".join(group.column("code").to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)
         error = np.asarray(group.column("error"))
-        asking = np.arange(len(ids)) if chunk == 0 else np.flatnonzero(~member)
-        found = []
+        asking = np.arange(len(nodes)) if chunk == 0 else np.flatnonzero(~member)
+        found = Links(np.asarray(group.column("many")))
         for c in np.unique(cell[member]):
             inside = np.flatnonzero(member & (cell == c))
             same = asking[cell[asking] == c]
@@ -268,25 +326,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
                     i, j = q[i], inside[j]
                     for b in range(0, len(i), 65_536):
                         p, r = i[b : b + 65_536], j[b : b + 65_536]
-                        linked = np.einsum("ij,ij->i", x[p], x[r]) >= threshold
+                        linked = (np.einsum("ij,ij->i", x[p], x[r]) >= threshold) & (sizes[p] == sizes[r])
                         p, r = p[linked], r[linked]
                         if how == "own":
-                            once = ids[p] < ids[r]
+                            once = nodes[p] < nodes[r]
                         else:  # the pair also meets in the other's list if each visits that of the other
                             once = (cell[p] <= c) | ~has_bit(visits, r, cell[p])
-                        found.append((p[once], r[once]))
-        a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, dtype=np.int64)
-        b = np.concatenate([f[1] for f in found]) if found else np.zeros(0, dtype=np.int64)
-        links = np.bincount(a, weights=many[b], minlength=len(ids)) + np.bincount(b, weights=many[a], minlength=len(ids))
-        some = np.flatnonzero(links)
-        return pa.table({"vec_id": ids[some], "links": links[some].astype(np.int64), "root": ids[roots(len(ids), a, b)][some]})
-
-    dealt = indexed.select("vec_id", "many", "x", "cell", "visits", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)).alias("part"), "code", "error").mapInArrow(deal, "group int, block int, chunk int, member boolean, vec_id long, many long, x binary, cell int, visits binary, code binary, error double")
-    met = space.save(dealt.groupBy("group", "block", "chunk").applyInArrow(compare, "vec_id long, links long, root long"), "met")
-    parts = space.save(connected_components(met.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), space), "parts")
-    links = met.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    of_key = keyed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("first"), F.count("*").alias("many"))
-    of_key = of_key.join(links, of_key["first"] == links["vec_id"], "left").join(parts, of_key["first"] == parts["node"], "left")
-    of_key = of_key.select("k1", "k2", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "first").alias("component"))
-    done = keyed.join(of_key, ["k1", "k2"], "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return done.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+                        found.add(p[once], r[once])
+        found.fold()
+        some = np.flatnonzero(found.links)
+        return pa.table({"node": nodes[some], "links": found.links[some].astype(np.int64), "root": nodes[found.label][some]})
+
+    dealt = indexed.select(*columns, F.pmod(F.xxhash64("node"), F.lit(1 << 40)).alias("part")).mapInArrow(deal, "group int, block int, chunk int, member boolean, node long, many long, dims int, x binary, cell int, visits binary, code binary, error double")
+    met = space.save(dealt.groupBy("group", "block", "chunk").applyInArrow(compare, "node long, links long, root long"), f"met-{name}")
+    space.drop(f"indexed-{name}")
+    return met

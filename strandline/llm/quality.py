@@ -9,9 +9,11 @@ regression over the bins calibrates the final score.
 Only texts and the labels of learning rows enter the model; a row learns if the crc32 of its id as
 text, modulo 5, is not 0. All labelled learning rows are used.
 
-Edge cases: a null text is an empty one and gets a score like any other; several labels of an id
-count as their mean; labels of 0 rows or of unknown documents are ignored; without labels every
-score is 0.5; repeated rows each get a row; other columns are ignored.
+Edge cases: a null text is an empty one and gets a score like any other; very long texts are read
+whole; several labels of an id count as their mean, and a repeated id learns with each of its rows;
+null labels and labels of unknown documents are ignored; texts with the same statistics tie in
+score; without labels every score is 0.5; repeated rows each get a row; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -41,6 +41,38 @@ def test_held_out_accuracy_and_edges(spark):
     assert kept.count() == sum(x["predicted"] for x in got)
 
 
+def test_matches_a_direct_fit(spark):
+    """The tasks' summed equations, folds and bins against the same model fitted over all rows at once."""
+    rows, labels = graded(400)
+    got = {x["doc_id"]: x["score"] for x in qu.score_documents(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    s = np.array([qu.statistics_of(t) for _, t in rows])
+    fold = np.array([zlib.crc32(str(d).encode()) % 5 for d, _ in rows])
+    y = np.array([float(q) for _, q, _ in labels])
+    learn = fold != 0
+    sd = s[learn].std(0)
+    model = qu.Model(s[learn].mean(0), np.where(sd > 1e-9, sd, 1.0))
+    z = model.features(s)
+
+    def ridge(at):
+        penalty = np.diag([1e-9, *[qu.RIDGE * at.sum() / qu.FEATURES] * qu.FEATURES])
+        return np.linalg.solve(z[at].T @ z[at] + penalty, z[at].T @ y[at])
+
+    out = np.zeros(len(y))
+    for f in (1, 2, 3, 4):
+        out[fold == f] = np.clip(z[fold == f] @ ridge(learn & (fold != f)), 0, 1)
+    at = np.minimum((out * qu.BINS).astype(int), qu.BINS - 1)
+    used = sorted(set(at[learn].tolist()))
+    mean = np.array([y[learn & (at == b)].mean() for b in used])
+    weight = np.array([(learn & (at == b)).sum() for b in used], dtype=float)
+    calm = [max(min(np.average(mean[i : j + 1], weights=weight[i : j + 1]) for j in range(k, len(used))) for i in range(k + 1)) for k in range(len(used))]  # isotonic by its minimax rule
+    raw = np.clip(z @ ridge(learn), 0, 1)
+    centre = np.array([(b + 0.5) / qu.BINS for b in used])
+    steps = np.split(np.arange(len(used)), np.flatnonzero(~np.isclose(calm[1:], calm[:-1])) + 1)
+    knots = [np.average(centre[b], weights=weight[b]) for b in steps], [calm[b[0]] for b in steps]
+    want = 0.99 * np.interp(raw, *knots) + 0.01 * raw
+    assert np.allclose([got[d] for d, _ in rows], want, atol=1e-6)
+
+
 def test_held_out_labels_do_not_matter(spark):
     rows, labels = graded(200)
     turned = [(d, 1 - q if zlib.crc32(str(d).encode()) % 5 == 0 else q, t) for d, q, t in labels]
@@ -75,8 +107,8 @@ def vectors(spark, rows):
 
 def expected(rows, threshold=0.9):
     x = [(i, np.array(v, dtype=float)) for i, v in rows if v is not None and len(v) and None not in v]
-    x = [(i, v / np.linalg.norm(v)) for i, v in x if np.isfinite(v).all() and v.any() and len(v) == len(rows[0][1])]
-    links = [(a, b) for k, (a, v) in enumerate(x) for b, w in x[:k] if v @ w >= threshold]
+    x = [(i, v / np.linalg.norm(v)) for i, v in x if np.isfinite(v).all() and v.any()]
+    links = [(a, b) for k, (a, v) in enumerate(x) for b, w in x[:k] if len(v) == len(w) and v @ w >= threshold]
     part = components({i for i, _ in rows}, links)
     return sorted((i, sum(i in p for p in links), part[i], part[i] == i) for i, _ in rows)
 
@@ -97,7 +129,9 @@ def test_vectors_match_brute_force(spark, monkeypatch, block, chunk, lists):
         monkeypatch.setattr(ed, name, value)
     rows = many(3, 300)
     d = len(rows[0][1])
+    rows += [(8000 + k, rows[k][1][:20]) for k in range(60)] + [(8100 + k, rows[k][1][:5]) for k in range(9)] + [(8200, rows[0][1][:20]), (8201, rows[0][1][:5] + [0.0])]
     rows += [(9000, None), (9001, []), (9002, [0.0] * d), (9003, [float("nan")] * d), (9004, [float("inf")] + [1.0] * (d - 1)), (9005, [None] + [1.0] * (d - 1)), (9006, [1.0, 2.0])]
+    monkeypatch.setattr(ed, "FOLDED", 50)
     got = sorted(tuple(r) for r in ed.near_duplicates(vectors(spark, rows)).select("vec_id", "n_links", "component_id", "kept").collect())
     want = expected(rows)
     assert [r[0] for r in got] == [r[0] for r in want]
@@ -112,10 +146,24 @@ def test_few_vectors(spark):
     assert got == [(2, 1, 2, True), (3, 0, 3, True), (4, 1, 2, False)]
 
 
-def test_no_link_is_lost_where_vectors_spread_in_few_directions(spark, monkeypatch):
+def test_doubles_and_repeated_ids(spark):
+    rows = [(1, [3.0, 4.0]), (1, [4.0, -3.0]), (2, [6.0, 8.0]), (3, [1e200, -7.5e199]), (4, [0.6, 0.8])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in ed.near_duplicates(docs).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 2, 1, False)]
+
+
+SPREADS = {
+    "low rank": lambda rng: rng.standard_normal((500, 3)) @ rng.standard_normal((3, 48)) + 0.01 * rng.standard_normal((500, 48)),
+    "clusters": lambda rng: np.repeat(rng.standard_normal((25, 32)), 20, axis=0) + 0.25 * rng.standard_normal((500, 32)),
+    "even": lambda rng: np.vstack([x := rng.standard_normal((250, 24)), x + 0.3 * rng.standard_normal((250, 24))]),
+}
+
+
+@pytest.mark.parametrize("spread", SPREADS)
+def test_no_link_is_lost_whatever_the_spread(spark, monkeypatch, spread):
     monkeypatch.setattr(ed, "LIST_ROWS", 16)
-    rng = np.random.default_rng(5)
-    flat = rng.standard_normal((500, 3)) @ rng.standard_normal((3, 48)) + 0.01 * rng.standard_normal((500, 48))
-    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(flat)]
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(SPREADS[spread](np.random.default_rng(5)))]
     got = sorted(tuple(r) for r in ed.near_duplicates(vectors(spark, rows)).select("vec_id", "n_links", "component_id", "kept").collect())
-    assert got == expected(rows)
+    want = expected(rows)
+    assert got == want and sum(w[1] for w in want) > 100  # recall 1
