@@ -1,30 +1,18 @@
 """Shared helpers: a work folder that all executors see, stable row preparation, tables on disk.
 
 Intermediate results that must survive the loss of an executor are written as Parquet tables
-below the folder named in ``spark.checkpoint.dir``; only where that setting is absent (tests)
-a temporary folder of this machine is used.
+below the folder named in ``spark.checkpoint.dir``. Only where that setting is absent and the master is
+this machine (tests) a temporary folder of it is used; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.runtime import ship, spread
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster, from the session's settings."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from strandline.runtime import delete, scratch, ship, spread
 
 
 class Workspace:
@@ -36,9 +24,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_root(spark)}/strandline/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.close)
+        self.spark, self.path = spark, scratch(spark, name)
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
         path = f"{self.path}/{table}"
@@ -47,7 +33,7 @@ class Workspace:
 
     def drop(self, *tables: str) -> None:
         for table in tables:
-            self._delete(f"{self.path}/{table}")
+            delete(self.spark, f"{self.path}/{table}")
         self.release()
 
     def release(self) -> None:
@@ -55,17 +41,6 @@ class Workspace:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
-    def close(self) -> None:
-        self._delete(self.path)
-
-    def _delete(self, path: str) -> None:
-        try:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session or its JVM may be gone by now
-            pass
-
 
 def text_of(column: str = "text") -> Column:
     """A text column with null read as the empty text."""
@@ -82,3 +57,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of ``sf_dir``; the operators' functions are sent along to the executors."""
     ship(spark)
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def most_frequent(rows: DataFrame, at_most: int, n: str = "n") -> DataFrame:
+    """The rows of ``rows`` with the largest numbers ``n`` (positive), no more than ``at_most`` and with their ties.
+
+    The bound comes from a histogram of a thousand classes at most, so no task sends a list of its own
+    to the driver, which would be as many lists as there are tasks.
+    """
+    klass = F.floor(F.log2(F.col(n).cast("double")) * 16).cast("int")
+    total, least = 0, None
+    for row in sorted(rows.groupBy(klass.alias("klass")).agg(F.count("*").alias("many")).collect(), key=lambda r: -r["klass"]):
+        total += row["many"]
+        if total > at_most:
+            break
+        least = row["klass"]
+    return rows.where(klass >= least) if least is not None else rows.where("false")

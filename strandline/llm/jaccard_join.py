@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Workspace, text_of
+from strandline.llm.common import Workspace, most_frequent, text_of
 from strandline.llm.components import connected_components
 from strandline.llm.shingles import shingle_set
 
@@ -173,7 +173,7 @@ def frequent_shingles(docs: DataFrame, width: int, space: Workspace) -> tuple[in
 
     found = docs.select(text_of().alias("text")).mapInArrow(split, "bucket int, once binary, often binary").groupBy("bucket").applyInArrow(count, "key long, n long")
     found = space.save(found, "frequent")
-    keys = found.orderBy(F.desc("n"), "key").limit(FREQUENT).select("key").toPandas()["key"].to_numpy(dtype=np.int64, copy=True)
+    keys = most_frequent(found, FREQUENT).select("key").toPandas()["key"].to_numpy(dtype=np.int64, copy=True)
     space.drop("frequent")
     keys.sort()
     return 40 - bits, keys

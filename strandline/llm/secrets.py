@@ -7,7 +7,8 @@ Tokens that embed a checksum (the last six of 36 base-62 digits are the CRC-32 o
 30) are only reported when the checksum is right.
 
 Edge cases: a null text is an empty text; an empty text has no span; repeated rows each give
-their own row; columns other than the id and the text are ignored; texts are scanned whole.
+their own row; very long texts are scanned whole; of spans with the same start the kinds' order
+decides; an empty table gives an empty one; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -140,24 +141,26 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     All rows, columns and their order stay; rows without a secret are unchanged.
     """
-    names = docs.columns
-    others = [c for c in names if c != "text"]
+    rows = docs.withColumn("text", F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = automaton()
         for batch in batches:
-            at, texts = batch.schema.get_field_index("text"), []
-            for value in batch.column(at):
+            at, texts, chars = batch.schema.get_field_index("text"), [], {}
+            for i, value in enumerate(batch.column(at)):
                 text = value.as_py()
-                texts.append(redact_text(text, got, mark) if text and (got := scan(text, words)) else text)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-
-    done = docs.select(*others, F.col("text").cast("string").alias("text")).mapInArrow(run, docs.select(*others, F.col("text").cast("string").alias("text")).schema)
-    if "n_chars" in names:
-        changed = F.col("text").contains(mark)
-        kind = docs.schema["n_chars"].dataType
-        done = done.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return done.select(*names)
+                if text and (got := scan(text, words)):
+                    text = redact_text(text, got, mark)
+                    chars[i] = len(text)
+                texts.append(text)
+            if chars:
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+                if (at := batch.schema.get_field_index("n_chars")) >= 0 and pa.types.is_integer(batch.schema.field(at).type):
+                    numbers = [chars.get(i, n) for i, n in enumerate(batch.column(at).to_pylist())]
+                    batch = batch.set_column(at, batch.schema.field(at), pa.array(numbers, batch.schema.field(at).type))
+            yield batch
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def joined(spans: Column) -> Column:

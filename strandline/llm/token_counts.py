@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Workspace, text_of
+from strandline.llm.common import Workspace, most_frequent, text_of
 
 PRETOKEN = re.compile(r" *[^ \n]+| +|\n")
 SPACE = "▁"
@@ -117,7 +117,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     space = Workspace(spark, "tokens")
     rows = docs.select(F.col(id_col).alias("_id"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"), text_of(text_col).alias("text"))
     counted = space.save(with_pieces(distinct_pretokens(rows), model_path), "pretokens")
-    first = counted.where(F.octet_length("p") <= HEAD_BYTES).orderBy(F.desc("n"), "p").limit(head).select("p", "pieces").toPandas()  # at most HEAD rows
+    first = most_frequent(counted.where(F.octet_length("p") <= HEAD_BYTES), head).select("p", "pieces").toPandas()  # at most HEAD rows
     known = spark.sparkContext.broadcast(dict(zip(first["p"].tolist(), first["pieces"].tolist())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
