@@ -1,6 +1,6 @@
 """Near-duplicate vectors by product quantisation: coarse lists, residual codes, exact rerank.
 
-Fitting uses at most FIT_ROWS vectors (the smallest by a hash of the id); every vector is indexed.
+Fitting uses about FIT_ROWS vectors at most (chosen by a hash); every vector is indexed.
 
 1. Equal vectors are one vector with a multiplicity from here on.
 2. k-means centres, at most MOST_LISTS, give coarse lists; a vector's residual to its centre is coded
@@ -42,11 +42,12 @@ from strandline.llm.components import connected_components
 
 THRESHOLD = 0.9
 FIT_ROWS = 20_000
-LIST_ROWS = 256
+LIST_ROWS = 48
 MOST_LISTS = 5_000
 DIMS_PER_CODE, CODES = 4, 16
 GROUP_ROWS, LEAST_GROUPS = 4_096, 16
 BLOCK, CHUNK = 1_024, 16_384
+QUERIES = 2_048  # vectors that a task compares with its lists at once
 FOLDED = 500_000  # pairs that a task holds at once
 SEED = 20_240_602
 ROUNDING = 1e-4  # single precision in the tables
@@ -127,10 +128,13 @@ class Quantiser:
             have += n if n <= BLOCK else room + 1
         return out
 
-    def sieve(self, q: np.ndarray, codes: np.ndarray, error: np.ndarray, cell: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, member) pairs of a list that may reach the threshold."""
-        table = np.einsum("qgd,gcd->gcq", self._groups(q), self.books).astype(np.float32)
-        near = np.tile((q @ self.centres[cell]).astype(np.float32), (len(codes), 1))
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """Inner products of every code with each query, by group of dimensions."""
+        return np.einsum("qgd,gcd->gcq", self._groups(q), self.books).astype(np.float32)
+
+    def sieve(self, table: np.ndarray, base: np.ndarray, codes: np.ndarray, error: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, member) pairs of a list that may reach the threshold. ``base``: the centre's product with each query."""
+        near = np.tile(base.astype(np.float32), (len(codes), 1))
         for g in range(len(table)):
             near += table[g][codes[:, g]]  # whole rows: one code's inner products with all queries
         member, query = np.nonzero(near >= (threshold - ROUNDING - error)[:, None])
@@ -213,7 +217,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
 def links_within(distinct: DataFrame, count: int, dims: int, kind: str, threshold: float, space: Workspace, name: str) -> DataFrame:
     """(node, links, root): per task, a number of links of each vector and one that it is connected with.
 
-    ``distinct``: (node, vec_id, many, v) of ``count`` vectors of at most ``dims`` components of the type ``kind``.
+    ``distinct``: (node, vec_id, k1, k2, many, v) of ``count`` vectors of at most ``dims`` components of the type ``kind``.
     """
     spark = distinct.sparkSession
 
@@ -229,7 +233,9 @@ def links_within(distinct: DataFrame, count: int, dims: int, kind: str, threshol
         x /= np.maximum(np.abs(x).max(axis=1, keepdims=True, initial=0), 1e-300)  # else squares may overflow
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    sample = distinct.orderBy(F.xxhash64("vec_id"), "node").limit(FIT_ROWS).select("v").toPandas()["v"]
+    # expected to be a twentieth short of FIT_ROWS, which is seven standard deviations
+    some = distinct if count <= FIT_ROWS else distinct.where(F.pmod(F.xxhash64("vec_id", "k1"), F.lit(1 << 30)) < int(0.95 * FIT_ROWS / count * (1 << 30)))
+    sample = some.orderBy("vec_id", "k1", "k2").select("v").toPandas()["v"]
     sample = unit(filled_up(sample.to_list()))
     made = Quantiser(sample, max(1, min(MOST_LISTS, count // LIST_ROWS, len(sample) // 4)), threshold)
     shared = spark.sparkContext.broadcast(made)
@@ -316,13 +322,18 @@ def links_within(distinct: DataFrame, count: int, dims: int, kind: str, threshol
         error = np.asarray(group.column("error"))
         asking = np.arange(len(nodes)) if chunk == 0 else np.flatnonzero(~member)
         found = Links(np.asarray(group.column("many")))
-        for c in np.unique(cell[member]):
-            inside = np.flatnonzero(member & (cell == c))
-            same = asking[cell[asking] == c]
-            for rows, how in ((same[member[same]], "own"), (same[~member[same]], "block"), (asking[has_bit(visits, asking, c)], "visit")):
-                for a in range(0, len(rows), 512):
-                    q = rows[a : a + 512]
-                    i, j = quantiser.sieve(x[q], codes[inside], error[inside], c, threshold)
+        lists = [(c, np.flatnonzero(member & (cell == c))) for c in np.unique(cell[member]).tolist()]
+        for a in range(0, len(asking), QUERIES):
+            block = asking[a : a + QUERIES]
+            table, base = quantiser.tables(x[block]), quantiser.centres[[c for c, _ in lists]] @ x[block].T
+            for k, (c, inside) in enumerate(lists):
+                home, mine = cell[block] == c, member[block]
+                for some, how in ((home & mine, "own"), (home & ~mine, "block"), (has_bit(visits, block, c), "visit")):
+                    at = np.flatnonzero(some)
+                    if not len(at):
+                        continue
+                    q = block[at]
+                    i, j = quantiser.sieve(table[:, :, at], base[k, at], codes[inside], error[inside], threshold)
                     i, j = q[i], inside[j]
                     for b in range(0, len(i), 65_536):
                         p, r = i[b : b + 65_536], j[b : b + 65_536]
