@@ -37,7 +37,7 @@ RIDGE = 1e-3
 SEED = 20_240_601
 FOLDS = (1, 2, 3, 4)
 BINS = 2_048
-SUM_TASKS = 32
+SUM_TASKS, SPLITS_PER_TASK = 32, 16  # at most so many tasks sum equations while there are few splits
 LIMIT = 6.0  # standardised statistics are held within this range
 KEEP_SCORE = 0.3
 _SYMBOLS = np.frombuffer(b"#$%&*~^<>{}[]\\@_=+`", dtype=np.uint8)
@@ -130,7 +130,8 @@ def isotonic(centres: np.ndarray, mean: np.ndarray, weight: np.ndarray) -> tuple
 def fit(learning: DataFrame) -> Model | None:
     """``learning``: rows (fold, y, s). None without rows. Every row is used.
 
-    Each of at most SUM_TASKS tasks returns one matrix per fold, whatever the number of rows.
+    Each task returns one matrix per fold, whatever the number of its rows, and takes several splits.
+    Matrices are added up by row in a shuffle; the driver gets one per fold.
     """
     k = len(STATS)
     moments = learning.agg(F.count("*").alias("n"), *[f(F.col("s")[i]).alias(f"{f.__name__}{i}") for i in range(k) for f in (F.avg, F.stddev_pop)]).first()
@@ -150,11 +151,18 @@ def fit(learning: DataFrame) -> Model | None:
                     a[f][:, :width] += z.T @ z
                     a[f][:, width] += z.T @ y[at]
                     a[f][0, width + 1] += at.sum()
-        yield pa.RecordBatch.from_arrays([pa.array(list(a), pa.int32()), pa.array([m.tobytes() for m in a.values()], pa.binary())], ["fold", "sums"])
+        made = [(f, i, m[i].tobytes()) for f, m in a.items() if m[0, width + 1] for i in range(width)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["fold", "i", "sums"])
 
+    def added(group: pa.Table) -> pa.Table:
+        rows = np.stack([np.frombuffer(x.as_buffer()) for x in group.column("sums")])
+        return pa.table({"fold": group.column("fold")[:1], "i": group.column("i")[:1], "sums": pa.array([rows.sum(0).tobytes()], pa.binary())})
+
+    schema = "fold int, i int, sums binary"
+    tasks = max(SUM_TASKS, learning.rdd.getNumPartitions() // SPLITS_PER_TASK)
     total = {f: np.zeros((width, width + 2)) for f in FOLDS}
-    for row in learning.coalesce(SUM_TASKS).mapInArrow(sums, "fold int, sums binary").collect():
-        total[row["fold"]] += np.frombuffer(row["sums"]).reshape(width, width + 2)
+    for row in learning.coalesce(tasks).mapInArrow(sums, schema).groupBy("fold", "i").applyInArrow(added, schema).collect():  # a row per fold and equation
+        total[row["fold"]][row["i"]] = np.frombuffer(row["sums"])
     every = sum(total.values())
     without = {}
     for f in FOLDS:
