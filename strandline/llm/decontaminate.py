@@ -260,8 +260,9 @@ def clean_of(docs: DataFrame, items: DataFrame, most_windows: int = MOST_WINDOWS
     windows = Workspace(spark, "leaks").save(item_windows(items, "item_id", "text"), "windows")
     if windows.count() > most_windows:
         own = F.xxhash64("doc_id", "text")  # ids may be null, or repeated with another text
-        gone = contaminated(docs.select(own.alias("doc_id"), "text"), items, most_windows=most_windows).select(F.col("doc_id").alias("_gone")).distinct()
-        return docs.join(gone, own == F.col("_gone"), "left_anti").select(*docs.columns)
+        name = "_" * (max(map(len, docs.columns)) + 1)  # no column of ``docs``
+        gone = contaminated(docs.select(own.alias("doc_id"), "text"), items, most_windows=most_windows).select(F.col("doc_id").alias(name)).distinct()
+        return docs.join(gone, own == F.col(name), "left_anti").select(*docs.columns)
     index, at = spark.sparkContext.broadcast(Index(windows.toPandas())), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -297,7 +297,8 @@ def findings(text: str, classifier: Classifier) -> list[tuple]:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     """A classifier with lines of at most BACKGROUND_DOCS documents as background."""
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_pick")).orderBy(F.xxhash64(id_col), id_col).limit(BACKGROUND_DOCS)
+    one_in = docs.count() // (4 * BACKGROUND_DOCS) + 1  # so that tasks send few ids each, however many tasks there are
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_pick")).where(F.pmod(F.xxhash64("_pick"), F.lit(one_in)) == 0).orderBy(F.xxhash64("_pick"), "_pick").limit(BACKGROUND_DOCS)
     picked = [r["_pick"] for r in ids.collect()]  # bounded by BACKGROUND_DOCS
     rows = docs.where(F.col(id_col).isin(picked)).select(text_of(text_col).alias("text")).limit(BACKGROUND_DOCS).collect() if picked else []
     lines = sorted({line for r in rows for line in r["text"].split("\n") if line.strip()})

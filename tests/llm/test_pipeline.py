@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
 import corpus_pipeline
@@ -77,6 +78,28 @@ def test_nulls_everywhere_and_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
 
 
+CLASHING = ("part", "piece", "start", "license", "score", "_id", "key", "rid", "set", "h", "f1", "n", "row", "p", "spans", "hash", "_gone", "value", "s", "v", "node")
+
+
+def test_columns_with_clashing_names(spark, tmp_path):
+    """The stages and the queries carry or leave out columns that are named like their own."""
+    rows = [(i, t, "en", "s", None) for i, t in enumerate(["a b c d e f g", "a b c d e f g", "token = \"24be64439e3e49cf46b2d7c90f3602a3\"", "Released under the MIT License.", None, ""])]
+    docs = spark.createDataFrame(rows, DOCUMENTS).withColumns({c: F.lit(7) for c in CLASHING})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, 1, 0)], LABELS).withColumns({c: F.lit(7) for c in CLASHING}).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "x y z")], ITEMS).withColumns({c: F.lit(7) for c in CLASHING}).write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        assert {tuple(r[len(rows[0]) :]) for r in kept.collect()} == {(7,) * len(CLASHING)}, name
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 4, 5] and kept.where("doc_id = 2").first()["n_chars"] == len("token = \"[SECRET]\"")
+    assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == 5
+    for name, n in (("op1", 6), ("op2", 6), ("op3", 1), ("op4", 6), ("op6", 6), ("op7", 6), ("op10", 0)):
+        query = next(q for k, q in registry.queries().items() if k.startswith(f"{name}_"))
+        assert query(spark, str(tmp_path)).count() == n, name
+
+
 def test_registry():
     names = registry.queries()
     for n in range(1, 11):

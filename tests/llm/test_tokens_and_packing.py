@@ -9,6 +9,7 @@ import pytest
 
 from strandline.llm import packing as pk
 from strandline.llm import token_counts as tc
+from strandline.llm.common import most_frequent
 from tests.llm.helpers import frame, prose
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -39,6 +40,13 @@ def test_counts_are_the_library_s(spark, monkeypatch, head):
     assert tc.count_tokens(frame(spark, []).where("false"), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_most_frequent_rows(spark):
+    rows = spark.createDataFrame([(i, 1 + i // 3) for i in range(300)], "i int, n long")
+    got = [r["n"] for r in most_frequent(rows, 50).collect()]
+    assert 25 < len(got) <= 50 and min(got) > 80
+    assert most_frequent(rows, 2).count() == 0 and most_frequent(rows, 300).count() == 300 and most_frequent(rows.where("false"), 5).count() == 0
+
+
 def test_a_model_that_could_cross_a_cut_is_refused():
     class Crossing:
         get_piece_size = staticmethod(lambda: 1)
