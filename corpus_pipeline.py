@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All
 but the last return the columns of ``documents``.
+
+Edge cases: a null text is an empty one to the classifier, links with nothing, holds no passage and no
+secret and is packed as one closing id, and stays null until then; an empty text likewise; very
+long texts are read whole by every stage; rows without an id stay if their text does; of rows that
+repeat an id, the classifier, the decontamination and the secret scan judge each by its own text,
+the Jaccard join keeps or drops all of them, and each is packed; of near copies with the same
+smallest id all its rows stay; an empty table, or one that a stage empties, gives an empty result;
+other columns, whatever their names, are carried along to the last stage, which leaves them out.
 """
 
 from __future__ import annotations
