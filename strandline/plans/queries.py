@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.cli import JOBS, config_of, parser
 from strandline.config import CounterConfig, DistanceConfig, n_bins
 from strandline.functions import bases, minimizer
 from strandline.operators import bins as b
@@ -19,6 +20,7 @@ from strandline.runtime import scratch, ship, spread
 from strandline.sources import sinks
 from strandline.sources.reads import LETTER_BASES, LETTERS, chunk_reads, read_fasta, read_long_fasta, reads_from_text, tag_of
 from strandline.sources.tables import register_functions
+from strandline.streaming.counts import latest_counts, start_counts, stream_reads
 
 K, M, X, SLOTS, SAMPLE = 11, 4, 3, 8, 10
 BINS = n_bins(M, 2000)
@@ -139,6 +141,25 @@ def counted_files(binary: bool, **more) -> Callable[[SparkSession, str], DataFra
     return made
 
 
+def counted_by_command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    args = parser().parse_args(["count", str(K), str(M), str(X), "2000", "0", "0", fasta_of(spark, sf_dir), scratch(spark, "job") + "/", "p_", "1", "0", "1", str(SLOTS)])
+    config = config_of(args)
+    JOBS[args.job](spark, config)
+    return sinks.read_counts(spark, config.output_dir())
+
+
+def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of reads that arrive in files of a folder."""
+    path = scratch(spark, "stream")
+    reads_of(spark, sf_dir).write.parquet(f"{path}/in")
+    query = start_counts(stream_reads(spark, f"{path}/in"), K, f"{path}/out", f"{path}/checkpoint")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return latest_counts(spark, f"{path}/out")
+
+
 def compute_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The count job without output: what it made, by bin."""
     made = jobs.count_job(spark, config_for(spark, sf_dir, write=False))
@@ -255,6 +276,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "count_files_binary": counted_files(True),
     "count_files_balanced": counted_files(False, balance=True, tasks=SLOTS),
     "count_compute_only": compute_only,
+    "count_command_line": counted_by_command_line,
+    "streamed_counts": streamed_counts,
     "totals_file": totals_file,
     "signature_file": signature_file,
     "balance_file": balance_file,
@@ -394,6 +417,8 @@ SELECT read_id, CAST(min(i) AS INTEGER) AS start, CAST(count(*) AS INTEGER) AS l
     "count_files_sorted": _BINNED,
     "count_files_binary": _BINNED,
     "count_files_balanced": _BINNED,
+    "count_command_line": _BINNED,
+    "streamed_counts": _COUNTS,
     "count_compute_only": f"SELECT bin, count(*) AS n_kmers, CAST(sum(n) AS BIGINT) AS n FROM ({_BINNED}) GROUP BY bin",
     "totals_file": _COUNTS,
     "signature_file": f"WITH {_supers_sql()} SELECT bin, coalesce(sig, 'Total') AS sig, count(*) AS n FROM ub GROUP BY GROUPING SETS ((bin, sig), (bin))",

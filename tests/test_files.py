@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from strandline import runtime
 from strandline.cli import config_of, main, parser
 from strandline.config import CounterConfig, n_bins
 from strandline.operators import kmers as km
@@ -138,3 +140,20 @@ def test_stream_matches_batch(spark, tmp_path, seqs):
         assert as_dict(latest_counts(spark, f"{tmp_path}/so_far")) == brute.counts(seqs, 6)
     finally:
         query.stop()
+
+
+def test_a_cluster_must_name_a_shared_folder(spark):
+    context = SimpleNamespace(master="spark://host:7077", applicationId="x", getConf=dict)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(RuntimeError):
+        runtime.shared_root(session)
+    context.getConf = lambda: {"spark.checkpoint.dir": "hdfs://shared/"}
+    assert runtime.shared_root(session) == "hdfs://shared"
+
+
+def test_only_small_tables_are_spread(spark, monkeypatch, tmp_path):
+    spark.range(10).coalesce(1).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    assert runtime.spread(table).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(runtime, "SPREAD_BYTES", 10)
+    assert runtime.spread(table) is table
