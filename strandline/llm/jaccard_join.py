@@ -49,6 +49,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +70,7 @@ CLASSES = 2
 BUCKET_ROWS = 400_000
 #: Names by which a task leaves out copies that it has met; more of them are only more work.
 REMEMBERED = 100_000
+BROADCAST_IDS = 1_000_000  # 8 MB
 #: The filter of documents to be read again has 16 bits for each, within these bounds.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 
@@ -361,6 +363,12 @@ def row_filter(keys: DataFrame, count: int) -> np.ndarray:
     return made.view(np.uint8)
 
 
+def has_key(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether keys pass the bitmap of ``row_filter``."""
+    bit = key % (8 * len(bits))
+    return bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str) -> DataFrame:
     """(set, hashes) of the sets in ``wanted`` (set, key, f1, f2), recomputed from the text of one document each.
 
@@ -369,17 +377,15 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(row_filter(wanted.select("key"), wanted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = shared.value, Seen()
-        size = 8 * len(bits)
+        seen = Seen()
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows)) if rows else [[]] * 3
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["f1", "f2", "hashes"])
 
         for batch in batches:
-            bit = np.asarray(batch.column(1)) % size
             rows, held = [], 0
-            for i in np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1):
+            for i in np.flatnonzero(has_key(shared.value, np.asarray(batch.column(1)))):
                 s = shingle_set(batch.column(0)[int(i)].as_buffer(), width)
                 if len(s) and seen.first(f := fingerprint(s)):
                     rows.append((*f, s.tobytes()))
@@ -559,10 +565,22 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", s
 def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` with one document (the smallest id) of each component, columns unchanged.
 
-    Of rows with the same id all stay or go; rows without an id stay.
+    Of rows with the same id all stay or go; rows without an id stay. At most BROADCAST_IDS ids are
+    broadcast. If more are to go, a filter of them at the scan lets most other rows pass, and only the rest,
+    not the whole corpus, is shuffled to be compared with the ids themselves.
     """
     space = Workspace(docs.sparkSession, "jaccard")
     gone = jaccard_components(docs, width, space=space).where("doc_id <> component_id").select("doc_id").distinct()
     gone = space.save(gone, "gone")
     space.drop("ids", "by_set")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if (many := gone.count()) <= BROADCAST_IDS:
+        return docs.join(F.broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(row_filter(gone.select(F.xxhash64("doc_id").alias("key")), many))
+
+    @F.pandas_udf("boolean")
+    def may_go(key: pd.Series) -> pd.Series:
+        return pd.Series(has_key(shared.value, key.to_numpy()))
+
+    key = F.xxhash64(F.col("doc_id").cast("long"))
+    rest = docs.where(may_go(key)).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.where(~may_go(key)).unionByName(rest)

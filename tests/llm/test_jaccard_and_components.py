@@ -63,11 +63,14 @@ def test_few_rows(spark):
     assert got == {(4, 1, 4), (None, 1, 4), (3, 1, 3)}
 
 
-def test_one_document_of_each_group_stays(spark):
-    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, ""), (5, "z")]
+@pytest.mark.parametrize("ids", [jj.BROADCAST_IDS, 0])
+def test_one_document_of_each_group_stays(spark, monkeypatch, ids):
+    monkeypatch.setattr(jj, "BROADCAST_IDS", ids)
+    monkeypatch.setattr(jj, "LEAST_BITS", 64)  # so full that it lets other rows pass too
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, ""), (5, "z"), (None, "a b c d e f g"), (2, "other"), *((10 + i, f"q{i}") for i in range(40))]
     docs = frame(spark, rows)
     kept = jj.deduplicated(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5]
+    assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, *range(10, 50)]
 
 
 def test_word_hashes_follow_the_words():
