@@ -2,17 +2,30 @@
 
 A measure folds a partial value over k-mers. The pairs of a k-mer's sequences are added up before
 anything is shuffled by pair; pairs without a common k-mer come from the grid of sequences.
+
+Where a measure is a sum of products f(p) g(q), as all that come with this package are, k-mers are
+grouped once with their sequences' values and each task adds up a matrix of sequences by sequences,
+by matrix products for k-mers of many sequences. For other measures, or more than MOST_TAGS
+sequences, k-mers are joined with themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Sequences up to which a task holds a matrix of them (two of 32 MB).
+MOST_TAGS = 2_000
+#: Numbers in a block of k-mers by sequences, or of pairs.
+BLOCK_VALUES = 1 << 20
+
+
 def _same(d: Column, n: Column) -> Column:
     return d
 
@@ -28,6 +41,7 @@ class Measure:
     ``alone``: what a k-mer adds that only one of both sequences has; None if nothing. ``finalize(d, n)``
     gets the folded value and the number of k-mers that either sequence has. ``compatible(counts)`` says
     whether the measure can be taken of such counts. ``internal_product``: it needs common k-mers only.
+    ``terms``: functions (f, g) of arrays without zeros, if the partial value is the sum of all f(p) g(q).
     """
 
     name: str
@@ -37,6 +51,7 @@ class Measure:
     alone: Callable[[Column], Column] | None = None
     finalize: Callable[[Column, Column], Column] = _same
     compatible: Callable[[DataFrame], bool] = _any
+    terms: tuple[tuple[Callable, Callable], ...] = ()
 
     @property
     def internal_product(self) -> bool:
@@ -52,11 +67,13 @@ def register(measure: Measure) -> Measure:
 
 
 # (p - q)^2 = p^2 + q^2 - 2pq: the squares are added up per sequence, the product over common k-mers
-SQUARED_EUCLIDEAN = register(Measure("squared_euclidean", lambda p, q: -2 * p * q, True, alone=lambda p: p * p))
-KLD_LOG2 = register(Measure("kld_log2", lambda p, q: p * F.log2(p / q), False))
-KLD_LN = register(Measure("kld_ln", lambda p, q: p * F.log(p / q), False))
+_PRODUCT = ((lambda p: -2 * p, lambda q: q),)
+SQUARED_EUCLIDEAN = register(Measure("squared_euclidean", lambda p, q: -2 * p * q, True, alone=lambda p: p * p, terms=_PRODUCT))
+# p log(p / q) = p log p - p log q
+KLD_LOG2 = register(Measure("kld_log2", lambda p, q: p * F.log2(p / q), False, terms=((lambda p: p * np.log2(p), np.ones_like), (lambda p: -p, np.log2))))
+KLD_LN = register(Measure("kld_ln", lambda p, q: p * F.log(p / q), False, terms=((lambda p: p * np.log(p), np.ones_like), (lambda p: -p, np.log))))
 # squares over the number of k-mers that either has
-MEAN_SQUARE = register(Measure("mean_square", lambda p, q: -2 * p * q, True, alone=lambda p: p * p, finalize=lambda d, n: F.when(n > 0, d / n).otherwise(0.0)))
+MEAN_SQUARE = register(Measure("mean_square", lambda p, q: -2 * p * q, True, alone=lambda p: p * p, finalize=lambda d, n: F.when(n > 0, d / n).otherwise(0.0), terms=_PRODUCT))
 
 
 def normalized(counts: DataFrame, reads: DataFrame, k: int) -> DataFrame:
@@ -82,6 +99,61 @@ def pair_grid(tags: DataFrame, symmetric: bool) -> DataFrame:
     return one.select("t1", F.explode(F.filter("all", lambda t: t > F.col("t1") if symmetric else t != F.col("t1"))).alias("t2"))
 
 
+def joined_pairs(values: DataFrame, measure: Measure) -> DataFrame:
+    """(t1, t2, d, common) of sequences with common k-mers, by a join of (kmer, t, n) with itself."""
+    a = values.select("kmer", F.col("t").alias("t1"), F.col("n").alias("p"))
+    b = values.select("kmer", F.col("t").alias("t2"), F.col("n").alias("q"))
+    met = a.join(b, "kmer").where("t1 < t2" if measure.symmetric else "t1 <> t2")
+    fold = F.product if measure.fold == "product" else F.sum
+    return met.groupBy("t1", "t2").agg(fold(measure.partial(F.col("p"), F.col("q"))).alias("d"), F.count("*").alias("common"))
+
+
+def multiplied_pairs(values: DataFrame, measure: Measure, tags: int) -> DataFrame:
+    """(t1, t2, d, common) of sequences with common k-mers, from products of their values."""
+    rows = values.groupBy("kmer").agg(F.collect_list("t").alias("t"), F.collect_list("n").alias("n")).where(F.size("t") > 1).select("t", "n")
+    terms = (*measure.terms, (np.ones_like, np.ones_like))  # the last one counts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, tags, tags))
+        for batch in batches:
+            have = np.diff(np.asarray(batch.column(0).offsets))
+            first = np.cumsum(have) - have
+            t, n = np.asarray(batch.column(0).flatten()), np.asarray(batch.column(1).flatten())
+            for size in np.unique(have).tolist():
+                many = first[have == size]
+                dense = 4 * size >= tags
+                step = max(1, BLOCK_VALUES // (tags if dense else size * size))
+                for a in range(0, len(many), step):
+                    at = many[a : a + step, None] + np.arange(size)
+                    (add_dense if dense else add_pairs)(total, t[at], n[at])
+        both = np.argwhere((total != 0).any(0))
+        both = both[both[:, 0] < both[:, 1]] if measure.symmetric else both[both[:, 0] != both[:, 1]]
+        for a in range(0, len(both), 100_000):
+            x, y = both[a : a + 100_000].T
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(total[0, x, y]), pa.array(total[1, x, y].astype(np.int64))], ["t1", "t2", "d", "common"])
+
+    def made(n: np.ndarray, of: Callable) -> np.ndarray:
+        """A term's function where there is a value, else 0."""
+        out = np.zeros(n.shape)
+        out[n != 0] = of(n[n != 0])
+        return out
+
+    def add_dense(total: np.ndarray, t: np.ndarray, n: np.ndarray) -> None:
+        whole = np.zeros((len(t), tags))
+        whole[np.arange(len(t))[:, None], t] = n
+        for k, (f, g) in enumerate(terms):
+            total[int(k == len(terms) - 1)] += made(whole, f).T @ made(whole, g)
+
+    def add_pairs(total: np.ndarray, t: np.ndarray, n: np.ndarray) -> None:
+        pair = (t[:, :, None].astype(np.int64) * tags + t[:, None, :]).ravel()
+        for k, (f, g) in enumerate(terms):
+            weight = made(n, f)[:, :, None] * made(n, g)[:, None, :]
+            total[int(k == len(terms) - 1)] += np.bincount(pair, weights=weight.ravel(), minlength=tags * tags).reshape(tags, tags)
+
+    found = rows.mapInArrow(run, "t1 int, t2 int, d double, common long")
+    return found.groupBy("t1", "t2").agg(F.sum("d").alias("d"), F.sum("common").alias("common"))
+
+
 def distances(counts: DataFrame, measure: Measure | str = "squared_euclidean") -> DataFrame:
     """(s1, s2, distance) from (seq_tag, kmer, n); s1 < s2 for a symmetric measure, both directions otherwise.
 
@@ -91,12 +163,10 @@ def distances(counts: DataFrame, measure: Measure | str = "squared_euclidean") -
     if not measure.compatible(counts):
         raise ValueError(f"{measure.name} cannot be taken of these counts")
     tags = numbered_tags(counts)
+    many = tags.count()
     values = counts.join(F.broadcast(tags), "seq_tag").select("kmer", "t", F.col("n").cast("double").alias("n"))
-    a = values.select("kmer", F.col("t").alias("t1"), F.col("n").alias("p"))
-    b = values.select("kmer", F.col("t").alias("t2"), F.col("n").alias("q"))
-    met = a.join(b, "kmer").where("t1 < t2" if measure.symmetric else "t1 <> t2")
-    fold, start = (F.product, 1.0) if measure.fold == "product" else (F.sum, 0.0)
-    met = met.groupBy("t1", "t2").agg(fold(measure.partial(F.col("p"), F.col("q"))).alias("d"), F.count("*").alias("common"))
+    met = multiplied_pairs(values, measure, many) if measure.terms and measure.fold == "sum" and many <= MOST_TAGS else joined_pairs(values, measure)
+    start = 1.0 if measure.fold == "product" else 0.0
     grid = pair_grid(tags, measure.symmetric).join(met, ["t1", "t2"], "left").withColumns({"d": F.coalesce("d", F.lit(start)), "common": F.coalesce("common", F.lit(0))})
     alone = measure.alone or (lambda p: F.lit(0.0))
     if measure.alone is not None or measure.finalize is not _same:

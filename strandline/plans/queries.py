@@ -217,7 +217,7 @@ def distance_of(measure: str, normalize: bool = False) -> Callable[[DataFrame],
     def made(reads: DataFrame) -> DataFrame:
         counted = km.count_by_tag(reads, K)
         found = d.distances(d.normalized(counted, reads, K) if normalize else counted, measure)
-        return found.select("s1", "s2", F.round("distance", 12 if normalize else 4).alias("distance"))
+        return found.select("s1", "s2", (F.round("distance", 12 if normalize else 4) + 0.0).alias("distance"))  # no negative zero
 
     return made
 
