@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import Workspace, text_of
-from strandline.llm.shingles import TOKENS, mixed, word_hashes
+from strandline.llm.shingles import TOKENS, mixed, words_of_texts
 
 SPAN, SUBSTITUTIONS, IGNORED, LEAST = 13, 2, 6, 8
 MOST_WINDOWS = 200_000
-HELD_HITS = 100_000  # hits of the filter that a task holds
+AT_ONCE = 1 << 15  # windows that are hashed together
 FILTER_BITS = 1 << 26
 APART = re.compile(r"[^\x00-\x7f\w]+")  # beyond ASCII; TOKENS knows which ASCII characters part tokens
 WINDOW = "h long, item_id long, width int, tokens binary"
@@ -66,14 +66,13 @@ MASKS = {w: spaced_masks(w, IGNORED if w == SPAN else w // 3, n) if (n := substi
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(SPAN)], dtype=np.uint64)
 
 
-def tokens_of(text: str | None) -> np.ndarray:
-    """A hash per token."""
-    if not text:
-        return np.zeros(0, dtype=np.uint64)
-    low = text.lower()
-    if not low.isascii():
-        low = APART.sub(" ", low)
-    return word_hashes(low.encode("utf-8", "replace"), TOKENS)
+def tokens_of(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash per token of all texts, one behind the other, and the number of the first token of each text and of the end."""
+    raw = []
+    for text in texts:
+        low = (text or "").lower()
+        raw.append((low if low.isascii() else APART.sub(" ", low)).encode("utf-8", "replace"))
+    return words_of_texts(b"".join(raw), np.cumsum([0, *map(len, raw)]), TOKENS)
 
 
 def masked_hashes(tokens: np.ndarray, width: int = SPAN) -> list[np.ndarray]:
@@ -98,6 +97,18 @@ def seeds(tokens: np.ndarray, widths) -> Iterator[tuple[int, np.ndarray]]:
             yield w, h
 
 
+def hits_of(tokens: np.ndarray, first: np.ndarray, bits: np.ndarray, widths) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(width, hashes, texts, places) of the windows that pass the filter ``bits`` and lie within a text, AT_ONCE places at a time."""
+    for a in range(0, len(tokens), AT_ONCE):
+        for width, h in seeds(tokens[a : a + AT_ONCE + SPAN - 1], widths):
+            h = h.view(np.int64)[:AT_ONCE]
+            at = np.flatnonzero(has_bits(bits, h))
+            text = np.searchsorted(first, at + a, side="right") - 1
+            good = at + a + width <= first[text + 1]
+            if good.any():
+                yield width, h[at[good]], text[good], at[good] + a
+
+
 def agree(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
     """Whether windows (rows) are the same but for the substitutions that their width allows."""
     return (a != b).sum(axis=1) <= substitutions_of(width)
@@ -110,7 +121,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                t = tokens_of(text.as_py())
+                t = tokens_of([text.as_py()])[0]
                 for width, h in seeds(t, [min(len(t), SPAN)] if len(t) >= LEAST else []):
                     rows += [(int(x), item, width, t[p : p + width].tobytes()) for p, x in enumerate(h.view(np.int64))]
             columns = zip(*rows) if rows else [[]] * 4
@@ -136,23 +147,20 @@ class Index:
         self.bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
         set_bits(self.bits, rows["h"].to_numpy(dtype=np.int64))
 
-    def found(self, tokens: np.ndarray) -> list[int]:
-        """Items of which ``tokens`` holds a window."""
-        hits: set[int] = set()
-        for width, h in seeds(tokens, self.by_width):
-            h = h.view(np.int64)
-            at = np.flatnonzero(has_bits(self.bits, h))
-            if not len(at):
-                continue
+    def found(self, texts: Iterable[str | None]) -> list[tuple[int, int]]:
+        """(number of the text, item) for every text and item of which it holds a window, in order."""
+        tokens, first = tokens_of(texts)
+        pairs: set[tuple[int, int]] = set()
+        for width, h, text, at in hits_of(tokens, first, self.bits, self.by_width):
             keys, windows = self.by_width[width]
-            low, high = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
+            low, high = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
             n = high - low
-            position = np.repeat(at, n)
+            position, text = np.repeat(at, n), np.repeat(text, n)
             entry = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             good = agree(tokens[position[:, None] + np.arange(width)], windows[entry], width)
-            for e in np.unique(entry[good]):
-                hits.update(self.items[width, windows[e].tobytes()])
-        return sorted(hits)
+            for t, e in np.unique(np.stack([text[good], entry[good]], axis=1), axis=0).tolist():
+                pairs.update((t, item) for item in self.items[width, windows[e].tobytes()])
+        return sorted(pairs)
 
 
 def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +196,7 @@ def unsearched(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = pa.array([len(tokens_of(v.as_py())) for v in batch.column(1)], pa.int32())
+            n = pa.array(np.diff(tokens_of(batch.column(1).to_pylist())[1]), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), n], ["item_id", "n_tokens"])
 
     rows = items.select(F.col(id_col).cast("long").alias("item_id"), text_of(text_col).alias("text"))
@@ -207,8 +215,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = index.value
             for batch in batches:
-                pairs = [(doc_id.as_py(), item) for doc_id, text in zip(*batch.columns) for item in known.found(tokens_of(text.as_py()))]
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["doc_id", "item_id"])
+                pairs = known.found(batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([p[0] for p in pairs], pa.int64())), pa.array([p[1] for p in pairs], pa.int64())], ["doc_id", "item_id"])
 
         return rows.mapInArrow(look, "doc_id long, item_id long").distinct()
 
@@ -216,27 +224,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     bits = spark.sparkContext.broadcast(filter_of(windows))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            for h, doc_id, width, seen in held:
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.repeat(pa.scalar(doc_id, pa.int64()), len(h)), pa.repeat(pa.scalar(width, pa.int32()), len(h)), pa.array([row.tobytes() for row in seen], pa.binary())], ["h", "doc_id", "width", "seen"])
-
         for batch in batches:
-            for doc_id, text in zip(*batch.columns):
-                t = tokens_of(text.as_py())
-                for width, h in seeds(t, widths):
-                    h = h.view(np.int64)
-                    found = np.flatnonzero(has_bits(bits.value, h))
-                    for at in np.array_split(found, len(found) // HELD_HITS + 1):
-                        if len(at):
-                            held.append((h[at], doc_id.as_py(), width, t[at[:, None] + np.arange(width)]))
-                            size += len(at)
-                        if size > HELD_HITS:
-                            yield from sent()
-                            held, size = [], 0
-        yield from sent()
+            ids = np.asarray(batch.column(0))
+            tokens, first = tokens_of(batch.column(1).to_pylist())
+            for width, h, text, at in hits_of(tokens, first, bits.value, widths):
+                seen = tokens[at[:, None] + np.arange(width)]
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[text]), pa.array(np.full(len(h), width, dtype=np.int32)), pa.array([row.tobytes() for row in seen], pa.binary())], ["h", "doc_id", "width", "seen"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,6 +261,8 @@ def clean_of(docs: DataFrame, items: DataFrame, most_windows: int = MOST_WINDOWS
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index.value
         for batch in batches:
-            yield batch.filter(pa.array([not known.found(tokens_of(v.as_py())) for v in batch.column(at)], pa.bool_()))
+            good = np.ones(batch.num_rows, dtype=bool)
+            good[[t for t, _ in known.found(batch.column(at).to_pylist())]] = False
+            yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)

@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import Workspace, most_frequent, text_of
 from strandline.llm.components import connected_components
-from strandline.llm.shingles import shingle_set
+from strandline.llm.shingles import shingle_sets
 
 WIDTH = 5
 #: Most shingles that may be ordered last for their frequency; 8 bytes each are broadcast.
@@ -152,8 +152,7 @@ def frequent_shingles(docs: DataFrame, width: int, space: Workspace) -> tuple[in
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, Seen()
         for batch in batches:
-            for value in batch.column(0):
-                s = shingle_set(value.as_buffer(), width)
+            for s in shingle_sets(batch.column(0), width):
                 if len(s) and seen.first(fingerprint(s)):  # copies met by the same task count once
                     held.append(s)
                     size += len(s)
@@ -219,8 +218,7 @@ def prefixes(docs: DataFrame, frequent, width: int, id_col: str) -> DataFrame:
             for a in range(0, whole.num_rows, 2_000):
                 batch = whole.slice(a, 2_000)
                 n, f, split, prefix, parity = [], [], [], [], []
-                for value in batch.column(1):
-                    s = shingle_set(value.as_buffer(), width)
+                for s in shingle_sets(batch.column(1), width):
                     head, rare = ordered_prefix(s, *frequent.value) if len(s) else (s, 0)
                     n.append(len(s))
                     f.append(fingerprint(s) if len(s) else (None, None))
@@ -385,8 +383,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str) -> Da
 
         for batch in batches:
             rows, held = [], 0
-            for i in np.flatnonzero(has_key(shared.value, np.asarray(batch.column(1)))):
-                s = shingle_set(batch.column(0)[int(i)].as_buffer(), width)
+            some = np.flatnonzero(has_key(shared.value, np.asarray(batch.column(1))))
+            for s in shingle_sets(batch.column(0).take(pa.array(some)), width):
                 if len(s) and seen.first(f := fingerprint(s)):
                     rows.append((*f, s.tobytes()))
                     held += len(s)

@@ -8,13 +8,19 @@ of few different letters. A shingle's hash mixes its words' hashes in order. Has
 shingles everywhere: two sets of n and m shingles are compared wrongly with a probability of about
 n * m / 2**64.
 
+Many texts are hashed at once, as they lie one behind the other in an Arrow column, which spares the
+cost of a dozen small arrays per text.
+
 ``TOKENS`` is another way to cut: runs of ASCII letters, digits, underscores and of all characters
 beyond ASCII, as they stand; characters beyond ASCII that are to part words must be blanks by then.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX, _MIX_AGAIN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -48,14 +54,21 @@ WORDS = Cut([32, *range(9, 14)], True)
 TOKENS = Cut(set(range(128)) - set(b"0123456789_abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), False)
 
 
-def word_hashes(text: bytes | memoryview, cut: Cut = WORDS) -> np.ndarray:
-    """A hash per word of a text given as bytes."""
+def words_of_texts(text: bytes | memoryview, borders: np.ndarray, cut: Cut = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """A hash per word of texts that lie one behind the other, and the number of the first word of each.
+
+    ``borders``: the place of each text's first byte, ascending from 0, and the end of the last one.
+    """
     raw = bytes(text) if cut.fold is None else bytes(text).translate(cut.fold)
     inside = np.zeros(len(raw) + 2, dtype=bool)
     np.take(cut.inside, np.frombuffer(raw, dtype=np.uint8), out=inside[1:-1])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
+    within = np.unique(borders)
+    within = within[inside[within] & inside[within + 1]]  # a border between texts ends a word and begins another
+    if len(within):
+        edge = np.sort(np.concatenate([edge, within, within]), kind="stable")
     if not len(edge):
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(borders), dtype=np.int64)
     start, end = edge[::2], edge[1::2]
     at = np.ndarray(len(raw) + 1, dtype="<u8", buffer=raw + bytes(8), strides=(1,))  # eight bytes from any place
     size = end - start
@@ -67,7 +80,12 @@ def word_hashes(text: bytes | memoryview, cut: Cut = WORDS) -> np.ndarray:
         place = np.repeat(start[long], more) + 8 * k
         value = at[place] & _FIRST[np.minimum(np.repeat(end[long], more) - place, 8)]
         total[long] += np.add.reduceat(piece_hashes(value, (k + 1).astype(np.uint64)), first)
-    return mixed(total + size.astype(np.uint64) * _ODD)
+    return mixed(total + size.astype(np.uint64) * _ODD), np.searchsorted(start, borders)
+
+
+def word_hashes(text: bytes | memoryview, cut: Cut = WORDS) -> np.ndarray:
+    """A hash per word of a text given as bytes."""
+    return words_of_texts(text, np.array([0, len(text)]), cut)[0]
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -83,10 +101,28 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mixed(h)
 
 
-def shingle_set(text: bytes | memoryview | None, width: int) -> np.ndarray:
-    """The distinct shingles of a UTF-8 text, ascending; empty for null, empty and blank texts."""
-    if text is None or not len(text):
-        return np.zeros(0, dtype=np.uint64)
-    h = shingle_hashes(word_hashes(text), width)
+def distinct(h: np.ndarray) -> np.ndarray:
+    """The distinct values of an array, ascending; sorts it in place."""
     h.sort()
     return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) > 1 else h
+
+
+def shingle_set(text: bytes | memoryview | None, width: int) -> np.ndarray:
+    """The distinct shingles of a UTF-8 text, ascending; empty for null, empty and blank texts."""
+    return distinct(shingle_hashes(word_hashes(text), width)) if text else np.zeros(0, dtype=np.uint64)
+
+
+def shingle_sets(texts: pa.Array, width: int, at_once: int = 1 << 20) -> Iterator[np.ndarray]:
+    """``shingle_set`` of each text of an Arrow column without nulls, about ``at_once`` bytes at a time."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    borders = np.frombuffer(texts.buffers()[1], dtype=kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, dtype=np.int64)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(borders, borders[a] + at_once, side="right")) - 1)
+        data = texts.buffers()[2]
+        raw = data.slice(int(borders[a]), int(borders[b] - borders[a])) if data is not None else b""
+        words, first = words_of_texts(raw, borders[a : b + 1] - borders[a])
+        windows = shingle_hashes(words, width) if len(words) >= width else words
+        for low, high in zip(first[:-1].tolist(), first[1:].tolist()):
+            yield distinct(windows[low : high - width + 1].copy() if high - low >= width else shingle_hashes(words[low:high], width).copy())
+        a = b

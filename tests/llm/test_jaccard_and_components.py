@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 
 from strandline.llm import jaccard_join as jj
@@ -84,6 +85,15 @@ def test_word_hashes_follow_the_words():
         assert len(sh.shingle_set(text.encode(), 5)) == len(shingles(text))
 
 
+@pytest.mark.parametrize("at_once", [1, 40, 1 << 20])
+def test_texts_hashed_together_are_hashed_alike(at_once):
+    r = random.Random(3)
+    texts = ["", "a", "b", " ", "a b c d e", "x" * 50, "", "no end", "\n", "word", *(prose(r, r.randrange(30)) for _ in range(30)), "Éa\u00a0éA", ""]
+    for column in (pa.array(texts), pa.array(["before", *texts, "z"])[1:-1], pa.array(texts, pa.large_string()), pa.array([], pa.string()), pa.array([""])):
+        got = list(sh.shingle_sets(column, 5, at_once))
+        assert [g.tolist() for g in got] == [sh.shingle_set(t.encode(), 5).tolist() for t in column.to_pylist()]
+
+
 def test_words_of_few_letters_do_not_collide():
     for size in (8, 9, 64, 1024, 4096):
         swap = bytes.maketrans(b"ab", b"ba")
