@@ -96,6 +96,30 @@ def _escaped(c: str) -> str:
     return rf"regexp_replace(regexp_replace({c}, '<(\\*)\|', '<\1\\|', 'g'), '\|(\\*)>', '|\1\\>', 'g')"
 
 
+_ASSIGN = r"""(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([a-z0-9+/_.=-]+)"""  # a quote is doubled in SQL
+_BASE62 = "0123456789" + _UPPER + _LOWER
+
+
+def _secret_spans() -> str:
+    """Matches of each kind with their places, from the texts between them; a checked token's CRC-32 bit by bit."""
+    kinds = [("assign", "l", _ASSIGN), ("access", "x", "AKIA[A-Z0-9]{16,}"), ("hex", "x", "[0-9a-f]{24,}"), ("github", "x", "gh[pousr]_[0-9A-Za-z]+"), ("npm", "x", "npm_[0-9A-Za-z]+")]
+    found = "\n  UNION ALL ".join(f"SELECT r, '{kind}' AS kind, {o} AS o, regexp_extract_all({c}, '{e}') AS f, string_split_regex({c}, '{e}') AS p FROM t" for o, (kind, c, e) in enumerate(kinds))
+    step = "lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS BIGINT)) ELSE v >> 1 END"
+    crc = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(5, 35), lambda i: CAST(ascii(substring(m, i, 1)) AS BIGINT))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], {step})), CAST(4294967295 AS BIGINT))"
+    digits = " || ".join(f"substring('{_BASE62}', CAST((crc // {62**k}) % 62 AS INTEGER) + 1, 1)" for k in range(5, -1, -1))
+    return f"""
+t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS l FROM documents),
+f AS (
+  {found}),
+s AS (
+  SELECT r, kind, o, f[i] AS m, CAST(list_sum(list_transform(p[1:i], lambda q: length(q))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda q: length(q))), 0) AS BIGINT) AS a
+  FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM f)),
+k AS (SELECT *, CASE WHEN o > 2 AND length(m) = 40 THEN {crc} END AS crc FROM s),
+g AS (
+  SELECT r, kind, o, a, kind || ':' || a || ':' || (a + length(m)) AS span FROM k
+  WHERE CASE WHEN o = 0 THEN length(regexp_extract(m, '{_ASSIGN}', 2)) >= 6 WHEN o < 3 THEN true ELSE crc IS NOT NULL AND substring(m, 35, 6) = {digits} END)"""
+
+
 #: Links by direct comparison of all pairs, WARC roles and chat prefixes straight from the tables.
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": f"""
@@ -121,6 +145,14 @@ c AS (SELECT doc_id, item_id, o, w, q FROM d JOIN t USING (doc_id) JOIN i USING
 SELECT DISTINCT doc_id, item_id FROM c
 WHERE CASE WHEN len(q) >= 13 THEN list_contains(list_transform(range(0, len(q) - 12), lambda s: o + s >= 0 AND o + s + 13 <= len(w) AND list_sum(list_transform(range(0, 13), lambda k: CASE WHEN w[o + s + k + 1] = q[s + k + 1] THEN 1 ELSE 0 END)) >= 11), true)
            ELSE len(q) >= 8 AND o >= 0 AND o + len(q) <= len(w) AND list_sum(list_transform(range(0, len(q)), lambda k: CASE WHEN w[o + k + 1] = q[k + 1] THEN 1 ELSE 0 END)) >= len(q) - (len(q) - 7) // 3 END""",
+    "op4_secret_scan": f"""
+WITH {_secret_spans()},
+j AS (
+  SELECT r, count(*) FILTER (WHERE o = 0) AS n_assign, count(*) FILTER (WHERE o = 1) AS n_access, count(*) FILTER (WHERE o = 2) AS n_hex,
+         string_agg(span, ',' ORDER BY a, o) FILTER (WHERE o < 3) AS base, string_agg(span, ',' ORDER BY a, o) AS spans
+  FROM g GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN j USING (r)""",
     "op9_embedding_dups": """
 WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
 u AS MATERIALIZED (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
