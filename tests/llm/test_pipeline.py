@@ -93,7 +93,7 @@ def test_columns_with_clashing_names(spark, tmp_path):
         kept = stage(spark, kept, str(tmp_path))
         assert kept.columns == docs.columns, name
         assert {tuple(r[len(rows[0]) :]) for r in kept.collect()} == {(7,) * len(CLASHING)}, name
-    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 4, 5] and kept.where("doc_id = 2").first()["n_chars"] == len("token = \"[SECRET]\"")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 4, 5] and kept.where("doc_id = 2").first()["n_chars"] == len('[SECRET]"')
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == 5
     for name, n in (("op1", 6), ("op2", 6), ("op3", 1), ("op4", 6), ("op6", 6), ("op7", 6), ("op10", 0)):
         query = next(q for k, q in registry.queries().items() if k.startswith(f"{name}_"))
