@@ -55,6 +55,7 @@ def test_fasta_of_long_sequences(spark, tmp_path, seqs):
         assert as_dict(km.count_kmers(chunks, 9)) == brute.counts(long.values(), 9)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def test_long_sequences_with_the_same_header(spark, tmp_path):
