@@ -142,7 +142,7 @@ class Classifier:
         self.first_words = {a for a, _ in self.notices_of}
         self.grants = [g for n in OTHER_NOTICES if (g := {p for part in n.split("{}") for p in zip(words_of(part), words_of(part)[1:])})]
         lines = [w for line in background if (w := words_of(line)) and self._best(w, list(NOTICES))[1] < 0.5][:BACKGROUND_LINES]
-        spare = sorted({w for line in lines for w in line}) or ["word"]
+        spare = np.array(sorted({w for line in lines for w in line}) or ["word"], dtype=object)
         rows, y = [], []
         for k, family in enumerate(self.families):
             for notice in NOTICES.get(family, OTHER_NOTICES if family == UNKNOWN else []):
