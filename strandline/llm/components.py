@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, space: Workspace, name: str = "cc") -
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         both = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = space.save(both.select("e.u", "e.v").where("u <> v").distinct(), f"{name}-{k}")
-        space.drop(f"{name}-{k - 1}")
+        space.drop(f"{name}-{k - 1}", release=False)
         now, before, seen = after, seen, _checksum(after)
         if seen == before:
             break

@@ -175,7 +175,7 @@ def frequent_shingles(docs: DataFrame, width: int, space: Workspace) -> tuple[in
     found = docs.select(text_of().alias("text")).mapInArrow(split, "bucket int, once binary, often binary").groupBy("bucket").applyInArrow(count, "key long, n long")
     found = space.save(found, "frequent")
     keys = most_frequent(found, FREQUENT).select("key").toPandas()["key"].to_numpy(dtype=np.int64, copy=True)
-    space.drop("frequent")
+    space.drop("frequent", release=False)
     keys.sort()
     return 40 - bits, keys
 
@@ -476,7 +476,7 @@ class Index:
         hashes = space.save(full_sets(self.docs, ends, self.width, self.id_col), f"{name}-hashes")
         exact = overlaps(maybe, hashes).withColumn("d", 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
         exact = space.save(exact.select("a", "b", F.expr(LINKED).alias("linked"), F.col("d").alias("low"), F.col("d").alias("high")), f"{name}-exact")
-        space.drop(f"{name}-hashes", f"{name}-ends")
+        space.drop(f"{name}-hashes", f"{name}-ends", release=False)
         apart = passed.where(f"not ({MAY_LINK})").select("a", "b", F.lit(False).alias("linked"), (2 * F.col("least") / (F.col("total") + F.col("least"))).alias("low"), F.lit(1.0).alias("high"))
         return exact.unionByName(apart)
 
