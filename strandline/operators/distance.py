@@ -16,9 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.runtime import scratch
 
 #: Sequences up to which a task holds a matrix of them (two of 32 MB).
 MOST_TAGS = 2_000
@@ -110,28 +112,41 @@ def joined_pairs(values: DataFrame, measure: Measure) -> DataFrame:
 
 def multiplied_pairs(values: DataFrame, measure: Measure, tags: int) -> DataFrame:
     """(t1, t2, d, common) of sequences with common k-mers, from products of their values."""
-    rows = values.groupBy("kmer").agg(F.collect_list("t").alias("t"), F.collect_list("n").alias("n")).where(F.size("t") > 1).select("t", "n")
+    rows = values.repartition("kmer").sortWithinPartitions("kmer").select(F.col("kmer").cast("binary").alias("kmer"), "t", "n")
     terms = (*measure.terms, (np.ones_like, np.ones_like))  # the last one counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, tags, tags))
+        last, held_t, held_n = None, np.zeros(0, dtype=np.int32), np.zeros(0)  # the k-mer that may go on in the next batch
         for batch in batches:
-            have = np.diff(np.asarray(batch.column(0).offsets))
-            first = np.cumsum(have) - have
-            t, n = np.asarray(batch.column(0).flatten()), np.asarray(batch.column(1).flatten())
-            for size in np.unique(have).tolist():
-                many = first[have == size]
-                dense = 4 * size >= tags
-                step = max(1, BLOCK_VALUES // (tags if dense else size * size))
-                for a in range(0, len(many), step):
-                    at = many[a : a + step, None] + np.arange(size)
-                    (add_dense if dense else add_pairs)(total, t[at], n[at])
+            if not batch.num_rows:
+                continue
+            kmer = batch.column(0)
+            new = np.concatenate([[kmer[0].as_py() != last], ~np.asarray(pc.equal(kmer[1:], kmer[:-1]))])
+            t, n = np.concatenate([held_t, np.asarray(batch.column(1))]), np.concatenate([held_n, np.asarray(batch.column(2))])
+            first = np.flatnonzero(np.concatenate([np.zeros(len(held_t), dtype=bool), new]))
+            first = first if not len(held_t) else np.concatenate([[0], first])
+            add(total, t[: first[-1]], n[: first[-1]], first[:-1])
+            last, held_t, held_n = kmer[-1].as_py(), t[first[-1] :], n[first[-1] :]
+        if len(held_t):
+            add(total, held_t, held_n, np.zeros(1, dtype=np.int64))
         both = np.argwhere((total != 0).any(0))
         both = both[both[:, 0] < both[:, 1]] if measure.symmetric else both[both[:, 0] != both[:, 1]]
         for a in range(0, len(both), 100_000):
             x, y = both[a : a + 100_000].T
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(total[0, x, y]), pa.array(total[1, x, y].astype(np.int64))], ["t1", "t2", "d", "common"])
 
+    def add(total: np.ndarray, t: np.ndarray, n: np.ndarray, first: np.ndarray) -> None:
+        """Add the pairs of k-mers whose sequences begin at ``first``."""
+        have = np.diff(np.append(first, len(t)))
+        for size in np.unique(have[have > 1]).tolist():
+            many = first[have == size]
+            dense = 4 * size >= tags
+            step = max(1, BLOCK_VALUES // (tags if dense else size * size))
+            for a in range(0, len(many), step):
+                at = many[a : a + step, None] + np.arange(size)
+                (add_dense if dense else add_pairs)(total, t[at], n[at])
+
     def made(n: np.ndarray, of: Callable) -> np.ndarray:
         """A term's function where there is a value, else 0."""
         out = np.zeros(n.shape)
@@ -157,11 +172,15 @@ def multiplied_pairs(values: DataFrame, measure: Measure, tags: int) -> DataFram
 def distances(counts: DataFrame, measure: Measure | str = "squared_euclidean") -> DataFrame:
     """(s1, s2, distance) from (seq_tag, kmer, n); s1 < s2 for a symmetric measure, both directions otherwise.
 
-    Sequences go by number in the join over k-mers, so its keys and groups are of fixed width.
+    Sequences go by number from here on, so keys and groups are of fixed width. The counts are written to
+    the shared folder, as they are read several times and counting is dear.
     """
     measure = MEASURES[measure] if isinstance(measure, str) else measure
     if not measure.compatible(counts):
         raise ValueError(f"{measure.name} cannot be taken of these counts")
+    path = scratch(counts.sparkSession, "counts")
+    counts.select("seq_tag", "kmer", "n").write.parquet(path)
+    counts = counts.sparkSession.read.parquet(path)
     tags = numbered_tags(counts)
     many = tags.count()
     values = counts.join(F.broadcast(tags), "seq_tag").select("kmer", "t", F.col("n").cast("double").alias("n"))
