@@ -31,12 +31,10 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, *tables: str, release: bool = True) -> None:
-        """Delete tables, and the shuffle files behind them unless these are few."""
+    def drop(self, *tables: str) -> None:
         for table in tables:
             delete(self.spark, f"{self.path}/{table}")
-        if release:
-            self.release()
+        self.release()
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of plans that nothing refers to any more, now rather than some time."""
