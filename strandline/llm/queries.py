@@ -75,6 +75,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.spellings import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_counts": op2_token_counts,
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_embedding_dups": op9_embedding_dups,
     "op10_decontamination": op10_decontamination,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -120,6 +127,32 @@ g AS (
   WHERE CASE WHEN o = 0 THEN length(regexp_extract(m, '{_ASSIGN}', 2)) >= 6 WHEN o < 3 THEN true ELSE crc IS NOT NULL AND substring(m, 35, 6) = {digits} END)"""
 
 
+def _spellings() -> str:
+    """Words with CRC-32 bit by bit; two are near if they agree without a letter, or one does with the other without one."""
+    step = "lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS BIGINT)) ELSE v >> 1 END"
+    digit = "(strpos('0123456789ABCDEF', substring(x, {0}, 1)) - 1)"
+    octets = f"list_transform(range(0, CAST(length(x) // 2 AS BIGINT)), lambda i: CAST({digit.format('2 * i + 1')} * 16 + {digit.format('2 * i + 2')} AS BIGINT))"
+    return f"""
+WITH RECURSIVE t AS (
+  SELECT d, r, count(*) AS n FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z\u00C0-\u00FF]+')) AS r FROM documents) GROUP BY ALL),
+h AS (
+  SELECT r, n, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {octets}), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], {step})), CAST(4294967295 AS BIGINT)) AS h
+  FROM (SELECT *, hex(encode(d || ':' || r)) AS x FROM t)),
+w AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 199 = 0 THEN substring(r, 1, h % length(r)) || substring(r, h % length(r) + 2) ELSE r END AS word FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+c AS MATERIALIZED (SELECT word, i, substring(word, 1, i) || substring(word, i + 2) AS rest FROM (SELECT word, unnest(range(0, length(word))) AS i FROM w)),
+p AS (
+  SELECT a.word, b.word AS near FROM c a JOIN c b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT c.word, w.word FROM c JOIN w ON w.word = c.rest
+  UNION SELECT w.word, c.word FROM c JOIN w ON w.word = c.rest),
+b AS (SELECT p.word, count(*) AS n_near, min({{'m': -w.n, 'near': near}}) AS best FROM p JOIN w ON w.word = p.near GROUP BY p.word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 5 * w.n THEN best.near END AS form, CASE WHEN -best.m >= 5 * w.n THEN -best.m END AS form_n FROM w LEFT JOIN b USING (word)),
+r AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, r.root FROM r JOIN f ON f.form = r.word)
+SELECT word, n, n_near, form, form_n, root FROM f JOIN r USING (word)"""
+
+
 #: Links by direct comparison of all pairs, WARC roles and chat prefixes straight from the tables.
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": f"""
@@ -153,6 +186,7 @@ j AS (
   FROM g GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM t LEFT JOIN j USING (r)""",
+    "op11_spelling_variants": _spellings(),
     "op9_embedding_dups": """
 WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
 u AS MATERIALIZED (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
