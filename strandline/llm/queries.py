@@ -81,6 +81,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_counts": op2_token_counts,
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_dups": op9_embedding_dups,
     "op10_decontamination": op10_decontamination,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -153,6 +160,27 @@ r AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.wor
 SELECT word, n, n_near, form, form_n, root FROM f JOIN r USING (word)"""
 
 
+def _clusters(rounds: int = 10, many: int = 8, size: int = 64) -> str:
+    """Every round in full: all distances, exact sums, floors of quotients."""
+    distance = f"list_sum(list_transform(range(1, {size + 1}), lambda i: CAST((v.x[i] - c.x[i]) * (v.x[i] - c.x[i]) AS HUGEINT)))"
+    assign = f"SELECT v.r, min({{{{'d': CAST({distance} AS BIGINT), 'c': c.c}}}}) AS b FROM v, c{{0}} c GROUP BY v.r"
+    parts = []
+    for k in range(rounds):
+        parts.append(f"a{k} AS MATERIALIZED ({assign.format(k)})")
+        parts.append(f"s{k} AS (SELECT c, i, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM (SELECT b.c AS c, unnest(x) AS y, unnest(range(1, {size + 1})) AS i FROM a{k} JOIN v USING (r)) GROUP BY c, i)")
+        parts.append(f"m{k} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{k} GROUP BY c)")
+        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m USING (c))")
+    return f"""
+WITH e AS (SELECT vec_id, embedding AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(e, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM e),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INTEGER) AS c, x FROM (SELECT sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM v ORDER BY h, x LIMIT {many})),
+{", ".join(parts)},
+z AS MATERIALIZED ({assign.format(rounds)}),
+y AS (SELECT b.c AS c, CAST(sum(b.d) AS BIGINT) AS i FROM z GROUP BY b.c)
+SELECT v.vec_id, z.b.c AS cluster, z.b.d AS distance, y.i AS cluster_inertia, (SELECT CAST(sum(i) AS BIGINT) FROM y) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM z JOIN v USING (r) JOIN y ON y.c = z.b.c JOIN c{rounds} c ON c.c = z.b.c"""
+
+
 #: Links by direct comparison of all pairs, WARC roles and chat prefixes straight from the tables.
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": f"""
@@ -187,6 +215,7 @@ j AS (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM t LEFT JOIN j USING (r)""",
     "op11_spelling_variants": _spellings(),
+    "op12_centroid_clustering": _clusters(),
     "op9_embedding_dups": """
 WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
 u AS MATERIALIZED (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
