@@ -29,12 +29,16 @@ def assign(sizes: DataFrame, slots: int, size_col: str = "n_kmers") -> DataFrame
 
 
 def deal(rows: DataFrame, assignment: DataFrame, slots: int) -> DataFrame:
-    """``rows`` with their ``slot``, each slot a partition; bins without a place go by their number."""
-    placed = rows.join(F.broadcast(assignment), "bin", "left").withColumn("slot", F.coalesce("slot", F.pmod("bin", F.lit(slots))))
-    return placed.repartitionById(slots, F.col("slot"))
+    """``rows`` with their ``place``, each place a partition; bins without one go by their number."""
+    placed = rows.join(F.broadcast(assignment.withColumnRenamed("slot", "place")), "bin", "left").withColumn("place", F.coalesce("place", F.pmod("bin", F.lit(slots))))
+    return placed.repartitionById(slots, F.col("place"))
 
 
-def balance(sizes: DataFrame, assignment: DataFrame, slots: int) -> DataFrame:
-    """(slot, bin, n): the bins of ``sizes`` (bin, n_super) with the slot that each is placed in."""
-    placed = sizes.join(F.broadcast(assignment), "bin", "left")
-    return placed.select(F.coalesce("slot", F.pmod("bin", F.lit(slots))).alias("slot"), "bin", F.col("n_super").alias("n"))
+def balance(rows: DataFrame, assignment: DataFrame, slots: int) -> DataFrame:
+    """(slot, bin, n): how many k-mers of each bin lie in each partition once ``rows`` (packed super-k-mers) are dealt.
+
+    The partition is the one that a row is met in behind the exchange, not the one that it was meant for.
+    """
+    dealt = deal(rows.withColumn("bin", F.shiftright("slot", 32).cast("int")), assignment, slots)
+    met = dealt.select(F.spark_partition_id().alias("slot"), "bin", (F.col("times") * (F.col("last") + 1)).alias("n"))
+    return met.groupBy("slot", "bin").agg(F.sum("n").alias("n"))

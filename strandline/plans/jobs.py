@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.config import CounterConfig, DistanceConfig
+from strandline.operators.bin_counting import MOST, counted_slots, counts_in_bins, packed_super_kmers, slots_of
 from strandline.operators.bins import bin_sizes, binned_counts, sampled, signature_histogram
 from strandline.operators.distance import distances, normalized
 from strandline.operators.kmers import count_by_tag, count_kmers
 from strandline.operators.partitioning import assign, balance, deal
-from strandline.runtime import shared_root, ship, spread
+from strandline.functions.packed import LONGEST
+from strandline.runtime import bytes_of, shared_root, ship, spread
 from strandline.sources.reads import read_fasta, read_long_fasta
 from strandline.sources.sinks import write_balance, write_counts, write_distances, write_nothing, write_signatures, write_totals
 
@@ -31,31 +33,44 @@ def placement(spark: SparkSession, reads: DataFrame, config: CounterConfig) -> t
 
 
 def count_job(spark: SparkSession, config: CounterConfig) -> DataFrame:
-    """(bin, kmer, n), written below ``config.output_dir()`` unless ``write`` is off. ``use_hash`` off: sorted in each bin.
+    """(bin, kmer, n), written below ``config.output_dir()`` unless ``write`` is off. ``use_hash`` off: in order in each bin.
 
-    With ``balance`` a slot is a task of the writer; with ``tasks`` alone bins go to so many tasks by hash.
+    Canonical k-mers of up to 62 bases are counted inside their bins, and counts lie by bin as they come. With
+    ``balance`` super-k-mers go to the task that the placement names. Else bins that a sample shows to be
+    large are counted in parts; the sample is left out where the whole input is smaller than a part.
     """
     reads = open_reads(spark, config)
     if config.uppercase:
         reads = reads.withColumn("seq", F.upper("seq"))
-    counts = binned_counts(count_kmers(reads, config.k, config.canonical), config.k, config.m, config.bins)
-    if config.balance:
-        assignment, slots = placement(spark, reads, config)
-        counts = deal(counts, assignment, slots).drop("slot")
+    placed, k, m = bool(config.balance or config.tasks), config.k, config.m
+    if not config.canonical or k > LONGEST:
+        counts = binned_counts(count_kmers(reads, k, config.canonical), k, m, config.bins)
+        if config.balance:
+            counts = deal(counts, *placement(spark, reads, config)).drop("place")
+        elif config.tasks:
+            counts = counts.repartition(config.tasks, "bin")
+    elif config.balance:
+        rows = packed_super_kmers(reads, k, m, config.bins).withColumn("bin", F.shiftright("slot", 32).cast("int"))
+        counts = counted_slots(deal(rows, *placement(spark, reads, config)), k, "place")
     elif config.tasks:
-        counts = counts.repartition(config.tasks, "bin")
+        counts = counted_slots(packed_super_kmers(reads, k, m, config.bins).repartition(config.tasks, "slot"), k)
+    else:
+        parts = None
+        if bytes_of(reads) > MOST:
+            parts = slots_of(bin_sizes(sampled(reads, SAMPLE_ONE_IN), k, m, config.bins), config.bins, scale=SAMPLE_ONE_IN)
+        counts, placed = counts_in_bins(reads, k, m, config.bins, parts), True
     if config.write:
-        write_counts(counts, config.output_dir(), sort=not config.use_hash, binary=config.binary, placed=bool(config.balance or config.tasks))
+        write_counts(counts, config.output_dir(), sort=not config.use_hash, binary=config.binary, placed=placed, by_range=not config.balance and not config.tasks)
     else:
         write_nothing(counts)
     return counts
 
 
 def balance_job(spark: SparkSession, config: CounterConfig) -> DataFrame:
-    """(slot, bin, n): super-k-mers of each bin and where the sample's placement puts it, written as text with totals."""
+    """(slot, bin, n): the k-mers of each bin in each task, as they arrive there by the sample's placement, written as text with totals."""
     reads = open_reads(spark, config)
     assignment, slots = placement(spark, reads, config)
-    report = balance(bin_sizes(reads, config.k, config.m, config.bins), assignment, slots)
+    report = balance(packed_super_kmers(reads, config.k, config.m, config.bins), assignment, slots)
     if config.write:
         write_balance(report, config.output_dir())
     return report

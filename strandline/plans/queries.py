@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.cli import JOBS, config_of, parser
 from strandline.config import CounterConfig, DistanceConfig, n_bins
 from strandline.functions import bases, minimizer
+from strandline.operators import bin_counting as bc
 from strandline.operators import bins as b
 from strandline.operators import distance as d
 from strandline.operators import kmers as km
@@ -58,13 +60,6 @@ def bit_helpers(reads: DataFrame) -> DataFrame:
     )
 
 
-def norm_table(spark: SparkSession) -> DataFrame:
-    """Every m-mer with its norm, from the numbers below 4^m."""
-    mmer = bases.unpack(F.col("id"), M)
-    sig = minimizer.norm(F.col("mmer"), M)
-    return spark.range(4**M).select(mmer.alias("mmer")).select("mmer", sig.alias("norm"), minimizer.signature_number(sig, M).alias("norm_number"), minimizer.is_allowed(F.col("mmer"), M).alias("allowed"))
-
-
 def super_kmer_sizes(reads: DataFrame) -> DataFrame:
     return b.bin_sizes(reads, K, M, BINS)
 
@@ -74,14 +69,29 @@ def lpt_assignment(reads: DataFrame) -> DataFrame:
 
 
 def partition_balance(reads: DataFrame) -> DataFrame:
-    placed = pt.balance(super_kmer_sizes(reads), lpt_assignment(reads), SLOTS)
-    return placed.groupBy("slot").agg(F.count("*").alias("n_bins"), F.sum("n").alias("n_super"))
+    """Bins and k-mers that each task meets behind the exchange by the placement."""
+    met = pt.balance(bc.packed_super_kmers(reads, K, M, BINS), lpt_assignment(reads), SLOTS)
+    return met.groupBy("slot").agg(F.count("*").alias("n_bins"), F.sum("n").alias("n_kmers"))
 
 
 def dealt_counts(reads: DataFrame) -> DataFrame:
-    """Counts dealt by the balanced placement; the placement never changes a result."""
-    placed = pt.deal(b.binned_counts(km.count_kmers(reads, K), K, M, BINS), lpt_assignment(reads), SLOTS)
-    return placed.groupBy("slot").agg(F.count("*").alias("n_kmers"), F.sum("n").alias("n"))
+    """Counts by the task that made them, where super-k-mers are dealt by the placement."""
+    rows = bc.packed_super_kmers(reads, K, M, BINS).withColumn("bin", F.shiftright("slot", 32).cast("int"))
+    counted = bc.counted_slots(pt.deal(rows, lpt_assignment(reads), SLOTS), K, "place")
+    return counted.groupBy(F.spark_partition_id().alias("slot")).agg(F.count("*").alias("n_kmers"), F.sum("n").alias("n"))
+
+
+def split_bin_counts(reads: DataFrame) -> DataFrame:
+    """k-mers of 28 bases counted in bins, those of more than 20,000 k-mers by a sample in parts."""
+    sizes = b.bin_sizes(b.sampled(reads, SAMPLE), 28, 10, 2048)
+    return bc.counts_in_bins(reads, 28, 10, 2048, bc.slots_of(sizes, 2048, most=20_000, scale=SAMPLE)).select("kmer", "n")
+
+
+def observed_norms(reads: DataFrame) -> DataFrame:
+    """The m-mers that occur in reads, how often, and their norms."""
+    met = km.count_kmers(reads, M, canonical=False).withColumnRenamed("kmer", "mmer")
+    sig = minimizer.norm(F.col("mmer"), M)
+    return met.select("mmer", "n", sig.alias("norm"), minimizer.signature_number(sig, M).alias("norm_number"), minimizer.is_allowed(F.col("mmer"), M).alias("allowed"))
 
 
 LANGUAGES = ("en", "de", "fr", "es")
@@ -179,12 +189,14 @@ def signature_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def balance_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The balance report's totals agree with its rows whatever the placement; the placement is of a sample."""
+    """The balance report by bin: its k-mers, all met in one task, and the task's total as far as the report's lines say so."""
     config = config_for(spark, sf_dir, balance=True, tasks=SLOTS)
     jobs.balance_job(spark, config)
     rows = spark.read.schema("bin string, n bigint, slot int").csv(config.output_dir())
-    whole = F.col("bin") == "Total"
-    return rows.agg(F.count(F.when(~whole, 1)).alias("n_bins"), F.sum(F.when(~whole, F.col("n"))).alias("n_super"), F.sum(F.when(whole, F.col("n"))).alias("n_totals"))
+    whole = rows.where("bin = 'Total'").select("slot", F.col("n").alias("whole"))
+    sums = rows.where("bin <> 'Total'").groupBy("slot").agg(F.sum("n").alias("s")).join(whole, "slot")
+    each = rows.where("bin <> 'Total'").groupBy(F.col("bin").cast("int").alias("bin")).agg(F.sum("n").alias("n"), F.count("*").alias("n_tasks"), F.max("slot").alias("slot"))
+    return each.join(sums, "slot").select("bin", "n", "n_tasks", (F.col("s") == F.col("whole")).alias("total_agrees"))
 
 
 def distance_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,10 +206,17 @@ def distance_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s1", "s2", F.round("distance", 4).alias("distance"))
 
 
-def output_names(spark: SparkSession) -> DataFrame:
-    """Folders of jobs, by parameters."""
-    rows = [(k, m, x, n, s, CounterConfig(k=k, m=m, x=x, max_bins=n, long_sequences=bool(s), output_path="/out/", prefix="p_").output_dir()) for k in (11, 28) for m in (2, 4, 10) for x in (0, 3) for n in (16, 2048) for s in (0, 1)]
-    return spark.createDataFrame(rows, "k int, m int, x int, max_bins int, kind int, folder string")
+def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folders that jobs with the parameters of each line of orders would write to."""
+    wanted = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_linenumber") + 3).cast("int").alias("m"), F.pmod("l_partkey", F.lit(5)).cast("int").alias("x"), (F.lit(10) * F.pmod("l_suppkey", F.lit(300)) + 1).cast("int").alias("max_bins"), F.pmod("l_orderkey", F.lit(2)).cast("int").alias("kind")).distinct()
+
+    def named(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            names = [CounterConfig(k=28, m=r["m"], x=r["x"], max_bins=r["max_bins"], long_sequences=bool(r["kind"]), output_path="/out/", prefix="p_").output_dir() for r in rows]
+            yield batch.append_column("folder", pa.array(names, pa.string()))
+
+    return wanted.mapInArrow(named, "m int, x int, max_bins int, kind int, folder string")
 
 
 def long_kmer_words(reads: DataFrame) -> DataFrame:
@@ -241,7 +260,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmer_orientation": _reads(lambda r: km.count_kmers(r, K, canonical=False).groupBy(bases.orientation(F.col("kmer")).alias("orientation")).agg(F.sum("n").alias("n"))),
     "kmer_packed": lambda spark, sf_dir: kmer_scalars(counts(spark, sf_dir)),
     "bit_helpers": _reads(bit_helpers),
-    "norm_table": lambda spark, sf_dir: norm_table(spark),
+    "norm_table": _reads(observed_norms),
     "kmer_signatures": _reads(lambda r: mz.kmer_signatures(r, K, M)),
     "kmer_signature_values": lambda spark, sf_dir: counts(spark, sf_dir).select("kmer", minimizer.signature(F.col("kmer"), K, M).alias("s")).select("kmer", F.col("s.v").alias("sig"), F.col("s.p").alias("sig_pos")),
     "super_kmers": _reads(lambda r: mz.super_kmers(r, K, M).select("read_id", "start", "sig", "sig_pos", "super_kmer", "n_kmers")),
@@ -281,7 +300,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "totals_file": totals_file,
     "signature_file": signature_file,
     "balance_file": balance_file,
-    "output_names": lambda spark, sf_dir: output_names(spark),
+    "output_names": output_names,
+    "counts_in_bins": _reads(lambda r: bc.counts_in_bins(r, K, M, BINS)),
+    "counts_in_split_bins_k28": _reads(split_bin_counts),
+    "packed_counts": _reads(lambda r: km.count_packed(r, K)),
+    "packed_counts_k28": _reads(lambda r: km.count_packed(r, 28)),
+    "packed_counts_k40": _reads(lambda r: km.count_packed(r, 40)),
     "kmer_words_k40": _reads(long_kmer_words),
     "kmer_signatures_k28_m10": _reads(lambda r: km.count_kmers(r, 28).select("kmer", minimizer.signature(F.col("kmer"), 28, 10).alias("s")).select("kmer", F.col("s.v").alias("sig"), F.col("s.p").alias("sig_pos"))),
     "sql_kmers": sql_kmers,
@@ -383,7 +407,7 @@ SELECT read_id, CAST(min(i) AS INTEGER) AS start, CAST(count(*) AS INTEGER) AS l
     "kmer_orientation": f"WITH {_kmers_sql()} SELECT CASE WHEN f < {_RC.format('f')} THEN 0 ELSE 1 END AS orientation, count(*) AS n FROM k GROUP BY 1",
     "kmer_packed": f"WITH {_kmers_sql()}, c AS (SELECT DISTINCT kmer FROM k) SELECT kmer, {_number('kmer', K)} AS packed, kmer AS unpacked, left(kmer, {M}) AS first_m, right(kmer, {M}) AS last_m, substring(kmer, 6, 1) AS base_5, {_RC.format('kmer')} AS rc, {_norm(f'right(kmer, {M})')} AS last_norm FROM c",
     "bit_helpers": f"WITH {_reads_sql()} SELECT read_id, (CAST(1 AS BIGINT) << CAST(read_id % 40 AS INTEGER)) - 1 AS mask, (7 - read_id % 7) % 7 AS slot, CAST(" + " + ".join(f"CASE WHEN substring(seq, {i + 1}, 1) IN ('G', 'T') THEN {2**i} ELSE 0 END" for i in range(8)) + f" AS BIGINT) AS bits, {_bin('read_id')} AS bin FROM reads",
-    "norm_table": "WITH b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS c), t AS (SELECT " + " || ".join(f"b{j}.c" for j in range(M)) + " AS mmer FROM " + ", ".join(f"b b{j}" for j in range(M)) + f"), n AS (SELECT mmer, {_norm('mmer')} AS norm FROM t) SELECT mmer, norm, CASE WHEN norm = '~' THEN {4**M} ELSE {_number('norm', M)} END AS norm_number, {_allowed('mmer')} AS allowed FROM n",
+    "norm_table": f"WITH {_kmers_sql(M)}, c AS (SELECT f AS mmer, count(*) AS n FROM k GROUP BY f), n AS (SELECT mmer, n, {_norm('mmer')} AS norm FROM c) SELECT mmer, n, norm, CASE WHEN norm = '~' THEN {4**M} ELSE {_number('norm', M)} END AS norm_number, {_allowed('mmer')} AS allowed FROM n",
     "kmer_signatures": f"WITH {_supers_sql()} SELECT read_id, i, s.v AS sig, s.p AS sig_pos FROM s",
     "kmer_signature_values": f"WITH {_kmers_sql()}, c AS (SELECT DISTINCT kmer FROM k), m AS (SELECT kmer, j, substring(kmer, j + 1, {M}) AS q FROM (SELECT kmer, unnest(range(0, {K - M + 1})) AS j FROM c)), s AS (SELECT kmer, min({{'v': {_norm('q')}, 'p': j}}) AS s FROM m GROUP BY kmer) SELECT kmer, s.v AS sig, CAST(s.p AS INTEGER) AS sig_pos FROM s",
     "super_kmers": f"WITH {_supers_sql()} SELECT u.read_id, start, sig, sig_pos, substring(seq, start + 1, n_kmers + {K - 1}) AS super_kmer, n_kmers FROM u JOIN reads USING (read_id)",
@@ -397,7 +421,7 @@ SELECT read_id, CAST(min(i) AS INTEGER) AS start, CAST(count(*) AS INTEGER) AS l
     "counts_via_superkmers": _COUNTS,
     "chunked_counts": _COUNTS,
     "lpt_assignment": f"WITH RECURSIVE {_supers_sql()}{_LPT} SELECT bin, CAST(slot AS INTEGER) AS slot FROM l WHERE r > 0",
-    "partition_balance": f"WITH RECURSIVE {_supers_sql()}{_LPT} SELECT CAST(slot AS INTEGER) AS slot, count(*) AS n_bins, CAST(sum(n_super) AS BIGINT) AS n_super FROM l JOIN sz USING (bin) WHERE r > 0 GROUP BY slot",
+    "partition_balance": f"WITH RECURSIVE {_supers_sql()}{_LPT} SELECT CAST(slot AS INTEGER) AS slot, count(*) AS n_bins, CAST(sum(n_kmers) AS BIGINT) AS n_kmers FROM l JOIN sz USING (bin) WHERE r > 0 GROUP BY slot",
     "dealt_counts": f"WITH RECURSIVE {_supers_sql()}{_LPT}, b AS (SELECT DISTINCT kmer, bin FROM s JOIN k USING (read_id, i) JOIN ub ON ub.read_id = s.read_id AND ub.sig_pos = s.s.p) SELECT CAST(slot AS INTEGER) AS slot, count(*) AS n_kmers, CAST(sum(n) AS BIGINT) AS n FROM (SELECT kmer, count(*) AS n FROM k GROUP BY kmer) JOIN b USING (kmer) JOIN l USING (bin) WHERE r > 0 GROUP BY slot",
     "header_tags": "SELECT regexp_extract(source || '.' || doc_id, '^(\\w+)', 1) AS seq_tag, count(*) AS n FROM documents GROUP BY 1",
     "multiseq_counts": f"WITH {_TAGGED} SELECT seq_tag, kmer, n FROM c",
@@ -422,8 +446,13 @@ SELECT read_id, CAST(min(i) AS INTEGER) AS start, CAST(count(*) AS INTEGER) AS l
     "count_compute_only": f"SELECT bin, count(*) AS n_kmers, CAST(sum(n) AS BIGINT) AS n FROM ({_BINNED}) GROUP BY bin",
     "totals_file": _COUNTS,
     "signature_file": f"WITH {_supers_sql()} SELECT bin, coalesce(sig, 'Total') AS sig, count(*) AS n FROM ub GROUP BY GROUPING SETS ((bin, sig), (bin))",
-    "balance_file": f"WITH {_supers_sql()} SELECT count(DISTINCT bin) AS n_bins, count(*) AS n_super, count(*) AS n_totals FROM ub",
-    "output_names": "SELECT CAST(k AS INTEGER) AS k, CAST(m AS INTEGER) AS m, CAST(x AS INTEGER) AS x, CAST(b AS INTEGER) AS max_bins, CAST(s AS INTEGER) AS kind, '/out/p_k' || k || '_m' || m || '_x' || x || '_b' || least(CAST(4 ** m AS INTEGER), b) || '_s' || s AS folder FROM (SELECT unnest([11, 28]) AS k), (SELECT unnest([2, 4, 10]) AS m), (SELECT unnest([0, 3]) AS x), (SELECT unnest([16, 2048]) AS b), (SELECT unnest([0, 1]) AS s)",
+    "balance_file": f"WITH {_supers_sql()} SELECT bin, CAST(sum(n_kmers) AS BIGINT) AS n, CAST(1 AS BIGINT) AS n_tasks, true AS total_agrees FROM ub GROUP BY bin",
+    "output_names": "SELECT m, x, max_bins, kind, '/out/p_k28_m' || m || '_x' || x || '_b' || least(CAST(4 ** m AS INTEGER), max_bins) || '_s' || kind AS folder FROM (SELECT DISTINCT CAST(l_linenumber + 3 AS INTEGER) AS m, CAST(l_partkey % 5 AS INTEGER) AS x, CAST(10 * (l_suppkey % 300) + 1 AS INTEGER) AS max_bins, CAST(l_orderkey % 2 AS INTEGER) AS kind FROM lineitem)",
+    "counts_in_bins": _BINNED,
+    "counts_in_split_bins_k28": f"WITH {_kmers_sql(28)} SELECT kmer, count(*) AS n FROM k GROUP BY kmer",
+    "packed_counts": _COUNTS,
+    "packed_counts_k28": f"WITH {_kmers_sql(28)} SELECT kmer, count(*) AS n FROM k GROUP BY kmer",
+    "packed_counts_k40": f"WITH {_kmers_sql(40)} SELECT kmer, count(*) AS n FROM k GROUP BY kmer",
     "kmer_words_k40": f"WITH {_kmers_sql(40)} SELECT kmer, count(*) AS n, {_number('left(kmer, 31)', 31)} AS word_0, {_number('right(kmer, 9)', 9)} AS word_1 FROM k GROUP BY kmer",
     "kmer_signatures_k28_m10": f"WITH {_kmers_sql(28)}, c AS (SELECT DISTINCT kmer FROM k), m AS (SELECT kmer, j, substring(kmer, j + 1, 10) AS q FROM (SELECT kmer, unnest(range(0, 19)) AS j FROM c)), s AS (SELECT kmer, min({{'v': {_norm('q')}, 'p': j}}) AS s FROM m GROUP BY kmer) SELECT kmer, s.v AS sig, CAST(s.p AS INTEGER) AS sig_pos FROM s",
     "sql_kmers": _COUNTS,

@@ -34,10 +34,15 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(target))
 
 
+def bytes_of(table: DataFrame) -> int:
+    """Spark's estimate of a table's size."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(table: DataFrame) -> DataFrame:
     """``table`` dealt over all cores if it has fewer splits than there are cores and at most SPREAD_BYTES; as it is otherwise."""
     cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() >= cores or int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+    if table.rdd.getNumPartitions() >= cores or bytes_of(table) > SPREAD_BYTES:
         return table
     return table.repartition(cores)
 
