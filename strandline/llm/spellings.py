@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import Workspace, text_of
-from strandline.llm.decontaminate import filter_of, has_bits
+from strandline.llm.decontaminate import FILTER_BITS, has_bits
 
 LETTERS, OCCURRENCES, RATIO = 6, 5, 5
 #: One in so many occurrences loses a character, chosen by a hash of document and word.
@@ -42,6 +42,8 @@ HELD, HELD_CHARS = 300_000, 32 << 20
 SENT = 50_000
 #: Places of words that are edited at once, and words per task.
 PLACES, WORDS = 1 << 14, 4_000
+#: Bits of the filter that one group puts together.
+SEGMENT = 1 << 15
 
 # the hash of a word: the sum of letter value times power of the place
 _BASE = 0x9E3779B97F4A7C15
@@ -134,6 +136,22 @@ def edited(word: str, place: int, letter: int) -> str:
     return word[:place] + chr(letter & 255) + word[place + (letter < 256) :]
 
 
+def filter_of(hashes: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits over the long column ``h``: groups of at most SEGMENT distinct places put its segments together."""
+
+    def segment(part: pa.Table) -> pa.Table:
+        bits = np.zeros(SEGMENT, dtype=bool)
+        bits[part.column("place").to_numpy() & (SEGMENT - 1)] = True
+        return pa.table({"segment": part.column("segment")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    place = F.explode(F.array(F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(FILTER_BITS - 1))))
+    places = hashes.select(place.alias("place")).distinct().withColumn("segment", F.shiftright("place", SEGMENT.bit_length() - 1).cast("int"))
+    made = np.zeros((FILTER_BITS // SEGMENT, SEGMENT // 8), dtype=np.uint8)
+    for row in places.groupBy("segment").applyInArrow(segment, "segment int, bits binary").collect():  # FILTER_BITS in all
+        made[row["segment"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return made.reshape(-1)
+
+
 def near_pairs(words: DataFrame, space: Workspace) -> DataFrame:
     """(word, n, near, near_n) for every two of ``words`` (word, n) that are one edit apart, in both orders."""
     spark = words.sparkSession
