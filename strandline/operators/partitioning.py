@@ -35,10 +35,9 @@ def deal(rows: DataFrame, assignment: DataFrame, slots: int) -> DataFrame:
 
 
 def balance(rows: DataFrame, assignment: DataFrame, slots: int) -> DataFrame:
-    """(slot, bin, n): how many k-mers of each bin lie in each partition once ``rows`` (packed super-k-mers) are dealt.
+    """(slot, bin, n): how many of ``rows`` (with a bin) of each bin lie in each partition once they are dealt.
 
     The partition is the one that a row is met in behind the exchange, not the one that it was meant for.
     """
-    dealt = deal(rows.withColumn("bin", F.shiftright("slot", 32).cast("int")), assignment, slots)
-    met = dealt.select(F.spark_partition_id().alias("slot"), "bin", (F.col("times") * (F.col("last") + 1)).alias("n"))
-    return met.groupBy("slot", "bin").agg(F.sum("n").alias("n"))
+    met = deal(rows, assignment, slots).select(F.spark_partition_id().alias("slot"), "bin")
+    return met.groupBy("slot", "bin").agg(F.count("*").alias("n"))

@@ -10,6 +10,7 @@ from strandline.operators.bin_counting import MOST, counted_slots, counts_in_bin
 from strandline.operators.bins import bin_sizes, binned_counts, sampled, signature_histogram
 from strandline.operators.distance import distances, normalized
 from strandline.operators.kmers import count_by_tag, count_kmers
+from strandline.operators.minimizers import super_kmers
 from strandline.operators.partitioning import assign, balance, deal
 from strandline.functions.packed import LONGEST
 from strandline.runtime import bytes_of, shared_root, ship, spread
@@ -67,10 +68,10 @@ def count_job(spark: SparkSession, config: CounterConfig) -> DataFrame:
 
 
 def balance_job(spark: SparkSession, config: CounterConfig) -> DataFrame:
-    """(slot, bin, n): the k-mers of each bin in each task, as they arrive there by the sample's placement, written as text with totals."""
+    """(slot, bin, n): the super-k-mers of each bin in each task, as they arrive there by the sample's placement, written as text with totals."""
     reads = open_reads(spark, config)
     assignment, slots = placement(spark, reads, config)
-    report = balance(packed_super_kmers(reads, config.k, config.m, config.bins), assignment, slots)
+    report = balance(super_kmers(reads, config.k, config.m, config.bins).select("bin"), assignment, slots)
     if config.write:
         write_balance(report, config.output_dir())
     return report

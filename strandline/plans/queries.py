@@ -69,9 +69,9 @@ def lpt_assignment(reads: DataFrame) -> DataFrame:
 
 
 def partition_balance(reads: DataFrame) -> DataFrame:
-    """Bins and k-mers that each task meets behind the exchange by the placement."""
-    met = pt.balance(bc.packed_super_kmers(reads, K, M, BINS), lpt_assignment(reads), SLOTS)
-    return met.groupBy("slot").agg(F.count("*").alias("n_bins"), F.sum("n").alias("n_kmers"))
+    """Bins and super-k-mers that each task meets behind the exchange by the placement."""
+    met = pt.balance(mz.super_kmers(reads, K, M, BINS).select("bin"), lpt_assignment(reads), SLOTS)
+    return met.groupBy("slot").agg(F.count("*").alias("n_bins"), F.sum("n").alias("n_super"))
 
 
 def dealt_counts(reads: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def signature_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def balance_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The balance report by bin: its k-mers, all met in one task, and the task's total as far as the report's lines say so."""
+    """The balance report by bin: its super-k-mers, all met in one task, and the task's total as far as the report's lines say so."""
     config = config_for(spark, sf_dir, balance=True, tasks=SLOTS)
     jobs.balance_job(spark, config)
     rows = spark.read.schema("bin string, n bigint, slot int").csv(config.output_dir())
@@ -421,7 +421,7 @@ SELECT read_id, CAST(min(i) AS INTEGER) AS start, CAST(count(*) AS INTEGER) AS l
     "counts_via_superkmers": _COUNTS,
     "chunked_counts": _COUNTS,
     "lpt_assignment": f"WITH RECURSIVE {_supers_sql()}{_LPT} SELECT bin, CAST(slot AS INTEGER) AS slot FROM l WHERE r > 0",
-    "partition_balance": f"WITH RECURSIVE {_supers_sql()}{_LPT} SELECT CAST(slot AS INTEGER) AS slot, count(*) AS n_bins, CAST(sum(n_kmers) AS BIGINT) AS n_kmers FROM l JOIN sz USING (bin) WHERE r > 0 GROUP BY slot",
+    "partition_balance": f"WITH RECURSIVE {_supers_sql()}{_LPT} SELECT CAST(slot AS INTEGER) AS slot, count(*) AS n_bins, CAST(sum(n_super) AS BIGINT) AS n_super FROM l JOIN sz USING (bin) WHERE r > 0 GROUP BY slot",
     "dealt_counts": f"WITH RECURSIVE {_supers_sql()}{_LPT}, b AS (SELECT DISTINCT kmer, bin FROM s JOIN k USING (read_id, i) JOIN ub ON ub.read_id = s.read_id AND ub.sig_pos = s.s.p) SELECT CAST(slot AS INTEGER) AS slot, count(*) AS n_kmers, CAST(sum(n) AS BIGINT) AS n FROM (SELECT kmer, count(*) AS n FROM k GROUP BY kmer) JOIN b USING (kmer) JOIN l USING (bin) WHERE r > 0 GROUP BY slot",
     "header_tags": "SELECT regexp_extract(source || '.' || doc_id, '^(\\w+)', 1) AS seq_tag, count(*) AS n FROM documents GROUP BY 1",
     "multiseq_counts": f"WITH {_TAGGED} SELECT seq_tag, kmer, n FROM c",
@@ -446,7 +446,7 @@ SELECT read_id, CAST(min(i) AS INTEGER) AS start, CAST(count(*) AS INTEGER) AS l
     "count_compute_only": f"SELECT bin, count(*) AS n_kmers, CAST(sum(n) AS BIGINT) AS n FROM ({_BINNED}) GROUP BY bin",
     "totals_file": _COUNTS,
     "signature_file": f"WITH {_supers_sql()} SELECT bin, coalesce(sig, 'Total') AS sig, count(*) AS n FROM ub GROUP BY GROUPING SETS ((bin, sig), (bin))",
-    "balance_file": f"WITH {_supers_sql()} SELECT bin, CAST(sum(n_kmers) AS BIGINT) AS n, CAST(1 AS BIGINT) AS n_tasks, true AS total_agrees FROM ub GROUP BY bin",
+    "balance_file": f"WITH {_supers_sql()} SELECT bin, count(*) AS n, CAST(1 AS BIGINT) AS n_tasks, true AS total_agrees FROM ub GROUP BY bin",
     "output_names": "SELECT m, x, max_bins, kind, '/out/p_k28_m' || m || '_x' || x || '_b' || least(CAST(4 ** m AS INTEGER), max_bins) || '_s' || kind AS folder FROM (SELECT DISTINCT CAST(l_linenumber + 3 AS INTEGER) AS m, CAST(l_partkey % 5 AS INTEGER) AS x, CAST(10 * (l_suppkey % 300) + 1 AS INTEGER) AS max_bins, CAST(l_orderkey % 2 AS INTEGER) AS kind FROM lineitem)",
     "counts_in_bins": _BINNED,
     "counts_in_split_bins_k28": f"WITH {_kmers_sql(28)} SELECT kmer, count(*) AS n FROM k GROUP BY kmer",

@@ -76,7 +76,7 @@ def test_rows_are_dealt_by_slot(spark):
     sizes = rows.where("bin < 5").groupBy("bin").agg(F.count("*").alias("n_kmers"))
     assignment = pt.assign(sizes, 3)
     dealt = pt.deal(rows, assignment, 3).withColumn("p", F.spark_partition_id()).collect()
-    assert len(dealt) == 21 and all(r["p"] == r["slot"] for r in dealt)
-    assert {r["slot"] for r in dealt if r["bin"] == 5} == {5 % 3}
-    balance = {(r["slot"], r["bin"]): r["n"] for r in pt.balance(rows.groupBy("bin").agg(F.count("*").alias("n_super")), assignment, 3).collect()}
-    assert sum(balance.values()) == 21 and balance[2, 5] == 6
+    assert len(dealt) == 21 and all(r["p"] == r["place"] for r in dealt)
+    assert {r["place"] for r in dealt if r["bin"] == 5} == {5 % 3}
+    met = {(r["slot"], r["bin"]): r["n"] for r in pt.balance(rows, assignment, 3).collect()}
+    assert sum(met.values()) == 21 and met[2, 5] == 6
