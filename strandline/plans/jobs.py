@@ -14,16 +14,24 @@ from strandline.operators.minimizers import super_kmers
 from strandline.operators.partitioning import assign, balance, deal
 from strandline.functions.packed import LONGEST
 from strandline.runtime import bytes_of, shared_root, ship, spread
-from strandline.sources.reads import read_fasta, read_long_fasta
+from strandline.sources.ranges import read_fastq, read_sequences
+from strandline.sources.reads import read_fasta
 from strandline.sources.sinks import write_balance, write_counts, write_distances, write_nothing, write_signatures, write_totals
 
 SAMPLE_ONE_IN = 100
 
 
-def open_reads(spark: SparkSession, config: CounterConfig | DistanceConfig) -> DataFrame:
+#: Endings of FASTQ files, compressed or not.
+FASTQ_NAMES = (".fastq", ".fq")
+
+
+def open_reads(spark: SparkSession, config: CounterConfig | DistanceConfig, places: bool = True) -> DataFrame:
+    """The reads of a job. Without ``places`` chunks of long sequences need not know where they lie."""
     ship(spark)
     if config.long_sequences:
-        return read_long_fasta(spark, config.input_path, config.k)
+        return read_sequences(spark, config.input_path, config.k, places)
+    if config.input_path.rstrip("/").removesuffix(".gz").endswith(FASTQ_NAMES):
+        return read_fastq(spark, config.input_path)
     return spread(read_fasta(spark, config.input_path))
 
 
@@ -40,7 +48,7 @@ def count_job(spark: SparkSession, config: CounterConfig) -> DataFrame:
     ``balance`` super-k-mers go to the task that the placement names. Else bins that a sample shows to be
     large are counted in parts; the sample is left out where the whole input is smaller than a part.
     """
-    reads = open_reads(spark, config)
+    reads = open_reads(spark, config, places=False)
     if config.uppercase:
         reads = reads.withColumn("seq", F.upper("seq"))
     placed, k, m = bool(config.balance or config.tasks), config.k, config.m

@@ -20,6 +20,7 @@ from strandline.operators import partitioning as pt
 from strandline.plans import jobs
 from strandline.runtime import scratch, ship, spread
 from strandline.sources import sinks
+from strandline.sources.ranges import read_fasta_ranges, read_fastq
 from strandline.sources.reads import LETTER_BASES, LETTERS, chunk_reads, read_fasta, read_long_fasta, reads_from_text, tag_of
 from strandline.sources.tables import register_functions
 from strandline.streaming.counts import latest_counts, start_counts, stream_reads
@@ -109,7 +110,7 @@ def write_fasta(reads: DataFrame, path: str, width: int, same_header: bool = Fal
     """Records with lines of ``width`` characters; each third one ends its lines with a carriage return too."""
     header = F.lit("chr1 copied") if same_header else F.concat(F.coalesce("seq_tag", F.lit("")), F.lit("."), F.col("read_id").cast("string"))
     end = F.when(F.pmod("read_id", F.lit(3)) == 0, "\r\n").otherwise("\n")
-    body = F.regexp_replace(F.coalesce("seq", F.lit("")), f"(.{{{width}}})(?=.)", "$1\n")
+    body = F.regexp_replace(F.coalesce("seq", F.lit("")), f"(.{{{width}}})(?=.)", "$1\n") if width < 1 << 20 else F.coalesce("seq", F.lit(""))
     reads.select(F.concat(F.lit(">"), header, end, F.when(end == "\n", body).otherwise(F.replace(body, F.lit("\n"), F.lit("\r\n")))).alias("value")).write.text(path)
 
 
@@ -136,6 +137,42 @@ def long_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.signature_histogram(chunks, K, M, BINS, totals=False)
 
 
+def ranged_counts(width: int) -> Callable[[SparkSession, str], DataFrame]:
+    """Counts of long sequences read by byte ranges, in lines of ``width`` characters; nothing but k-mers is shuffled."""
+
+    def made(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch(spark, "fasta")
+        write_fasta(reads_of(spark, sf_dir), path, width, same_header=True)
+        return km.count_kmers(read_fasta_ranges(spark, path, K, chunk=500, size=50_000, places=False), K)
+
+    return made
+
+
+def ranged_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Super-k-mers by bin and signature of sequences read by byte ranges: those over a border count once."""
+    chunks = read_fasta_ranges(spark, fasta_of(spark, sf_dir, long=True), K, chunk=500, size=50_000)
+    return b.signature_histogram(chunks, K, M, BINS, totals=False)
+
+
+def write_fastq(reads: DataFrame, path: str) -> None:
+    """Four-line records; the qualities go through all values of 0 to 40, among them those of @ and +."""
+    seq = F.coalesce("seq", F.lit(""))
+    quality = F.transform(F.sequence(F.lit(1), F.length(seq)), lambda i: F.char(F.pmod((i - 1) * 7 + F.col("read_id"), F.lit(41)) + 33))
+    quality = F.when(F.length(seq) > 0, F.array_join(quality, "")).otherwise("")
+    reads.select(F.concat(F.lit("@"), F.coalesce("seq_tag", F.lit("")), F.lit("."), F.col("read_id").cast("string"), F.lit("\n"), seq, F.lit("\n+\n"), quality).alias("value")).write.text(path)
+
+
+def fastq_counts(least_quality: int) -> Callable[[SparkSession, str], DataFrame]:
+    """Counts of reads as FASTQ, read by byte ranges; bases below the quality are no bases."""
+
+    def made(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch(spark, "fastq")
+        write_fastq(reads_of(spark, sf_dir), path)
+        return km.count_kmers(read_fastq(spark, path, least_quality, size=100_000), K)
+
+    return made
+
+
 def config_for(spark: SparkSession, sf_dir: str, **more) -> CounterConfig:
     return CounterConfig(k=K, m=M, x=X, max_bins=2000, input_path=fasta_of(spark, sf_dir), output_path=scratch(spark, "job") + "/", **more)
 
@@ -290,6 +327,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fasta_counts": lambda spark, sf_dir: km.count_kmers(read_fasta(spark, fasta_of(spark, sf_dir)), K),
     "long_fasta_counts": long_fasta_counts,
     "long_signature_histogram": long_histogram,
+    "long_fasta_ranges": ranged_counts(70),
+    "long_fasta_one_line": ranged_counts(1 << 30),
+    "range_signature_histogram": ranged_histogram,
+    "fastq_counts": fastq_counts(0),
+    "fastq_counts_masked": fastq_counts(4),
     "count_files_text": counted_files(False),
     "count_files_sorted": counted_files(False, use_hash=False, tasks=5),
     "count_files_binary": counted_files(True),
@@ -437,6 +479,14 @@ SELECT read_id, CAST(min(i) AS INTEGER) AS start, CAST(count(*) AS INTEGER) AS l
     "fasta_counts": _COUNTS,
     "long_fasta_counts": _COUNTS,
     "long_signature_histogram": f"WITH {_supers_sql()} SELECT bin, sig, count(*) AS n FROM ub GROUP BY bin, sig",
+    "long_fasta_ranges": _COUNTS,
+    "long_fasta_one_line": _COUNTS,
+    "range_signature_histogram": f"WITH {_supers_sql()} SELECT bin, sig, count(*) AS n FROM ub GROUP BY bin, sig",
+    "fastq_counts": _COUNTS,
+    "fastq_counts_masked": f"""WITH {_reads_sql()},
+m AS (SELECT read_id, array_to_string(list_transform(string_split(seq, ''), lambda c, i: CASE WHEN ((i - 1) * 7 + read_id) % 41 < 4 THEN 'N' ELSE c END), '') AS seq FROM reads WHERE length(seq) > 0),
+w AS (SELECT substring(seq, i + 1, {K}) AS f FROM (SELECT seq, unnest(range(0, length(seq) - {K} + 1)) AS i FROM m WHERE length(seq) >= {K}))
+SELECT least(f, {_RC.format("f")}) AS kmer, count(*) AS n FROM w WHERE NOT contains(f, 'N') GROUP BY 1""",
     "count_files_text": _BINNED,
     "count_files_sorted": _BINNED,
     "count_files_binary": _BINNED,

@@ -64,13 +64,14 @@ def read_long_fasta(spark: SparkSession, path: str, k: int, chunk: int = CHUNK,
     start = F.col("before") + F.col("sofar") - F.coalesce(F.col("before") + F.col("own_from"), "prior_total")
     header = F.trim(F.substring(F.coalesce("own_head", "prior_head"), 2, 1 << 30))
     lines = lines.select("file", header.alias("header"), (F.col("heads_before") + F.col("own_heads")).alias("record"), start.alias("start"), "line", "n").where("header is not null")
-    # a line belongs to every chunk [c * chunk, (c + 1) * chunk + k - 1) that it touches
+    # a line gives each chunk [c * chunk, (c + 1) * chunk + k - 1) that it touches its share, cut before anything is moved
     first = F.greatest(F.lit(0), F.floor((F.col("start") - (k - 1)) / chunk))
+    lines = lines.withColumn("line", F.encode("line", "utf-8"))
     parts = lines.withColumn("c", F.explode(F.sequence(first.cast("bigint"), F.floor((F.col("start") + F.col("n") - 1) / chunk).cast("bigint"))))
-    joined = parts.groupBy("file", "record", "header", "c").agg(F.array_sort(F.collect_list(F.struct("start", "line"))).alias("p"))
-    text = F.concat_ws("", F.transform("p", lambda x: x["line"]))
-    skip = F.greatest(F.lit(0), F.col("c") * chunk - F.col("p")[0]["start"])
-    seq = F.substring(text, (skip + 1).cast("int"), F.lit(chunk + k - 1))
+    low, high = F.greatest("start", F.col("c") * chunk), F.least(F.col("start") + F.col("n"), (F.col("c") + 1) * chunk + (k - 1))
+    share = F.decode(F.substring("line", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")), "utf-8")
+    joined = parts.groupBy("file", "record", "header", "c").agg(F.array_sort(F.collect_list(F.struct(low.alias("start"), share.alias("share")))).alias("p"))
+    seq = F.concat_ws("", F.transform("p", lambda x: x["share"]))
     rows = joined.select(F.xxhash64("file", "record", "header").alias("read_id"), tag_of(F.col("header")).alias("seq_tag"), "header", (F.col("c") * chunk).alias("chunk_start"), (F.upper(seq) if uppercase else seq).alias("seq"))
     return rows.where(F.length("seq") >= 1)
 
