@@ -5,8 +5,9 @@ anything is shuffled by pair; pairs without a common k-mer come from the grid of
 
 Where a measure is a sum of products f(p) g(q), as all that come with this package are, k-mers are
 grouped once with their sequences' values and each task adds up a matrix of sequences by sequences,
-by matrix products for k-mers of many sequences. For other measures, or more than MOST_TAGS
-sequences, k-mers are joined with themselves.
+by matrix products for k-mers of many sequences. Beyond MOST_TAGS sequences the matrix is cut into tiles of
+TILE by TILE: a k-mer goes to the tiles that its sequences fall into, each with those of its sequences that the
+tile needs, and a task holds the matrix of one tile at a time. For other measures k-mers are joined with themselves.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from strandline.runtime import scratch
 
 #: Sequences up to which a task holds a matrix of them (two of 32 MB).
 MOST_TAGS = 2_000
+#: Sequences of a tile's side.
+TILE = 512
+#: Sequences of which distances can be asked: the result has a row for each pair of them, and their names go to every task.
+MOST_NAMES = 200_000
 #: Numbers in a block of k-mers by sequences, or of pairs.
 BLOCK_VALUES = 1 << 20
 
@@ -91,13 +96,17 @@ def numbered_tags(counts: DataFrame) -> DataFrame:
 
     The result has a row per pair of them, so their names are few enough for the driver.
     """
-    names = sorted(r["seq_tag"] for r in counts.where("seq_tag is not null").select("seq_tag").distinct().collect())
+    names = sorted(r["seq_tag"] for r in counts.where("seq_tag is not null").select("seq_tag").distinct().limit(MOST_NAMES + 1).collect())
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"distances of more than {MOST_NAMES} sequences would be more than {MOST_NAMES**2 // 2} rows")
     return counts.sparkSession.createDataFrame(list(enumerate(names)), "t int, seq_tag string")
 
 
 def pair_grid(tags: DataFrame, symmetric: bool) -> DataFrame:
     """(t1, t2) of all sequences; the result itself has a row for each."""
     one = tags.agg(F.array_sort(F.collect_list("t")).alias("all")).select("all", F.explode("all").alias("t1"))
+    if tags.count() > MOST_TAGS:
+        one = one.repartition("t1")
     return one.select("t1", F.explode(F.filter("all", lambda t: t > F.col("t1") if symmetric else t != F.col("t1"))).alias("t2"))
 
 
@@ -110,13 +119,65 @@ def joined_pairs(values: DataFrame, measure: Measure) -> DataFrame:
     return met.groupBy("t1", "t2").agg(fold(measure.partial(F.col("p"), F.col("q"))).alias("d"), F.count("*").alias("common"))
 
 
+class PairSums:
+    """Sums over k-mers of a measure's terms for every two of some sequences, and the number of k-mers that both have."""
+
+    def __init__(self, measure: Measure, tags: int):
+        self.tags, self.symmetric = tags, measure.symmetric
+        self.terms = (*measure.terms, (np.ones_like, np.ones_like))  # the last one counts
+        self.total = np.zeros((2, tags, tags))
+
+    def add(self, t: np.ndarray, n: np.ndarray, first: np.ndarray) -> None:
+        """Add the pairs of k-mers whose sequences begin at ``first``."""
+        have = np.diff(np.append(first, len(t)))
+        for size in np.unique(have[have > 1]).tolist():
+            many = first[have == size]
+            dense = 4 * size >= self.tags
+            step = max(1, BLOCK_VALUES // (self.tags if dense else size * size))
+            for a in range(0, len(many), step):
+                at = many[a : a + step, None] + np.arange(size)
+                (self._add_dense if dense else self._add_pairs)(t[at], n[at])
+
+    @staticmethod
+    def _made(n: np.ndarray, of: Callable) -> np.ndarray:
+        """A term's function where there is a value, else 0."""
+        out = np.zeros(n.shape)
+        out[n != 0] = of(n[n != 0])
+        return out
+
+    def _add_dense(self, t: np.ndarray, n: np.ndarray) -> None:
+        whole = np.zeros((len(t), self.tags))
+        whole[np.arange(len(t))[:, None], t] = n
+        for k, (f, g) in enumerate(self.terms):
+            self.total[int(k == len(self.terms) - 1)] += self._made(whole, f).T @ self._made(whole, g)
+
+    def _add_pairs(self, t: np.ndarray, n: np.ndarray) -> None:
+        pair = (t[:, :, None].astype(np.int64) * self.tags + t[:, None, :]).ravel()
+        for k, (f, g) in enumerate(self.terms):
+            weight = self._made(n, f)[:, :, None] * self._made(n, g)[:, None, :]
+            self.total[int(k == len(self.terms) - 1)] += np.bincount(pair, weights=weight.ravel(), minlength=self.tags * self.tags).reshape(self.tags, self.tags)
+
+    def rows(self, number: np.ndarray, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+        """(t1, t2, d, common) of the pairs with common k-mers, in the sequences' ``number``s."""
+        both = np.argwhere((self.total != 0).any(0))
+        if wanted is not None:
+            both = both[wanted(both[:, 0], both[:, 1])]
+        x, y = number[both[:, 0]], number[both[:, 1]]
+        both = both[x < y if self.symmetric else x != y]
+        for a in range(0, len(both), 100_000):
+            x, y = both[a : a + 100_000].T
+            yield pa.RecordBatch.from_arrays([pa.array(number[x], pa.int32()), pa.array(number[y], pa.int32()), pa.array(self.total[0, x, y]), pa.array(self.total[1, x, y].astype(np.int64))], ["t1", "t2", "d", "common"])
+
+
+PAIRS = "t1 int, t2 int, d double, common long"
+
+
 def multiplied_pairs(values: DataFrame, measure: Measure, tags: int) -> DataFrame:
     """(t1, t2, d, common) of sequences with common k-mers, from products of their values."""
     rows = values.repartition("kmer").sortWithinPartitions("kmer").select(F.col("kmer").cast("binary").alias("kmer"), "t", "n")
-    terms = (*measure.terms, (np.ones_like, np.ones_like))  # the last one counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, tags, tags))
+        sums = PairSums(measure, tags)
         last, held_t, held_n = None, np.zeros(0, dtype=np.int32), np.zeros(0)  # the k-mer that may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
@@ -126,50 +187,64 @@ def multiplied_pairs(values: DataFrame, measure: Measure, tags: int) -> DataFram
             t, n = np.concatenate([held_t, np.asarray(batch.column(1))]), np.concatenate([held_n, np.asarray(batch.column(2))])
             first = np.flatnonzero(np.concatenate([np.zeros(len(held_t), dtype=bool), new]))
             first = first if not len(held_t) else np.concatenate([[0], first])
-            add(total, t[: first[-1]], n[: first[-1]], first[:-1])
+            sums.add(t[: first[-1]], n[: first[-1]], first[:-1])
             last, held_t, held_n = kmer[-1].as_py(), t[first[-1] :], n[first[-1] :]
         if len(held_t):
-            add(total, held_t, held_n, np.zeros(1, dtype=np.int64))
-        both = np.argwhere((total != 0).any(0))
-        both = both[both[:, 0] < both[:, 1]] if measure.symmetric else both[both[:, 0] != both[:, 1]]
-        for a in range(0, len(both), 100_000):
-            x, y = both[a : a + 100_000].T
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(total[0, x, y]), pa.array(total[1, x, y].astype(np.int64))], ["t1", "t2", "d", "common"])
+            sums.add(held_t, held_n, np.zeros(1, dtype=np.int64))
+        yield from sums.rows(np.arange(tags))
 
-    def add(total: np.ndarray, t: np.ndarray, n: np.ndarray, first: np.ndarray) -> None:
-        """Add the pairs of k-mers whose sequences begin at ``first``."""
-        have = np.diff(np.append(first, len(t)))
-        for size in np.unique(have[have > 1]).tolist():
-            many = first[have == size]
-            dense = 4 * size >= tags
-            step = max(1, BLOCK_VALUES // (tags if dense else size * size))
-            for a in range(0, len(many), step):
-                at = many[a : a + step, None] + np.arange(size)
-                (add_dense if dense else add_pairs)(total, t[at], n[at])
+    found = rows.mapInArrow(run, PAIRS)
+    return found.groupBy("t1", "t2").agg(F.sum("d").alias("d"), F.sum("common").alias("common"))
 
-    def made(n: np.ndarray, of: Callable) -> np.ndarray:
-        """A term's function where there is a value, else 0."""
-        out = np.zeros(n.shape)
-        out[n != 0] = of(n[n != 0])
-        return out
 
-    def add_dense(total: np.ndarray, t: np.ndarray, n: np.ndarray) -> None:
-        whole = np.zeros((len(t), tags))
-        whole[np.arange(len(t))[:, None], t] = n
-        for k, (f, g) in enumerate(terms):
-            total[int(k == len(terms) - 1)] += made(whole, f).T @ made(whole, g)
+def tiled_pairs(values: DataFrame, measure: Measure, tags: int, tile: int | None = None) -> DataFrame:
+    """As ``multiplied_pairs``, for any number of sequences: a tile of the matrix, or a part of its k-mers, is one task's work.
 
-    def add_pairs(total: np.ndarray, t: np.ndarray, n: np.ndarray) -> None:
-        pair = (t[:, :, None].astype(np.int64) * tags + t[:, None, :]).ravel()
-        for k, (f, g) in enumerate(terms):
-            weight = made(n, f)[:, :, None] * made(n, g)[:, None, :]
-            total[int(k == len(terms) - 1)] += np.bincount(pair, weights=weight.ravel(), minlength=tags * tags).reshape(tags, tags)
+    A tile is known by two blocks of sequences. A k-mer's list is as long as it has sequences, and it is sent
+    to as many tiles as it has pairs of blocks. Tiles get so many parts that their sums are no more rows than their k-mers.
+    """
+    tile = tile or TILE
+    blocks = -(-tags // tile)
+    parts = max(1, min(1 << 10, values.count() // (blocks * tile * tile)))
+    block = lambda x: F.floor(x["t"] / tile).cast("int")
+    lists = values.groupBy("kmer").agg(F.collect_list(F.struct("t", "n")).alias("all")).where(F.size("all") > 1)
+    lists = lists.select(F.pmod(F.xxhash64("kmer"), F.lit(parts)).alias("part"), "all", F.array_sort(F.array_distinct(F.transform("all", block))).alias("in"))
+    pairs = F.flatten(F.transform("in", lambda i: F.transform(F.filter("in", lambda j: j >= i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    sent = lists.select("part", "all", F.explode(pairs).alias("p")).select("part", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.filter("all", lambda x: (block(x) == F.col("p.i")) | (block(x) == F.col("p.j"))).alias("m"))
+    sent = sent.where(F.size("m") > 1).select("i", "j", "part", F.transform("m", lambda x: x["t"]).alias("t"), F.transform("m", lambda x: x["n"]).alias("n"))
 
-    found = rows.mapInArrow(run, "t1 int, t2 int, d double, common long")
-    return found.groupBy("t1", "t2").agg(F.sum("d").alias("d"), F.sum("common").alias("common"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, None
 
+        def done() -> Iterator[pa.RecordBatch]:
+            i, j = now
+            number = np.concatenate([np.arange(i * tile, (i + 1) * tile), *([np.arange(j * tile, (j + 1) * tile)] if j != i else [])])
+            # pairs within a block are those of its own tile
+            yield from sums.rows(number, None if i == j else lambda x, y: (x < tile) != (y < tile))
 
-def distances(counts: DataFrame, measure: Measure | str = "squared_euclidean") -> DataFrame:
+        for batch in batches:
+            i, j = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edge = np.concatenate([[0], np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, [len(i)]])
+            for a, b in zip(edge[:-1], edge[1:]):
+                if a == b:
+                    continue
+                if now != (i[a], j[a]):
+                    if now is not None:
+                        yield from done()
+                    now = (i[a], j[a])
+                    sums = PairSums(measure, tile * (1 + int(i[a] != j[a])))
+                lists = batch.column(3).slice(a, b - a)
+                t, n = lists.flatten().to_numpy(), batch.column(4).slice(a, b - a).flatten().to_numpy()
+                size = pc.list_value_length(lists).to_numpy()
+                sums.add(np.where(t // tile == now[0], t - now[0] * tile, t - now[1] * tile + tile), n, np.cumsum(size) - size)
+        if now is not None:
+            yield from done()
+
+    dealt = sent.repartition("i", "j", "part").sortWithinPartitions("i", "j")
+    return dealt.mapInArrow(run, PAIRS).groupBy("t1", "t2").agg(F.sum("d").alias("d"), F.sum("common").alias("common"))
+
+
+def distances(counts: DataFrame, measure: Measure | str = "squared_euclidean", most_tags: int | None = None, tile: int | None = None) -> DataFrame:
     """(s1, s2, distance) from (seq_tag, kmer, n); s1 < s2 for a symmetric measure, both directions otherwise.
 
     Sequences go by number from here on, so keys and groups are of fixed width. The counts are written to
@@ -184,7 +259,10 @@ def distances(counts: DataFrame, measure: Measure | str = "squared_euclidean") -
     tags = numbered_tags(counts)
     many = tags.count()
     values = counts.join(F.broadcast(tags), "seq_tag").select("kmer", "t", F.col("n").cast("double").alias("n"))
-    met = multiplied_pairs(values, measure, many) if measure.terms and measure.fold == "sum" and many <= MOST_TAGS else joined_pairs(values, measure)
+    if measure.terms and measure.fold == "sum":
+        met = multiplied_pairs(values, measure, many) if many <= (MOST_TAGS if most_tags is None else most_tags) else tiled_pairs(values, measure, many, tile)
+    else:
+        met = joined_pairs(values, measure)
     start = 1.0 if measure.fold == "product" else 0.0
     grid = pair_grid(tags, measure.symmetric).join(met, ["t1", "t2"], "left").withColumns({"d": F.coalesce("d", F.lit(start)), "common": F.coalesce("common", F.lit(0))})
     alone = measure.alone or (lambda p: F.lit(0.0))

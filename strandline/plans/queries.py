@@ -269,10 +269,10 @@ def sql_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT kmer, count(*) AS n FROM (SELECT explode(all) AS kmer FROM (SELECT kmers(seq, 11) AS all FROM {reads})) GROUP BY kmer", reads=reads)
 
 
-def distance_of(measure: str, normalize: bool = False) -> Callable[[DataFrame], DataFrame]:
+def distance_of(measure: str, normalize: bool = False, **how) -> Callable[[DataFrame], DataFrame]:
     def made(reads: DataFrame) -> DataFrame:
         counted = km.count_by_tag(reads, K)
-        found = d.distances(d.normalized(counted, reads, K) if normalize else counted, measure)
+        found = d.distances(d.normalized(counted, reads, K) if normalize else counted, measure, **how)
         return found.select("s1", "s2", (F.round("distance", 12 if normalize else 4) + 0.0).alias("distance"))  # no negative zero
 
     return made
@@ -322,6 +322,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dist_kldn": _reads(distance_of("kld_ln")),
     "dist_sqeuclid_norm": _reads(distance_of("squared_euclidean", True)),
     "dist_mean_square": _reads(distance_of("mean_square")),
+    "dist_tiled": _reads(distance_of("squared_euclidean", most_tags=0, tile=8)),
+    "dist_tiled_kld2": _reads(distance_of("kld_log2", most_tags=0, tile=6)),
     "dist_file": distance_file,
     "fasta_reads": fasta_reads,
     "fasta_counts": lambda spark, sf_dir: km.count_kmers(read_fasta(spark, fasta_of(spark, sf_dir)), K),
@@ -474,6 +476,8 @@ SELECT read_id, CAST(min(i) AS INTEGER) AS start, CAST(count(*) AS INTEGER) AS l
     "dist_kldn": _distance_sql("CASE WHEN p > 0 AND q > 0 THEN p * ln(p / q) ELSE 0 END", False),
     "dist_sqeuclid_norm": _distance_sql("(p - q) * (p - q)", True, 12, _NORMALIZED),
     "dist_mean_square": _distance_sql("(p - q) * (p - q)", True, fold="{0} / count(*)"),
+    "dist_tiled": _distance_sql("(p - q) * (p - q)", True),
+    "dist_tiled_kld2": _distance_sql("CASE WHEN p > 0 AND q > 0 THEN p * log2(p / q) ELSE 0 END", False),
     "dist_file": _distance_sql("(p - q) * (p - q)", True),
     "fasta_reads": f"WITH {_reads_sql()} SELECT seq_tag, count(*) AS n, CAST(sum(length(coalesce(seq, ''))) AS BIGINT) AS chars, count(DISTINCT read_id) AS ids FROM reads GROUP BY seq_tag",
     "fasta_counts": _COUNTS,

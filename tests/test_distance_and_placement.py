@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import dataclasses
 import math
 
 import pytest
@@ -49,10 +50,18 @@ def test_products_and_joins_agree(spark, monkeypatch, measure):
     seqs = {f"s{i:02}": (base if i < 3 else "") + noisy(10 + i, 60) for i in range(30)}  # k-mers of few and of many sequences
     counts = km.count_by_tag(tagged(spark, **seqs), 3 if measure == "kld_ln" else 6)
     by_products = found(d.distances(counts, measure))
-    monkeypatch.setattr(d, "MOST_TAGS", 0)
-    by_joins = found(d.distances(counts, measure))
+    by_joins = found(d.distances(counts, dataclasses.replace(d.MEASURES[measure], terms=())))
     assert by_products.keys() == by_joins.keys() and len(by_joins) in (30 * 29, 15 * 29)
     assert all(math.isclose(v, by_joins[k], rel_tol=1e-9, abs_tol=1e-9) for k, v in by_products.items())
+    for tile in (1, 7, 15, 30):  # both sides of the limit
+        by_tiles = found(d.distances(counts, measure, most_tags=29, tile=tile))
+        assert by_tiles.keys() == by_joins.keys() and all(math.isclose(v, by_joins[k], rel_tol=1e-9, abs_tol=1e-9) for k, v in by_tiles.items())
+
+
+def test_more_sequences_than_can_be_named(spark, monkeypatch):
+    monkeypatch.setattr(d, "MOST_NAMES", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        d.distances(km.count_by_tag(tagged(spark, a="ACGTA", b="ACGTT", c="ACGTC"), 3))
 
 
 def test_a_measure_of_ones_own(spark):
