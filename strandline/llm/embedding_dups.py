@@ -23,7 +23,8 @@ filled up with zeros, which changes no cosine; there are no more such tables tha
 Edge cases: a vector that is null, zero, or holds null or non-finite components links with
 nothing and is its own component; equal rows link with each other, also if they repeat an id; an id
 may be repeated with another vector, each row is judged by its own; a null id is kept and links with
-nothing; very long vectors are compared like others; cosines that tie with the threshold link; an
+nothing; very long vectors are compared like others; cosines that tie with the threshold link, decided
+in whole numbers where rounding could decide; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,18 @@ SEED = 20_240_602
 ROUNDING = 1e-4  # single precision in the tables
 
 
+def reaches(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether the cosine of two vectors is at least the decimal number ``threshold``, in exact arithmetic."""
+    whole = []
+    for v in (a, b):
+        ratios = [x.as_integer_ratio() for x in v.tolist()]
+        scale = max(d for _, d in ratios)  # powers of two
+        whole.append([n * (scale // d) for n, d in ratios])
+    dot, t = sum(x * y for x, y in zip(*whole)), Fraction(repr(threshold))
+    squares = t * t * sum(x * x for x in whole[0]) * sum(y * y for y in whole[1])
+    return dot >= 0 and dot * dot >= squares if t > 0 else dot >= 0 or dot * dot <= squares
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Number of the closest centre of each row."""
     half = 0.5 * (centres * centres).sum(1)
@@ -316,7 +330,8 @@ def links_within(distinct: DataFrame, count: int, dims: int, kind: str, threshol
         quantiser = shared.value
         chunk = group.column("chunk")[0].as_py()
         member, cell, nodes, sizes = (np.asarray(group.column(c)) for c in ("member", "cell", "node", "dims"))
-        x = unit(np.frombuffer(b"".join(group.column("x").to_pylist()), dtype=kind).reshape(len(nodes), -1))
+        raw = np.frombuffer(b"".join(group.column("x").to_pylist()), dtype=kind).reshape(len(nodes), -1)
+        x = unit(raw)
         visits = np.frombuffer(b"".join(group.column("visits").to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)
         codes = np.frombuffer(b"".join(group.column("code").to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)
         error = np.asarray(group.column("error"))
@@ -337,7 +352,11 @@ def links_within(distinct: DataFrame, count: int, dims: int, kind: str, threshol
                     i, j = q[i], inside[j]
                     for b in range(0, len(i), 65_536):
                         p, r = i[b : b + 65_536], j[b : b + 65_536]
-                        linked = (np.einsum("ij,ij->i", x[p], x[r]) >= threshold) & (sizes[p] == sizes[r])
+                        cosine = np.einsum("ij,ij->i", x[p], x[r])
+                        linked = cosine >= threshold
+                        for e in np.flatnonzero(np.abs(cosine - threshold) <= 1e-15 * (dims + 8)).tolist():  # rounding could decide
+                            linked[e] = reaches(raw[p[e]], raw[r[e]], threshold)
+                        linked &= sizes[p] == sizes[r]
                         p, r = p[linked], r[linked]
                         if how == "own":
                             once = nodes[p] < nodes[r]

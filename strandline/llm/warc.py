@@ -18,8 +18,8 @@ archive that is not compressed or is one single member can be read as well.
 Edge cases: a null payload is an empty one; a null id stays null and refers to nothing by itself;
 rows that repeat an id and payload are equal records, all of the same type; an empty table gives an
 archive without records; columns other than id, url and payload are ignored; very long payloads are
-many segments. A record whose segments or framing are damaged comes back with ``complete`` false and
-a null payload. What is no record in a foreign archive is passed over to the next line that begins
+many segments. A record whose segments or framing are damaged, or that is framed in another way than by chunks, comes back
+with ``complete`` false and a null payload; lengths that are not true or too large cost no more memory than what is there. What is no record in a foreign archive is passed over to the next line that begins
 one; where a file is cut or cannot be decompressed its reading ends. Either leaves a row of the
 type ``damaged`` that is not complete.
 """
@@ -29,6 +29,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -45,6 +46,9 @@ CHUNK_BYTES = 8_192
 MIN_DEDUP = 100
 BUNDLE_BYTES, BUNDLES_PER_FILE = 8_000_000, 16
 DAMAGED = "damaged"
+#: Bytes that are read at once, and of a header line; a record with a longer one is damaged.
+PIECE = 1 << 20
+HEX = re.compile(rb"[0-9A-Fa-f]{1,16}")
 DATE = "2020-01-01T00:00:00Z"
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -71,26 +75,26 @@ def dechunk(body: bytes) -> bytes | None:
         end = body.find(CRLF, at)
         if end < 0:
             return None
-        try:
-            size = int(body[at:end].split(b";")[0], 16)
-        except ValueError:
+        digits = body[at:end].split(b";")[0].strip(b" \t")
+        if not HEX.fullmatch(digits):
             return None
-        at = end + 2
+        size, at = int(digits, 16), end + 2
         if size == 0:
             return b"".join(out)
-        if body[at + size : at + size + 2] != CRLF:
+        if size > len(body) - at or body[at + size : at + size + 2] != CRLF:
             return None
         out.append(body[at : at + size])
         at += size + 2
 
 
 def http_payload(block: bytes) -> bytes | None:
-    """The body of an HTTP message, its transfer framing removed."""
+    """The body of an HTTP message, its transfer framing removed; None if it is framed in any other way than by chunks."""
     head, gap, body = block.partition(b"\r\n\r\n")
     if not gap:
         return None
     fields = {k.strip().lower(): v.strip().lower() for k, _, v in (line.partition(b":") for line in head.split(CRLF)[1:])}
-    return dechunk(body) if fields.get(b"transfer-encoding") == b"chunked" else body
+    framing = fields.get(b"transfer-encoding", b"identity")
+    return body if framing == b"identity" else dechunk(body) if framing == b"chunked" else None
 
 
 def clean(value: str) -> str:
@@ -165,27 +169,45 @@ def parse(stream) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """Fields (names in lower case) and block of every record; a block that is cut short is None, as is what is no record."""
     try:
         passed = False  # over something that is no record
-        while line := stream.readline(1 << 20):
+        while line := line_of(stream)[0]:
             if not line.startswith(b"WARC/"):
                 if line.strip() and not passed:
                     passed = True
                     yield {"warc-type": DAMAGED}, None
                 continue
-            passed = False
+            passed, damaged = False, False
             fields: dict[str, str] = {}
-            while (line := stream.readline(1 << 20)).strip():
-                name, _, value = line.decode("utf-8", "replace").partition(":")
+            while (read := line_of(stream))[0].strip():
+                name, _, value = read[0].decode("utf-8", "replace").partition(":")
                 fields[name.strip().lower()] = value.strip()
+                damaged |= read[1]
             length = number(fields, "content-length")
             if length is None or length < 0:
                 yield {**fields, "warc-type": DAMAGED}, None
                 continue
-            block = stream.read(length)
-            yield fields, block if len(block) == length else None
+            block = block_of(stream, length)
+            yield {**fields, "warc-type": DAMAGED} if damaged else fields, block if len(block) == length and not damaged else None
     except (EOFError, OSError, zlib.error):
         yield {"warc-type": DAMAGED}, None
 
 
+def line_of(stream) -> tuple[bytes, bool]:
+    """The next line, and whether it is longer than PIECE; what is beyond that is passed over."""
+    line = more = stream.readline(PIECE)
+    while len(more) == PIECE and not more.endswith(b"\n"):
+        more = stream.readline(PIECE)
+    return line, more is not line
+
+
+def block_of(stream, length: int) -> bytes:
+    """So many bytes, or as many as there are, whatever the length says."""
+    parts = []
+    while length > 0 and (part := stream.read(min(length, PIECE))):
+        parts.append(part)
+        length -= len(part)
+    return b"".join(parts)
+
+
 def number(fields: dict[str, str], name: str) -> int | None:
     """A field's value as a 64-bit number, None if it is none."""
     try:

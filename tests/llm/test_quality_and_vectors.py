@@ -167,3 +167,25 @@ def test_no_link_is_lost_whatever_the_spread(spark, monkeypatch, spread):
     got = sorted(tuple(r) for r in ed.near_duplicates(vectors(spark, rows)).select("vec_id", "n_links", "component_id", "kept").collect())
     want = expected(rows)
     assert got == want and sum(w[1] for w in want) > 100  # recall 1
+
+
+def test_exact_ties_link(spark):
+    """Integer vectors whose cosine is 9/10 exactly, or the least bit beside it."""
+    r, pairs = random.Random(12), []
+    while len(pairs) < 40:
+        a, b = [r.randrange(-9, 10) for _ in range(4)], [r.randrange(-9, 10) for _ in range(4)]
+        dot, squares = sum(x * y for x, y in zip(a, b)), sum(x * x for x in a) * sum(y * y for y in b)
+        if dot > 0 and 100 * dot * dot == 81 * squares:
+            pairs.append((a, b))
+    assert ((5, 5, 1, -7) and ed.reaches(np.array([5.0, 5, 1, -7]), np.array([2.0, 2, 0, -1]), 0.9))
+    near = [([9.0, 19.0**0.5, 0.0, 0.0], [1.0, 0.0, 0.0, 0.0])]  # the root is not exact, so neither is the tie
+    rows = []
+    for k, (a, b) in enumerate(pairs + near):  # each pair in dimensions of its own
+        for j, v in enumerate((a, b)):
+            rows.append((2 * k + j, [0.0] * (4 * k) + [float(x) for x in v] + [0.0] * (4 * (len(pairs) - k))))
+    got = {x["vec_id"]: x["n_links"] for x in ed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[2 * k] == got[2 * k + 1] == 1 for k in range(len(pairs)))
+    from fractions import Fraction
+
+    expected = Fraction(9) ** 2 * 100 >= 81 * (Fraction(9) ** 2 + Fraction(19.0**0.5) ** 2)
+    assert got[2 * len(pairs)] == int(expected)

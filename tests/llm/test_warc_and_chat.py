@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import chat as ch
@@ -134,3 +135,29 @@ def test_hashes_survive_small_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert [tuple(r) for r in got] == [(6, 7, 4)]
+
+
+@pytest.mark.parametrize("body", [b"1\r\na\r\n-6\r\n", b"+1\r\na\r\n0\r\n\r\n", b"1_0\r\n" + b"a" * 16 + b"\r\n0\r\n\r\n", b"ffffffffffffffff\r\na", b"\r\na", b"0x1\r\na\r\n0\r\n\r\n", b"4\r\nab\r\n", b"", b"5"])
+def test_damaged_chunks(body):
+    assert wa.dechunk(body) is None
+    assert wa.dechunk(b"2;name=x\r\nab\r\nA \r\n0123456789\r\n0\r\n\r\n") == b"ab0123456789"
+
+
+def test_framing_that_is_not_chunks_is_not_complete():
+    head = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: %s\r\n\r\n"
+    assert wa.http_payload(head % b"gzip, chunked" + b"1\r\na\r\n0\r\n\r\n") is None and wa.http_payload(head % b"gzip" + b"x") is None
+    assert wa.http_payload(head % b"Chunked" + b"1\r\na\r\n0\r\n\r\n") == b"a" and wa.http_payload(head % b"identity" + b"x") == b"x" and wa.http_payload(b"HTTP/1.1 200 OK\r\n\r\nx") == b"x"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_foreign_lengths_and_lines(spark, tmp_path, packed):
+    good = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: %s\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    odd = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: %s\r\nX: " + b"y" * (3 << 20) + b"\r\nContent-Length: 5\r\n\r\nWARC/\r\n\r\n"
+    none = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: n\r\n\r\nabc\r\n\r\n"
+    huge = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: h\r\nContent-Length: %d\r\n\r\nabc" % (1 << 62)
+    data = good % b"a" + odd % b"o" + b"z" * (2 << 20) + b"WARC/ within a line\r\n" + none + good % b"b" + huge
+    (tmp_path / ("f.warc.gz" if packed else "f.warc")).write_bytes(gzip.compress(data) if packed else data)
+    rows = [(r["record_id"], r["record_type"], None if r["block"] is None else bytes(r["block"])) for r in wa.read_records(spark, str(tmp_path)).collect()]
+    assert rows[0] == ("a", "resource", b"abc") and ("b", "resource", b"abc") in rows and ("o", wa.DAMAGED, None) in rows
+    assert ("n", wa.DAMAGED, None) in rows and rows[-1] == ("h", "resource", None)
+    assert len(rows) == 7  # what lies between records is one damaged row each time
