@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.bases import bin_of
@@ -65,3 +65,9 @@ def binned_counts(counts: DataFrame, k: int, m: int, bins: int) -> DataFrame:
     """(bin, kmer, n) from (kmer, n). A k-mer and its reverse complement have one signature, so one bin."""
     sig = signature(F.col("kmer"), k, m)["v"]
     return counts.select(bin_of(signature_number(sig, m), bins).alias("bin"), "kmer", "n")
+
+
+def top_kmers(counts: DataFrame, most: int) -> DataFrame:
+    """(bin, rank, kmer, n): the ``most`` most frequent k-mers of each bin, ties by k-mer. Each task keeps its own first ones before anything is moved."""
+    order = Window.partitionBy("bin").orderBy(F.desc("n"), "kmer")
+    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("bin", "rank", "kmer", "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.config import CounterConfig, DistanceConfig
@@ -14,7 +14,7 @@ from strandline.operators.minimizers import super_kmers
 from strandline.operators.partitioning import assign, balance, deal
 from strandline.functions.packed import LONGEST
 from strandline.runtime import bytes_of, shared_root, ship, spread
-from strandline.sources.ranges import read_fastq, read_sequences
+from strandline.sources.ranges import COMPRESSED, STORES, qualified, read_fastq, read_sequences, sampled_sizes
 from strandline.sources.reads import read_fasta
 from strandline.sources.sinks import write_balance, write_counts, write_distances, write_nothing, write_signatures, write_totals
 
@@ -35,18 +35,28 @@ def open_reads(spark: SparkSession, config: CounterConfig | DistanceConfig, plac
     return spread(read_fasta(spark, config.input_path))
 
 
+def sample_sizes(spark: SparkSession, reads: DataFrame, config: CounterConfig) -> DataFrame:
+    """(bin, n_kmers) by a sample: of byte ranges, which are read alone, where the input is FASTA that can be cut; else of reads."""
+    path, k, m = config.input_path, config.k, config.m
+    fasta = not path.rstrip("/").endswith((*FASTQ_NAMES, *(f".{c}" for c in COMPRESSED)))
+    if fasta and not config.uppercase and qualified(spark, path).split(":")[0] in STORES:
+        return sampled_sizes(spark, path, k, m, config.bins, SAMPLE_ONE_IN).select("bin", "n_kmers")
+    return bin_sizes(sampled(reads, SAMPLE_ONE_IN), k, m, config.bins).select("bin", (F.col("n_kmers") * SAMPLE_ONE_IN).alias("n_kmers"))
+
+
 def placement(spark: SparkSession, reads: DataFrame, config: CounterConfig) -> tuple[DataFrame, int]:
     """(bin, slot) by the sizes of bins in a sample, and the number of slots."""
     slots = config.tasks or spark.sparkContext.defaultParallelism
-    return assign(bin_sizes(sampled(reads, SAMPLE_ONE_IN), config.k, config.m, config.bins), slots), slots
+    return assign(sample_sizes(spark, reads, config), slots), slots
 
 
-def count_job(spark: SparkSession, config: CounterConfig) -> DataFrame:
+def count_job(spark: SparkSession, config: CounterConfig, observation: Observation | None = None) -> DataFrame:
     """(bin, kmer, n), written below ``config.output_dir()`` unless ``write`` is off. ``use_hash`` off: in order in each bin.
 
     Canonical k-mers of up to 62 bases are counted inside their bins, and counts lie by bin as they come. With
     ``balance`` super-k-mers go to the task that the placement names. Else bins that a sample shows to be
-    large are counted in parts; the sample is left out where the whole input is smaller than a part.
+    large are counted in parts; the sample is left out where the whole input is smaller than a part. An ``observation`` gets
+    n_kmers, n and most (distinct k-mers, occurrences, and those of the most frequent one) of the run itself.
     """
     reads = open_reads(spark, config, places=False)
     if config.uppercase:
@@ -66,12 +76,13 @@ def count_job(spark: SparkSession, config: CounterConfig) -> DataFrame:
     else:
         parts = None
         if bytes_of(reads) > MOST:
-            parts = slots_of(bin_sizes(sampled(reads, SAMPLE_ONE_IN), k, m, config.bins), config.bins, scale=SAMPLE_ONE_IN)
+            parts = slots_of(sample_sizes(spark, reads, config), config.bins)
         counts, placed = counts_in_bins(reads, k, m, config.bins, parts), True
+    seen = lambda rows: rows if observation is None else rows.observe(observation, F.count("*").alias("n_kmers"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
     if config.write:
-        write_counts(counts, config.output_dir(), sort=not config.use_hash, binary=config.binary, placed=placed, by_range=not config.balance and not config.tasks)
+        write_counts(counts, config.output_dir(), sort=not config.use_hash, binary=config.binary, placed=placed, by_range=not config.balance and not config.tasks, seen=seen)
     else:
-        write_nothing(counts)
+        write_nothing(seen(counts))
     return counts
 
 

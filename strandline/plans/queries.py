@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.cli import JOBS, config_of, parser
@@ -20,7 +21,8 @@ from strandline.operators import partitioning as pt
 from strandline.plans import jobs
 from strandline.runtime import scratch, ship, spread
 from strandline.sources import sinks
-from strandline.sources.ranges import read_fasta_ranges, read_fastq
+from strandline.sources.bucketed import add_counts, compared_bins, merged_counts
+from strandline.sources.ranges import read_fasta_ranges, read_fastq, sampled_sizes
 from strandline.sources.reads import LETTER_BASES, LETTERS, chunk_reads, read_fasta, read_long_fasta, reads_from_text, tag_of
 from strandline.sources.tables import register_functions
 from strandline.streaming.counts import latest_counts, start_counts, stream_reads
@@ -208,9 +210,39 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compute_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The count job without output: what it made, by bin."""
-    made = jobs.count_job(spark, config_for(spark, sf_dir, write=False))
-    return made.groupBy("bin").agg(F.count("*").alias("n_kmers"), F.sum("n").alias("n"))
+    """The count job without output: what its only run observed of itself."""
+    seen = Observation()
+    jobs.count_job(spark, config_for(spark, sf_dir, write=False), seen)
+    return spark.createDataFrame([tuple(seen.get[c] for c in ("n_kmers", "n", "most"))], "n_kmers bigint, n bigint, most bigint")
+
+
+def long_by_command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of long sequences, type 1 of the command line."""
+    args = parser().parse_args(["count", str(K), str(M), str(X), "2000", "1", "1", fasta_of(spark, sf_dir, long=True), scratch(spark, "job") + "/"])
+    config = config_of(args)
+    JOBS[args.job](spark, config)
+    return sinks.read_counts(spark, config.output_dir())
+
+
+def distance_by_command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    args = parser().parse_args(["distance", str(K), str(M), str(X), "2000", "1", "0", fasta_of(spark, sf_dir), scratch(spark, "job") + "/", "--measure", "kld_ln"])
+    config = config_of(args)
+    JOBS[args.job](spark, config)
+    rows = spark.read.option("sep", "\t").schema("s1 string, s2 string, distance double").csv(config.output_dir())
+    return rows.select("s1", "s2", (F.round("distance", 4) + 0.0).alias("distance"))
+
+
+def bucketed_halves(spark: SparkSession, sf_dir: str) -> str:
+    """A count table in buckets, with the reads of even and of odd ids as its sources."""
+    reads, name, path = reads_of(spark, sf_dir), f"strandline_{uuid.uuid4().hex}", scratch(spark, "counts")
+    for half in (0, 1):
+        add_counts(bc.counts_in_bins(reads.where(F.pmod("read_id", F.lit(2)) == half), K, M, BINS), name, f"half_{half}", path, buckets=16)
+    return name
+
+
+def ranged_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k-mers by bin, estimated from all byte ranges of a file, which leaves no error."""
+    return sampled_sizes(spark, fasta_of(spark, sf_dir), K, M, BINS, one_in=1, size=100_000)
 
 
 def totals_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,6 +301,12 @@ def sql_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT kmer, count(*) AS n FROM (SELECT explode(all) AS kmer FROM (SELECT kmers(seq, 11) AS all FROM {reads})) GROUP BY kmer", reads=reads)
 
 
+def sql_table_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The k-mers of reads by the table function that SQL users get."""
+    register_functions(spark)
+    return spark.sql("SELECT kmer, count(*) AS n FROM {reads}, LATERAL kmers_of(seq, 11) GROUP BY kmer", reads=reads_of(spark, sf_dir))
+
+
 def distance_of(measure: str, normalize: bool = False, **how) -> Callable[[DataFrame], DataFrame]:
     def made(reads: DataFrame) -> DataFrame:
         counted = km.count_by_tag(reads, K)
@@ -353,6 +391,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmer_words_k40": _reads(long_kmer_words),
     "kmer_signatures_k28_m10": _reads(lambda r: km.count_kmers(r, 28).select("kmer", minimizer.signature(F.col("kmer"), 28, 10).alias("s")).select("kmer", F.col("s.v").alias("sig"), F.col("s.p").alias("sig_pos"))),
     "sql_kmers": sql_kmers,
+    "sql_table_kmers": sql_table_kmers,
+    "top_kmers": _reads(lambda r: b.top_kmers(bc.counts_in_bins(r, K, M, BINS), 5)),
+    "merged_counts": lambda spark, sf_dir: merged_counts(spark, bucketed_halves(spark, sf_dir)),
+    "compared_bins": lambda spark, sf_dir: compared_bins(spark, bucketed_halves(spark, sf_dir), "half_0", "half_1"),
+    "bin_sizes_by_ranges": ranged_sizes,
+    "long_command_line": long_by_command_line,
+    "dist_command_line": distance_by_command_line,
 }
 
 # ---- the same in SQL --------------------------------------------------------------------------
@@ -497,7 +542,7 @@ SELECT least(f, {_RC.format("f")}) AS kmer, count(*) AS n FROM w WHERE NOT conta
     "count_files_balanced": _BINNED,
     "count_command_line": _BINNED,
     "streamed_counts": _COUNTS,
-    "count_compute_only": f"SELECT bin, count(*) AS n_kmers, CAST(sum(n) AS BIGINT) AS n FROM ({_BINNED}) GROUP BY bin",
+    "count_compute_only": f"SELECT count(*) AS n_kmers, CAST(sum(n) AS BIGINT) AS n, max(n) AS most FROM ({_COUNTS})",
     "totals_file": _COUNTS,
     "signature_file": f"WITH {_supers_sql()} SELECT bin, coalesce(sig, 'Total') AS sig, count(*) AS n FROM ub GROUP BY GROUPING SETS ((bin, sig), (bin))",
     "balance_file": f"WITH {_supers_sql()} SELECT bin, count(*) AS n, CAST(1 AS BIGINT) AS n_tasks, true AS total_agrees FROM ub GROUP BY bin",
@@ -510,4 +555,13 @@ SELECT least(f, {_RC.format("f")}) AS kmer, count(*) AS n FROM w WHERE NOT conta
     "kmer_words_k40": f"WITH {_kmers_sql(40)} SELECT kmer, count(*) AS n, {_number('left(kmer, 31)', 31)} AS word_0, {_number('right(kmer, 9)', 9)} AS word_1 FROM k GROUP BY kmer",
     "kmer_signatures_k28_m10": f"WITH {_kmers_sql(28)}, c AS (SELECT DISTINCT kmer FROM k), m AS (SELECT kmer, j, substring(kmer, j + 1, 10) AS q FROM (SELECT kmer, unnest(range(0, 19)) AS j FROM c)), s AS (SELECT kmer, min({{'v': {_norm('q')}, 'p': j}}) AS s FROM m GROUP BY kmer) SELECT kmer, s.v AS sig, CAST(s.p AS INTEGER) AS sig_pos FROM s",
     "sql_kmers": _COUNTS,
+    "sql_table_kmers": _COUNTS,
+    "top_kmers": f"SELECT bin, CAST(rank AS INTEGER) AS rank, kmer, n FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY n DESC, kmer) AS rank FROM ({_BINNED})) WHERE rank <= 5",
+    "merged_counts": _BINNED,
+    "compared_bins": f"""WITH {_supers_sql()}, b AS (SELECT DISTINCT kmer, bin FROM s JOIN k USING (read_id, i) JOIN ub ON ub.read_id = s.read_id AND ub.sig_pos = s.s.p),
+h AS (SELECT kmer, count(*) FILTER (WHERE read_id % 2 = 0) AS x, count(*) FILTER (WHERE read_id % 2 <> 0) AS y FROM k GROUP BY kmer)
+SELECT bin, CAST(sum(x) AS BIGINT) AS n_one, CAST(sum(y) AS BIGINT) AS n_other, CAST(sum(least(x, y)) AS BIGINT) AS n_both, count(*) FILTER (WHERE x > 0 AND y > 0) AS kmers_both FROM h JOIN b USING (kmer) GROUP BY bin""",
+    "bin_sizes_by_ranges": f"WITH {_supers_sql()} SELECT bin, CAST(sum(n_kmers) AS BIGINT) AS n_kmers, CAST(0 AS DOUBLE) AS error FROM ub GROUP BY bin",
+    "long_command_line": _BINNED,
+    "dist_command_line": _distance_sql("CASE WHEN p > 0 AND q > 0 THEN p * ln(p / q) ELSE 0 END", False),
 }

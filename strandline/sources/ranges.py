@@ -15,6 +15,7 @@ range each.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from strandline.operators.minimizers import super_kmers
 from strandline.runtime import scratch, ship
 from strandline.sources.reads import CHUNK, read_long_fasta, tag_of
 
@@ -68,6 +70,12 @@ def ranges(path: str, size: int) -> list[ByteRange]:
     return out
 
 
+def some_of(parts: list[ByteRange], one_in: int) -> list[ByteRange]:
+    """One in so many ranges, by a hash of name and place; at least one, if there are any."""
+    rank = {id(p): zlib.crc32(f"{p.file.rsplit('/', 1)[-1]}:{p.start}".encode()) for p in parts}
+    return [p for p in parts if rank[id(p)] % one_in == 0] or sorted(parts, key=lambda p: rank[id(p)])[:1]
+
+
 class Bytes:
     """A file's bytes from a place on, a block at a time; ``peek`` looks back from the place."""
 
@@ -172,12 +180,12 @@ def fasta_chunks(source: Bytes, end: int, k: int, chunk: int) -> Iterator[tuple[
 class FastaReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.k, self.chunk = options["path"], int(options["k"]), int(options.get("chunk", CHUNK))
-        self.size, self.bases = int(options.get("range", RANGE)), options.get("bases", "true") == "true"
+        self.size, self.bases, self.one_in = int(options.get("range", RANGE)), options.get("bases", "true") == "true", int(options.get("one_in", 1))
         if self.chunk < self.k:
             raise ValueError("a chunk must hold a k-mer")
 
     def partitions(self) -> list[ByteRange]:
-        return ranges(self.path, self.size)
+        return some_of(ranges(self.path, self.size), self.one_in)
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in FASTA.split(", ")]
@@ -188,7 +196,7 @@ class FastaReader(DataSourceReader):
 
 
 class FastaSource(DataSource):
-    """Options: path, k, chunk, range (bytes), bases ("false": a row per chunk without its bases)."""
+    """Options: path, k, chunk, range (bytes), bases ("false": a row per chunk without its bases), one_in (ranges that are read)."""
 
     @classmethod
     def name(cls) -> str:
@@ -326,6 +334,26 @@ def read_fasta_ranges(spark: SparkSession, path: str, k: int, chunk: int = CHUNK
     return rows.where(header.isNotNull()).select(F.xxhash64("file", number).alias("read_id"), tag_of(header).alias("seq_tag"), header.alias("header"), place.alias("chunk_start"), seq.alias("seq"))
 
 
+def sampled_sizes(spark: SparkSession, path: str, k: int, m: int, bins: int, one_in: int, size: int | None = None) -> DataFrame:
+    """(bin, n_kmers, error): the k-mers of each bin of a FASTA file as a sample of its byte ranges has them, read alone.
+
+    ``error``: twice the standard error of the estimate, from the ranges' differences. ``size``: bytes of
+    a range; if not given, so that some eight ranges at least are read, and 1 MB at most.
+    """
+    where = qualified(spark, path)
+    if size is None:
+        size = max(4096, min(1 << 20, sum(p.end - p.start for p in ranges(where, 1 << 40)) // (8 * one_in)))
+    every = ranges(where, size)
+    some = some_of(every, one_in)
+    register(spark)
+    rows = spark.read.format("strandline_fasta").options(path=where, k=k, range=size, one_in=one_in).load()
+    made = super_kmers(rows.withColumn("read_id", F.lit(0)), k, m, bins, "file", "block")
+    each = made.groupBy("file", "block", "bin").agg(F.sum("n_kmers").cast("double").alias("x")).groupBy("bin").agg(F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx"))
+    total, read = len(every), len(some)
+    spread = F.greatest(F.col("xx") - F.col("x") * F.col("x") / read, F.lit(0.0)) / max(1, read - 1)
+    return each.select("bin", F.round(F.col("x") * total / read).cast("bigint").alias("n_kmers"), (2 * total * F.sqrt((1 - read / total) * spread / read)).alias("error"))
+
+
 def read_sequences(spark: SparkSession, path: str, k: int, places: bool = True) -> DataFrame:
     """Chunks of long sequences: by byte ranges where Arrow opens the store, else by lines through Spark's own reader."""
     if qualified(spark, path).split(":")[0] in STORES:

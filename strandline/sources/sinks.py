@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_counts(counts: DataFrame, path: str, sort: bool = True, binary: bool = False, placed: bool = False, by_range: bool = False) -> None:
+def write_counts(counts: DataFrame, path: str, sort: bool = True, binary: bool = False, placed: bool = False, by_range: bool = False, seen: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """(bin, kmer, n) below ``path``, a folder per bin; lines of k-mer, tab, count, or Parquet if ``binary``.
 
     ``placed``: each bin lies in as few partitions as it should be written by, and nothing is shuffled again.
     ``by_range``, with ``sort``: rows go to tasks by ranges of bin and k-mer, so a large bin becomes several files
-    whose names are in the order of their k-mers.
+    whose names are in the order of their k-mers. ``seen`` gets the rows as they go to the files, so it can observe them: ranges
+    are found by a look at the rows before, which would count twice.
     """
     if sort and by_range:
         dealt = counts.repartitionByRange("bin", "kmer")
     else:
         dealt = counts if placed else counts.repartition("bin")
+    dealt = seen(dealt) if seen else dealt
     if sort:
         dealt = dealt.sortWithinPartitions("bin", "kmer")
     out = dealt.select("bin", "kmer", "n").write.mode("overwrite").partitionBy("bin")

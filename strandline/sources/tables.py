@@ -2,15 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
+
+from strandline.operators.minimizers import AT_ONCE, codes_of, cuts, orientations
+from strandline.runtime import ship
+
+
+def canonical_kmers(seq: bytes, k: int) -> Iterator[pa.Array]:
+    """The canonical k-mers of a read in order, some thousands at a time."""
+    for a in range(0, len(seq) - k + 1, AT_ONCE):
+        part = seq[a : a + AT_ONCE + k - 1]
+        codes = codes_of(part)
+        bad = np.concatenate([[0], np.cumsum(codes > 3)])
+        at = np.flatnonzero(bad[k:] == bad[:-k])
+        if len(at):
+            yield cuts(part, at, np.full(len(at), k), orientations(codes & 3, k)[at])
+
+
+@udtf(returnType="kmer string")
+class KmersOf:
+    """The table function ``kmers_of(seq, k)``; Spark has no lateral joins with table functions over Arrow."""
+
+    def eval(self, seq: str, k: int) -> Iterator[tuple[str]]:
+        if seq is not None and k is not None and k > 0:
+            for some in canonical_kmers(seq.encode(), k):
+                for kmer in some.to_pylist():
+                    yield (kmer,)
 
 
 def register_functions(spark: SparkSession) -> None:
-    """The function ``kmers(seq, k)``: the canonical k-mers of a read in order, for an ``explode`` around its query.
+    """Two functions. A null read has no k-mers in either.
+
+    ``kmers_of(seq, k)``, a table function for ``FROM reads, LATERAL kmers_of(seq, 11)``: a row per canonical
+    k-mer, given on as they are made, however long the read is.
 
-    It is SQL itself and becomes part of the plan, so no Python runs and nothing is shuffled for it. A
-    null read has null, one without k-mers an empty array.
+    ``kmers(seq, k)``, an array of them for an ``explode`` around its query. It is SQL itself and becomes part of the
+    plan, so no Python runs; its array is as long as the read, which is for short reads.
     """
+    ship(spark)
+    spark.udtf.register("kmers_of", KmersOf)
     spark.sql("""
         CREATE OR REPLACE TEMPORARY FUNCTION kmers(seq STRING, k INT)
         RETURNS ARRAY<STRING>
