@@ -92,7 +92,7 @@ def orientations_to_number(orientations: Column) -> Column:
 
 
 def bin_of(signature: Column, bins: int) -> Column:
-    """The bin of a signature number: a 32-bit mix, modulo ``bins``.
+    """The bin of a signature number: Thomas Wang's public 32-bit integer mix, modulo ``bins``.
 
     The mix works on 64-bit numbers cut to 32 bits, as 32-bit products would overflow.
     """
@@ -102,6 +102,6 @@ def bin_of(signature: Column, bins: int) -> Column:
     v = s.bitwiseXOR(F.lit(61)).bitwiseXOR(F.shiftright(s, 16))
     v = (v * 9).bitwiseAND(cut)
     v = v.bitwiseXOR(F.shiftright(v, 4))
-    v = (v * 668265261).bitwiseAND(cut)
+    v = (v * 0x27D4EB2D).bitwiseAND(cut)
     v = v.bitwiseXOR(F.shiftright(v, 15))
     return (v.bitwiseAND(F.lit(0x7FFFFFFF)) % bins).cast("int")

@@ -36,6 +36,7 @@ _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 def bin_numbers(signature: np.ndarray, bins: int) -> np.ndarray:
     """``functions.bases.bin_of`` on an array."""
+    # fixed values: the constants of Thomas Wang's 32-bit integer mix
     cut, s = 0xFFFFFFFF, signature.astype(np.int64)
     v = s ^ 61 ^ (s >> 16)
     v = (v * 9) & cut
