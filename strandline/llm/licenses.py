@@ -9,9 +9,15 @@ from. A paragraph that is rather a licence than not is compared with the predict
 if the calibrated probability or the resemblance is too low, its family is ``unknown``. That again has
 to be confirmed: the paragraph must resemble some notice a little, or the form of a grant.
 
+Notices of one licence's versions and variants differ in a word, so a family is only possible for a
+paragraph that says the same of what tells them apart (``Facts``): version, number of clauses, terms
+such as NonCommercial or Lesser. The prediction is made among the possible families, so a version that
+has no notices here is ``unknown`` and not its nearest relative. The conditions that the two and three
+clause licences begin with alike count for the latter, unless the paragraph names the number.
+
 Lines that are not most of a notice by themselves are searched for wrapped notices: in runs of adjoining lines,
-which a line without words ends (comment markers are no words), the windows of at most MOST_LINES
-lines that hold enough of a notice's word pairs are judged as one paragraph. What is found there
+which a line without words ends (comment markers are no words), the windows of at most as many lines
+as a notice has words that hold enough of its word pairs are judged as one paragraph. What is found there
 takes the place of its lines' findings if it resembles its notice more than any of them.
 
 Edge cases: null and empty texts have no paragraphs; repeated rows each give their findings; an
@@ -24,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +46,6 @@ SEED = 20_240_603
 LEAST_PROBABILITY, LEAST_RESEMBLANCE = 0.5, 0.6
 LEAST_HINT = 0.6  # of a notice's or a grant's word pairs, for the family ``unknown``
 WHOLE = 0.9  # a line that resembles a notice so much is all of it
-MOST_LINES = 24
 WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")  # hyphenated words are parted, as lines may be wrapped there
 
 # Notices of each family.
@@ -51,7 +57,9 @@ NOTICES: dict[str, list[str]] = {
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     ],
+    "MIT-0": ["SPDX-License-Identifier: MIT-0", "MIT No Attribution"],
     "Apache-2.0": [
+        "Apache License, Version 2.0",
         "Licensed under the Apache License, Version 2.0.",
         "SPDX-License-Identifier: Apache-2.0",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -61,6 +69,13 @@ NOTICES: dict[str, list[str]] = {
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
     ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "GNU General Public License version 2 or later",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+    ],
+    "LGPL-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later"],
     "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"],
     "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
     "BSD-3-Clause": [
@@ -69,11 +84,19 @@ NOTICES: dict[str, list[str]] = {
         "SPDX-License-Identifier: BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ],
+    "BSD-2-Clause": ["BSD 2-Clause License", "Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
+    "MPL-1.1": ["The contents of this file are subject to the Mozilla Public License Version 1.1", "Licensed under the Mozilla Public License, Version 1.1.", "Mozilla Public License, Version 1.1"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0", "This program is made available under the terms of the Eclipse Public License 2.0"],
+    "Zlib": ["zlib License", "Released under the zlib License.", "SPDX-License-Identifier: Zlib"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."],
     "ISC": ["ISC License", "Released under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-ND-4.0": ["CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0", "Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "CC-BY-3.0": ["Licensed under CC BY 3.0.", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."],
     "CC0-1.0": ["Released under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."],
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
 }
@@ -89,6 +112,41 @@ LOOKALIKES = [
 ]
 
 
+#: Words that a licence's version stands next to, and words that name its terms.
+VERSIONED = set("license licence licenses gnu general public gpl lgpl agpl apache mpl mozilla epl eclipse cc cc0 by nc sa nd attribution sharealike noncommercial noderivatives noderivs creative commons commercial alike derivatives derivs international unported".split())
+TERMS = {"lesser": "lesser", "lgpl": "lesser", "library": "library", "affero": "affero", "agpl": "affero", "nc": "nc", "noncommercial": "nc", "sa": "sa", "sharealike": "sa", "nd": "nd", "noderivatives": "nd", "noderivs": "nd"}
+SPLIT_TERMS = {("non", "commercial"): "nc", ("share", "alike"): "sa", ("no", "derivatives"): "nd", ("no", "derivs"): "nd"}
+CLAUSES = {"2": "2", "two": "2", "simplified": "2", "3": "3", "three": "3", "4": "4", "four": "4", "0": "0", "zero": "0", "1": "1", "one": "1"}
+NEARBY = 4  # words between a version and the licence it is of
+GLUED = re.compile(r"(a?gpl|lgpl|apache|mpl|epl|bsd)v?([1-9](?:\.[0-9])?)")
+SELF = re.compile(r"(.*)", re.S)
+VERSION = re.compile(r"v?([0-9]{1,2}(?:\.[0-9]{1,2}){0,2})")
+
+
+class Facts(NamedTuple):
+    """What a paragraph says of the version, the number of clauses and the terms of a licence."""
+
+    version: frozenset = frozenset()
+    clauses: frozenset = frozenset()
+    terms: frozenset = frozenset()
+
+
+def facts_of(words: list[str]) -> Facts:
+    parted = [x for w in words for x in (GLUED.fullmatch(w) or SELF.fullmatch(w)).groups()]
+    near = [i for i, w in enumerate(parted) if w in VERSIONED]
+    if not near and "bsd" not in parted:
+        return Facts()
+    version, clauses = set(), set()
+    for i, w in enumerate(parted):
+        if parted[i + 1 : i + 2] in (["clause"], ["clauses"]) or w == "simplified":
+            clauses.add(CLAUSES.get(w, w))
+        elif (m := VERSION.fullmatch(w)) and any(abs(i - j) <= NEARBY for j in near):
+            version.add(re.sub(r"(?:\.0)+$", "", m[1]))
+    terms = {TERMS[w] for w in parted if w in TERMS} | {t for pair, t in SPLIT_TERMS.items() if pair in zip(parted, parted[1:])}
+    commons = not {"cc", "creative", "attribution"}.isdisjoint(parted)
+    return Facts(frozenset(version), frozenset(clauses), frozenset(t for t in terms if commons or t not in ("nc", "sa", "nd")))
+
+
 def words_of(line: str) -> list[str]:
     return WORD.findall(line.lower())
 
@@ -133,6 +191,7 @@ class Classifier:
         rng = np.random.default_rng(SEED)
         self.families = [*NOTICES, UNKNOWN, NONE]
         self.templates = {f: [pairs_of(words_of(n)) for n in notices] for f, notices in NOTICES.items()}
+        self.facts = {f: [facts_of(words_of(n)) for n in notices] for f, notices in NOTICES.items()}
         self.notices = [t for f in NOTICES for t in self.templates[f]]
         self.notices_of: dict[tuple[str, str], list[int]] = {}
         for i, t in enumerate(self.notices):
@@ -200,6 +259,16 @@ class Classifier:
         have = {*zip(words, words[1:]), *(("", w) for w in words), *((w, "") for w in words)}
         return max(((f, len(t & have) / len(t)) for f in families for t in self.templates[f]), key=lambda x: x[1])
 
+    def possible(self, words: list[str], family: str) -> bool:
+        """Whether a paragraph says of version, clauses and terms what the family's notices say that it resembles most."""
+        own = Facts(*(frozenset().union(*kind) for kind in zip(*self.facts[family])))
+        if not any(own):
+            return True
+        said, have = facts_of(words), pairs_of(words)
+        _, like = max(enumerate(self.templates[family]), key=lambda t: (len(t[1] & have) / len(t[1]), -t[0]))
+        asked = self.facts[family][self.templates[family].index(like)]
+        return all(not kind or x <= kind for x, kind in zip(said[:2], own)) and all(not kind or x for x, kind in zip(said[:2], asked)) and said.terms == own.terms
+
     def judge(self, words: list[str]) -> tuple[str, float, float] | None:
         """(family, calibrated probability, resemblance), or None if this is no licence."""
         if self.evidence.isdisjoint(words):
@@ -210,6 +279,8 @@ class Classifier:
         p = softmax(((self.weights[at].sum(0) / len(at) ** 0.5 + self.bias) / self.temperature)[None])[0]
         if p[-1] >= LEAST_PROBABILITY:
             return None
+        open_ = np.array([f not in NOTICES or self.possible(words, f) for f in self.families])
+        p = p * open_ / p[open_].sum()
         k = int(p[:-1].argmax())
         family = self.families[k]
         resemblance = self._best(words, list(NOTICES) if family == UNKNOWN else [family])[1]
@@ -241,7 +312,7 @@ class Classifier:
                 for b in range(low, high + 1):
                     for pair in by_line[b]:
                         count[pair] = count.get(pair, 0) + 1
-                    while a < b and (b - a >= MOST_LINES or all(count[pair] > 1 for pair in by_line[a])):
+                    while a < b and (b - a >= len(self.notices[i]) or all(count[pair] > 1 for pair in by_line[a])):
                         for pair in by_line[a]:
                             count[pair] -= 1
                             if not count[pair]:
@@ -300,7 +371,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Cl
     one_in = docs.count() // (4 * BACKGROUND_DOCS) + 1  # so that tasks send few ids each, however many tasks there are
     ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_pick")).where(F.pmod(F.xxhash64("_pick"), F.lit(one_in)) == 0).orderBy(F.xxhash64("_pick"), "_pick").limit(BACKGROUND_DOCS)
     picked = [r["_pick"] for r in ids.collect()]  # bounded by BACKGROUND_DOCS
-    rows = docs.where(F.col(id_col).isin(picked)).select(text_of(text_col).alias("text")).limit(BACKGROUND_DOCS).collect() if picked else []
+    one_each = docs.where(F.col(id_col).isin(picked)).groupBy(F.col(id_col).alias("_pick")).agg(F.min(text_of(text_col)).alias("text"))  # ids may be repeated
+    rows = one_each.collect() if picked else []
     lines = sorted({line for r in rows for line in r["text"].split("\n") if line.strip()})
     np.random.default_rng(SEED).shuffle(lines)
     return Classifier(lines[:BACKGROUND_LINES])

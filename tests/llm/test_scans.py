@@ -236,3 +236,46 @@ def test_each_row_is_judged_by_its_own_text(spark, most_windows):
     kept = dc.clean_of(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), most_windows)
     assert kept.columns == docs.columns
     assert sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=str) == sorted((x for x in rows if x[1] != item), key=str)
+
+
+#: Lines of a family, or of a licence without notices here, which may be ``unknown`` or nothing.
+NEAR_MISSES = {
+    "GNU General Public License, version 2.": "GPL-2.0", "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1", "BSD 2-Clause License": "BSD-2-Clause", "Licensed under the BSD 2-Clause License.": "BSD-2-Clause",
+    "Mozilla Public License, Version 1.1.": "MPL-1.1", "CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "CC BY-ND 4.0.": "CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0": "CC-BY-ND-4.0",
+    "GNU General Public License version 2 or later": "GPL-2.0", "Licensed under CC BY 3.0.": "CC-BY-3.0", "Eclipse Public License 2.0": "EPL-2.0", "zlib License": "Zlib", "SPDX-License-Identifier: MIT-0": "MIT-0",
+    "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY 4.0.": "CC-BY-4.0",
+    "Apache License, Version 1.1.": None, "Licensed under the Apache License, Version 3.0.": None, "Licensed under the GPLv2": None, "SPDX-License-Identifier: LGPL-2.0-only": None,
+    "This work is licensed under the GNU General Public License, version 4.": None, "Licensed under the GNU Affero General Public License, version 2.": None, "Licensed under the GNU Library General Public License, version 2.": None,
+    "Licensed under the GNU General Public License.": None, "Licensed under the Mozilla Public License, Version 3.0.": None, "Eclipse Public License 1.0": None, "BSD 4-Clause License": None,
+    "Licensed under CC BY 5.0.": None, "Licensed under CC BY-NC-ND 2.0.": None, "Creative Commons Attribution-NonCommercial 2.5": None, "SPDX-License-Identifier: AGPL-1.0": None, "SPDX-License-Identifier: Apache-1.1": None,
+}
+
+
+def test_versions_and_variants_get_their_own_family_or_none(spark):
+    r = random.Random(13)
+    rows = [(i, f"{prose(r, 20)}\n\n{line}\n\n{prose(r, 9)}") for i, line in enumerate(NEAR_MISSES)]
+    rows += [(100 + i, f"{prose(r, 9)}\n\n{textwrap.fill(WRAPPED['GPL-3.0'].replace('version 3', f'version {n}'), 50)}\n\n{prose(r, 9)}") for i, n in enumerate((1, 2, 3, 4))]
+    got = {}
+    for x in li.find_licenses(frame(spark, rows)).collect():
+        got.setdefault(x["doc_id"], set()).add(x["license"])
+    for i, (line, family) in enumerate(NEAR_MISSES.items()):
+        assert got.get(i, set()) - {"unknown"} == ({family} if family else set()), line
+    assert [got.get(100 + i, set()) - {"unknown"} for i in range(4)] == [set(), {"GPL-2.0"}, {"GPL-3.0"}, set()]
+
+
+def test_what_tells_licences_apart():
+    facts = lambda x: tuple(set(kind) for kind in li.facts_of(li.words_of(x)))
+    assert facts("either version 3 of the License") == ({"3"}, set(), set())
+    assert facts("Copyright 2019, licensed under the LGPLv2.1") == ({"2.1"}, set(), {"lesser"})
+    assert facts("BSD 2-Clause License") == (set(), {"2"}, set()) and facts("the two-clause BSD license") == (set(), {"2"}, set())
+    assert facts("Creative Commons Attribution Non-Commercial Share-Alike 4.0") == ({"4"}, set(), {"nc", "sa"})
+    assert facts("chapter 2") == facts("the 12 sharealike of old")[1:] + (set(),) == (set(), set(), set())
+
+
+def test_a_notice_with_a_word_to_a_line_is_found():
+    r = random.Random(14)
+    made = li.Classifier([prose(r, 20) for _ in range(100)])
+    words = li.NOTICES["MIT"][4].split()
+    assert [(f[0], f[3]) for f in li.findings("\n".join(["of old", "", *words, "", "of old"]), made)] == [(3, "MIT")]  # a first line of one word has no pair of its own
+    assert len(words) > 24
