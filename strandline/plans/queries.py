@@ -25,7 +25,7 @@ from strandline.sources.bucketed import add_counts, compared_bins, merged_counts
 from strandline.sources.ranges import read_fasta_ranges, read_fastq, sampled_sizes
 from strandline.sources.reads import LETTER_BASES, LETTERS, chunk_reads, read_fasta, read_long_fasta, reads_from_text, tag_of
 from strandline.sources.tables import register_functions
-from strandline.streaming.counts import latest_counts, start_counts, stream_reads
+from strandline.streaming.counts import latest_counts, merged_batches, start_batch_counts, start_counts, stream_reads
 
 K, M, X, SLOTS, SAMPLE = 11, 4, 3, 8, 10
 BINS = n_bins(M, 2000)
@@ -197,18 +197,26 @@ def counted_by_command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.read_counts(spark, config.output_dir())
 
 
+def arriving(spark: SparkSession, sf_dir: str, path: str, batches: int = 4) -> DataFrame:
+    """A stream of the reads, which come in files that are read two at a time."""
+    reads_of(spark, sf_dir).repartition(2 * batches, "read_id").write.parquet(f"{path}/in")
+    return stream_reads(spark, f"{path}/in", most_files=2)
+
+
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of reads that arrive in files of a folder."""
+    """Counts of reads that arrive in files of a folder, batch after batch, with the counts so far as state."""
     path = scratch(spark, "stream")
-    reads_of(spark, sf_dir).write.parquet(f"{path}/in")
-    query = start_counts(stream_reads(spark, f"{path}/in"), K, f"{path}/out", f"{path}/checkpoint")
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
+    start_counts(arriving(spark, sf_dir, path), K, f"{path}/out", f"{path}/checkpoint", available_now=True).awaitTermination()
     return latest_counts(spark, f"{path}/out")
 
 
+def streamed_bin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by bin of reads that arrive in files of a folder, from the counts of each batch, without state."""
+    path = scratch(spark, "stream")
+    start_batch_counts(arriving(spark, sf_dir, path), K, M, BINS, f"{path}/out", f"{path}/checkpoint", available_now=True).awaitTermination()
+    return merged_batches(spark, f"{path}/out")
+
+
 def compute_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The count job without output: what its only run observed of itself."""
     seen = Observation()
@@ -379,6 +387,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "count_compute_only": compute_only,
     "count_command_line": counted_by_command_line,
     "streamed_counts": streamed_counts,
+    "streamed_bin_counts": streamed_bin_counts,
     "totals_file": totals_file,
     "signature_file": signature_file,
     "balance_file": balance_file,
@@ -542,6 +551,7 @@ SELECT least(f, {_RC.format("f")}) AS kmer, count(*) AS n FROM w WHERE NOT conta
     "count_files_balanced": _BINNED,
     "count_command_line": _BINNED,
     "streamed_counts": _COUNTS,
+    "streamed_bin_counts": _BINNED,
     "count_compute_only": f"SELECT count(*) AS n_kmers, CAST(sum(n) AS BIGINT) AS n, max(n) AS most FROM ({_COUNTS})",
     "totals_file": _COUNTS,
     "signature_file": f"WITH {_supers_sql()} SELECT bin, coalesce(sig, 'Total') AS sig, count(*) AS n FROM ub GROUP BY GROUPING SETS ((bin, sig), (bin))",

@@ -16,7 +16,7 @@ from strandline.operators import kmers as km
 from strandline.operators.bins import sampled, super_kmer_counts
 from strandline.sources import sinks
 from strandline.sources.reads import read_fasta, read_long_fasta, tag_of
-from strandline.streaming.counts import latest_counts, start_counts, stream_reads
+from strandline.streaming.counts import STATE, latest_counts, merged_batches, start_batch_counts, start_counts, stream_reads
 from tests import brute
 from tests.test_kmers import as_dict, noisy
 
@@ -143,6 +143,26 @@ def test_stream_matches_batch(spark, tmp_path, seqs):
         query.stop()
 
 
+def test_streams_go_on_where_they_ended(spark, tmp_path, seqs):
+    """Both ways are stopped between batches and go on from their checkpoint; a batch that is written again changes nothing."""
+    frame = lambda i, x: spark.createDataFrame([(i, "t", x)], "read_id long, seq_tag string, seq string").coalesce(1)
+    key = next(iter(STATE))
+    before = spark.conf.get(key, None)
+    for upto in range(1, len(seqs) + 1):
+        frame(upto, seqs[upto - 1]).write.parquet(f"{tmp_path}/in/{upto}")
+        reads = stream_reads(spark, f"{tmp_path}/in/*", most_files=1)
+        start_counts(reads, 6, f"{tmp_path}/so_far", f"{tmp_path}/c1", available_now=True).awaitTermination()
+        start_batch_counts(reads, 6, 3, 20, f"{tmp_path}/bins", f"{tmp_path}/c2", available_now=True).awaitTermination()
+        want = brute.counts(seqs[:upto], 6)
+        assert as_dict(latest_counts(spark, f"{tmp_path}/so_far")) == want
+        merged = merged_batches(spark, f"{tmp_path}/bins")
+        assert as_dict(merged.select("kmer", "n")) == want
+    assert spark.conf.get(key, None) == before  # the session's own settings are as they were
+    some = [r["bin"] for r in merged.select("bin").distinct().limit(2).collect()]
+    assert sorted(map(tuple, merged_batches(spark, f"{tmp_path}/bins", some).collect())) == sorted(map(tuple, merged.where(merged["bin"].isin(some)).collect()))
+    assert any(p.name.endswith(".zip") or p.name.endswith(".changelog") for p in (tmp_path / "c1" / "state").rglob("*"))  # RocksDB keeps it
+
+
 def test_a_cluster_must_name_a_shared_folder(spark):
     context = SimpleNamespace(master="spark://host:7077", applicationId="x", getConf=dict)
     session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
