@@ -9,6 +9,9 @@ the line's start, at most ``HEADER_BYTES``; a longer header is an error wherever
 the first line that begins with ``@`` and has a line with ``+`` two lines later: a quality line may begin with ``@`` as well, but two
 lines behind one is a sequence, which never begins with ``+``. Bases below a quality can be masked as N.
 
+A range reads its own bytes and what its last k-mers or its last record need behind it, in reads that grow from ``BEHIND``
+bytes on. A task takes as many neighbouring ranges as it should, so small ranges are no small tasks, and rows are sent in batches.
+
 Files are opened by Arrow's file systems (local paths, file:, hdfs:, s3:, gs:). Compressed files cannot be cut and are one
 range each.
 """
@@ -32,6 +35,10 @@ from strandline.sources.reads import CHUNK, read_long_fasta, tag_of
 
 RANGE = 64 << 20
 READ = 4 << 20
+#: Bytes of the first read behind a range's end, or before its start; each further one is larger.
+BEHIND = 4096
+#: Tasks for each core that a file is cut into, as far as they have no more than RANGE bytes.
+WAVES = 4
 HEADER_BYTES = 1 << 20
 #: Rows of a batch of short reads are sent after so many bytes.
 BATCH = 2 << 20
@@ -50,6 +57,13 @@ class ByteRange(InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Neighbouring ranges that one task reads."""
+
+    parts: list[ByteRange]
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
 
@@ -76,32 +90,84 @@ def some_of(parts: list[ByteRange], one_in: int) -> list[ByteRange]:
     return [p for p in parts if rank[id(p)] % one_in == 0] or sorted(parts, key=lambda p: rank[id(p)])[:1]
 
 
+def together(parts: list[ByteRange], size: int, cores: int) -> list[Ranges]:
+    """The ranges in their order, put together to tasks of RANGE bytes, or less while there are few for so many cores; each alone if cores are not known."""
+    room = max(size, min(RANGE, sum(p.end - p.start for p in parts if p.end >= 0) // (WAVES * cores))) if cores else 0
+    out, held = [], room
+    for p in parts:
+        n = p.end - p.start if p.end >= 0 else room
+        if held + n > room or not cores:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].parts.append(p)
+        held += n
+    return out
+
+
 class Bytes:
-    """A file's bytes from a place on, a block at a time; ``peek`` looks back from the place."""
+    """A file's bytes from a range's start on, a block at a time. ``before``: those of the range before, if one task reads both."""
 
-    def __init__(self, path: str, part: ByteRange):
-        system = opened(path)[0]
+    end, name, line, before = -1, "", None, None
+
+    def __init__(self, path: str, part: ByteRange, before: Bytes | None = None):
         kind = COMPRESSED.get(part.file.rsplit(".", 1)[-1])
-        self.file = system.open_input_stream(part.file, compression=kind) if kind else system.open_input_file(part.file)
-        self.start = part.start
+        self.start, self.end, self.name, self.line = part.start, part.end, part.file, None
+        self.before = before if before is not None and before.name == part.file and not kind else None
+        if self.before is not None:
+            self.file, self.before.before = self.before.file, None
+        else:
+            system = opened(path)[0]
+            self.file = system.open_input_stream(part.file, compression=kind) if kind else system.open_input_file(part.file)
 
     def blocks(self) -> Iterator[bytes]:
         if self.start:
             self.file.seek(self.start)
-        while block := self.file.read(READ):
+        elif self.before is not None:
+            self.file.seek(0)
+        at, behind = self.start, BEHIND
+        while block := self.file.read(READ if self.end < 0 else min(READ, self.end - at if at < self.end else behind)):
+            behind *= 1 if at < self.end else 4
+            at += len(block)
             yield block
 
     def line_before(self) -> bytes:
-        """The line from its start to the range's start, as far as HEADER_BYTES back."""
+        """The line from its start to the range's start, as far as HEADER_BYTES back; of a long line that is no header, what tells that."""
+        if self.line is None:
+            self.line = self._line_before()
+        return self.line
+
+    def _line_before(self) -> bytes:
         back, found = 0, b""
         while back < min(self.start, HEADER_BYTES) and b"\n" not in found:
-            back = min(self.start, HEADER_BYTES, max(4096, 8 * back))
+            if back and self.before is not None and self.before.end == self.start and self.before.start and self.before.line:
+                # the line may have begun before the range before, which knows what it is
+                self.file.seek(self.before.start)
+                found = self.file.read(self.start - self.before.start)
+                if b"\n" in found:
+                    return found[found.rfind(b"\n") + 1 :]
+                if not self.before.line.startswith(b">"):
+                    return b"?"
+            back = min(self.start, HEADER_BYTES, max(BEHIND, 8 * back))
             self.file.seek(self.start - back)
             found = self.file.read(back)
         known = b"\n" in found or back == self.start
         return found[found.rfind(b"\n") + 1 :] if known else b"?"  # too long for a header
 
 
+def sources(path: str, parts: list[ByteRange]) -> Iterator[tuple[ByteRange, Bytes]]:
+    source = None
+    for part in parts:
+        source = Bytes(path, part, source)
+        yield part, source
+
+
+def texts(values: list[bytes]) -> pa.Array:
+    try:
+        return pa.array(values, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:  # no UTF-8
+        return pa.array([v.decode("utf-8", "replace") for v in values], pa.string())
+
+
 def fasta_parts(source: Bytes, end: int) -> Iterator[tuple[str, int, bytes | None]]:
     """("header", place behind it, line; None for one that begins behind ``end``), or ("bases", place, bases without line ends), in order; a block's bases do not reach over ``end``."""
     line = source.line_before() if source.start else b""
@@ -181,22 +247,33 @@ class FastaReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.k, self.chunk = options["path"], int(options["k"]), int(options.get("chunk", CHUNK))
         self.size, self.bases, self.one_in = int(options.get("range", RANGE)), options.get("bases", "true") == "true", int(options.get("one_in", 1))
+        self.cores = int(options.get("cores", 0))
         if self.chunk < self.k:
             raise ValueError("a chunk must hold a k-mer")
 
-    def partitions(self) -> list[ByteRange]:
-        return some_of(ranges(self.path, self.size), self.one_in)
+    def partitions(self) -> list[Ranges]:
+        return together(some_of(ranges(self.path, self.size), self.one_in), self.size, self.cores)
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in FASTA.split(", ")]
-        for record, header, start, own, seq in fasta_chunks(Bytes(self.path, partition), partition.end, self.k, self.chunk):
-            row = [partition.file, partition.start, record, header, start, own, seq.decode("utf-8", "replace") if self.bases else None]
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for part, source in sources(self.path, partition.parts):
+            for record, header, start, own, seq in fasta_chunks(source, part.end, self.k, self.chunk):
+                rows.append((part.file, part.start, record, header, start, own, seq if self.bases else None))
+                held += 64 + len(header or "") + (len(seq) if self.bases else 0)
+                if held > BATCH:
+                    yield self.batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield self.batch(rows)
+
+    def batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        names, columns = [c.split()[0] for c in FASTA.split(", ")], list(zip(*rows))
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32()]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds)), texts(columns[6]) if self.bases else pa.nulls(len(rows), pa.string())], names)
 
 
 class FastaSource(DataSource):
-    """Options: path, k, chunk, range (bytes), bases ("false": a row per chunk without its bases), one_in (ranges that are read)."""
+    """Options: path, k, chunk, range (bytes), bases ("false": a row per chunk without its bases), one_in (ranges that are read), cores (for which tasks are made)."""
 
     @classmethod
     def name(cls) -> str:
@@ -246,31 +323,34 @@ def fastq_records(source: Bytes, end: int) -> Iterator[tuple[int, bytes, bytes,
 class FastqReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.size, self.least = options["path"], int(options.get("range", RANGE)), int(options.get("least_quality", 0))
+        self.cores = int(options.get("cores", 0))
 
-    def partitions(self) -> list[ByteRange]:
-        return ranges(self.path, self.size)
+    def partitions(self) -> list[Ranges]:
+        return together(ranges(self.path, self.size), self.size, self.cores)
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
-        for at, header, seq, quality in fastq_records(Bytes(self.path, partition), partition.end):
-            if self.least:
-                bases = np.frombuffer(seq, dtype=np.uint8)
-                seq = np.where(np.frombuffer(quality, dtype=np.uint8) < self.least + PHRED, ord("N"), bases).astype(np.uint8).tobytes()
-            rows.append((at, header.decode("utf-8", "replace"), seq.decode("utf-8", "replace")))
-            held += len(header) + len(seq)
-            if held > BATCH:
-                yield self.batch(partition.file, rows)
-                rows, held = [], 0
-        yield self.batch(partition.file, rows)
+        for part, source in sources(self.path, partition.parts):
+            for at, header, seq, quality in fastq_records(source, part.end):
+                if self.least:
+                    bases = np.frombuffer(seq, dtype=np.uint8)
+                    seq = np.where(np.frombuffer(quality, dtype=np.uint8) < self.least + PHRED, ord("N"), bases).astype(np.uint8).tobytes()
+                rows.append((part.file, at, header, seq))
+                held += 64 + len(header) + len(seq)
+                if held > BATCH:
+                    yield self.batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield self.batch(rows)
 
     @staticmethod
-    def batch(file: str, rows: list) -> pa.RecordBatch:
-        at, header, seq = zip(*rows) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), pa.array(at, pa.int64()), pa.array(header, pa.string()), pa.array(seq, pa.string())], ["file", "at", "header", "seq"])
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        file, at, header, seq = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(file, pa.string()), pa.array(at, pa.int64()), texts(header), texts(seq)], ["file", "at", "header", "seq"])
 
 
 class FastqSource(DataSource):
-    """Options: path, range (bytes), least_quality (bases below it become N)."""
+    """Options: path, range (bytes), least_quality (bases below it become N), cores."""
 
     @classmethod
     def name(cls) -> str:
@@ -300,7 +380,7 @@ def register(spark: SparkSession) -> None:
 def read_fastq(spark: SparkSession, path: str, least_quality: int = 0, size: int = RANGE) -> DataFrame:
     """(read_id, seq_tag, header, seq) of FASTQ files."""
     register(spark)
-    rows = spark.read.format("strandline_fastq").options(path=qualified(spark, path), range=size, least_quality=least_quality).load()
+    rows = spark.read.format("strandline_fastq").options(path=qualified(spark, path), range=size, least_quality=least_quality, cores=spark.sparkContext.defaultParallelism).load()
     header = F.trim("header")
     return rows.select(F.xxhash64("file", "at").alias("read_id"), tag_of(header).alias("seq_tag"), header.alias("header"), "seq")
 
@@ -313,7 +393,7 @@ def read_fasta_ranges(spark: SparkSession, path: str, k: int, chunk: int = CHUNK
     ``places`` (counts need none) nothing is joined, the files are read once, and ids are those of ranges.
     """
     register(spark)
-    source = spark.read.format("strandline_fasta").options(path=qualified(spark, path), k=k, chunk=chunk, range=size)
+    source = spark.read.format("strandline_fasta").options(path=qualified(spark, path), k=k, chunk=chunk, range=size, cores=spark.sparkContext.defaultParallelism)
     rows = source.load()
     seq = F.upper("seq") if uppercase else F.col("seq")
     if not places:
@@ -346,7 +426,7 @@ def sampled_sizes(spark: SparkSession, path: str, k: int, m: int, bins: int, one
     every = ranges(where, size)
     some = some_of(every, one_in)
     register(spark)
-    rows = spark.read.format("strandline_fasta").options(path=where, k=k, range=size, one_in=one_in).load()
+    rows = spark.read.format("strandline_fasta").options(path=where, k=k, range=size, one_in=one_in, cores=spark.sparkContext.defaultParallelism).load()
     made = super_kmers(rows.withColumn("read_id", F.lit(0)), k, m, bins, "file", "block")
     each = made.groupBy("file", "block", "bin").agg(F.sum("n_kmers").cast("double").alias("x")).groupBy("bin").agg(F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx"))
     total, read = len(every), len(some)

@@ -124,3 +124,17 @@ def test_fastq_in_spark(spark, tmp_path):
         assert reads.select("read_id").distinct().count() == 200 and reads.where(F.col("seq_tag") == "t1").count() == 67
         masked = ["".join(c if ord(q) - 33 >= 11 else "N" for c, q in zip(s, quality)) for _, s, quality in records]
         assert as_dict(km.count_kmers(rg.read_fastq(spark, str(tmp_path), least_quality=11, size=size), 3)) == brute.counts(masked, 3)
+
+
+def test_a_task_reads_many_small_ranges_and_little_more_than_their_bytes(tmp_path, monkeypatch):
+    seqs = {"chr1": noisy(46, 300_000), "chr2": noisy(47, 90_000)}
+    (tmp_path / "a.fa").write_text("".join(f">{h}\n{s}\n" for h, s in seqs.items()))
+    (tmp_path / "b.fa").write_text("".join(f">{h}\n{wrapped(s, 70)}\n" for h, s in seqs.items()))
+    read = []
+    real = rg.Bytes.blocks
+    monkeypatch.setattr(rg.Bytes, "blocks", lambda self: (read.append(len(x)) or x for x in real(self)))
+    reader = rg.FastaReader({"path": str(tmp_path), "k": "11", "chunk": "500", "range": "5000", "cores": "2"})
+    parts, whole = reader.partitions(), sum(p.end - p.start for p in rg.ranges(str(tmp_path), 5000))
+    batches = [batch for p in parts for batch in reader.read(p)]
+    assert len(parts) <= 2 * rg.WAVES + 1 and len(batches) == len(parts) and sum(read) < 2 * whole
+    assert brute.counts([s for batch in batches for s in batch.column("seq").to_pylist()], 11) == brute.counts([*seqs.values()] * 2, 11)
