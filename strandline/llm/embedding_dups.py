@@ -9,7 +9,8 @@ Fitting uses about FIT_ROWS vectors at most (chosen by a hash); every vector is
    DELTA apart, and the distances of two vectors to the border between their lists add up to no
    more than that, so at least one of them visits the list of the other: no link is lost, whatever
    the vectors' spread. Where both do, the pair counts in the list of the higher number. Small
-   lists are put in groups of neighbours, and a vector is sent once to each group that it visits.
+   lists are put in groups of neighbours, and a vector is sent once to each group that it visits. A guest brings its
+   components and a bit per list of that group; codes, errors and the bits of all lists stay with the members.
 4. In a list a table of inner products with all codes gives each candidate's approximate cosine;
    with the length of the candidate's quantisation error this bounds the true one from above, so
    the sieve loses nothing. What passes is compared exactly in double precision.
@@ -47,14 +48,23 @@ FIT_ROWS = 20_000
 LIST_ROWS = 48
 MOST_LISTS = 5_000
 DIMS_PER_CODE, CODES = 4, 16
-GROUP_ROWS, LEAST_GROUPS = 4_096, 16
-BLOCK, CHUNK = 1_024, 16_384
+LEAST_GROUPS = 16
+BLOCK = 1_024
+#: Components of a group's members and of the guests that meet them in one task, and the least and most rows of both: what is
+#: sent is the rows times the groups, so both are as large as a task's memory allows.
+GROUP_VALUES, GROUP_ROWS = 1 << 21, (4_096, 32_768)
+CHUNK_VALUES, CHUNK_ROWS = 1 << 22, (16_384, 65_536)
 QUERIES = 2_048  # vectors that a task compares with its lists at once
 FOLDED = 500_000  # pairs that a task holds at once
 SEED = 20_240_602
 ROUNDING = 1e-4  # single precision in the tables
 
 
+def rows_for(dims: int, values: int, bounds: tuple[int, int]) -> int:
+    """Rows of ``dims`` components that hold so many ``values``, within ``bounds``."""
+    return max(bounds[0], min(bounds[1], values // dims))
+
+
 def reaches(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     """Whether the cosine of two vectors is at least the decimal number ``threshold``, in exact arithmetic."""
     whole = []
@@ -130,7 +140,7 @@ class Quantiser:
 
     def groups(self, size: dict[int, int]) -> np.ndarray:
         """A group for each list: neighbours together while small, a list of over BLOCK rows alone."""
-        room = min(GROUP_ROWS, sum(size.values()) // LEAST_GROUPS)
+        room = min(rows_for(self.dims, GROUP_VALUES, GROUP_ROWS), sum(size.values()) // LEAST_GROUPS)
         coarse = k_means(self.centres, max(1, sum(size.values()) // max(1, room)))
         near = nearest(self.centres, coarse)
         out, group, have = np.zeros(len(self.centres), dtype=np.int64), -1, room + 1
@@ -155,6 +165,27 @@ class Quantiser:
         return query, member
 
 
+class ListBits:
+    """The bits of all lists put in order of groups, each of which begins with a byte, so that a group's bits are a slice."""
+
+    def __init__(self, group_of: np.ndarray):
+        lists = [np.flatnonzero(group_of == g) for g in range(group_of.max() + 1)]
+        self.width = np.array([-(-len(x) // 8) for x in lists])
+        self.start = np.concatenate([[0], np.cumsum(self.width)])
+        self.order = np.full(8 * self.start[-1], len(group_of))  # what fills up is a list that nothing visits
+        self.place = np.zeros(len(group_of), dtype=np.int64)
+        for a, x in zip(self.start, lists):
+            self.order[8 * a : 8 * a + len(x)] = x
+            self.place[x] = np.arange(len(x))
+
+    def packed(self, near: np.ndarray) -> np.ndarray:
+        return np.packbits(np.pad(near, ((0, 0), (0, 1)))[:, self.order], axis=1, bitorder="little")
+
+    def of(self, row: np.ndarray, group: int) -> bytes:
+        """A group's bits of a row of ``packed``."""
+        return row[self.start[group] : self.start[group + 1]].tobytes()
+
+
 def has_bit(bits: np.ndarray, row: np.ndarray, at: np.ndarray | int) -> np.ndarray:
     return (bits[row, at >> 3] >> (at & 7)) & 1 == 1
 
@@ -278,9 +309,12 @@ def links_within(distinct: DataFrame, count: int, dims: int, kind: str, threshol
     filled = np.zeros(len(group_of), dtype=bool)
     filled[list(size)] = True
 
-    def visited(cells: list[int], bits: list[bytes]) -> list[list[int]]:
+    def near_lists(bits: list[bytes]) -> np.ndarray:
+        """Whether each row visits each list that has rows."""
+        return np.unpackbits(np.frombuffer(b"".join(bits), dtype=np.uint8).reshape(len(bits), -1), axis=1, bitorder="little")[:, : len(filled)].astype(bool) & filled
+
+    def visited(cells: list[int], near: np.ndarray) -> list[list[int]]:
         """The groups with rows, other than its own, that each row visits."""
-        near = np.unpackbits(np.frombuffer(b"".join(bits), dtype=np.uint8).reshape(len(bits), -1), axis=1, bitorder="little")[:, : len(filled)].astype(bool) & filled
         return [[g for g in np.unique(group_of[row]).tolist() if g != home_of[c]] for c, row in zip(cells, near)]
 
     def calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +322,7 @@ def links_within(distinct: DataFrame, count: int, dims: int, kind: str, threshol
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                for row in visited(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for row in visited(part.column(0).to_pylist(), near_lists(part.column(1).to_pylist())):
                     n[row] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["g", "n"])
 
@@ -298,7 +332,9 @@ def links_within(distinct: DataFrame, count: int, dims: int, kind: str, threshol
         held[home_of[c]] = held.get(home_of[c], 0) + n
     alone = {home_of[c] for c, n in size.items() if n > BLOCK}
     blocks = {g: -(-n // BLOCK) if g in alone else 1 for g, n in held.items()}
-    chunks = {g: max(1, -(-(guests.get(g, 0) + (n if g in alone else 0)) // CHUNK)) for g, n in held.items()}
+    room = rows_for(dims, CHUNK_VALUES, CHUNK_ROWS)
+    chunks = {g: max(1, -(-(guests.get(g, 0) + (n if g in alone else 0)) // room)) for g, n in held.items()}
+    layout = ListBits(group_of)
 
     columns = ["node", "many", "dims", "x", "cell", "visits", "code", "error"]
 
@@ -308,7 +344,9 @@ def links_within(distinct: DataFrame, count: int, dims: int, kind: str, threshol
                 batch = whole.slice(a, 1024)
                 at, keys = [], []
                 part, cells = batch.column(8).to_pylist(), batch.column(4).to_pylist()
-                for i, (cell, others) in enumerate(zip(cells, visited(cells, batch.column(5).to_pylist()))):
+                near = near_lists(batch.column(5).to_pylist())
+                local, bits = layout.packed(near), []
+                for i, (cell, others) in enumerate(zip(cells, visited(cells, near))):
                     g = home_of[cell]
                     home = part[i] % blocks[g]
                     mine = [(g, home, k, True) for k in range(chunks[g])]
@@ -316,25 +354,28 @@ def links_within(distinct: DataFrame, count: int, dims: int, kind: str, threshol
                     mine += [(o, b, part[i] // 1024 % chunks[o], False) for o in others for b in range(blocks[o])]
                     at += [i] * len(mine)
                     keys += mine
+                    bits += [layout.of(local[i], key[0]) for key in mine]
                     if len(at) > 20_000:
-                        yield placed(batch, at, keys)
-                        at, keys = [], []
-                yield placed(batch, at, keys)
+                        yield placed(batch, at, keys, bits)
+                        at, keys, bits = [], [], []
+                yield placed(batch, at, keys, bits)
 
-    def placed(batch: pa.RecordBatch, at: list[int], keys: list[tuple]) -> pa.RecordBatch:
-        took = batch.take(pa.array(at, pa.int32()))
+    def placed(batch: pa.RecordBatch, at: list[int], keys: list[tuple], bits: list[bytes]) -> pa.RecordBatch:
         group, block, chunk, member = zip(*keys) if keys else ([], [], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(block, pa.int32()), pa.array(chunk, pa.int32()), pa.array(member, pa.bool_()), *took.columns[:8]], ["group", "block", "chunk", "member", *columns])
+        own = pa.array([i if m else None for i, m in zip(at, member)], pa.int32())  # what only members need
+        took = [batch.column(j).take(own if j > 4 else pa.array(at, pa.int32())) for j in range(8)]
+        return pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(block, pa.int32()), pa.array(chunk, pa.int32()), pa.array(member, pa.bool_()), pa.array(bits, pa.binary()), *took], ["group", "block", "chunk", "member", "near", *columns])
 
     def compare(group: pa.Table) -> pa.Table:
         quantiser = shared.value
-        chunk = group.column("chunk")[0].as_py()
+        chunk, width = group.column("chunk")[0].as_py(), int(layout.width[group.column("group")[0].as_py()])
         member, cell, nodes, sizes = (np.asarray(group.column(c)) for c in ("member", "cell", "node", "dims"))
         raw = np.frombuffer(b"".join(group.column("x").to_pylist()), dtype=kind).reshape(len(nodes), -1)
         x = unit(raw)
-        visits = np.frombuffer(b"".join(group.column("visits").to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)
-        codes = np.frombuffer(b"".join(group.column("code").to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)
-        error = np.asarray(group.column("error"))
+        near = np.frombuffer(b"".join(group.column("near").to_pylist()), dtype=np.uint8).reshape(len(nodes), width)
+        place, members = np.cumsum(member) - 1, int(member.sum())  # of a member among members
+        visits, codes = (np.frombuffer(b"".join(group.column(c).drop_null().to_pylist()), dtype=np.uint8).reshape(members, -1) for c in ("visits", "code"))
+        error = np.asarray(group.column("error").drop_null())
         asking = np.arange(len(nodes)) if chunk == 0 else np.flatnonzero(~member)
         found = Links(np.asarray(group.column("many")))
         lists = [(c, np.flatnonzero(member & (cell == c))) for c in np.unique(cell[member]).tolist()]
@@ -343,12 +384,12 @@ def links_within(distinct: DataFrame, count: int, dims: int, kind: str, threshol
             table, base = quantiser.tables(x[block]), quantiser.centres[[c for c, _ in lists]] @ x[block].T
             for k, (c, inside) in enumerate(lists):
                 home, mine = cell[block] == c, member[block]
-                for some, how in ((home & mine, "own"), (home & ~mine, "block"), (has_bit(visits, block, c), "visit")):
+                for some, how in ((home & mine, "own"), (home & ~mine, "block"), (has_bit(near, block, int(layout.place[c])), "visit")):
                     at = np.flatnonzero(some)
                     if not len(at):
                         continue
                     q = block[at]
-                    i, j = quantiser.sieve(table[:, :, at], base[k, at], codes[inside], error[inside], threshold)
+                    i, j = quantiser.sieve(table[:, :, at], base[k, at], codes[place[inside]], error[place[inside]], threshold)
                     i, j = q[i], inside[j]
                     for b in range(0, len(i), 65_536):
                         p, r = i[b : b + 65_536], j[b : b + 65_536]
@@ -361,13 +402,13 @@ def links_within(distinct: DataFrame, count: int, dims: int, kind: str, threshol
                         if how == "own":
                             once = nodes[p] < nodes[r]
                         else:  # the pair also meets in the other's list if each visits that of the other
-                            once = (cell[p] <= c) | ~has_bit(visits, r, cell[p])
+                            once = (cell[p] <= c) | ~has_bit(visits, place[r], cell[p])
                         found.add(p[once], r[once])
         found.fold()
         some = np.flatnonzero(found.links)
         return pa.table({"node": nodes[some], "links": found.links[some].astype(np.int64), "root": nodes[found.label][some]})
 
-    dealt = indexed.select(*columns, F.pmod(F.xxhash64("node"), F.lit(1 << 40)).alias("part")).mapInArrow(deal, "group int, block int, chunk int, member boolean, node long, many long, dims int, x binary, cell int, visits binary, code binary, error double")
+    dealt = indexed.select(*columns, F.pmod(F.xxhash64("node"), F.lit(1 << 40)).alias("part")).mapInArrow(deal, "group int, block int, chunk int, member boolean, near binary, node long, many long, dims int, x binary, cell int, visits binary, code binary, error double")
     met = space.save(dealt.groupBy("group", "block", "chunk").applyInArrow(compare, "node long, links long, root long"), f"met-{name}")
     space.drop(f"indexed-{name}")
     return met
