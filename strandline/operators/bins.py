@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.bases import bin_of
-from strandline.functions.minimizer import signature, signature_number
+from strandline.functions.bases import bin_of, unpack
+from strandline.functions.minimizer import DEFAULT, signature, signature_number
 from strandline.operators.kmers import count_kmers
-from strandline.operators.minimizers import kx_mers, super_kmers
+from strandline.operators.minimizers import counted_super_kmers, kx_mers, super_kmers
 
 
 def super_kmer_counts(reads: DataFrame, k: int, m: int, bins: int) -> DataFrame:
@@ -18,13 +18,13 @@ def super_kmer_counts(reads: DataFrame, k: int, m: int, bins: int) -> DataFrame:
     reaches over the border of chunks is known by its signature's place in the sequence and counts once;
     only such pieces, two per chunk at most, are grouped by place.
     """
-    if "chunk_start" not in reads.columns:
-        return super_kmers(reads, k, m, bins).groupBy("bin", "sig").agg(F.count("*").alias("n"), F.sum("n_kmers").alias("n_kmers"))
-    made = super_kmers(reads.withColumn("chars", F.length("seq")), k, m, bins, "chunk_start", "chars")
-    border = (F.col("start") == 0) | (F.col("start") + F.col("n_kmers") + (k - 1) == F.col("chars"))
-    place = F.when(border, F.struct("read_id", (F.col("chunk_start") + F.col("sig_pos")).alias("at")))
-    each = made.groupBy("bin", "sig", place.alias("place")).agg(F.count("*").alias("n"), F.sum("n_kmers").alias("n_kmers"))
-    return each.groupBy("bin", "sig").agg(F.sum(F.when(F.col("place").isNull(), F.col("n")).otherwise(1)).alias("n"), F.sum("n_kmers").alias("n_kmers"))
+    each = counted_super_kmers(reads, k, m)
+    if "chunk_start" in reads.columns:
+        each = each.groupBy("sig_number", "read_id", "at").agg(F.sum("n").alias("n"), F.sum("n_kmers").alias("n_kmers"))
+        each = each.withColumn("n", F.when(F.col("at").isNull(), F.col("n")).otherwise(1))
+    counted = each.groupBy("sig_number").agg(F.sum("n").alias("n"), F.sum("n_kmers").alias("n_kmers"))
+    sig = F.when(F.col("sig_number") == 4**m, DEFAULT).otherwise(unpack(F.col("sig_number"), m))
+    return counted.select(bin_of(F.col("sig_number"), bins).alias("bin"), sig.alias("sig"), "n", "n_kmers")
 
 
 def bin_sizes(reads: DataFrame, k: int, m: int, bins: int) -> DataFrame:

@@ -205,6 +205,43 @@ def kmer_signatures(reads: DataFrame, k: int, m: int) -> DataFrame:
     return mapped(reads, rows_of, "i bigint, sig string, sig_pos bigint", ("read_id",))
 
 
+def counted_super_kmers(reads: DataFrame, k: int, m: int, *keep: str) -> DataFrame:
+    """(keep..., sig_number, read_id, at, n, n_kmers): super-k-mers added up by number and ``keep`` in each batch of reads.
+
+    Of chunks of long sequences, which have a ``chunk_start``, those that touch a border come one by one with their read and
+    the place ``at`` of their signature; both are null else.
+    """
+    chunked = "chunk_start" in reads.columns
+    start = F.col("chunk_start").cast("long") if chunked else F.lit(0).cast("long")
+    rows = reads.select(*keep, F.encode(F.coalesce("seq", F.lit("")), "utf-8").alias("seq"), F.col("read_id").cast("long").alias("read_id"), start.alias("chunk_start"))
+    kinds, names = [rows.schema[c].dataType.simpleString() for c in keep], [*keep, "sig_number", "read_id", "at", "n", "n_kmers"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            numbers: dict[tuple, int] = {}  # of the different values of ``keep``
+            of = [numbers.setdefault(key, len(numbers)) for key in zip(*(batch.column(j).to_pylist() for j in range(len(keep))))] if keep else [0] * batch.num_rows
+            where, seqs = [batch.column(len(keep) + j).to_numpy() for j in (1, 2)], batch.column(len(keep)).to_pylist()
+            s = super_kmers_of(b"N".join(seqs), k, m)  # no k-mer reaches over the end of a read
+            size = np.array([len(x) for x in seqs])
+            begin = np.cumsum(size + 1) - size - 1
+            i = np.searchsorted(begin, s.start, side="right") - 1
+            border = (s.start == begin[i]) | (s.start + s.n + (k - 1) == begin[i] + size[i]) if chunked else np.zeros(len(i), dtype=bool)
+            e = np.flatnonzero(border)
+            group = np.array(of, dtype=np.int64)[i]
+            parts = list(zip(group[e].tolist(), s.sig[e].tolist(), where[0][i[e]].tolist(), (where[1][i[e]] + s.pos[e] - begin[i[e]]).tolist(), [1] * len(e), s.n[e].tolist()))
+            both, at = np.unique(group[~border] * (4**m + 1) + s.sig[~border], return_inverse=True)
+            total = np.bincount(at, weights=s.n[~border], minlength=len(both)).astype(np.int64)
+            parts += [(x // (4**m + 1), x % (4**m + 1), None, None, many, t) for x, many, t in zip(both.tolist(), np.bincount(at, minlength=len(both)).tolist(), total.tolist())]
+            key, *columns = zip(*parts) if parts else [()] * 6
+            source = {v: of.index(v) for v in set(of)}
+            kept = pa.array([source[x] for x in key], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(j).take(kept) for j in range(len(keep))), *(pa.array(c, pa.int64()) for c in columns)], names)
+
+    return rows.mapInArrow(run, ", ".join([*(f"{c} {t}" for c, t in zip(keep, kinds)), "sig_number long, read_id long, at long, n long, n_kmers long"]))
+
+
 def kx_mers(reads: DataFrame, k: int, m: int, x: int) -> DataFrame:
     """(read_id, start, x, orientation, kxmer): a run's bases, as the reverse complement if it is turned."""
 

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from strandline.operators.minimizers import super_kmers
+from strandline.functions.bases import bin_of
+from strandline.operators.minimizers import counted_super_kmers
 from strandline.runtime import scratch, ship
 from strandline.sources.reads import CHUNK, read_long_fasta, tag_of
 
@@ -427,8 +428,8 @@ def sampled_sizes(spark: SparkSession, path: str, k: int, m: int, bins: int, one
     some = some_of(every, one_in)
     register(spark)
     rows = spark.read.format("strandline_fasta").options(path=where, k=k, range=size, one_in=one_in, cores=spark.sparkContext.defaultParallelism).load()
-    made = super_kmers(rows.withColumn("read_id", F.lit(0)), k, m, bins, "file", "block")
-    each = made.groupBy("file", "block", "bin").agg(F.sum("n_kmers").cast("double").alias("x")).groupBy("bin").agg(F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx"))
+    made = counted_super_kmers(rows.withColumn("read_id", F.lit(0)), k, m, "file", "block")
+    each = made.groupBy("file", "block", bin_of(F.col("sig_number"), bins).alias("bin")).agg(F.sum("n_kmers").cast("double").alias("x")).groupBy("bin").agg(F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx"))
     total, read = len(every), len(some)
     spread = F.greatest(F.col("xx") - F.col("x") * F.col("x") / read, F.lit(0.0)) / max(1, read - 1)
     return each.select("bin", F.round(F.col("x") * total / read).cast("bigint").alias("n_kmers"), (2 * total * F.sqrt((1 - read / total) * spread / read)).alias("error"))
