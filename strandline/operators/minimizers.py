@@ -205,6 +205,31 @@ def kmer_signatures(reads: DataFrame, k: int, m: int) -> DataFrame:
     return mapped(reads, rows_of, "i bigint, sig string, sig_pos bigint", ("read_id",))
 
 
+def signatures_of_kmers(kmers: DataFrame, k: int, m: int) -> DataFrame:
+    """(kmer, sig, sig_pos) of a table of k-mers that all have k bases, many at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, AT_ONCE):
+                kmer = batch.column(0).slice(a, AT_ONCE)
+                codes, n = codes_of(b"".join(kmer.cast(pa.binary()).to_pylist())), len(kmer)
+                norm = np.append(norms(codes, m), np.zeros(m - 1, dtype=np.int64)).reshape(n, k)[:, : k - m + 1]
+                at = norm.argmin(axis=1)  # the leftmost
+                yield pa.RecordBatch.from_arrays([kmer, number_texts(norm[np.arange(n), at], m), pa.array(at.astype(np.int32))], ["kmer", "sig", "sig_pos"])
+
+    return kmers.select("kmer").mapInArrow(run, "kmer string, sig string, sig_pos int")
+
+
+def number_texts(values: np.ndarray, m: int) -> pa.Array:
+    """``signature_texts`` where nearly all numbers are different: digit by digit."""
+    letters = np.frombuffer(b"ACGT", dtype=np.uint8)[(values[:, None] >> (2 * np.arange(m - 1, -1, -1))) & 3]
+    none = values == 4**m
+    letters[none, 0] = ord(DEFAULT)
+    used = np.where(none, 1, m)
+    data = letters[np.arange(m) < used[:, None]]
+    return pa.StringArray.from_buffers(len(values), pa.py_buffer(np.concatenate([[0], np.cumsum(used)]).astype(np.int32)), pa.py_buffer(data))
+
+
 def counted_super_kmers(reads: DataFrame, k: int, m: int, *keep: str) -> DataFrame:
     """(keep..., sig_number, read_id, at, n, n_kmers): super-k-mers added up by number and ``keep`` in each batch of reads.
 

@@ -398,7 +398,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "packed_counts_k28": _reads(lambda r: km.count_packed(r, 28)),
     "packed_counts_k40": _reads(lambda r: km.count_packed(r, 40)),
     "kmer_words_k40": _reads(long_kmer_words),
-    "kmer_signatures_k28_m10": _reads(lambda r: km.count_kmers(r, 28).select("kmer", minimizer.signature(F.col("kmer"), 28, 10).alias("s")).select("kmer", F.col("s.v").alias("sig"), F.col("s.p").alias("sig_pos"))),
+    "kmer_signatures_k28_m10": _reads(lambda r: mz.signatures_of_kmers(km.count_packed(r, 28), 28, 10)),
     "sql_kmers": sql_kmers,
     "sql_table_kmers": sql_table_kmers,
     "top_kmers": _reads(lambda r: b.top_kmers(bc.counts_in_bins(r, K, M, BINS), 5)),
