@@ -50,13 +50,12 @@ def placement(spark: SparkSession, reads: DataFrame, config: CounterConfig) -> t
     return assign(sample_sizes(spark, reads, config), slots), slots
 
 
-def count_job(spark: SparkSession, config: CounterConfig, observation: Observation | None = None) -> DataFrame:
-    """(bin, kmer, n), written below ``config.output_dir()`` unless ``write`` is off. ``use_hash`` off: in order in each bin.
+def made_counts(spark: SparkSession, config: CounterConfig) -> tuple[DataFrame, bool]:
+    """(bin, kmer, n) of a count job, and whether bins lie in as few partitions as they should be written by.
 
     Canonical k-mers of up to 62 bases are counted inside their bins, and counts lie by bin as they come. With
     ``balance`` super-k-mers go to the task that the placement names. Else bins that a sample shows to be
-    large are counted in parts; the sample is left out where the whole input is smaller than a part. An ``observation`` gets
-    n_kmers, n and most (distinct k-mers, occurrences, and those of the most frequent one) of the run itself.
+    large are counted in parts; the sample is left out where the whole input is smaller than a part.
     """
     reads = open_reads(spark, config, places=False)
     if config.uppercase:
@@ -78,6 +77,15 @@ def count_job(spark: SparkSession, config: CounterConfig, observation: Observati
         if bytes_of(reads) > MOST:
             parts = slots_of(sample_sizes(spark, reads, config), config.bins)
         counts, placed = counts_in_bins(reads, k, m, config.bins, parts), True
+    return counts, placed
+
+
+def count_job(spark: SparkSession, config: CounterConfig, observation: Observation | None = None) -> DataFrame:
+    """(bin, kmer, n), written below ``config.output_dir()`` unless ``write`` is off. ``use_hash`` off: in order in each bin.
+
+    An ``observation`` gets n_kmers, n and most (distinct k-mers, occurrences, and those of the most frequent one) of the run itself.
+    """
+    counts, placed = made_counts(spark, config)
     seen = lambda rows: rows if observation is None else rows.observe(observation, F.count("*").alias("n_kmers"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
     if config.write:
         write_counts(counts, config.output_dir(), sort=not config.use_hash, binary=config.binary, placed=placed, by_range=not config.balance and not config.tasks, seen=seen)

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.cli import JOBS, config_of, parser
@@ -218,10 +218,9 @@ def streamed_bin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compute_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The count job without output: what its only run observed of itself."""
-    seen = Observation()
-    jobs.count_job(spark, config_for(spark, sf_dir, write=False), seen)
-    return spark.createDataFrame([tuple(seen.get[c] for c in ("n_kmers", "n", "most"))], "n_kmers bigint, n bigint, most bigint")
+    """The count job without output, run once: what it made, by bin, with the most frequent and the last k-mer, which needs all of them as texts."""
+    made, _ = jobs.made_counts(spark, config_for(spark, sf_dir, write=False))
+    return made.groupBy("bin").agg(F.count("*").alias("n_kmers"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max("kmer").alias("last"))
 
 
 def long_by_command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -552,7 +551,7 @@ SELECT least(f, {_RC.format("f")}) AS kmer, count(*) AS n FROM w WHERE NOT conta
     "count_command_line": _BINNED,
     "streamed_counts": _COUNTS,
     "streamed_bin_counts": _BINNED,
-    "count_compute_only": f"SELECT count(*) AS n_kmers, CAST(sum(n) AS BIGINT) AS n, max(n) AS most FROM ({_COUNTS})",
+    "count_compute_only": f"SELECT bin, count(*) AS n_kmers, CAST(sum(n) AS BIGINT) AS n, max(n) AS most, max(kmer) AS last FROM ({_BINNED}) GROUP BY bin",
     "totals_file": _COUNTS,
     "signature_file": f"WITH {_supers_sql()} SELECT bin, coalesce(sig, 'Total') AS sig, count(*) AS n FROM ub GROUP BY GROUPING SETS ((bin, sig), (bin))",
     "balance_file": f"WITH {_supers_sql()} SELECT bin, count(*) AS n, CAST(1 AS BIGINT) AS n_tasks, true AS total_agrees FROM ub GROUP BY bin",
