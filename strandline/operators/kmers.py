@@ -93,6 +93,21 @@ def windows(reads: DataFrame, k: int) -> DataFrame:
     return each.select("read_id", "seq_tag", "i", F.substring("s", F.col("i") + 1, F.lit(k)).cast("string").alias("kmer"))
 
 
+def invalid_bounds(reads: DataFrame, k: int) -> DataFrame:
+    """(read_id, chunk_start, i, first_bad, last_bad): windows of ``chunk_reads`` that hold something else than bases, and where its first and last one lies."""
+
+    def rows_of(seq: bytes):
+        bad = codes_of(seq) > 3
+        place = np.arange(len(bad))
+        n = len(bad) - k + 1
+        following = np.minimum.accumulate(np.where(bad, place, len(bad) + k)[::-1])[::-1][:n]
+        before = np.maximum.accumulate(np.where(bad, place, -1))[k - 1 :]
+        i = np.flatnonzero(before >= place[:n])
+        return i, following[i] - i, before[i] - i
+
+    return mapped(reads, rows_of, "i int, first_bad int, last_bad int", ("read_id", "chunk_start"))
+
+
 def valid_segments(reads: DataFrame, k: int) -> DataFrame:
     """(read_id, start, len): maximal stretches of bases that hold a k-mer, found where the read is."""
 

@@ -41,8 +41,9 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_invalid_bounds(reads: DataFrame) -> DataFrame:
-    rows = km.windows(reads, K)
-    return rows.select("read_id", "i", bases.first_invalid(F.col("kmer")).alias("first_bad"), bases.last_invalid(F.col("kmer")).alias("last_bad")).where("first_bad >= 0")
+    """Windows with characters that are no bases, and the places of the first and the last one."""
+    found = km.invalid_bounds(chunk_reads(reads, K), K)
+    return found.select("read_id", (F.col("chunk_start") + F.col("i")).cast("int").alias("i"), "first_bad", "last_bad")
 
 
 def kmer_scalars(counted: DataFrame) -> DataFrame:
