@@ -48,21 +48,20 @@ FIT_ROWS = 20_000
 LIST_ROWS = 48
 MOST_LISTS = 5_000
 DIMS_PER_CODE, CODES = 4, 16
-LEAST_GROUPS = 16
-BLOCK = 1_024
-#: Components of a group's members and of the guests that meet them in one task, and the least and most rows of both: what is
-#: sent is the rows times the groups, so both are as large as a task's memory allows.
-GROUP_VALUES, GROUP_ROWS = 1 << 21, (4_096, 32_768)
-CHUNK_VALUES, CHUNK_ROWS = 1 << 22, (16_384, 65_536)
+#: Members of a group and guests that meet them in one task, at most: what is sent is the rows times the groups, so both are as
+#: large as a task's memory allows. Of long vectors there are fewer, so many components of members, but an eighth or a quarter of that at least.
+GROUP_ROWS, LEAST_GROUPS = 32_768, 16
+BLOCK, CHUNK = 1_024, 65_536
+VALUES = 1 << 21
 QUERIES = 2_048  # vectors that a task compares with its lists at once
 FOLDED = 500_000  # pairs that a task holds at once
 SEED = 20_240_602
 ROUNDING = 1e-4  # single precision in the tables
 
 
-def rows_for(dims: int, values: int, bounds: tuple[int, int]) -> int:
-    """Rows of ``dims`` components that hold so many ``values``, within ``bounds``."""
-    return max(bounds[0], min(bounds[1], values // dims))
+def rows_for(dims: int, most: int, least: int, values: int) -> int:
+    """Rows of ``dims`` components that hold so many ``values``, between ``least`` and ``most``."""
+    return min(most, max(least, values // dims))
 
 
 def reaches(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -140,7 +139,7 @@ class Quantiser:
 
     def groups(self, size: dict[int, int]) -> np.ndarray:
         """A group for each list: neighbours together while small, a list of over BLOCK rows alone."""
-        room = min(rows_for(self.dims, GROUP_VALUES, GROUP_ROWS), sum(size.values()) // LEAST_GROUPS)
+        room = min(rows_for(self.dims, GROUP_ROWS, GROUP_ROWS // 8, VALUES), sum(size.values()) // LEAST_GROUPS)
         coarse = k_means(self.centres, max(1, sum(size.values()) // max(1, room)))
         near = nearest(self.centres, coarse)
         out, group, have = np.zeros(len(self.centres), dtype=np.int64), -1, room + 1
@@ -332,7 +331,7 @@ def links_within(distinct: DataFrame, count: int, dims: int, kind: str, threshol
         held[home_of[c]] = held.get(home_of[c], 0) + n
     alone = {home_of[c] for c, n in size.items() if n > BLOCK}
     blocks = {g: -(-n // BLOCK) if g in alone else 1 for g, n in held.items()}
-    room = rows_for(dims, CHUNK_VALUES, CHUNK_ROWS)
+    room = rows_for(dims, CHUNK, CHUNK // 4, 2 * VALUES)
     chunks = {g: max(1, -(-(guests.get(g, 0) + (n if g in alone else 0)) // room)) for g, n in held.items()}
     layout = ListBits(group_of)
 
