@@ -26,6 +26,7 @@ from strandline.functions import packed
 from strandline.functions.bases import PER_WORD
 from strandline.operators.kmers import windows_of_words
 from strandline.operators.minimizers import BLOCK, codes_of, signatures
+from strandline.runtime import dealt
 
 #: Bases of a word of the second minimizer.
 SECOND = 11
@@ -152,4 +153,4 @@ def counted_slots(rows: DataFrame, k: int, *placed: str) -> DataFrame:
 
 def counts_in_bins(reads: DataFrame, k: int, m: int, bins: int, parts: np.ndarray | None = None) -> DataFrame:
     """(bin, kmer, n): exact counts of canonical k-mers of up to 62 bases by one exchange of packed super-k-mers."""
-    return counted_slots(packed_super_kmers(reads, k, m, bins, parts).repartition("slot"), k)
+    return counted_slots(dealt(packed_super_kmers(reads, k, m, bins, parts), reads, "slot"), k)

@@ -19,6 +19,8 @@ from strandline.sources.reads import read_fasta
 from strandline.sources.sinks import write_balance, write_counts, write_distances, write_nothing, write_signatures, write_totals
 
 SAMPLE_ONE_IN = 100
+#: Bytes of input for each of a job's ``tasks``. Of a larger one bins are counted in parts by more tasks than were asked for.
+BYTES_OF_TASK = 128 << 20
 
 
 #: Endings of FASTQ files, compressed or not.
@@ -50,8 +52,13 @@ def placement(spark: SparkSession, reads: DataFrame, config: CounterConfig) -> t
     return assign(sample_sizes(spark, reads, config), slots), slots
 
 
-def made_counts(spark: SparkSession, config: CounterConfig) -> tuple[DataFrame, bool]:
-    """(bin, kmer, n) of a count job, and whether bins lie in as few partitions as they should be written by.
+def asked_tasks(reads: DataFrame, config: CounterConfig) -> bool:
+    """Whether the tasks that were asked for are given, or too few for the input."""
+    return bool(config.tasks) and bytes_of(reads) <= config.tasks * BYTES_OF_TASK
+
+
+def made_counts(spark: SparkSession, config: CounterConfig) -> tuple[DataFrame, bool, bool]:
+    """(bin, kmer, n) of a count job, whether bins lie in as few partitions as they should be written by, and whether they may lie in several.
 
     Canonical k-mers of up to 62 bases are counted inside their bins, and counts lie by bin as they come. With
     ``balance`` super-k-mers go to the task that the placement names. Else bins that a sample shows to be
@@ -70,14 +77,15 @@ def made_counts(spark: SparkSession, config: CounterConfig) -> tuple[DataFrame,
     elif config.balance:
         rows = packed_super_kmers(reads, k, m, config.bins).withColumn("bin", F.shiftright("slot", 32).cast("int"))
         counts = counted_slots(deal(rows, *placement(spark, reads, config)), k, "place")
-    elif config.tasks:
+    elif asked_tasks(reads, config):
         counts = counted_slots(packed_super_kmers(reads, k, m, config.bins).repartition(config.tasks, "slot"), k)
     else:
         parts = None
         if bytes_of(reads) > MOST:
             parts = slots_of(sample_sizes(spark, reads, config), config.bins)
         counts, placed = counts_in_bins(reads, k, m, config.bins, parts), True
-    return counts, placed
+    split = k <= LONGEST and config.canonical and not asked_tasks(reads, config) or not config.tasks
+    return counts, placed, split and not config.balance
 
 
 def count_job(spark: SparkSession, config: CounterConfig, observation: Observation | None = None) -> DataFrame:
@@ -85,10 +93,10 @@ def count_job(spark: SparkSession, config: CounterConfig, observation: Observati
 
     An ``observation`` gets n_kmers, n and most (distinct k-mers, occurrences, and those of the most frequent one) of the run itself.
     """
-    counts, placed = made_counts(spark, config)
+    counts, placed, split = made_counts(spark, config)
     seen = lambda rows: rows if observation is None else rows.observe(observation, F.count("*").alias("n_kmers"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
     if config.write:
-        write_counts(counts, config.output_dir(), sort=not config.use_hash, binary=config.binary, placed=placed, by_range=not config.balance and not config.tasks, seen=seen)
+        write_counts(counts, config.output_dir(), sort=not config.use_hash, binary=config.binary, placed=placed, by_range=split, seen=seen)
     else:
         write_nothing(seen(counts))
     return counts

@@ -220,7 +220,7 @@ def streamed_bin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compute_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The count job without output, run once: what it made, by bin, with the most frequent and the last k-mer, which needs all of them as texts."""
-    made, _ = jobs.made_counts(spark, config_for(spark, sf_dir, write=False))
+    made, *_ = jobs.made_counts(spark, config_for(spark, sf_dir, write=False))
     return made.groupBy("bin").agg(F.count("*").alias("n_kmers"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max("kmer").alias("last"))
 
 

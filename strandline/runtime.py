@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_BYTES = 4 << 20
 #: No table of more bytes is moved only to have more tasks.
 SPREAD_BYTES = 4 << 30
+#: Bytes of a source, as Spark estimates them, whose k-mers one task counts; and what no source has, an estimate that is none.
+TASK_BYTES, UNKNOWN_BYTES = 4 << 20, 1 << 50
 _done: set[str] = set()
 _local_roots: dict[str, str] = {}
 
@@ -39,6 +41,17 @@ def bytes_of(table: DataFrame) -> int:
     return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def dealt(rows: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by keys: to the session's number of tasks, or to more if ``source``, which they are made of, has over TASK_BYTES for each.
+
+    Of a source without an estimate of its size nothing is known, and the session's number stays.
+    """
+    size = bytes_of(source)
+    tasks = size // TASK_BYTES if size < UNKNOWN_BYTES else 0
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *keys) if tasks > usual else rows.repartition(*keys)
+
+
 def spread(table: DataFrame) -> DataFrame:
     """``table`` dealt over all cores if it has fewer splits than there are cores and at most SPREAD_BYTES; as it is otherwise."""
     cores = table.sparkSession.sparkContext.defaultParallelism

@@ -8,13 +8,18 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from strandline import runtime
+from strandline.config import CounterConfig
 from strandline.functions import minimizer
 from strandline.llm import embedding_dups as ed
+from strandline.operators import bin_counting as bc
 from strandline.operators import bins as b
 from strandline.operators import kmers as km
 from strandline.operators import minimizers as mz
+from strandline.plans import jobs
 from strandline.plans import queries as q
 from strandline.sources.reads import chunk_reads
+from strandline.sources.sinks import read_counts
 from strandline.sources.tables import register_functions
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +83,25 @@ def test_f21_bounds_of_windows_come_from_the_read(spark):
     want = {(r["read_id"], i, s.find("N"), s.rfind("N")) for r in reads.collect() for i in range(150 - q.K + 1) if "N" in (s := r["seq"][i : i + q.K])}
     assert {tuple(r) for r in q.window_invalid_bounds(reads).collect()} == want
     assert {(r["read_id"], r["chunk_start"] + r["i"], r["first_bad"], r["last_bad"]) for r in km.invalid_bounds(chunk_reads(reads, q.K, 20), q.K).collect()} == want
+
+
+def test_f11_more_tasks_than_asked_for_where_these_are_too_few(spark, tmp_path, monkeypatch):
+    r = random.Random(6)
+    (tmp_path / "a.fa").write_text("".join(f">s{i}\n{''.join(r.choices('ACGT', k=2_000))}\n" for i in range(20)))
+    config = CounterConfig(k=11, m=4, max_bins=64, use_hash=False, tasks=2, input_path=str(tmp_path / "a.fa"), output_path=f"{tmp_path}/out/")
+    for size in (1 << 30, 1_000):
+        monkeypatch.setattr(jobs, "BYTES_OF_TASK", size)
+        made, _, split = jobs.made_counts(spark, config)
+        assert split == (size == 1_000) and (made.rdd.getNumPartitions() == 2) == (size == 1 << 30)
+        jobs.count_job(spark, config)
+        want = b.binned_counts(km.count_kmers(jobs.open_reads(spark, config), 11), 11, 4, 64).collect()
+        assert sorted(map(tuple, read_counts(spark, config.output_dir()).collect())) == sorted(map(tuple, want))
+
+
+def test_f20_a_task_counts_a_bounded_share(spark, tmp_path, monkeypatch):
+    reads_of(spark, 40, 500).write.parquet(f"{tmp_path}/reads")
+    reads = spark.read.parquet(f"{tmp_path}/reads")
+    want = sorted(map(tuple, bc.counts_in_bins(reads, 28, 10, 2048).collect()))
+    monkeypatch.setattr(runtime, "TASK_BYTES", max(1, runtime.bytes_of(reads) // 50))
+    many = bc.counts_in_bins(reads, 28, 10, 2048)
+    assert many.rdd.getNumPartitions() >= 50 and sorted(map(tuple, many.collect())) == want
