@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.bases import BASES, PER_WORD, pack
@@ -92,3 +92,18 @@ def text(kmer: list[Column], k: int) -> Column:
             odd = bases - _TEXT * low
             parts.append(F.right(group, F.lit(odd)) if odd < _TEXT else group)
     return F.concat(*parts)
+
+
+def windows_of_words(rows: DataFrame, many: int, k: int, names: list[str], *keep: str, canonical: bool = True) -> DataFrame:
+    """(keep..., names...): the k-mers at the places 0 to ``last`` of the words w0, w1... of each row; words are turned once for all of them."""
+    words, turned = [F.col(f"w{j}") for j in range(many)], [F.col(f"u{j}") for j in range(many)]
+    if canonical:
+        rows = rows.select("*", *[reversed_number(w, PER_WORD).alias(f"u{j}") for j, w in enumerate(words)])
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("r"))
+    found = window(words, F.col("r"), k)
+    if not canonical:
+        return each.select(*keep, *[c.alias(name) for c, name in zip(found, names)])
+    other = reverse_window(turned, F.col("r"), k)
+    each = each.select(*keep, *[c.alias(name) for c, name in zip([*found, *other], [*names, *(f"{name}_" for name in names)])])
+    best = smaller([F.col(name) for name in names], [F.col(f"{name}_") for name in names])
+    return each.select(*keep, *[c.alias(name) for c, name in zip(best, names)])

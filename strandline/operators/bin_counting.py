@@ -24,15 +24,20 @@ from pyspark.sql import functions as F
 
 from strandline.functions import packed
 from strandline.functions.bases import PER_WORD
-from strandline.operators.kmers import windows_of_words
-from strandline.operators.minimizers import BLOCK, codes_of, signatures
-from strandline.runtime import dealt
+from strandline.functions.packed import windows_of_words
+from strandline.operators.minimizers import BLOCK, codes_of, least_of_windows, signatures, stretches, windows_of
+from strandline.operators.sizes import bin_sizes, sampled
+from strandline.runtime import UNKNOWN_BYTES, bytes_of, dealt
 
 #: Bases of a word of the second minimizer.
 SECOND = 11
 #: k-mers that a part of a bin should hold at most.
 MOST = 1 << 24
+#: Reads of which one in so many shows the sizes of bins.
+SAMPLE_ONE_IN = 100
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Bits of a place in a block.
+_PLACE = np.uint64((1 << 24) - 1)
 
 
 def bin_numbers(signature: np.ndarray, bins: int) -> np.ndarray:
@@ -53,17 +58,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def second_minimizers(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of k codes the least hash of its short words, the same on both strands, and the leftmost place of it."""
+    """For each window of k codes the least hash of its short words (its upper bits), the same on both strands, and the leftmost place of it."""
     width = min(SECOND, k)
-    n = len(codes) - width + 1
-    forward, backward = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    for j in range(width):
-        c = codes[j : j + n].astype(np.int64) & 3
-        forward, backward = forward * 4 + c, backward + ((3 - c) << (2 * j))
-    h = mixed(np.minimum(forward, backward))
-    at = np.lib.stride_tricks.sliding_window_view(h, k - width + 1).argmin(axis=1)
-    at = at + np.arange(len(at))
-    return h[at], at
+    h = mixed(np.minimum(windows_of(codes, width), windows_of(codes, width, turned=True)))
+    least = least_of_windows(h & ~_PLACE | np.arange(len(h), dtype=np.uint64), k - width + 1)
+    return least & ~_PLACE, (least & _PLACE).astype(np.int64)
 
 
 def runs(codes: np.ndarray, k: int, m: int, bins: int, parts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +123,7 @@ def packed_super_kmers(reads: DataFrame, k: int, m: int, bins: int, parts: np.nd
         for batch in batches:
             seq = b"N".join(batch.column(0).to_pylist())  # no k-mer reaches over the end of a read
             for a in range(0, len(seq) - k + 1, BLOCK):
-                codes = codes_of(seq[a : a + BLOCK + k - 1])
+                codes = stretches(codes_of(seq[a : a + BLOCK + k - 1]), k)
                 start, n, slot = runs(codes, k, m, bins, parts)
                 if not len(start):
                     continue
@@ -143,14 +142,37 @@ def slots_of(sizes: DataFrame, bins: int, most: int = MOST, scale: int = 1) -> n
     return parts
 
 
-def counted_slots(rows: DataFrame, k: int, *placed: str) -> DataFrame:
-    """(bin, kmer, n) of ``packed_super_kmers`` that lie together by slot, or by the column ``placed``."""
+def counted_words(rows: DataFrame, k: int, *placed: str) -> DataFrame:
+    """(slot, hi and, beyond 31 bases, lo, n) of ``packed_super_kmers`` that lie together by slot, or by the column ``placed``."""
     many, names = (2, ["hi"]) if k <= PER_WORD else (3, ["hi", "lo"])
     each = windows_of_words(rows, many, k, names, *placed, "slot", "times")
-    counted = each.groupBy(*placed, "slot", *names).agg(F.sum("times").alias("n"))
-    return counted.select(F.shiftright("slot", 32).cast("int").alias("bin"), packed.text([F.col(c) for c in names], k).alias("kmer"), "n")
+    return each.groupBy(*placed, "slot", *names).agg(F.sum("times").alias("n")).select("slot", *names, "n")
+
+
+def counted_slots(rows: DataFrame, k: int, *placed: str) -> DataFrame:
+    """(bin, kmer, n) of ``packed_super_kmers`` that lie together by slot, or by the column ``placed``."""
+    counted = counted_words(rows, k, *placed)
+    return counted.select(F.shiftright("slot", 32).cast("int").alias("bin"), packed.text([F.col(c) for c in counted.columns[1:-1]], k).alias("kmer"), "n")
 
 
 def counts_in_bins(reads: DataFrame, k: int, m: int, bins: int, parts: np.ndarray | None = None) -> DataFrame:
     """(bin, kmer, n): exact counts of canonical k-mers of up to 62 bases by one exchange of packed super-k-mers."""
     return counted_slots(dealt(packed_super_kmers(reads, k, m, bins, parts), reads, "slot"), k)
+
+
+def long_words(reads: DataFrame, k: int, m: int = 10, bins: int = 2048) -> DataFrame:
+    """(hi and, beyond 31 bases, lo, n): exact counts of canonical k-mers as numbers, counted in bins, large ones in parts.
+
+    For k-mers that are mostly different a table of them is many times its text: so neither they are sent, nor sums of
+    tasks, and a task counts a bounded share of the input. Inputs smaller than a part need no look at the sizes of bins.
+    """
+    parts = None
+    if MOST < bytes_of(reads) < UNKNOWN_BYTES:
+        parts = slots_of(bin_sizes(sampled(reads, SAMPLE_ONE_IN), k, m, bins), bins, MOST // 4, SAMPLE_ONE_IN)
+    return counted_words(dealt(packed_super_kmers(reads, k, m, bins, parts), reads, "slot"), k).drop("slot")
+
+
+def count_long(reads: DataFrame, k: int) -> DataFrame:
+    """(kmer, n) of ``long_words``."""
+    counted = long_words(reads, k)
+    return counted.select(packed.text([F.col(c) for c in counted.columns[:-1]], k).alias("kmer"), "n")

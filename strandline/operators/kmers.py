@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import packed
 from strandline.functions.bases import PER_WORD
+from strandline.functions.packed import windows_of_words
 from strandline.operators.minimizers import codes_of, mapped
 
 PIECE = 4096
@@ -59,21 +60,6 @@ def packed_kmers(reads: DataFrame, k: int, *keep: str, canonical: bool = True, p
     return windows_of_words(each, many, k, names, *keep, canonical=canonical)
 
 
-def windows_of_words(rows: DataFrame, many: int, k: int, names: list[str], *keep: str, canonical: bool = True) -> DataFrame:
-    """(keep..., names...): the k-mers at the places 0 to ``last`` of the words w0, w1... of each row; words are turned once for all of them."""
-    words, turned = [F.col(f"w{j}") for j in range(many)], [F.col(f"u{j}") for j in range(many)]
-    if canonical:
-        rows = rows.select("*", *[packed.reversed_number(w, PER_WORD).alias(f"u{j}") for j, w in enumerate(words)])
-    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("r"))
-    found = packed.window(words, F.col("r"), k)
-    if not canonical:
-        return each.select(*keep, *[c.alias(name) for c, name in zip(found, names)])
-    other = packed.reverse_window(turned, F.col("r"), k)
-    each = each.select(*keep, *[c.alias(name) for c, name in zip([*found, *other], [*names, *(f"{name}_" for name in names)])])
-    best = packed.smaller([F.col(name) for name in names], [F.col(f"{name}_") for name in names])
-    return each.select(*keep, *[c.alias(name) for c, name in zip(best, names)])
-
-
 def count_packed(reads: DataFrame, k: int, canonical: bool = True, piece: int = PIECE) -> DataFrame:
     """(kmer, n) of k-mers of up to 62 bases, which are numbers until they are counted and texts only then."""
     rows = packed_kmers(reads, k, canonical=canonical, piece=piece)

@@ -52,16 +52,49 @@ def orientations(codes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def stretches(codes: np.ndarray, k: int) -> np.ndarray:
+    """The codes without what no k-mer can lie in, a code that is no base behind each stretch."""
+    bad = np.flatnonzero(codes > 3)
+    edge = np.concatenate([[-1], bad, [len(codes)]])
+    long = np.diff(edge) > k
+    keep = np.repeat(long, np.diff(edge))[:-1]  # each stretch with the place behind it, the last one without
+    return codes[keep]
+
+
+def windows_of(codes: np.ndarray, width: int, turned: bool = False) -> np.ndarray:
+    """Each window of up to 31 bases as a base-4 number, or that of its reverse complement, put together from windows half as wide."""
+    kind = np.int32 if width <= 15 else np.int64
+    one = (3 - (codes & 3) if turned else codes & 3).astype(kind)
+    value, have = one, 1
+    for bit in f"{width:b}"[1:]:
+        low, high = value[:-have], value[have:]
+        value, have = (high << 2 * have | low) if turned else (low << 2 * have | high), 2 * have
+        if bit == "1":
+            low, high = value[:-1], one[have:]
+            value, have = (high << 2 * have | low) if turned else (low << 2 | high), have + 1
+    return value
+
+
+def least_of_windows(key: np.ndarray, width: int) -> np.ndarray:
+    """The least value of each window, from windows half as wide."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        key, have = np.minimum(key[:-step], key[step:]), have + step
+    return key
+
+
+def bad_windows(codes: np.ndarray, width: int) -> np.ndarray:
+    """Whether each window holds something else than bases."""
+    return least_of_windows(codes < 4, width) == 0
+
+
 def norms(codes: np.ndarray, m: int) -> np.ndarray:
     """The norm of each m-mer as a number, 4**m if it has none (or is no m-mer)."""
-    n, default = len(codes) - m + 1, 4**m
-    value, reverse, bad = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
-    for j in range(m):
-        c = codes[j : j + n].astype(np.int64)
-        value, reverse = value * 4 + c, reverse + ((3 - c) << (2 * j))
-        bad |= c > 3
-    ok, ok_reverse = allowed(value, m), allowed(reverse, m)
-    return np.where(bad, default, np.minimum(np.where(ok, value, default), np.where(ok_reverse, reverse, default)))
+    value, reverse = windows_of(codes, m), windows_of(codes, m, turned=True)
+    default = value.dtype.type(4**m)
+    least = np.minimum(np.where(allowed(value, m), value, default), np.where(allowed(reverse, m), reverse, default))
+    return np.where(bad_windows(codes, m), default, least).astype(np.int64)
 
 
 def allowed(value: np.ndarray, m: int) -> np.ndarray:
@@ -70,10 +103,8 @@ def allowed(value: np.ndarray, m: int) -> np.ndarray:
         return np.zeros(len(value), dtype=bool)
     if m == 2:
         return (value >> 2 != 0) & (value != 4)  # nothing that begins with A, and not CA
-    ok = value >> (2 * m - 6) != 4  # ACA is 0 1 0
-    for j in range(m - 1):
-        ok &= (value >> (2 * j)) & 15 != 0
-    return ok
+    some = (value | value >> 1) & int("01" * m, 2)  # a bit for each base that is not A
+    return (value >> (2 * m - 6) != 4) & ((some | some >> 2) & int("01" * (m - 1), 2) == int("01" * (m - 1), 2))  # ACA is 0 1 0
 
 
 @dataclass
@@ -88,13 +119,15 @@ class Supers:
 
 def signatures(codes: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, signature, its place) of every valid k-mer."""
-    bad = np.concatenate([[0], np.cumsum(codes > 3)])
-    valid = np.flatnonzero(bad[k:] == bad[:-k]) if len(codes) >= k else np.zeros(0, dtype=np.int64)
+    valid = np.flatnonzero(~bad_windows(codes, k)) if len(codes) >= k else np.zeros(0, dtype=np.int64)
     if not len(valid):
         return valid, valid, valid
     norm = norms(codes, m)
-    at = np.lib.stride_tricks.sliding_window_view(norm, k - m + 1).argmin(axis=1)[valid] + valid  # argmin takes the leftmost
-    return valid, norm[at], at
+    if m > 15:
+        at = np.lib.stride_tricks.sliding_window_view(norm, k - m + 1).argmin(axis=1)[valid] + valid
+        return valid, norm[at], at
+    least = least_of_windows(norm << 32 | np.arange(len(norm)), k - m + 1)[valid]  # the leftmost of equal ones
+    return valid, least >> 32, least & 0xFFFFFFFF
 
 
 def super_kmers_of(seq: bytes, k: int, m: int, block: int = BLOCK) -> Supers:

@@ -335,7 +335,7 @@ def _reads(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str],
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "canonical_kmer_counts": counts,
-    "canonical_kmer_counts_k28": _reads(lambda r: km.count_kmers(r, 28)),
+    "canonical_kmer_counts_k28": _reads(lambda r: bc.count_long(r, 28)),
     "forward_kmer_counts": _reads(lambda r: km.count_kmers(r, K, canonical=False)),
     "sort_path_counts": _reads(lambda r: b.binned_counts(km.count_kmers(r, K), K, M, BINS).repartition("bin").sortWithinPartitions("bin", "kmer")),
     "window_invalid_bounds": _reads(window_invalid_bounds),
