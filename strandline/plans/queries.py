@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandline.cli import JOBS, config_of, parser
 from strandline.config import CounterConfig, DistanceConfig, n_bins
-from strandline.functions import bases, minimizer
+from strandline.functions import bases, minimizer, packed
 from strandline.operators import bin_counting as bc
 from strandline.operators import bins as b
 from strandline.operators import distance as d
@@ -298,8 +298,8 @@ def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def long_kmer_words(reads: DataFrame) -> DataFrame:
     """k-mers of 40 bases as two numbers."""
-    words = km.count_kmers(reads, 40).select("kmer", "n", bases.pack_words(F.col("kmer")).alias("w"))
-    return words.select("kmer", "n", F.col("w")[0].alias("word_0"), F.col("w")[1].alias("word_1"))
+    w = [F.col("hi"), F.col("lo")]
+    return bc.long_words(reads, 40).select(packed.text(w, 40).alias("kmer"), "n", w[0].alias("word_0"), w[1].alias("word_1"))
 
 
 def sql_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:

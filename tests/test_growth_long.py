@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from strandline.functions.bases import pack_words
 from strandline.operators import bin_counting as bc
 from tests import brute
 from tests.test_bin_counting import reads_of
@@ -36,3 +38,11 @@ def test_f10_long_kmers_are_counted_in_bins_and_their_parts(spark, monkeypatch,
 def test_f10_the_query_sends_super_kmers(spark):
     plan = plan_of(entry.queries()["canonical_kmer_counts_k28"](spark, SF))
     assert "MapInArrow" in plan and "hashpartitioning(slot" in plan and "hashpartitioning(kmer" not in plan
+
+
+def test_f13_words_are_the_numbers_that_were_counted(spark):
+    rows = entry.queries()["kmer_words_k40"](spark, SF)
+    plan = plan_of(rows)
+    assert "hashpartitioning(slot" in plan and "conv(" not in plan
+    some = rows.limit(500).withColumn("w", pack_words(F.col("kmer"))).collect()
+    assert some and all([r["word_0"], r["word_1"]] == r["w"] for r in some)
