@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from strandline.functions import packed
 from strandline.functions.bases import PER_WORD
 from strandline.functions.packed import windows_of_words
+from strandline.operators.bin_counting import count_long
 from strandline.operators.minimizers import codes_of, mapped
 
 PIECE = 4096
+#: Bases from which on there are more k-mers than tasks can add up.
+LONG = 16
 
 
 def pieces(reads: DataFrame, k: int, *keep: str, piece: int = PIECE) -> DataFrame:
@@ -61,7 +64,12 @@ def packed_kmers(reads: DataFrame, k: int, *keep: str, canonical: bool = True, p
 
 
 def count_packed(reads: DataFrame, k: int, canonical: bool = True, piece: int = PIECE) -> DataFrame:
-    """(kmer, n) of k-mers of up to 62 bases, which are numbers until they are counted and texts only then."""
+    """(kmer, n) of k-mers of up to 62 bases, which are numbers until they are counted and texts only then.
+
+    Canonical ones of LONG bases and more are mostly different and come as packed super-k-mers to where they are counted.
+    """
+    if canonical and LONG <= k <= packed.LONGEST:
+        return count_long(reads, k)
     rows = packed_kmers(reads, k, canonical=canonical, piece=piece)
     counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
     return counted.select(packed.text([F.col(c) for c in rows.columns], k).alias("kmer"), "n")

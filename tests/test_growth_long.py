@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from strandline.functions.bases import pack_words
 from strandline.operators import bin_counting as bc
+from strandline.operators import kmers as km
 from tests import brute
-from tests.test_bin_counting import reads_of
+from tests.test_bin_counting import reads_of, written
 from tests.test_kmers import as_dict, noisy
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +47,16 @@ def test_f13_words_are_the_numbers_that_were_counted(spark):
     assert "hashpartitioning(slot" in plan and "conv(" not in plan
     some = rows.limit(500).withColumn("w", pack_words(F.col("kmer"))).collect()
     assert some and all([r["word_0"], r["word_1"]] == r["w"] for r in some)
+
+
+@pytest.mark.parametrize("k", [28, 40])
+def test_f16_f23_packed_counts_send_less_than_a_table_of_kmers(spark, k):
+    r = random.Random(9)
+    reads = reads_of(spark, ["".join(r.choices("ACGT", k=3_000)) for _ in range(30)]).repartition(4).cache()
+    reads.count()
+    sent = []
+    for count in (lambda: km.count_packed(reads, k), lambda: (rows := km.packed_kmers(reads, k)).groupBy(*rows.columns).agg(F.count("*").alias("n"))):
+        before = written(spark)
+        count().write.format("noop").mode("overwrite").save()
+        sent.append(written(spark) - before)
+    assert 2 * sent[0] < sent[1]
