@@ -16,6 +16,7 @@ from strandline.functions.bases import PER_WORD
 from strandline.functions.packed import windows_of_words
 from strandline.operators.bin_counting import count_long
 from strandline.operators.minimizers import codes_of, mapped
+from strandline.operators.short_counting import MOST_BASES, count_short
 
 PIECE = 4096
 #: Bases from which on there are more k-mers than tasks can add up.
@@ -47,7 +48,9 @@ def kmers(reads: DataFrame, k: int, *keep: str, canonical: bool = True, piece: i
 
 
 def count_kmers(reads: DataFrame, k: int, canonical: bool = True, piece: int = PIECE) -> DataFrame:
-    """(kmer, n): exact counts, partly summed before the only shuffle."""
+    """(kmer, n): exact counts, partly summed before the only shuffle. Short k-mers are summed where the read is."""
+    if k < LONG:
+        return count_short(reads, k, canonical=canonical)
     counted = kmers(reads, k, canonical=canonical, piece=piece).groupBy("kmer").agg(F.count("*").alias("n"))
     return counted.select(F.col("kmer").cast("string").alias("kmer"), "n")
 
@@ -77,6 +80,8 @@ def count_packed(reads: DataFrame, k: int, canonical: bool = True, piece: int =
 
 def count_by_tag(reads: DataFrame, k: int, canonical: bool = True) -> DataFrame:
     """(seq_tag, kmer, n)."""
+    if k <= MOST_BASES and dict(reads.dtypes)["seq_tag"] == "string":
+        return count_short(reads, k, "seq_tag", canonical=canonical)
     counted = kmers(reads, k, "seq_tag", canonical=canonical).groupBy("seq_tag", "kmer").agg(F.count("*").alias("n"))
     return counted.select("seq_tag", F.col("kmer").cast("string").alias("kmer"), "n")
 

@@ -114,10 +114,10 @@ def balance_job(spark: SparkSession, config: CounterConfig) -> DataFrame:
 
 def totals_job(spark: SparkSession, config: CounterConfig) -> DataFrame:
     """(seq_tag, kmer, n) of many sequences; the sums over all of them are written as text."""
-    counts = count_by_tag(open_reads(spark, config), config.k)
+    reads = open_reads(spark, config)
     if config.write:
-        write_totals(counts, config.output_dir())
-    return counts
+        write_totals(count_kmers(reads, config.k), config.output_dir())  # the sums need no counts by sequence
+    return count_by_tag(reads, config.k)
 
 
 def signature_job(spark: SparkSession, config: CounterConfig) -> DataFrame:

@@ -38,7 +38,7 @@ def read_counts(spark: SparkSession, path: str, binary: bool = False) -> DataFra
 
 
 def write_totals(counts: DataFrame, path: str) -> None:
-    """Lines of k-mer, tab, sum over all sequences, from (seq_tag, kmer, n)."""
+    """Lines of k-mer, tab, sum over all sequences, from (kmer, n) with any number of rows of a k-mer, as (seq_tag, kmer, n) has."""
     totals = counts.groupBy("kmer").agg(F.sum("n").alias("n"))
     totals.select("kmer", "n").write.mode("overwrite").option("sep", "\t").csv(path)
 

@@ -11,6 +11,7 @@ import __spark_entry__ as entry
 from strandline.functions.bases import pack_words
 from strandline.operators import bin_counting as bc
 from strandline.operators import kmers as km
+from strandline.operators import short_counting as sc
 from tests import brute
 from tests.test_bin_counting import reads_of, written
 from tests.test_kmers import as_dict, noisy
@@ -60,3 +61,23 @@ def test_f16_f23_packed_counts_send_less_than_a_table_of_kmers(spark, k):
         count().write.format("noop").mode("overwrite").save()
         sent.append(written(spark) - before)
     assert 2 * sent[0] < sent[1]
+
+
+@pytest.mark.parametrize("k", [1, 4, 11, 15, 16, 24])
+@pytest.mark.parametrize("canonical", [True, False])
+def test_f18_f22_short_kmers_are_added_up_where_the_read_is(spark, monkeypatch, k, canonical):
+    seqs = [noisy(1, 900), noisy(2, 90), "", "ACG", "N" * 30, "A" * 100, "ACGT" * 30, None, "acgtACGTTGCA", "T" * k]
+    tags = ["a", "b", None, "a", "c", "", "b", "a", "é", None]
+    reads = spark.createDataFrame(list(zip(range(len(seqs)), tags, seqs)), "read_id long, seq_tag string, seq string").coalesce(1)
+    want = {(t, kmer, n) for t in set(tags) for kmer, n in brute.counts([s for s, u in zip(seqs, tags) if s and u == t], k, canonical).items()}
+    whole = brute.counts([s for s in seqs if s], k, canonical)
+    assert sc.task_sums(reads, k, False, canonical).count() == len(whole)  # each once, not each occurrence
+    assert sc.task_sums(reads, k, True, canonical).count() == len(want)
+    monkeypatch.setattr(sc, "BLOCK", 101)
+    for at_once, held, held_tags in ((1 << 22, 1 << 22, 1 << 14), (50, 60, 1)):
+        monkeypatch.setattr(sc, "AT_ONCE", at_once)
+        monkeypatch.setattr(sc, "HELD", held)
+        monkeypatch.setattr(sc, "HELD_TAGS", held_tags)
+        assert as_dict(sc.count_short(reads, k, canonical=canonical)) == whole
+        assert {tuple(r) for r in sc.count_short(reads, k, "seq_tag", canonical=canonical).collect()} == want
+    assert "MapInArrow" in plan_of(km.count_by_tag(reads, k, canonical)) and ("MapInArrow" in plan_of(km.count_kmers(reads, k, canonical))) == (k < km.LONG)
