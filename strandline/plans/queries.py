@@ -19,7 +19,7 @@ from strandline.operators import kmers as km
 from strandline.operators import minimizers as mz
 from strandline.operators import partitioning as pt
 from strandline.plans import jobs
-from strandline.runtime import scratch, ship, spread
+from strandline.runtime import TASK_BYTES, UNKNOWN_BYTES, bytes_of, scratch, ship, spread
 from strandline.sources import sinks
 from strandline.sources.bucketed import add_counts, compared_bins, merged_counts
 from strandline.sources.ranges import read_fasta_ranges, read_fastq, sampled_sizes
@@ -199,9 +199,12 @@ def counted_by_command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arriving(spark: SparkSession, sf_dir: str, path: str, batches: int = 4) -> DataFrame:
-    """A stream of the reads, which come in files that are read two at a time."""
-    reads_of(spark, sf_dir).repartition(2 * batches, "read_id").write.parquet(f"{path}/in")
-    return stream_reads(spark, f"{path}/in", most_files=2)
+    """A stream of the reads, which come in files that are read in four batches, of two files each or of as many as make tasks for the input."""
+    reads = reads_of(spark, sf_dir)
+    size = bytes_of(reads)
+    files = max(2, size // (batches * TASK_BYTES) if size < UNKNOWN_BYTES else 0)
+    reads.repartition(batches * files, "read_id").write.parquet(f"{path}/in")
+    return stream_reads(spark, f"{path}/in", most_files=files)
 
 
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

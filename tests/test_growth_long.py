@@ -12,6 +12,7 @@ from strandline.functions.bases import pack_words
 from strandline.operators import bin_counting as bc
 from strandline.operators import kmers as km
 from strandline.operators import short_counting as sc
+from strandline.plans import queries as q
 from tests import brute
 from tests.test_bin_counting import reads_of, written
 from tests.test_kmers import as_dict, noisy
@@ -81,3 +82,14 @@ def test_f18_f22_short_kmers_are_added_up_where_the_read_is(spark, monkeypatch,
         assert as_dict(sc.count_short(reads, k, canonical=canonical)) == whole
         assert {tuple(r) for r in sc.count_short(reads, k, "seq_tag", canonical=canonical).collect()} == want
     assert "MapInArrow" in plan_of(km.count_by_tag(reads, k, canonical)) and ("MapInArrow" in plan_of(km.count_kmers(reads, k, canonical))) == (k < km.LONG)
+
+
+def test_f17_f19_files_that_arrive_make_tasks_for_the_input(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(q, "TASK_BYTES", max(1, q.bytes_of(q.reads_of(spark, SF)) // 40))
+    reads = q.arriving(spark, SF, f"file://{tmp_path}")
+    files = list((tmp_path / "in").glob("part-*"))
+    assert len(files) >= 36
+    sizes = []
+    query = reads.writeStream.foreachBatch(lambda batch, i: sizes.append(batch.count())).option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(sizes) == 4 and sum(sizes) == q.reads_of(spark, SF).count()
