@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from strandline.functions import packed
 from strandline.functions.bases import PER_WORD
 from strandline.functions.packed import windows_of_words
-from strandline.operators.minimizers import BLOCK, codes_of, least_of_windows, signatures, stretches, windows_of
+from strandline.operators.minimizers import AT_ONCE, BLOCK, codes_of, least_of_windows, norms, signatures, stretches, windows_of
+from strandline.operators.short_counting import short_words
 from strandline.operators.sizes import bin_sizes, sampled
 from strandline.runtime import UNKNOWN_BYTES, bytes_of, dealt
 
@@ -160,6 +161,21 @@ def counts_in_bins(reads: DataFrame, k: int, m: int, bins: int, parts: np.ndarra
     return counted_slots(dealt(packed_super_kmers(reads, k, m, bins, parts), reads, "slot"), k)
 
 
+def short_counts_in_bins(reads: DataFrame, k: int, m: int, bins: int) -> DataFrame:
+    """(bin, kmer, n) as of ``counts_in_bins``, of short k-mers: added up as numbers where the read is, and given their bins when they are counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(a, AT_ONCE)
+                codes = (some.column(0).to_numpy()[:, None] >> 2 * np.arange(k - 1, -1, -1) & 3).astype(np.uint8)
+                norm = np.append(norms(codes.ravel(), m), np.zeros(m - 1, dtype=np.int64)).reshape(codes.shape)[:, : k - m + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(bin_numbers(norm.min(axis=1), bins), pa.int32()), *some.columns], ["bin", "hi", "n"])
+
+    counted = short_words(reads, k).mapInArrow(run, "bin int, hi long, n long")
+    return counted.select("bin", packed.text([F.col("hi")], k).alias("kmer"), "n")
+
+
 def long_words(reads: DataFrame, k: int, m: int = 10, bins: int = 2048) -> DataFrame:
     """(hi and, beyond 31 bases, lo, n): exact counts of canonical k-mers as numbers, counted in bins, large ones in parts.
 

@@ -191,10 +191,14 @@ def task_sums(reads: DataFrame, k: int, tagged: bool, canonical: bool = True) ->
     return rows.mapInArrow(run, "seq_tag string, hi long, n long" if tagged else "hi long, n long")
 
 
-def count_short(reads: DataFrame, k: int, *keep: str, canonical: bool = True) -> DataFrame:
-    """(keep..., kmer, n), ``keep`` nothing or the tag: exact counts, also of a stream of reads."""
+def short_words(reads: DataFrame, k: int, *keep: str, canonical: bool = True) -> DataFrame:
+    """(keep..., hi, n), ``keep`` nothing or the tag: exact counts of k-mers as numbers, also of a stream of reads."""
     sums = task_sums(reads, k, bool(keep), canonical)
     if not reads.isStreaming:  # the sums of a task are all different, so Spark need not add them up before they are sent
         sums = dealt(sums, reads, *keep, "hi")
-    counted = sums.groupBy(*keep, "hi").agg(F.sum("n").alias("n"))
-    return counted.select(*keep, packed.text([F.col("hi")], k).alias("kmer"), "n")
+    return sums.groupBy(*keep, "hi").agg(F.sum("n").alias("n"))
+
+
+def count_short(reads: DataFrame, k: int, *keep: str, canonical: bool = True) -> DataFrame:
+    """(keep..., kmer, n) of ``short_words``."""
+    return short_words(reads, k, *keep, canonical=canonical).select(*keep, packed.text([F.col("hi")], k).alias("kmer"), "n")

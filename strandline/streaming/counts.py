@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from strandline.operators.bin_counting import counts_in_bins
-from strandline.operators.kmers import count_kmers
+from strandline.operators.bin_counting import counts_in_bins, short_counts_in_bins
+from strandline.operators.kmers import LONG, count_kmers
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -74,11 +74,16 @@ def latest_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def start_batch_counts(reads: DataFrame, k: int, m: int, max_bins: int, path: str, checkpoint: str, parts: np.ndarray | None = None, available_now: bool = False) -> StreamingQuery:
-    """Write the counts of each batch alone, counted inside bins, below ``path``: no state, whatever the number of k-mers.
+    """Write the counts of each batch alone, by bin, below ``path``: no state, whatever the number of k-mers.
 
-    ``parts`` says into how many parts a batch's large bins go, as for ``counts_in_bins``.
+    Short k-mers are added up where the read is, others are counted inside bins. ``parts`` says into how many parts a batch's
+    large bins go, as for ``counts_in_bins``; short k-mers need none.
     """
-    return by_batch(reads, path, checkpoint, lambda batch: counts_in_bins(batch, k, m, max_bins, parts), available_now).start()
+
+    def of_batch(batch: DataFrame) -> DataFrame:
+        return short_counts_in_bins(batch, k, m, max_bins) if m <= k < LONG else counts_in_bins(batch, k, m, max_bins, parts)
+
+    return by_batch(reads, path, checkpoint, of_batch, available_now).start()
 
 
 def merged_batches(spark: SparkSession, path: str, bins: list[int] | None = None) -> DataFrame:

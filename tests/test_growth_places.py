@@ -5,8 +5,12 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from strandline.operators import bin_counting as bc
 from strandline.operators import short_counting as sc
+from strandline.sources.reads import LETTER_BASES, LETTERS, reads_from_text
+from strandline.streaming import counts as st
 from tests import brute
 from tests.test_kmers import as_dict, noisy
 
@@ -34,3 +38,27 @@ def test_f22_a_task_gives_each_kmer_of_a_tag_on_once(spark, monkeypatch):
     rows = [(i, "abc"[i % 3], "".join(r.choices("ACGT", k=2_000))) for i in range(60)]
     reads = spark.createDataFrame(rows, "read_id long, seq_tag string, seq string").coalesce(1)
     assert sc.task_sums(reads, 7, True).count() == sum(len(brute.counts([s for _, t, s in rows if t == tag], 7)) for tag in "abc")
+
+
+def test_f19_texts_become_reads_as_bytes(spark):
+    texts = ["", None, "\n", "ab cd\nef\r\tgh-ACGTN", "über straße é", "漢字 a\U0001f600b", "NNN\x00zZ ", "x" * 5_000, LETTERS, "a\n\nb"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s"))
+    old = F.regexp_replace(F.translate(F.replace("text", F.lit("\n"), F.lit("")), LETTERS, LETTER_BASES), "[^ACGT]", "N")
+    want = {r[0]: r[1] for r in rows.select("doc_id", old).collect()}
+    got = reads_from_text(rows)
+    assert {r["read_id"]: r["seq"] for r in got.collect()} == want and "translate(" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("k, m", [(2, 2), (6, 3), (11, 4), (15, 10), (5, 1)])
+def test_f19_short_kmers_get_their_bins_when_they_are_counted(spark, k, m):
+    seqs = [noisy(1, 900), noisy(2, 90), "", "ACG", "A" * 100, "ACGT" * 30, None, "acgtACGTTGCA", "T" * k]
+    reads = spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string")
+    want = sorted(map(tuple, bc.counts_in_bins(reads, k, m, 20).collect()))
+    assert want and sorted(map(tuple, bc.short_counts_in_bins(reads, k, m, 20).collect())) == want
+
+
+def test_f19_a_batch_sends_sums_and_no_super_kmers(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "t", noisy(1, 900))], "read_id long, seq_tag string, seq string").write.parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(bc, "packed_super_kmers", None)
+    st.start_batch_counts(st.stream_reads(spark, f"{tmp_path}/in"), 11, 4, 20, f"{tmp_path}/out", f"{tmp_path}/c", available_now=True).awaitTermination()
+    assert as_dict(st.merged_batches(spark, f"{tmp_path}/out").select("kmer", "n")) == brute.counts([noisy(1, 900)], 11)
