@@ -7,10 +7,11 @@ at least ``MIN_DEDUP`` bytes one is a response, the others are ``revisit`` recor
 payload. Every record is a gzip member of its own, so readers can seek to it. Files go through Spark's
 own writer, so they reach any store Spark can write, and a lost executor or a repeated task leaves
 no half file. Tasks hand the writer bundles of members of bounded bytes, and a file takes a bounded
-number of bundles.
+number of bundles, some 16 MB, as its reader holds it whole. Payloads meet the digests that recur in
+a hash join and are not sorted: a task's map has at most a short row for every 200 bytes of its payloads.
 
 Reading: a file is parsed by its records' lengths, a member at a time. Whole records are decoded in
-place. Only segments are shuffled: grouped by origin, put in order of segment number, checked for
+place, and records leave a task in batches of a megabyte, as payloads do. Only segments are shuffled: grouped by origin, put in order of segment number, checked for
 gaps and for the total length, joined, and then the chunked framing is decoded. Spark's reader of
 binary files puts a file into one row, so foreign archives may be as large as a row, 2 GB; an
 archive that is not compressed or is one single member can be read as well.
@@ -32,7 +33,7 @@ import io
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +45,10 @@ CRLF = b"\r\n"
 SEGMENT_BYTES = 65_536
 CHUNK_BYTES = 8_192
 MIN_DEDUP = 100
-BUNDLE_BYTES, BUNDLES_PER_FILE = 8_000_000, 16
+#: A bundle is an array of the JVM; one of half a region of its heap (1 MB) or more takes whole regions of it.
+BUNDLE_BYTES, BUNDLES_PER_FILE = 1 << 18, 64
+#: Bytes of records or payloads after which a batch goes on.
+BATCH_BYTES = 1 << 20
 DAMAGED = "damaged"
 #: Bytes that are read at once, and of a header line; a record with a longer one is damaged.
 PIECE = 1 << 20
@@ -53,6 +57,7 @@ DATE = "2020-01-01T00:00:00Z"
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 RECORD = "record_id string, record_type string, uri string, page_id long, refers_to string, digest string, segment long, origin string, total long, block binary"
+PAYLOAD = "record_id string, record_type string, uri string, page_id long, refers_to string, digest string, payload binary, complete boolean"
 
 
 def record_urn(*parts: object) -> str:
@@ -126,13 +131,17 @@ def records_of(page_id: int | None, url: str | None, payload: bytes, digest: str
     return out
 
 
-def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
-    """Write a record per row of ``pages`` (page_id, url, html) to gzip archives below ``path``."""
+def marked(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload and digest of every page, and for a revisit the page_id of its response (first_id)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
     # one row per payload that occurs more than once, pre-aggregated where it is read
     first = rows.where(F.col("size") >= MIN_DEDUP).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("first_id"))
+    return rows.join(first.hint("shuffle_hash"), "digest", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("first_id"))
+
+
+def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
+    """Write a record per row of ``pages`` (page_id, url, html) to gzip archives below ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
@@ -150,7 +159,7 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES)
             yield bundle(out)
 
     # The text writer writes the bytes of a value as they are, and the separator, which is the bundle's own last byte.
-    made = rows.mapInArrow(run, "records binary").select(F.col("records").cast("string").alias("value"))
+    made = marked(pages).mapInArrow(run, "records binary").select(F.col("records").cast("string").alias("value"))
     made.write.option("lineSep", "\0").option("maxRecordsPerFile", BUNDLES_PER_FILE).text(path)
 
 
@@ -223,27 +232,57 @@ def opened(raw: pa.Buffer):
     return gzip.GzipFile(fileobj=stream) if raw.size > 1 and raw.slice(0, 2).to_pybytes() == b"\x1f\x8b" else stream
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives below ``path`` as it stands, segments not joined."""
+def record_batches(raw: pa.Buffer, segments: bool | None = None) -> Iterator[pa.RecordBatch]:
+    """The records of a file's bytes, in batches of bounded bytes; only those that are segments, or are none, if so asked."""
+    names = [x.split()[0] for x in RECORD.split(", ")]
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    types = [kinds[x.split()[1]] for x in RECORD.split(", ")]
+    made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+    out, size = [], 0
+    for f, block in parse(opened(raw)):
+        if segments is not None and segments != (number(f, "warc-segment-number") is not None):
+            continue
+        out.append((f.get("warc-record-id"), f.get("warc-type"), f.get("warc-target-uri"), number(f, "x-page-id"), f.get("warc-refers-to"), f.get("warc-payload-digest"), number(f, "warc-segment-number"), f.get("warc-segment-origin-id"), number(f, "warc-segment-total-length"), block))
+        size += len(block or b"") + 500
+        if size > BATCH_BYTES:
+            yield made(out)
+            out, size = [], 0
+    if out:
+        yield made(out)
+
+
+def payload_batches(found: pa.RecordBatch, blocks: Iterable[bytes | None]) -> Iterator[pa.RecordBatch]:
+    """The first six columns of records, and payload and complete from their blocks, in batches of bounded bytes."""
+    names = [*found.schema.names[:6], "payload", "complete"]
+    payloads, complete, size, at = [], [], 0, 0
+    made = lambda: pa.RecordBatch.from_arrays([*found.slice(at, len(payloads)).columns[:6], pa.array(payloads, pa.binary()), pa.array(complete, pa.bool_())], names)
+    for kind, block in zip(found.column(1), blocks):
+        response = kind.as_py() == "response"
+        payload = http_payload(block) if response and block is not None else None
+        payloads.append(payload)
+        complete.append((payload if response else block) is not None)
+        size += len(payload or b"") + 500
+        if size > BATCH_BYTES:
+            yield made()
+            at += len(payloads)
+            payloads, complete, size = [], [], 0
+    if payloads:
+        yield made()
+
+
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("content")
+
+
+def read_records(spark: SparkSession, path: str, segments: bool | None = None) -> DataFrame:
+    """Every record of the archives below ``path`` as it stands, segments not joined; only segments, or none, if so asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORD.split(", ")]
-        kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
-        types = [kinds[x.split()[1]] for x in RECORD.split(", ")]
-        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
         for batch in batches:
             for content in batch.column(0):
-                out, size = [], 0
-                for f, block in parse(opened(content.as_buffer())):
-                    out.append((f.get("warc-record-id"), f.get("warc-type"), f.get("warc-target-uri"), number(f, "x-page-id"), f.get("warc-refers-to"), f.get("warc-payload-digest"), number(f, "warc-segment-number"), f.get("warc-segment-origin-id"), number(f, "warc-segment-total-length"), block))
-                    size += len(block or b"") + 500
-                    if size > 8_000_000:
-                        yield made(out)
-                        out, size = [], 0
-                if out:
-                    yield made(out)
+                yield from record_batches(content.as_buffer(), segments)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    return contents(spark, path).mapInArrow(run, RECORD)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
@@ -252,7 +291,13 @@ def reassemble(records: DataFrame) -> DataFrame:
     Columns record_id, record_type, uri, page_id, refers_to, digest, payload, complete. Equal
     records are kept as often as their first segment occurs; of equal segments one is used.
     """
-    whole = records.where("segment is null")
+    columns = ["record_id", "record_type", "uri", "page_id", "refers_to", "digest", "blocks"]
+    whole = records.where("segment is null").withColumn("blocks", F.when(F.col("block").isNotNull(), F.array("block")))
+    return with_payloads(whole.select(*columns).unionByName(joined_segments(records).select(*columns)))
+
+
+def joined_segments(records: DataFrame) -> DataFrame:
+    """One row for every first segment, with the blocks of all of its record in order; null if they are not all there."""
     parts = records.where("segment is not null").withColumn("origin", F.coalesce("origin", "record_id"))
     joined = parts.groupBy("origin").agg(
         F.array_sort(F.collect_set(F.struct("segment", "block"))).alias("s"),
@@ -263,26 +308,29 @@ def reassemble(records: DataFrame) -> DataFrame:
     length = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.octet_length(x["block"]).cast("long"), F.lit(-(2**62))))
     fits = (F.array_max(F.transform("s", lambda x: x["segment"])) == F.size("s")) & (length == F.col("total"))
     blocks = F.when(F.coalesce(fits, F.lit(False)), F.transform("s", lambda x: x["block"]))
-    joined = joined.where("n > 0").select(F.col("origin").alias("record_id"), "head.*", blocks.alias("blocks"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")
-    columns = ["record_id", "record_type", "uri", "page_id", "refers_to", "digest", "blocks"]
-    found = whole.withColumn("blocks", F.when(F.col("block").isNotNull(), F.array("block"))).select(*columns).unionByName(joined.select(*columns))
+    return joined.where("n > 0").select(F.col("origin").alias("record_id"), "head.*", blocks.alias("blocks"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")
+
+
+def with_payloads(found: DataFrame) -> DataFrame:
+    """Payload and complete in place of the blocks, which are the last column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, whole.num_rows, 256):
-                batch = whole.slice(a, 256)
-                payloads, complete = [], []
-                for kind, parts in zip(batch.column(1).to_pylist(), batch.column(6)):
-                    payload = http_payload(b"".join(parts.as_py())) if kind == "response" and parts.is_valid else None
-                    payloads.append(payload)
-                    complete.append(payload is not None if kind == "response" else parts.is_valid)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(payloads, pa.binary()), pa.array(complete, pa.bool_())], [*columns[:6], "payload", "complete"])
+        for batch in batches:
+            yield from payload_batches(batch, (b"".join(x.as_py()) if x.is_valid else None for x in batch.column(6)))
 
-    return found.mapInArrow(run, "record_id string, record_type string, uri string, page_id long, refers_to string, digest string, payload binary, complete boolean")
+    return found.mapInArrow(run, PAYLOAD)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    return reassemble(read_records(spark, path))
+    """``reassemble`` of the records below ``path``: whole records are decoded where they are parsed, and only segments go on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                for found in record_batches(content.as_buffer(), segments=False):
+                    yield from payload_batches(found, (x.as_py() for x in found.column(9)))
+
+    return contents(spark, path).mapInArrow(run, PAYLOAD).unionByName(with_payloads(joined_segments(read_records(spark, path, segments=True))))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,40 @@ def test_foreign_lengths_and_lines(spark, tmp_path, packed):
     assert rows[0] == ("a", "resource", b"abc") and ("b", "resource", b"abc") in rows and ("o", wa.DAMAGED, None) in rows
     assert ("n", wa.DAMAGED, None) in rows and rows[-1] == ("h", "resource", None)
     assert len(rows) == 7  # what lies between records is one damaged row each time
+
+
+def test_batches_of_records_and_payloads_are_bounded():
+    r = random.Random(5)
+    payloads = [r.randbytes(40_000) for _ in range(150)]
+    made = [x for i, p in enumerate(payloads) for x in wa.records_of(i, "u", p, "d", None, 1 << 16 if i % 2 else 30_000)]
+    raw = pa.py_buffer(b"".join(wa.member(x) for x in made))
+    every = {k: list(wa.record_batches(raw, k)) for k in (None, True, False)}
+    assert {k: sum(b.num_rows for b in v) for k, v in every.items()} == {None: 225, True: 150, False: 75}
+    got = [b for found in every[False] for b in wa.payload_batches(found, (x.as_py() for x in found.column(9)))]
+    assert max(b.nbytes for b in [*every[None], *every[True], *every[False], *got]) < 2 << 20
+    assert {i: x for b in got for i, x in zip(b.column(3).to_pylist(), b.column(6).to_pylist())} == {i: p for i, p in enumerate(payloads) if i % 2}
+
+
+def test_files_are_small_enough_to_be_rows_of_a_task(spark, tmp_path):
+    html = F.expr("array_join(transform(sequence(1, 800), x -> sha2(concat(id, ':', x), 256)), '')")
+    rows = spark.range(0, 1000, 1, 1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), html.alias("html")).localCheckpoint()
+    plan = wa.marked(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan  # payloads are not sorted
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        wa.write_warc(rows, f"{tmp_path}/a")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    sizes = [f.stat().st_size for f in (tmp_path / "a").glob("part*")]
+    assert sum(sizes) > 24_000_000 and max(sizes) < 20_000_000
+    bundles = spark.read.option("lineSep", "\0").text(f"{tmp_path}/a")
+    assert bundles.count() >= sum(sizes) // 400_000
+
+
+def test_whole_records_are_decoded_as_by_reassemble(spark, tmp_path):
+    r = random.Random(6)
+    wa.write_warc(pages(spark, [(i, "u", prose(r, 200 * (i % 9))) for i in range(1, 40)]), f"{tmp_path}/a", segment_bytes=4000)
+    (tmp_path / "a" / "damaged.warc").write_bytes(b"".join(wa.records_of(99, "u", b"x" * 9, "d", None, 1 << 16)) + b"\r\n\r\nno record\r\nWARC/1.1\r\nContent-Length: 7\r\n\r\nab")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(wa.read_warc(spark, f"{tmp_path}/a")) == rows(wa.reassemble(wa.read_records(spark, f"{tmp_path}/a")))
